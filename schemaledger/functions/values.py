@@ -41,8 +41,25 @@ def growth_bytes(current: Column, previous: Column) -> Column:
     return current - previous
 
 
-def round_half_even(value: Column, digits: int = 2) -> Column:
-    return F.bround(value, digits)
+_FRACTION_BITS = 60
+
+
+def round_half_even(value: Column) -> Column:
+    """A double rounded to two digits, ties to even, decided on its exact binary value.
+
+    2.675 is stored a little below the tie and gives 2.67; rounding its decimal text would give 2.68. The fraction is
+    scaled to a whole number (exact, a power of two), and the rest of the division decides.
+    """
+    unit = F.lit(2**_FRACTION_BITS).cast("decimal(38,0)")
+    size = F.abs(value)
+    whole = F.floor(size)
+    scaled = ((size - whole) * F.lit(float(2**_FRACTION_BITS))).cast("bigint").cast("decimal(20,0)") * 100
+    hundredths = F.floor(scaled / unit).cast("bigint")
+    rest = (scaled - hundredths.cast("decimal(20,0)") * unit).cast("decimal(38,0)") * 2
+    up = (rest > unit) | ((rest == unit) & (hundredths % 2 == 1))
+    total = whole * 100 + hundredths + F.when(up, 1).otherwise(0)
+    rounded = F.signum(value) * (total.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("double")
+    return F.when(size >= F.lit(float(2**52)), value).otherwise(rounded)
 
 
 def growth_percent(current: Column, previous: Column) -> Column:

@@ -20,7 +20,7 @@ def summary(parts: DataFrame, fingerprints: DataFrame) -> DataFrame:
     tree = F.from_json(
         "payload",
         "source STRING, db_type STRING, database STRING, collection_options STRUCT<storage_growth: BOOLEAN>, "
-        f"storage_summary: {model.STORAGE_SUMMARY}",
+        f"storage_summary {model.STORAGE_SUMMARY}",
     )
     heads = parts.where("part_no = 0").select(_ID, "captured_at", tree.alias("p")).join(fingerprints, _ID)
     totals = history.export_totals(parts)

@@ -10,7 +10,7 @@ from ..session import shared_folder
 from ..sources import catalogs, imports as import_files, sheets as sheet_sink, store
 from ..streaming import ingest
 from . import driver_tables as p1
-from .registry import captured_on, query, stored
+from .registry import captured_on, landed_extracts, query, stored
 
 
 # --- sources and sinks -------------------------------------------------------------------------------------------
@@ -91,7 +91,8 @@ def published_relations(spark, sf):
     SELECT snapshot_id, data_source_id, captured_on, schema_name, table_name, column_name, data_type, nullable FROM p1_columns""")
 def snapshot_assembly(spark, sf):
     """Flat rows assembled into payloads and flattened again: the same rows."""
-    parts = collect.assemble(p1.headers(spark, sf), p1.relations(spark, sf), part_objects=200)
+    relations = landed_extracts(spark, sf)
+    parts = collect.assemble(relations.pop("headers"), relations, part_objects=200)
     return flatten.column_history(parts).select(
         "snapshot_id", "data_source_id", captured_on(), "schema_name", "table_name", "column_name", "data_type", "nullable"
     )
@@ -104,9 +105,10 @@ def incremental_ingest(spark, sf):
     """Extracts landed in two deliveries and ingested by two stream runs; growth carries over between them."""
     base = shared_folder(spark)
     landing, store_folder, checkpoint = f"{base}/landing", f"{base}/store", f"{base}/checkpoint"
-    for name, rows in p1.relations(spark, sf).items():
+    relations = landed_extracts(spark, sf)
+    heads = relations.pop("headers")
+    for name, rows in relations.items():
         rows.write.parquet(f"{landing}/{name}")
-    heads = p1.headers(spark, sf)
     early = F.year("captured_at") < 1998
     for delivery in (heads.where(early), heads.where(~early)):
         delivery.write.mode("append").parquet(f"{landing}/headers")

@@ -15,8 +15,22 @@ from ..functions.values import grant_value
 TABLE = ["data_source_id", "yr", "snapshot_id", "captured_on", "schema_name", "table_name"]
 
 
+# Columns read from the given tables; a stated schema saves a file read per use.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, "
+        "o_orderpriority STRING"
+    ),
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def _text(c: Column) -> Column:
@@ -65,8 +79,13 @@ def columns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def tables(spark: SparkSession, sf: str) -> DataFrame:
-    grouped = columns(spark, sf).groupBy(*TABLE).agg(
+def _columns(spark: SparkSession, sf: str, base: DataFrame | None) -> DataFrame:
+    return columns(spark, sf) if base is None else base
+
+
+def tables(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
+    """``base``: the column relation, if it is at hand already; likewise below."""
+    grouped = _columns(spark, sf, base).groupBy(*TABLE).agg(
         F.count("*").alias("column_count"), F.sum("data_bytes").alias("data_bytes")
     )
     index_bytes = F.col("column_count") * 8192
@@ -102,11 +121,11 @@ def indexes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def views(spark: SparkSession, sf: str, prefix: str = "v_") -> DataFrame:
+def views(spark: SparkSession, sf: str, prefix: str = "v_", base: DataFrame | None = None) -> DataFrame:
     """Views; with another prefix the same rows serve as routines."""
     first = F.substring("column_name", 1, 1)
     return (
-        columns(spark, sf).groupBy("snapshot_id", "schema_name", first.alias("_first"))
+        _columns(spark, sf, base).groupBy("snapshot_id", "schema_name", first.alias("_first"))
         .agg(F.min("table_name").alias("_table"))
         .select(
             "snapshot_id", "schema_name", F.concat(F.lit(prefix), "_first").alias("name"),
@@ -132,10 +151,10 @@ def granted_tables(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def primary_keys(spark: SparkSession, sf: str) -> DataFrame:
+def primary_keys(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     """First column of every table that has more than one."""
     return (
-        columns(spark, sf).groupBy("snapshot_id", "schema_name", "table_name")
+        _columns(spark, sf, base).groupBy("snapshot_id", "schema_name", "table_name")
         .agg(F.count("*").alias("_n"), F.min("column_name").alias("_first"))
         .where("_n > 1")
         .select("snapshot_id", "schema_name", "table_name", F.array("_first").alias("constrained_columns"),
@@ -143,10 +162,10 @@ def primary_keys(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def foreign_keys(spark: SparkSession, sf: str) -> DataFrame:
+def foreign_keys(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     """A key on every column whose bytes divide by three; its second referred column is unknown."""
     first = F.substring("column_name", 1, 1)
-    return columns(spark, sf).where("data_bytes % 3 = 0").select(
+    return _columns(spark, sf, base).where("data_bytes % 3 = 0").select(
         "snapshot_id", "schema_name", "table_name", F.concat(F.lit("fk_"), first).alias("name"),
         F.array("column_name").alias("constrained_columns"), F.col("schema_name").alias("referred_schema"),
         F.concat(F.lit("ref_"), first).alias("referred_table"),
@@ -154,9 +173,9 @@ def foreign_keys(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def grants(spark: SparkSession, sf: str) -> DataFrame:
+def grants(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     """Grants as (snapshot_id, schema_name, name, permissions): tables by name, one schema by wildcard."""
-    exact = tables(spark, sf).join(granted_tables(spark, sf), ["data_source_id", "schema_name", "table_name"], "left_semi")
+    exact = tables(spark, sf, base).join(granted_tables(spark, sf), ["data_source_id", "schema_name", "table_name"], "left_semi")
     named = exact.select("snapshot_id", "schema_name", F.col("table_name").alias("name"),
                          grant_value(F.lit("reader")).alias("permissions"))
     star = snapshots(spark, sf).select(F.col("id").alias("snapshot_id"), F.lit("MACHINERY").alias("schema_name"),
@@ -175,28 +194,28 @@ def headers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def relations(spark: SparkSession, sf: str, storage: DataFrame | None = None) -> dict[str, DataFrame]:
+def relations(spark: SparkSession, sf: str, base: DataFrame | None = None) -> dict[str, DataFrame]:
     """All flat relations of all snapshots, as `assemble` takes them."""
-    t = tables(spark, sf)
+    t = tables(spark, sf, base)
     return {
         "schemas": t.select("snapshot_id", "schema_name").distinct(),
         "tables": t.select("snapshot_id", "schema_name", "table_name",
                            F.concat(F.lit("about "), "table_name").alias("comment")),
-        "columns": columns(spark, sf).select(
+        "columns": _columns(spark, sf, base).select(
             "snapshot_id", "schema_name", "table_name", F.col("column_name").alias("name"),
             F.col("data_type").alias("type"), "nullable",
         ),
-        "primary_keys": primary_keys(spark, sf),
-        "foreign_keys": foreign_keys(spark, sf),
+        "primary_keys": primary_keys(spark, sf, base),
+        "foreign_keys": foreign_keys(spark, sf, base),
         "indexes": indexes(spark, sf).select(
             "snapshot_id", "schema_name", "table_name", F.col("index_name").alias("name"),
             F.array(F.col("first_column"), F.when(F.col("column_count") > 1, F.lit("…"))).alias("column_names"),
             F.col("is_unique").alias("unique"),
         ),
-        "storage": storage if storage is not None else t.drop("data_source_id", "yr", "captured_on", "column_count"),
-        "views": views(spark, sf),
-        "routines": views(spark, sf, "p_").withColumn("routine_type", F.lit("PROCEDURE")),
-        "grants": grants(spark, sf),
+        "storage": t.drop("data_source_id", "yr", "captured_on", "column_count"),
+        "views": views(spark, sf, base=base),
+        "routines": views(spark, sf, "p_", base).withColumn("routine_type", F.lit("PROCEDURE")),
+        "grants": grants(spark, sf, base),
     }
 
 

@@ -2,6 +2,16 @@
 
 from __future__ import annotations
 
+
+
+def rounded(value: str) -> str:
+    """A double rounded to two digits on its exact binary value, ties to even."""
+    unit = 2**60
+    fraction = f"(CAST((abs({value}) - floor(abs({value}))) * {float(unit)!r} AS HUGEINT) * 100)"
+    up = f"CASE WHEN {fraction} % {unit} * 2 > {unit} OR ({fraction} % {unit} * 2 = {unit} AND {fraction} // {unit} % 2 = 1) THEN 1 ELSE 0 END"
+    return f"(sign({value}) * (CAST(CAST(floor(abs({value})) AS BIGINT) * 100 + {fraction} // {unit} + {up} AS DOUBLE) / 100))"
+
+
 _TABLE = "data_source_id, yr, snapshot_id, captured_on, schema_name, table_name"
 
 BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -110,8 +120,8 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM p1_snapshots"""),
     "p1_growth": (("p1_tables", "p1_previous"), """
         SELECT t.*, o.total_bytes AS previous_total_bytes, t.total_bytes - o.total_bytes AS growth_bytes,
-               CASE WHEN o.total_bytes <> 0 THEN round_even(
-                   CAST(t.total_bytes - o.total_bytes AS DOUBLE) / CAST(o.total_bytes AS DOUBLE) * 100, 2) END AS growth_percent
+               CASE WHEN o.total_bytes <> 0 THEN """ + rounded(
+        "(CAST(t.total_bytes - o.total_bytes AS DOUBLE) / CAST(o.total_bytes AS DOUBLE) * 100)") + """ END AS growth_percent
         FROM p1_tables t JOIN p1_previous p ON p.snapshot_id = t.snapshot_id
         LEFT JOIN p1_tables o ON o.snapshot_id = p.previous_id AND o.schema_name = t.schema_name AND o.table_name = t.table_name"""),
     "p1_foreign_keys": (("p1_columns",), """

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..session import shared_folder
+from ..session import shared_folder, written
 from ..sources.store import append_snapshots, read_snapshots
 from . import driver_tables as p1
 from .collection import collected
@@ -16,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 _STORES: dict[tuple[str, str], str] = {}
+_EXTRACTS: dict[tuple[str, str], dict[str, tuple[str, T.StructType]]] = {}
 
 
 def query(name: str, *needs: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -32,12 +33,29 @@ def query(name: str, *needs: str, sql: str | None = None) -> Callable[[Query], Q
     return register
 
 
+def landed_extracts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Catalogue relations of these tables as landed Parquet extracts; `headers` is one of them.
+
+    They are written on first use in this application, as a producer would land them.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _EXTRACTS:
+        path = shared_folder(spark)
+        base = written(p1.columns(spark, sf))
+        given = {**p1.relations(spark, sf, base), "headers": p1.headers(spark, sf)}
+        for name, rows in given.items():
+            rows.write.parquet(f"{path}/{name}")
+        _EXTRACTS[key] = {name: (f"{path}/{name}", rows.schema) for name, rows in given.items()}
+    return {name: spark.read.schema(schema).parquet(path) for name, (path, schema) in _EXTRACTS[key].items()}
+
+
 def store_path(spark: SparkSession, sf: str) -> str:
     """Folder of the snapshot store of these tables; collected on first use in this application."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STORES:
         path = shared_folder(spark)
-        append_snapshots(collected(p1.headers(spark, sf), p1.relations(spark, sf)), path)
+        relations = landed_extracts(spark, sf)
+        append_snapshots(collected(relations.pop("headers"), relations), path)
         _STORES[key] = path
     return _STORES[key]
 

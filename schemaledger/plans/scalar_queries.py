@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import secrets, templates, text, values
 from . import driver_tables as p1
+from .oracle_blocks import rounded
 from .registry import query
 
 _CENTS = F.round(F.col("c_acctbal") * 100).cast("bigint")
@@ -40,7 +41,7 @@ def digest(spark, sf):
 
 @query("h3_growth", sql="""
     SELECT c_custkey AS id, cur - old AS growth_bytes,
-           CASE WHEN old <> 0 THEN round_even(CAST(cur - old AS DOUBLE) / CAST(old AS DOUBLE) * 100, 2) END AS growth_percent
+           CASE WHEN old <> 0 THEN """ + rounded("(CAST(cur - old AS DOUBLE) / CAST(old AS DOUBLE) * 100)") + """ END AS growth_percent
     FROM (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS cur,
                  CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN 0 ELSE c_custkey * 37 END AS old FROM customer)""")
 def growth(spark, sf):
@@ -51,7 +52,7 @@ def growth(spark, sf):
     return rows.select("id", values.growth_bytes(cur, old).alias("growth_bytes"), values.growth_percent(cur, old).alias("growth_percent"))
 
 
-@query("h4_round_half_even", sql="SELECT c_custkey AS id, round_even(c_acctbal / 8.0, 2) AS rounded FROM customer")
+@query("h4_round_half_even", sql=f"SELECT c_custkey AS id, {rounded('(c_acctbal / 8.0::DOUBLE)')} AS rounded FROM customer")
 def round_half_even(spark, sf):
     return _customers(spark, sf).select(F.col("c_custkey").alias("id"), values.round_half_even(F.col("c_acctbal") / F.lit(8.0)).alias("rounded"))
 

@@ -43,5 +43,6 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
