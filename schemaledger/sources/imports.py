@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,20 +13,20 @@ from .. import model
 _BOM = "﻿"
 
 
-@F.pandas_udf("string")
-def _yaml_as_json(texts: pd.Series) -> pd.Series:
-    """YAML text -> JSON text; null where it is not YAML. One call per Arrow batch."""
+def _yaml_as_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """YAML texts -> JSON texts, one Arrow batch of files at a time; null where a text is not YAML."""
     import yaml
 
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
     def convert(text: str | None) -> str | None:
-        if text is None:
-            return None
         try:
-            return json.dumps(yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)), default=str)
+            return None if text is None else json.dumps(yaml.load(text, Loader=loader), default=str)
         except yaml.YAMLError:
             return None
 
-    return texts.map(convert)
+    for batch in batches:
+        yield batch.assign(text=batch["text"].map(convert))
 
 
 def _listed(document: Column, key: str) -> Column:
@@ -47,7 +48,7 @@ def read_import_files(spark: SparkSession, path: str, key: str) -> tuple[DataFra
     clean = F.when(F.startswith(text, F.lit(_BOM)), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
     texts = files.where(fits).select(F.col("path").alias("file"), clean.alias("text"))
     is_json = F.lower("file").endswith(".json")
-    documents = texts.where(is_json).unionAll(texts.where(~is_json).select("file", _yaml_as_json("text").alias("text")))
+    documents = texts.where(is_json).unionAll(texts.where(~is_json).mapInPandas(_yaml_as_json, texts.schema))
     parsed = documents.select("file", F.try_parse_json("text").alias("_document"))
     items = parsed.select("file", F.col("_document").isNull().alias("_unreadable"), _listed(F.col("_document"), key).alias("_items"))
 
