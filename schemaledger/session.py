@@ -19,6 +19,7 @@ def local_session(app: str = "schemaledger", cores: str = "*", shuffle_partition
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.memory", os.environ.get("SCHEMALEDGER_DRIVER_MEMORY", "12g"))
