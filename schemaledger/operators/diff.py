@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .flatten import OBJECT_KEY
+from .flatten import OBJECT_KEY, objects, printed_key
 
 
 def added(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,16 +61,34 @@ def diff(
     )
 
 
-def snapshot_diff(objects: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Differences of many snapshot pairs at once.
+def snapshot_diff(parts: DataFrame, pairs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """Differences of many snapshot pairs at once, from stored parts.
 
-    ``objects``: keyed objects. ``pairs``: from_snapshot_id, to_snapshot_id. Pairs of different sources are dropped
-    (see `checked_pairs` for their reasons).
+    ``pairs``: from_snapshot_id, to_snapshot_id (see `checked_pairs`). Only the parts of these snapshots are read and
+    taken apart, once. Both sides meet in one grouping on the object key, which also keeps the last of repeated names,
+    so the objects are shuffled once and no join of objects is needed.
     """
-    keys = ["from_snapshot_id", "to_snapshot_id", *OBJECT_KEY, "key"]
-    before = objects.join(pairs, objects["snapshot_id"] == pairs["from_snapshot_id"]).select(*keys, "value")
-    after = objects.join(pairs, objects["snapshot_id"] == pairs["to_snapshot_id"]).select(*keys, "value")
-    return diff(before, after, keys)
+    pair = ["from_snapshot_id", "to_snapshot_id"]
+    sides = F.array(
+        F.struct(F.col("from_snapshot_id").alias("snapshot_id"), F.lit("before").alias("side")),
+        F.struct(F.col("to_snapshot_id").alias("snapshot_id"), F.lit("after").alias("side")),
+    )
+    wanted = pairs.select(*pair, F.inline(sides))
+    rows = objects(parts.join(wanted, "snapshot_id"), without, (*pair, "side"))
+    place = F.struct("part_no", "position")
+    on = lambda side, value: F.when(F.col("side") == side, value)
+    keys = [*pair, *OBJECT_KEY]
+    met = rows.groupBy(*keys).agg(
+        F.count(on("before", F.lit(1))).alias("_before"), F.count(on("after", F.lit(1))).alias("_after"),
+        F.max_by("value", on("before", place)).alias("before_value"), F.max_by("value", on("after", place)).alias("after_value"),
+    )
+    change = (
+        F.when(F.col("_before") == 0, "added")
+        .when(F.col("_after") == 0, "removed")
+        .when(~F.col("before_value").eqNullSafe(F.col("after_value")), "changed")
+    )
+    kept = met.withColumn("change", change).where(F.col("change").isNotNull())
+    return kept.select(*keys, printed_key().alias("key"), "change", "before_value", "after_value")
 
 
 def checked_pairs(pairs: DataFrame, headers: DataFrame) -> DataFrame:

@@ -178,15 +178,16 @@ def _name(value: Column) -> Column:
     return F.coalesce(F.try_variant_get(value["name"], "$", "string"), F.lit(""))
 
 
-def objects(parts: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+def objects(parts: DataFrame, without: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
     """All objects of six kinds with their canonical JSON value.
 
     Columns: header, kind, schema_name, table_name (columns and indexes only), name, position, value. Unknown keys
-    stay in the value. A table's value leaves out its columns and indexes, and the keys named in ``without``.
+    stay in the value. A table's value leaves out its columns and indexes, and the keys named in ``without``. Columns
+    named in ``keep`` are carried along.
     One pass over the payload: the kinds are one array per schema, exploded once.
     """
     schemas = _schemas(
-        parts, f"tables: {_VARIANTS}, views: {_VARIANTS}, procedures: {_VARIANTS}", "part_no"
+        parts, f"tables: {_VARIANTS}, views: {_VARIANTS}, procedures: {_VARIANTS}", "part_no", *keep
     ).withColumn("schema_name", F.coalesce("s.name", F.lit("")))
 
     def row(kind: str, value: Column | None, name: Column, table: Column | None = None, drop: tuple[str, ...] = ()):
@@ -217,25 +218,25 @@ def objects(parts: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
         F.transform(listed("views"), lambda v: row("view", v, _name(v))),
         F.transform(listed("procedures"), lambda r: row("procedure", r, _name(r))),
     )
-    return schemas.select(*_HEADER, "part_no", "schema_name", F.posexplode(rows).alias("position", "o")).select(
-        *_HEADER, "schema_name", "part_no", "position", "o.*"
+    return schemas.select(*_HEADER, *keep, "part_no", "schema_name", F.posexplode(rows).alias("position", "o")).select(
+        *_HEADER, *keep, "schema_name", "part_no", "position", "o.*"
     )
 
 
 OBJECT_KEY = ("kind", "schema_name", "table_name", "name")
 
 
-def keyed_objects(rows: DataFrame) -> DataFrame:
-    """One row per key and snapshot, the last one in payload order, with the printed `key`.
-
-    All rows of one key of a snapshot are in one part; a partial aggregate keeps the last, no sort is needed.
-    """
-    key = F.when(F.col("kind") == "schema", F.concat(F.lit("schema:"), F.col("schema_name"))).when(
-        F.col("kind").isin("column", "index"),
-        text.object_key(F.col("kind"), F.col("schema_name"), F.col("table_name"), F.col("name")),
-    ).otherwise(text.object_key(F.col("kind"), F.col("schema_name"), F.col("name")))
+def printed_key() -> Column:
+    """The key of an object as text."""
+    name = F.col
     return (
-        rows.groupBy(*_HEADER, *OBJECT_KEY)
-        .agg(F.max_by("value", F.struct("part_no", "position")).alias("value"))
-        .withColumn("key", key)
+        F.when(name("kind") == "schema", F.concat(F.lit("schema:"), name("schema_name")))
+        .when(name("kind").isin("column", "index"), text.object_key(name("kind"), name("schema_name"), name("table_name"), name("name")))
+        .otherwise(text.object_key(name("kind"), name("schema_name"), name("name")))
     )
+
+
+def keyed_objects(rows: DataFrame) -> DataFrame:
+    """One row per key and snapshot, the last one in payload order, with the printed `key`."""
+    last = F.max_by("value", F.struct("part_no", "position")).alias("value")
+    return rows.groupBy(*_HEADER, *OBJECT_KEY).agg(last).withColumn("key", printed_key())

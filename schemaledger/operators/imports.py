@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import model
+from ..session import written
 from .ordering import number_block, numbered, running_total
 
 
@@ -123,6 +125,7 @@ def new_rows(rows: DataFrame, stored: DataFrame, key: str = "name") -> DataFrame
 
 # --- free names --------------------------------------------------------------------------------------------------
 _SUFFIX = r"^(.*) \(([1-9][0-9]{0,17})\)$"
+_ONE_SUFFIX = r" \([1-9][0-9]{0,17}\)"
 _SUFFIXES = r"( \([1-9][0-9]{0,17}\))+$"
 
 
@@ -131,22 +134,33 @@ def name_root(name: Column) -> Column:
     return F.regexp_replace(name, _SUFFIXES, "")
 
 
-def free_names(demands: DataFrame, stored: DataFrame) -> DataFrame:
-    """Add `final_name`: the k-th row asking for a taken name gets its k-th free 'name (n)', n from 2.
+def _depth(name: Column) -> Column:
+    """How many ' (n)' trail the name."""
+    return F.size(F.regexp_extract_all(F.regexp_extract(name, _SUFFIXES, 0), F.lit(_ONE_SUFFIX), F.lit(0)))
+
+
+def _slots(names: DataFrame, *more: str) -> DataFrame:
+    """Names of the form 'name (n)' with n from 2, as (name, slot)."""
+    slot = F.regexp_extract("name", _SUFFIX, 2).try_cast("bigint")
+    return names.select(F.regexp_extract("name", _SUFFIX, 1).alias("name"), slot.alias("slot"), *more).where("slot >= 2")
+
 
-    ``demands``: row_no, name. The k-th free number is k + 1 plus the used numbers before it. A used number u, the
-    j-th used of its name, has u - 1 - j free numbers before it; so both kinds of rows are laid on one axis and a
-    running total counts the used ones. Rows and used numbers of one name may be any number: all steps run in blocks.
+def free_names(demands: DataFrame, used: DataFrame) -> DataFrame:
+    """(row_no, name, final_name): the k-th row asking for a taken name gets its k-th free 'name (n)', n from 2.
+
+    ``demands``: row_no, name. ``used``: name, slot (the numbers that are taken). The k-th free number is k + 1 plus
+    the used numbers before it. A used number u, the j-th used of its name, has u - 1 - j free numbers before it; so
+    both kinds of rows are laid on one axis and a running total counts the used ones. Rows and used numbers of one
+    name may be any number: all steps run in blocks.
     """
     ranked = numbered(demands, ["name"], [F.col("row_no")], number_block("row_no"), "_k")
-    used = stored.select(
-        F.regexp_extract("name", _SUFFIX, 1).alias("name"), F.regexp_extract("name", _SUFFIX, 2).try_cast("bigint").alias("_u")
-    ).where(F.col("_u") >= 2)
-    used = used.join(demands.select("name").distinct(), "name", "left_semi").distinct()
-    used = numbered(used, ["name"], [F.col("_u")], number_block("_u"), "_j")
+    held = used.join(demands.select("name").distinct(), "name", "left_semi").select("name", "slot").distinct()
+    held = numbered(held, ["name"], [F.col("slot")], number_block("slot"), "_j")
 
     asking = ranked.select("name", "row_no", F.col("_k").alias("_at"), F.lit(0).alias("_used"))
-    taken = used.select("name", F.lit(None).cast("bigint").alias("row_no"), (F.col("_u") - 1 - F.col("_j")).alias("_at"), F.lit(1).alias("_used"))
+    taken = held.select(
+        "name", F.lit(None).cast("bigint").alias("row_no"), (F.col("slot") - 1 - F.col("_j")).alias("_at"), F.lit(1).alias("_used")
+    )
     axis = running_total(
         asking.unionByName(taken), ["name"], [F.col("_at"), F.col("_used")], number_block("_at"), F.col("_used"), "_skipped"
     )
@@ -155,51 +169,79 @@ def free_names(demands: DataFrame, stored: DataFrame) -> DataFrame:
     return axis.where(F.col("_used") == 0).select("row_no", "name", named.alias("final_name"))
 
 
-def _replayed(rows: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one name root in order, each seeing the names taken before it."""
-    taken = set(stored["name"])
-    following: dict[str, int] = {}
-    finals = []
-    rows = rows.sort_values("row_no")
-    for name in rows["name"]:
-        final = name
-        if name in taken:
-            number = following.get(name, 2)
-            while f"{name} ({number})" in taken:
-                number += 1
-            following[name] = number + 1
-            final = f"{name} ({number})"
-        taken.add(final)
-        finals.append(final)
-    return pd.DataFrame({"row_no": rows["row_no"], "name": rows["name"], "final_name": finals})
+def _takers_and_demands(rows: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that get their own name, and rows that find it taken. ``taken``: names held before any of the rows."""
+    first = rows.groupBy("name").agg(F.min("row_no").alias("_first"))
+    state = first.join(taken.select("name").distinct().withColumn("_held", F.lit(True)), "name", "left")
+    late = F.coalesce("_held", F.lit(False)) | (F.col("row_no") > F.col("_first"))
+    flagged = rows.join(state, "name").withColumn("_late", late)
+    kept = flagged.where(~F.col("_late")).select("row_no", "name", F.col("name").alias("final_name"))
+    return kept, flagged.where("_late").select("row_no", "name")
+
+
+def _contested_names(demands: DataFrame, stored: DataFrame, literals: DataFrame) -> DataFrame:
+    """`free_names` where rows of the file ask for 'name (n)' themselves. ``literals``: name, row_no of the next level.
+
+    A number asked for at row t is used from t on, unless a demand reached it before. Which numbers the demands reach
+    depends only on lower numbers, so the rule is applied to all numbers at once until nothing changes: a number is
+    reached by the demand whose rank is the count of free numbers up to it.
+    """
+    ranked = written(numbered(demands, ["name"], [F.col("row_no")], number_block("row_no"), "rank"))
+    asked = _slots(literals.groupBy("name").agg(F.min("row_no").alias("since")), "since")
+    slots = _slots(stored).distinct().withColumn("since", F.lit(0).cast("bigint")).unionByName(asked)
+    slots = slots.groupBy("name", "slot").agg(F.min("since").alias("since")).withColumn("reached", F.lit(False))
+    slots = written(slots.join(ranked.select("name").distinct(), "name", "left_semi"))
+
+    while True:
+        used = F.when(F.col("reached"), 0).otherwise(1)
+        counted = running_total(slots, ["name"], [F.col("slot")], number_block("slot"), used, "_used")
+        rank = F.col("slot") - 1 - (F.col("_used") - used)
+        tested = counted.withColumn("rank", rank.cast("bigint")).join(ranked, ["name", "rank"], "left")
+        reached = F.coalesce(F.col("row_no") < F.col("since"), F.lit(False))
+        following = written(tested.select("name", "slot", "since", F.col("reached").alias("_before"), reached.alias("reached")))
+        slots = following.drop("_before")
+        if following.where("reached <> _before").isEmpty():
+            return free_names(demands, slots.where("NOT reached"))
+
+
+def _renamed_by_level(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Names without suffix first, then 'X (n)', then 'X (n) (m)': a level only depends on the one above it."""
+    levels = rows.select(F.max(_depth(F.col("name"))).alias("deepest")).first()["deepest"]
+    given = None
+    done = []
+    for level in range(levels + 1):
+        here = rows.where(_depth(F.col("name")) == level)
+        taken = stored.select("name")
+        if given is not None:
+            taken = taken.unionByName(given)
+        kept, demands = _takers_and_demands(here, taken)
+        moved = written(_contested_names(demands, stored, rows.where(_depth(F.col("name")) == level + 1)))
+        given = moved.select(F.col("final_name").alias("name"))
+        done += [kept, moved]
+    return reduce(DataFrame.unionByName, done)
 
 
 def renamed(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """(row_no, name, final_name) under the rename policy; a row sees the rows before it.
 
-    Names that only meet their own copies are numbered by `free_names`. Only where a file holds both 'X' and 'X (n)'
-    can one row's new name hit another row's own name; these roots alone are replayed in row order.
+    Names that only meet their own copies are numbered in one pass. Only where the rows hold both 'X' and 'X (n)' can
+    one row's new name meet another row's own name; those roots are settled level by level, still as joins and
+    running totals over all rows. Whether there are any is asked for when the plan is built.
     """
     rows = incoming.select("row_no", "name")
     roots = rows.select("name").distinct().groupBy(name_root(F.col("name")).alias("_root")).agg(F.count("*").alias("_n"))
     mixed = roots.where("_n > 1").select("_root")
-
-    rooted = rows.withColumn("_root", name_root(F.col("name")))
-    plain = rooted.join(mixed, "_root", "left_anti").drop("_root")
-    first = plain.groupBy("name").agg(F.min("row_no").alias("_first"))
-    state = first.join(stored.select("name").distinct().withColumn("_stored", F.lit(True)), "name", "left")
-    flagged = plain.join(state, "name").withColumn(
-        "_taken", F.coalesce("_stored", F.lit(False)) | (F.col("row_no") > F.col("_first"))
-    )
-    kept = flagged.where(~F.col("_taken")).select("row_no", "name", F.col("name").alias("final_name"))
-    moved = free_names(flagged.where("_taken").select("row_no", "name"), stored)
-
-    asked = rooted.join(mixed, "_root", "left_semi")
-    held = stored.select("name", name_root(F.col("name")).alias("_root")).join(mixed, "_root", "left_semi")
-    replayed = asked.groupBy("_root").cogroup(held.groupBy("_root")).applyInPandas(
-        _replayed, "row_no BIGINT, name STRING, final_name STRING"
-    )
-    return kept.unionByName(moved).unionByName(replayed)
+    if mixed.isEmpty():
+        kept, demands = _takers_and_demands(rows, stored)
+        return kept.unionByName(free_names(demands, _slots(stored)))
+
+    mixed = written(mixed)
+    rooted = lambda names: names.withColumn("_root", name_root(F.col("name")))
+    kept, demands = _takers_and_demands(rooted(rows).join(mixed, "_root", "left_anti").drop("_root"), stored)
+    plain = kept.unionByName(free_names(demands, _slots(stored)))
+    contested = written(rooted(rows).join(mixed, "_root", "left_semi").drop("_root"))
+    held = written(rooted(stored.select("name")).join(mixed, "_root", "left_semi").drop("_root"))
+    return plain.unionByName(_renamed_by_level(contested, held))
 
 
 # --- import with a duplicate policy ------------------------------------------------------------------------------

@@ -65,11 +65,11 @@ def snapshot_diff(spark, sf):
     SELECT data_source_id, change, "key", before_value, after_value FROM changes WHERE change IS NOT NULL""")
 def payload_diff(spark, sf):
     """The same changes taken from stored payloads of all object kinds, then cut to columns."""
-    objects = flatten.keyed_objects(flatten.objects(stored(spark, sf)))
-    heads = _heads(spark, sf)
+    parts = stored(spark, sf)
+    heads = parts.where("part_no = 0").select(*model.HEADER_COLUMNS)
     ids = lambda year, name: heads.where(F.year("captured_at") == year).select("data_source_id", F.col("snapshot_id").alias(name))
     pairs = ids(_OLD, "from_snapshot_id").join(ids(_NEW, "to_snapshot_id"), "data_source_id", "full_outer")
-    changes = diff.snapshot_diff(objects, pairs.select("from_snapshot_id", "to_snapshot_id"))
+    changes = diff.snapshot_diff(parts, pairs.select("from_snapshot_id", "to_snapshot_id"))
     source = F.floor(F.coalesce("to_snapshot_id", "from_snapshot_id") / 10000)
     return changes.where("kind = 'column'").select(
         source.alias("data_source_id"), "change", "key", "before_value", "after_value"

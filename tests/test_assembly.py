@@ -11,6 +11,7 @@ from schemaledger import model
 from schemaledger.functions.values import fingerprint
 from schemaledger.operators import collect, flatten, history, search, sheets
 from schemaledger.plans.collection import collected
+from schemaledger.session import written
 from schemaledger.sources import store
 
 HEADER = (
@@ -21,7 +22,7 @@ HEADER = (
 
 def _relations(spark, snapshot=1):
     """Two tables, a foreign key, an index, a view and a wildcard grant."""
-    frame = spark.createDataFrame
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema).coalesce(1)
     s = snapshot
     return {
         "schemas": frame([(s, "main"), (s, "empty")], "snapshot_id BIGINT, schema_name STRING"),
@@ -62,7 +63,7 @@ def _tree(assembled):
 
 
 def test_whole_snapshot(spark):
-    assembled = collect.assemble(_headers(spark, 1), _relations(spark))
+    assembled = written(collect.assemble(_headers(spark, 1), _relations(spark)))
     tree = _tree(assembled)
     assert [s["name"] for s in tree["schemas"]] == ["empty", "main"]
     main = tree["schemas"][1]
@@ -82,8 +83,8 @@ def test_whole_snapshot(spark):
 
 
 def test_large_snapshots_are_cut_into_parts(spark):
-    whole = collect.assemble(_headers(spark, 1), _relations(spark))
-    cut = collect.assemble(_headers(spark, 1), _relations(spark), part_objects=1)
+    whole = written(collect.assemble(_headers(spark, 1), _relations(spark)))
+    cut = written(collect.assemble(_headers(spark, 1), _relations(spark), part_objects=1))
     rows = cut.collect()
     assert len(rows) == rows[0]["part_count"] == 3
     as_rows = lambda p: sorted(map(tuple, flatten.column_history(p).collect()))
@@ -97,7 +98,7 @@ def test_large_snapshots_are_cut_into_parts(spark):
 
 def test_empty_snapshot_keeps_its_header(spark):
     empty = {n: r.limit(0) for n, r in _relations(spark).items()}
-    assembled = collect.assemble(_headers(spark, 1), empty)
+    assembled = written(collect.assemble(_headers(spark, 1), empty))
     assert _tree(assembled)["schemas"] == []
     summary = history.snapshot_summary(assembled).collect()[0]
     assert (summary["schema_count"], summary["table_count"], len(summary["skipped_schemas"])) == (0, 0, 1)
@@ -116,7 +117,7 @@ def test_only_selected_items(spark):
 def test_growth_between_two_collections(spark):
     first, second = _relations(spark, 1), _relations(spark, 2)
     relations = {n: first[n].unionAll(second[n]) for n in first}
-    assembled = collected(_headers(spark, 1, 2, storage=True), relations)
+    assembled = written(collected(_headers(spark, 1, 2, storage=True), relations))
     sizes = {(r["snapshot_id"], r["table_name"]): r for r in flatten.table_details(assembled).collect()}
     assert sizes[(1, "teams")]["growth_bytes"] is None
     assert (sizes[(2, "teams")]["growth_bytes"], sizes[(2, "teams")]["growth_percent"]) == (0, 0.0)

@@ -13,9 +13,8 @@ NEW = payload(table("users", column("id", "bigint"), column("email", "text")), t
 
 def _changes(spark, before, after, without=()):
     rows = parts(spark, part(1, before), part(2, after))
-    objects = flatten.keyed_objects(flatten.objects(rows, without))
     pairs = spark.createDataFrame([(1, 2)], "from_snapshot_id BIGINT, to_snapshot_id BIGINT")
-    return {(r["change"], r["key"]) for r in diff.snapshot_diff(objects, pairs).collect()}
+    return {(r["change"], r["key"]) for r in diff.snapshot_diff(rows, pairs, without).collect()}
 
 
 def test_added_removed_and_changed_objects(spark):
