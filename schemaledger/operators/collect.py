@@ -213,7 +213,10 @@ def assemble(headers: DataFrame, relations: dict[str, DataFrame], part_objects:
         F.sort_array(F.collect_list(F.when(F.col("tables").isNotNull(), _table_struct()))).alias("tables"),
         F.sort_array(F.collect_list(F.when(F.col("views").isNotNull(), _view_struct()))).alias("views"),
         F.sort_array(F.flatten(F.collect_list("routines"))).alias("procedures"),
+        F.bool_or(F.col("object").isNull()).alias("listed"),
     )
+    # A grant or a size of a schema that holds nothing and is not listed does not make the schema appear.
+    known = F.col("listed") | (F.size("tables") > 0) | (F.size("views") > 0) | (F.size("procedures") > 0)
     granted = lambda o: o.withField("permissions", F.coalesce(o["permissions"], F.col("star"), no_grant()))
     schema = F.struct(
         F.col("schema_name").alias("name"),
@@ -223,7 +226,7 @@ def assemble(headers: DataFrame, relations: dict[str, DataFrame], part_objects:
     )
     whole = schemas.groupBy("snapshot_id", "part_no").agg(
         F.first("header", ignorenulls=True).alias("header"),
-        F.sort_array(F.collect_list(F.when(F.col("schema_name").isNotNull(), schema))).alias("schemas"),
+        F.sort_array(F.collect_list(F.when(F.col("schema_name").isNotNull() & known, schema))).alias("schemas"),
     )
     return _stored_parts(whole)
 

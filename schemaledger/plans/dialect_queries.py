@@ -141,8 +141,11 @@ def grants_db2(spark, sf):
     return normalise.grants_db2(raw.tabauth(spark, sf))
 
 
-_FLAT = [F.col("permissions.select").alias("can_select"), F.array_join("permissions.privileges", ",").alias("privileges"),
-         F.col("permissions.checked_as").alias("checked_as")]
+def _flat():
+    return [
+        F.col("permissions.select").alias("can_select"), F.array_join("permissions.privileges", ",").alias("privileges"),
+        F.col("permissions.checked_as").alias("checked_as"),
+    ]
 
 
 @query("n16_grants_sqlite", "p1_tables", sql="""
@@ -151,7 +154,7 @@ _FLAT = [F.col("permissions.select").alias("can_select"), F.array_join("permissi
 def grants_sqlite(spark, sf):
     user = F.when(F.col("data_source_id") % 2 == 0, "").otherwise("reader")
     schemas = p1.tables(spark, sf).select("snapshot_id", "schema_name", user.alias("username")).distinct()
-    return normalise.grants_sqlite(schemas).select("snapshot_id", "schema_name", "name", *_FLAT)
+    return normalise.grants_sqlite(schemas).select("snapshot_id", "schema_name", "name", *_flat())
 
 
 @query("n17_grant_shape", "p1_connections", sql="""
@@ -159,4 +162,4 @@ def grants_sqlite(spark, sf):
            CASE WHEN username = '' THEN 'current_user' ELSE username END AS checked_as FROM p1_connections""")
 def grant_shape(spark, sf):
     rows = p1.connections(spark, sf).select("id", grant_value(F.col("username")).alias("permissions"))
-    return rows.select("id", *_FLAT)
+    return rows.select("id", *_flat())

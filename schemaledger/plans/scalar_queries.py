@@ -10,7 +10,8 @@ from . import driver_tables as p1
 from .oracle_blocks import rounded
 from .registry import query
 
-_CENTS = F.round(F.col("c_acctbal") * 100).cast("bigint")
+def _cents():
+    return F.round(F.col("c_acctbal") * 100).cast("bigint")
 
 
 def _customers(spark, sf):
@@ -47,7 +48,7 @@ def digest(spark, sf):
 def growth(spark, sf):
     key = F.col("c_custkey")
     old = F.when(key % 5 == 0, None).when(key % 5 == 1, F.lit(0).cast("bigint")).otherwise(key * 37)
-    rows = _customers(spark, sf).select(key.alias("id"), _CENTS.alias("cur"), old.cast("bigint").alias("old"))
+    rows = _customers(spark, sf).select(key.alias("id"), _cents().alias("cur"), old.cast("bigint").alias("old"))
     cur, old = F.col("cur"), F.col("old")
     return rows.select("id", values.growth_bytes(cur, old).alias("growth_bytes"), values.growth_percent(cur, old).alias("growth_percent"))
 
@@ -94,12 +95,13 @@ def _sizes(name: str) -> str:
 _BYTES_SQL = """
     FROM (SELECT c_custkey AS id, CASE WHEN c_custkey % 13 = 0 THEN NULL
             ELSE CAST(round(c_acctbal * 100) AS BIGINT) * CAST(pow(1000, c_custkey % 5) AS BIGINT) END AS b FROM customer)"""
-_BYTES = F.when(F.col("c_custkey") % 13 != 0, _CENTS * F.pow(F.lit(1000), F.col("c_custkey") % 5).cast("bigint"))
+def _bytes():
+    return F.when(F.col("c_custkey") % 13 != 0, _cents() * F.pow(F.lit(1000), F.col("c_custkey") % 5).cast("bigint"))
 
 
 @query("h9_byte_size", sql=f"SELECT id, {_sizes('b')} AS size {_BYTES_SQL}")
 def byte_size(spark, sf):
-    return _customers(spark, sf).select(F.col("c_custkey").alias("id"), text.byte_size(_BYTES).alias("size"))
+    return _customers(spark, sf).select(F.col("c_custkey").alias("id"), text.byte_size(_bytes()).alias("size"))
 
 
 @query("h10_growth_text", sql=f"""
@@ -107,7 +109,7 @@ def byte_size(spark, sf):
            CASE WHEN b > 0 THEN 'up' WHEN b < 0 THEN 'down' WHEN b = 0 THEN '' END AS direction {_BYTES_SQL}""")
 def growth_text(spark, sf):
     return _customers(spark, sf).select(
-        F.col("c_custkey").alias("id"), text.growth_text(_BYTES).alias("growth"), text.growth_direction(_BYTES).alias("direction")
+        F.col("c_custkey").alias("id"), text.growth_text(_bytes()).alias("growth"), text.growth_direction(_bytes()).alias("direction")
     )
 
 

@@ -20,8 +20,17 @@ HEADER = (
 )
 
 
+_WRITTEN = {}
+
+
 def _relations(spark, snapshot=1):
     """Two tables, a foreign key, an index, a view and a wildcard grant."""
+    if snapshot not in _WRITTEN:
+        _WRITTEN[snapshot] = {n: written(r) for n, r in _rows(spark, snapshot).items()}
+    return dict(_WRITTEN[snapshot])
+
+
+def _rows(spark, snapshot):
     frame = lambda rows, schema: spark.createDataFrame(rows, schema).coalesce(1)
     s = snapshot
     return {
@@ -96,6 +105,12 @@ def test_large_snapshots_are_cut_into_parts(spark):
     assert len(collect.fingerprints(cut).collect()) == 1
 
 
+def test_grants_alone_make_no_schema(spark):
+    relations = _relations(spark)
+    relations["grants"] = relations["grants"].withColumn("schema_name", F.lit("elsewhere"))
+    assert [s["name"] for s in _tree(collect.assemble(_headers(spark, 1), relations))["schemas"]] == ["empty", "main"]
+
+
 def test_empty_snapshot_keeps_its_header(spark):
     empty = {n: r.limit(0) for n, r in _relations(spark).items()}
     assembled = written(collect.assemble(_headers(spark, 1), empty))
