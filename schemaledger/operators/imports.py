@@ -157,10 +157,10 @@ def free_names(demands: DataFrame, used: DataFrame) -> DataFrame:
     held = used.join(demands.select("name").distinct(), "name", "left_semi").select("name", "slot").distinct()
     held = numbered(held, ["name"], [F.col("slot")], number_block("slot"), "_j")
 
-    asking = ranked.select("name", "row_no", F.col("_k").alias("_at"), F.lit(0).alias("_used"))
-    taken = held.select(
-        "name", F.lit(None).cast("bigint").alias("row_no"), (F.col("slot") - 1 - F.col("_j")).alias("_at"), F.lit(1).alias("_used")
-    )
+    asking = ranked.select("name", "row_no", F.col("_k").alias("_at"), F.lit(0).cast("bigint").alias("_used"))
+    # Neighbouring used numbers have the same free numbers before them; they are counted to one row first.
+    taken = held.groupBy("name", (F.col("slot") - 1 - F.col("_j")).alias("_at")).agg(F.count("*").alias("_used"))
+    taken = taken.withColumn("row_no", F.lit(None).cast("bigint"))
     axis = running_total(
         asking.unionByName(taken), ["name"], [F.col("_at"), F.col("_used")], number_block("_at"), F.col("_used"), "_skipped"
     )

@@ -53,8 +53,8 @@ def run_steps(attempts: DataFrame) -> DataFrame:
 
 
 def numbered_logs(logs: DataFrame) -> DataFrame:
-    """Add `sequence`: the line number within its run, by time and id."""
-    return numbered(logs, ["run_id"], [F.col("created_at"), F.col("id")], time_block("created_at"), "sequence")
+    """Add `sequence`: the line number within its run, by time and id. Blocks are minutes of one run."""
+    return numbered(logs, ["run_id"], [F.col("created_at"), F.col("id")], time_block("created_at", "minute"), "sequence")
 
 
 def cut_logs(logs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,25 +33,22 @@ def _stored_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame |
         return None
 
 
-def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str) -> StreamingQuery:
-    """Append every snapshot whose header has landed since the last call, then stop.
+def batch_writer(landing: str, store: str) -> Callable[[DataFrame, int], None]:
+    """The `foreachBatch` function: headers of one batch -> stored parts in the folder of that batch.
 
-    A producer writes the relations of a snapshot below ``landing/<relation>`` first and its header row below
-    ``landing/headers`` last. Snapshots already stored for the same source and run are left out. A repeated batch
+    Snapshots already stored by an earlier batch for the same source and run are left out. A repeated batch
     overwrites its own folder, so replay after a lost driver or executor neither loses nor doubles a snapshot.
     """
-    schema = spark.read.parquet(f"{landing}/headers").schema
 
-    def store_batch(headers: DataFrame, batch_id: int) -> None:
+    def write(headers: DataFrame, batch_id: int) -> None:
         session = headers.sparkSession
         before_headers = before_totals = None
         stored = _stored_before(session, store, batch_id)
         if stored is not None:
             known = stored.where("part_no = 0").select("data_source_id", "run_id")
             headers = headers.join(known, ["data_source_id", "run_id"], "left_anti")
-            newest = history.latest_with_payload(
-                stored.join(headers.select("data_source_id").distinct(), "data_source_id", "left_semi")
-            )
+            sources = headers.select("data_source_id").distinct()
+            newest = history.latest_with_payload(stored.join(sources, "data_source_id", "left_semi"))
             before_headers = newest.where("part_no = 0")
             before_totals = flatten.table_details(newest).where("total_bytes IS NOT NULL")
         asked = headers.select("snapshot_id")
@@ -63,10 +62,20 @@ def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str) -> St
             .parquet(store)
         )
 
+    return write
+
+
+def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str) -> StreamingQuery:
+    """Append every snapshot whose header has landed since the last call, then stop.
+
+    A producer writes the relations of a snapshot below ``landing/<relation>`` first and its header row below
+    ``landing/headers`` last, so a header announces complete relations.
+    """
+    schema = spark.read.parquet(f"{landing}/headers").schema
     return (
         spark.readStream.schema(schema)
         .parquet(f"{landing}/headers")
-        .writeStream.foreachBatch(store_batch)
+        .writeStream.foreachBatch(batch_writer(landing, store))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
