@@ -81,7 +81,8 @@ def selected_relations(relations: dict[str, DataFrame], items: DataFrame) -> dic
         item = has_item(F.col("items"), needs[name])
         if name == "indexes":
             item = item & has_item(F.col("items"), "TABLE")
-        kept[name] = rows.join(wanted.where(item).select("snapshot_id"), "snapshot_id", "left_semi")
+        chosen = wanted.where(item).select("snapshot_id")
+        kept[name] = rows.join(chosen, "snapshot_id", "left_semi")
     return kept
 
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import broadcast_if_small
 from .flatten import OBJECT_KEY, objects, printed_key
 
 
@@ -64,8 +65,8 @@ def diff(
 def snapshot_diff(parts: DataFrame, pairs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     """Differences of many snapshot pairs at once, from stored parts.
 
-    ``pairs``: from_snapshot_id, to_snapshot_id (see `checked_pairs`). Only the parts of these snapshots are read and
-    taken apart, once. Both sides meet in one grouping on the object key, which also keeps the last of repeated names,
+    ``pairs``: from_snapshot_id, to_snapshot_id (see `checked_pairs`). Only the parts of these snapshots are taken apart,
+    once; a checked number of pairs is broadcast, so payloads are not shuffled. Both sides meet in one grouping on the object key, which also keeps the last of repeated names,
     so the objects are shuffled once and no join of objects is needed.
     """
     pair = ["from_snapshot_id", "to_snapshot_id"]
@@ -74,7 +75,7 @@ def snapshot_diff(parts: DataFrame, pairs: DataFrame, without: tuple[str, ...] =
         F.struct(F.col("to_snapshot_id").alias("snapshot_id"), F.lit("after").alias("side")),
     )
     wanted = pairs.select(*pair, F.inline(sides))
-    rows = objects(parts.join(wanted, "snapshot_id"), without, (*pair, "side"))
+    rows = objects(parts.join(broadcast_if_small(wanted), "snapshot_id"), without, (*pair, "side"))
     place = F.struct("part_no", "position")
     on = lambda side, value: F.when(F.col("side") == side, value)
     keys = [*pair, *OBJECT_KEY]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import model
 from ..functions.values import growth_bytes, growth_percent
+from ..session import broadcast_if_small
 from . import flatten
 from .ordering import numbered, time_block
 
@@ -25,7 +26,16 @@ def latest_with_payload(parts: DataFrame) -> DataFrame:
     The choice reads the header columns only; payloads are read for the chosen snapshots and never grouped.
     """
     chosen = latest(parts.where("part_no = 0").select(*_HEADER)).select("data_source_id", "snapshot_id")
-    return parts.join(chosen, ["data_source_id", "snapshot_id"], "left_semi")
+    return of_snapshots(parts, chosen)
+
+
+def of_snapshots(parts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Parts of the chosen snapshots (data_source_id, snapshot_id).
+
+    A checked number of ids is broadcast, so payloads are not shuffled and the folders of other sources are skipped.
+    """
+    ids = chosen.select("data_source_id", "snapshot_id")
+    return parts.join(broadcast_if_small(ids), ["data_source_id", "snapshot_id"], "left_semi")
 
 
 def newest(headers: DataFrame, limit: int = model.HISTORY_LIMIT) -> DataFrame:

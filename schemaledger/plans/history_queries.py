@@ -197,7 +197,7 @@ def newest_snapshots(spark, sf):
     """Summaries of the three newest snapshots of every source."""
     parts = stored(spark, sf)
     chosen = history.newest(parts.where("part_no = 0").select(*model.HEADER_COLUMNS), 3)
-    kept = parts.join(chosen.select("data_source_id", "snapshot_id"), ["data_source_id", "snapshot_id"], "left_semi")
+    kept = history.of_snapshots(parts, chosen)
     return history.snapshot_summary(kept).select("data_source_id", "snapshot_id", "table_count")
 
 

@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# Ids and a few more columns: some tens of megabytes as a hash table.
+BROADCAST_ROWS = 500_000
 
 
 def local_session(app: str = "schemaledger", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -47,3 +50,13 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(narrow: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``narrow`` marked for broadcast if it has at most ``rows`` rows, else as it is.
+
+    For sides of a few id columns that choose among wide rows (payloads): without the mark both sides are shuffled
+    before their sizes are known. The count stops at the limit.
+    """
+    few = narrow.limit(rows + 1).count() <= rows
+    return F.broadcast(narrow) if few else narrow

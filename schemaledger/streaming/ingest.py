@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import model
 from ..operators import flatten, history
 from ..plans.collection import collected
+from ..session import broadcast_if_small
 from ..sources.catalogs import landed
 
 RELATIONS = (
@@ -47,11 +48,11 @@ def batch_writer(landing: str, store: str) -> Callable[[DataFrame, int], None]:
         if stored is not None:
             known = stored.where("part_no = 0").select("data_source_id", "run_id")
             headers = headers.join(known, ["data_source_id", "run_id"], "left_anti")
-            sources = headers.select("data_source_id").distinct()
+            sources = broadcast_if_small(headers.select("data_source_id").distinct())
             newest = history.latest_with_payload(stored.join(sources, "data_source_id", "left_semi"))
             before_headers = newest.where("part_no = 0")
             before_totals = flatten.table_details(newest).where("total_bytes IS NOT NULL")
-        asked = headers.select("snapshot_id")
+        asked = broadcast_if_small(headers.select("snapshot_id"))
         relations = {n: landed(session, landing, n).join(asked, "snapshot_id", "left_semi") for n in RELATIONS}
         parts = collected(headers, relations, before_headers, before_totals).withColumn("batch_id", F.lit(batch_id))
         (
