@@ -67,8 +67,8 @@ def payload_diff(spark, sf):
     """The same changes taken from stored payloads of all object kinds, then cut to columns."""
     parts = stored(spark, sf)
     heads = parts.where("part_no = 0").select(*model.HEADER_COLUMNS)
-    ids = lambda year, name: heads.where(F.year("captured_at") == year).select("data_source_id", F.col("snapshot_id").alias(name))
-    pairs = ids(_OLD, "from_snapshot_id").join(ids(_NEW, "to_snapshot_id"), "data_source_id", "full_outer")
+    of_year = lambda year: F.max(F.when(F.year("captured_at") == year, F.col("snapshot_id")))
+    pairs = heads.groupBy("data_source_id").agg(of_year(_OLD).alias("from_snapshot_id"), of_year(_NEW).alias("to_snapshot_id"))
     changes = diff.snapshot_diff(parts, pairs.select("from_snapshot_id", "to_snapshot_id"))
     source = F.floor(F.coalesce("to_snapshot_id", "from_snapshot_id") / 10000)
     return changes.where("kind = 'column'").select(
