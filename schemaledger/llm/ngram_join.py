@@ -7,10 +7,12 @@ the runs, two linked sets share a run within their prefixes of ``n - ceil(percen
    make the candidate groups: all texts that hold a shared prefix run meet under the smallest of them (their hub), so a
    group of near copies meets once and not once for every run they share;
 2. groups are cut by set size and into blocks of bounded rows and bytes; every two blocks of a group meet in one task;
-3. inside a task, candidates must also share prefix runs under two more orders and fit in size; the filters are
+3. texts meet first as counts: runs per cell of a small hash table, whose cell-wise minima bound the intersection from
+   above. Only texts with a partner that this bound allows are fetched;
+4. inside a task, candidates must also share prefix runs under two more orders and fit in size; the filters are
    intersected, and what is left is verified on the whole sets. A task gives back a spanning forest of its links, never
    its pairs;
-4. links are joined to components.
+5. links are joined to components.
 
 Equal sets are one class from the start: a task signs each set once, and classes are merged before groups are built.
 Run hashes and set digests have 64 bits.
@@ -33,8 +35,10 @@ from .components import connected_components
 CELL_BITS = 18          # cells of the count sketch: 2**18, whatever the input
 BLOCK_ROWS = 128        # texts of one block of a group
 BLOCK_RUNS = 1 << 18    # runs of one block of a group
+BOUND_CELLS = 256       # cells of the counts that bound an intersection
 SEEN = 200_000          # set digests that a task remembers to sign a set once
 _ORDER_1, _ORDER_2, _ORDER_3, _DIGEST = 7, 8, 9, 5
+_FULL = (1 << 16) - 1   # a count that bounds nothing
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -60,11 +64,11 @@ def frequency_levels(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def signed(rows: DataFrame, level: np.ndarray, size: int, percent: int) -> DataFrame:
-    """``doc_id, key, digest, n, node, prefix`` of each row of ``doc_id, key, text``.
+    """``doc_id, key, digest, n, node, prefix, counts`` of each row of ``doc_id, key, text``.
 
-    ``node`` and ``prefix`` (the first runs under order 1) are null where the same task has signed the set before.
+    ``node``, ``prefix`` (the first runs under order 1) and ``counts`` are null where the same task has signed the set before.
     """
-    fields = [f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", "key long", "digest long", "n long", "node long", "prefix array<long>"]
+    fields = [f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", "key long", "digest long", "n long", "node long", "prefix array<long>", "counts binary"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, seen = TaskContext.get().partitionId() << 33, set()
@@ -86,6 +90,8 @@ def signed(rows: DataFrame, level: np.ndarray, size: int, percent: int) -> DataF
                     seen.clear()
                 of = fresh[text]
                 hashes, text = hashes[of], text[of]
+                counts = np.bincount(text * BOUND_CELLS + (hashes % np.uint64(BOUND_CELLS)).astype(np.int64), minlength=len(block) * BOUND_CELLS)
+                counts = np.minimum(counts, _FULL).astype("<u2").reshape(len(block), BOUND_CELLS)
                 cell = level[(hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                 order = np.lexsort((W.mixed(hashes, _ORDER_1), cell, text))
                 own = np.where(fresh, n, 0)
@@ -98,14 +104,36 @@ def signed(rows: DataFrame, level: np.ndarray, size: int, percent: int) -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(at, len(block)), batch.column("key").slice(at, len(block)), pa.array(digest),
                      pa.array(n.astype(np.int64)), pa.array(nodes, mask=~fresh),
-                     pa.ListArray.from_arrays(offsets, pa.array(prefix))],
-                    ["doc_id", "key", "digest", "n", "node", "prefix"],
+                     pa.ListArray.from_arrays(offsets, pa.array(prefix)),
+                     pa.array([c.tobytes() if new else None for c, new in zip(counts, fresh.tolist())], pa.binary())],
+                    ["doc_id", "key", "digest", "n", "node", "prefix", "counts"],
                 )
                 at += len(block)
 
     return rows.select("doc_id", "key", "text").mapInArrow(sign, ", ".join(fields))
 
 
+def wanted_pairs(n: np.ndarray, sides: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs that a task looks at: each once, of different sides where ``sides`` are not -1, and of fitting sizes."""
+    m = len(n)
+    wanted = np.triu(np.ones((m, m), bool), 1) & ((sides[:, None] != sides[None, :]) | (sides[:, None] < 0))
+    return wanted & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+
+
+def with_partner(n: np.ndarray, sides: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets may link with another one, by the upper bound of the intersections."""
+    wanted = wanted_pairs(n, sides, percent)
+    counts = np.where(counts == _FULL, np.int64(1) << 40, counts)
+    held = np.zeros(len(n), bool)
+    for i in np.flatnonzero(wanted.any(1)).tolist():
+        others = np.flatnonzero(wanted[i])
+        most = np.minimum(counts[i], counts[others]).sum(1)
+        others = others[(100 + percent) * most >= percent * (n[i] + n[others])]
+        held[others] = True
+        held[i] |= len(others) > 0
+    return held
+
+
 def _shared(tokens: np.ndarray, owner: np.ndarray, m: int, columns: int = 4096) -> np.ndarray:
     """How many tokens each two owners share: products of blocks of the incidence matrix."""
     order = np.argsort(tokens, kind="stable")
@@ -133,8 +161,7 @@ def forest_of_links(nodes: np.ndarray, sides: np.ndarray, texts: list[str | None
     m = len(nodes)
     hashes, n = W.shingle_sets([W.canonical(t) for t in texts], size)
     owner = np.repeat(np.arange(m), n)
-    wanted = np.triu(np.ones((m, m), bool), 1) & ((sides[:, None] != sides[None, :]) | (sides[:, None] < 0))
-    wanted &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    wanted = wanted_pairs(n, sides, percent)
     length, begin = prefix_length(n, percent), np.repeat(np.cumsum(n) - n, n)
     for seed in (_ORDER_2, _ORDER_3):
         if not wanted.any():
@@ -183,18 +210,18 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     classes = written(
         rows.where("n > 0").groupBy("digest", "n").agg(
-            F.min(F.when(F.col("node").isNotNull(), F.struct("node", "key"))).alias("first"), F.min("doc_id").alias("least_id")
-        ).select("digest", "n", F.col("first.node").alias("rep"), F.col("first.key").alias("key"), "least_id")
+            F.min(F.when(F.col("node").isNotNull(), F.struct("node", "key", "counts"))).alias("first"), F.min("doc_id").alias("least_id")
+        ).select("digest", "n", F.col("first.node").alias("rep"), F.col("first.key").alias("key"), F.col("first.counts").alias("counts"), "least_id")
     )
     postings = rows.where("node is not null").select("node", F.explode("prefix").alias("token"))
     hubs = postings.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("held")).where("held > 1").select("token", "hub")
     met = postings.join(hubs, "token").select("node", "hub").distinct()
-    reps = rows.where("node is not null").select("node", "digest", "n").join(classes.drop("least_id"), ["digest", "n"])
+    reps = rows.where("node is not null").select("node", "digest", "n").join(classes.select("digest", "n", "rep"), ["digest", "n"])
     band = F.floor(F.log("n") / math.log(1.01 * 100 / percent)).cast("int")
     members = written(
-        met.join(reps.select("node", "rep", "n", "key"), "node").select("hub", "rep", "n", "key").distinct()
+        met.join(reps.select("node", "rep", "n"), "node").select("hub", "rep", "n").distinct()
         .withColumn("band", band)
-        .select("hub", "rep", "n", "key", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("upper"), (F.col("band") == F.col("upper")).alias("own"))
+        .select("hub", "rep", "n", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("upper"), (F.col("band") == F.col("upper")).alias("own"))
     )
     groups = (
         members.groupBy("hub", "upper").agg(F.count("*").alias("m"), F.sum(F.col("own").cast("int")).alias("owns"), F.sum("n").alias("runs"))
@@ -204,24 +231,36 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     block, with_block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = (
         members.join(groups, ["hub", "upper"]).withColumn("block", block).withColumn("with_block", with_block)
-        .select("hub", "upper", F.least("block", "with_block").alias("lo"), F.greatest("block", "with_block").alias("hi"), "block", "rep", "key")
+        .select("hub", "upper", F.least("block", "with_block").alias("lo"), F.greatest("block", "with_block").alias("hi"), "block", "rep")
+    )
+
+    def sides_of(table: pa.Table) -> np.ndarray:
+        return table.column("block").to_numpy() if table.column("lo")[0] != table.column("hi")[0] else np.full(table.num_rows, -1)
+
+    def bounded(table: pa.Table) -> pa.Table:
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").reshape(-1, BOUND_CELLS).astype(np.int64)
+        held = with_partner(table.column("n").to_numpy(), sides_of(table), counts, percent)
+        return table.select(["hub", "upper", "lo", "hi", "block", "rep", "key"]).filter(pa.array(held))
+
+    cell_key = ["hub", "upper", "lo", "hi"]
+    near = written(
+        cells.join(classes.select("rep", "n", "key", "counts"), "rep").groupBy(*cell_key)
+        .applyInArrow(bounded, "hub long, upper int, lo int, hi int, block int, rep long, key long")
     )
 
     def verify(table: pa.Table) -> pa.Table:
         first = dict(zip(table.column("rep").to_pylist(), range(table.num_rows)))  # repeated rows have one key and one text
         at = list(first.values())
-        nodes = table.column("rep").to_numpy()[at]
-        blocks = table.column("block").to_numpy()[at]
-        sides = blocks if table.column("lo")[0] != table.column("hi")[0] else np.full(len(at), -1)
+        nodes, sides = table.column("rep").to_numpy()[at], sides_of(table)[at]
         links = forest_of_links(nodes, sides, table.column("text").take(at).to_pylist(), size, percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     links = (
-        cells.join(given.select("key", "text"), "key")
-        .groupBy("hub", "upper", "lo", "hi").applyInArrow(verify, "a long, b long").distinct()
+        near.join(given.select("key", "text"), "key")
+        .groupBy(*cell_key).applyInArrow(verify, "a long, b long").distinct()
     )
     labels = connected_components(links)
-    labelled = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
+    labelled = classes.drop("counts", "key").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", "n", "least_id", F.coalesce("label", "rep").alias("label")
     )
     least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
