@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import shared_folder, written
+from .byte_bpe import byte_bpe
+from .decontaminate import find_leaks
+from .exact_dedup import exact_dedup
+from .language_id import identify, learned
+from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard_components
+from .page_text import extract_main_text
+from .token_counts import TokenRollup, counted
+from .token_files import token_files
+from .url_rules import judge_urls, mined_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +38,34 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def vocabulary(name: str) -> bytes:
+    """Content of a public vocabulary file, about a megabyte; it travels with the tasks."""
+    return Path(public_tokenizers.path(name)).read_bytes()
+
+
+@_query("op1_exact_dedup", r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, CAST(count(*) OVER (PARTITION BY text_sha256) AS BIGINT) AS group_size,
+  row_number() OVER w = 1 AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""")
+def op1_exact_dedup(spark, sf):
+    found = exact_dedup(spark, f"{sf}/documents.parquet", shared_folder(spark))
+    return found.withColumnRenamed("digest", "text_sha256")
+
+
+@_query("op2_token_files")
+def op2_token_files(spark, sf):
+    found = token_files(_table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@_query("op3_byte_bpe")
+def op3_byte_bpe(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    found = byte_bpe(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @_query("op4_ngram_jaccard_join", r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -33,11 +73,69 @@ WITH RECURSIVE w AS (
 s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
     ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))) END AS grams FROM w),
 g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * both >= 80 * (len(x.grams) + len(y.grams) - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 80 * (len(x.grams) + len(y.grams) - n)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id AS node, doc_id AS seen FROM s UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
 SELECT node AS doc_id, CAST(any_value(len(grams)) AS BIGINT) AS n_shingles, min(seen) AS component_id
 FROM r JOIN s ON s.doc_id = node GROUP BY node""")
 def op4_ngram_jaccard_join(spark, sf):
     return ngram_jaccard_components(_table(spark, sf, "documents"))
+
+
+@_query("op5_decontamination")
+def op5_decontamination(spark, sf):
+    """One row per document and test item that it holds; documents without a leak have none."""
+    found = find_leaks(_table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "benchmark"))
+    return found.select("doc_id", F.inline("leaks"))
+
+
+@_query("op6_url_rules")
+def op6_url_rules(spark, sf):
+    pages = _table(spark, sf, "pages").select("page_id", "url")
+    bad = _table(spark, sf, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    rules = mined_rules(pages.join(bad, "page_id").select("url", "bad"))
+    return judge_urls(pages, rules, allow=("com/", "www.example.com/en/"), block=("example.com/en/", "net/es/", "net/fr/"))
+
+
+@_query("op7_language_id")
+def op7_language_id(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = learned(docs.where(~held_out))
+    return identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query("op8_page_text")
+def op8_page_text(spark, sf):
+    return extract_main_text(_table(spark, sf, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@_query("op9_token_counts")
+def op9_token_counts(spark, sf):
+    """Estimates at arrival, revised to exact counts; a second tokenizer version; toxic documents taken out; one batch sent twice."""
+    first, second = "byte_bpe_50k", "byte_bpe_multi_50k"
+    docs = _table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    files = {name: vocabulary(f"{name}.tiktoken") for name in (first, second)}
+    exact = written(counted(docs, files, public_tokenizers.PATTERN).drop("text"))
+    change = lambda op, version, n: exact.select(F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(version).alias("version"), n.alias("n_tokens"))
+    toxic = _table(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct()
+    counts = change("revise", first, F.col(first)).union(change("insert", second, F.col(second)))
+    rollup = TokenRollup(spark, shared_folder(spark))
+    rollup.commit(1, change("insert", first, F.ceil(F.col("n_chars") / 4)))
+    rollup.commit(2, counts)
+    rollup.commit(3, counts.join(toxic, "doc_id", "left_semi").withColumn("op", F.lit("delete")))
+    rollup.commit(2, counts)
+    return rollup.totals()
+
+
+@_query("op10_line_dedup", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+o AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS lost FROM k)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(lost AS INT)) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+FROM o GROUP BY doc_id""")
+def op10_line_dedup(spark, sf):
+    found = dedup_lines(_table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
