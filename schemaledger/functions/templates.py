@@ -13,8 +13,8 @@ def template_names(text: Column) -> Column:
 
 
 def missing_names(text: Column, lookup: Column) -> Column:
-    """Names used in the text that the lookup map does not hold."""
-    return F.array_distinct(F.filter(template_names(text), lambda n: ~F.map_contains_key(lookup, n)))
+    """Names used in the text that the lookup map does not hold or holds as null."""
+    return F.array_distinct(F.filter(template_names(text), lambda n: F.try_element_at(lookup, n).isNull()))
 
 
 def resolved_text(text: Column, lookup: Column) -> Column:
@@ -32,21 +32,22 @@ def resolved_text(text: Column, lookup: Column) -> Column:
     return F.when(F.exists(values, lambda v: v.isNull()), None).otherwise(whole)
 
 
-def missing_names_in_json(document: Column, lookup: Column) -> Column:
-    """As `missing_names`, for the JSON text of a nested value."""
-    return missing_names(document, lookup)
+_LITERAL = r'"(?:[^"\\]|\\.)*"(?:\s*:)?'
 
 
 def resolved_json(document: Column, lookup: Column) -> Column:
-    """Resolve templates inside the JSON text of a nested value.
+    """Resolve templates inside the text values of a JSON document; keys stay as they are.
 
-    Looked-up values are escaped as JSON text first, so quotes and line breaks stay inside their strings.
+    The document is cut at its string literals. Looked-up values are escaped as JSON text first, so quotes and line
+    breaks stay inside their strings.
     """
-    escaped = F.transform_values(
-        lookup,
-        lambda _k, v: F.regexp_extract(F.to_json(F.struct(v.alias("v"))), r'(?s)^\{"v":"(.*)"\}$', 1),
-    )
-    return resolved_text(document, escaped)
+    inside = lambda v: F.regexp_extract(F.to_json(F.struct(v.alias("v"))), r'(?s)^\{"v":"(.*)"\}$', 1)
+    escaped = F.transform_values(lookup, lambda _k, v: F.when(v.isNotNull(), inside(v)))
+    literals = F.regexp_extract_all(document, F.lit(_LITERAL), F.lit(0))
+    settled = F.transform(literals, lambda s: F.when(s.endswith(":"), s).otherwise(resolved_text(s, escaped)))
+    between = F.split(document, _LITERAL, -1)
+    sewn = F.transform(between, lambda piece, i: F.concat(piece, F.when(i < F.size(settled), F.get(settled, i)).otherwise("")))
+    return F.when(F.exists(settled, lambda s: s.isNull()), None).otherwise(F.concat_ws("", sewn))
 
 
 def flattened_ssh(item: Column) -> Column:

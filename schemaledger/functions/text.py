@@ -63,8 +63,9 @@ def file_stem(source: Column, captured_at: Column, prefix: str = "schema_") -> C
     )
 
 
-def truncated(text: Column, limit: int) -> Column:
-    return F.substring(text, 1, limit)
+def truncated(text: Column, limit: int | None = None) -> Column:
+    """The first ``limit`` characters; the whole text without a limit."""
+    return text if limit is None else F.substring(text, 1, limit)
 
 
 def object_key(kind: str | Column, *names: Column) -> Column:

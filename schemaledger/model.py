@@ -48,8 +48,9 @@ HISTORY_MAX = 500
 RUN_LIST_LIMIT = 100
 RUN_DASHBOARD_LIMIT = 8
 
-BIGQUERY_PROJECT = "^[a-z0-9][a-z0-9-]{4,61}[a-z0-9]$"
-BIGQUERY_REGION = "^[a-z0-9-]+$"
+# For full matches.
+BIGQUERY_PROJECT = "[a-z0-9][a-z0-9-]{4,61}[a-z0-9]"
+BIGQUERY_REGION = "[a-z0-9-]+"
 TEMPLATE_NAME = r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}"
 FILE_STEM_OTHER = "[^0-9A-Za-z가-힣_-]+"
 FILE_STEM_TIME = "yyyyMMdd_HHmmss"
@@ -82,5 +83,5 @@ TABLE_KEY = ("snapshot_id", "schema_name", "table_name")
 # One stored part of a snapshot. A snapshot of ordinary size has one part.
 PARTS = (
     "snapshot_id BIGINT, data_source_id BIGINT, run_id BIGINT, captured_at TIMESTAMP_NTZ, "
-    "part_no BIGINT, part_count BIGINT, payload STRING, digest STRING"
+    "part_no BIGINT, part_count BIGINT, payload STRING, head_digest STRING, schema_names ARRAY<STRING>, digest ARRAY<BIGINT>"
 )

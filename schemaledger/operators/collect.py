@@ -14,6 +14,7 @@ from .. import model
 from ..functions.values import canonical_json, no_grant
 
 PART_OBJECTS = 1000
+DIGEST_WORDS = 8
 
 
 # --- what to collect ---------------------------------------------------------------------------------------------
@@ -93,7 +94,7 @@ def attach_grants(objects: DataFrame, grants: DataFrame, name: str = "table_name
     ``grants``: snapshot_id, schema_name, name, permissions. One grouped join per name; the '*' rows, at most one per
     schema, are joined on their own.
     """
-    one = grants.groupBy("snapshot_id", "schema_name", "name").agg(F.first("permissions").alias("permissions"))
+    one = grants.groupBy("snapshot_id", "schema_name", "name").agg(F.min_by("permissions", F.to_json("permissions")).alias("permissions"))
     exact = one.where(F.col("name") != "*").withColumnsRenamed({"name": name, "permissions": "_exact"})
     star = one.where(F.col("name") == "*").select("snapshot_id", "schema_name", F.col("permissions").alias("_star"))
     return (
@@ -296,31 +297,44 @@ def _stored_parts(whole: DataFrame) -> DataFrame:
     return placed.select(
         "snapshot_id", "header.data_source_id", "header.run_id", "header.captured_at", "part_no", "header.part_count",
         F.to_json(tree(F.col("schemas"), F.col("header.storage_summary").alias("storage_summary")), keep_nulls).alias("payload"),
-        F.sha2(canonical_json(F.to_json(tree(bare), keep_nulls)), 256).alias("digest"),
+        F.when(F.col("part_no") == 0, F.sha2(canonical_json(F.to_json(tree(F.lit(None)), keep_nulls)), 256)).alias("head_digest"),
+        F.transform("schemas", lambda s: s["name"]).alias("schema_names"), _digest_sum(_object_digests(bare)).alias("digest"),
     )
 
 
-def fingerprints(parts: DataFrame, fanout: int = 1024) -> DataFrame:
-    """One fingerprint per snapshot from the digests of its parts.
+def _object_digests(schemas: Column) -> Column:
+    """SHA-256 of the canonical value of each object, with the kind and the schema it belongs to."""
 
-    A snapshot of one part keeps the digest of its payload. The digests of a cut snapshot are hashed as a tree, in
-    groups of at most ``fanout``, so no group grows with the snapshot.
+    def one(kind: str, schema: Column, item: Column) -> Column:
+        value = F.struct(F.lit(kind).alias("kind"), schema["name"].alias("schema"), item.alias("value"))
+        return F.sha2(canonical_json(F.to_json(value, {"ignoreNullFields": "false"})), 256)
+
+    return F.flatten(F.transform(schemas, lambda s: F.concat(
+        *[F.transform(s[items], lambda o, kind=kind: one(kind, s, o))
+          for kind, items in (("table", "tables"), ("view", "views"), ("procedure", "procedures"))])))
+
+
+def _digest_sum(digests: Column) -> Column:
+    """Sum of SHA-256 hex texts by their eight 32-bit words: free of order, and sums of parts add up."""
+    none = F.array(*[F.lit(0).cast("bigint")] * DIGEST_WORDS)
+    word = lambda d, k: F.conv(F.substring(d, k * 8 + 1, F.lit(8)), 16, 10).cast("bigint")
+    return F.aggregate(digests, none, lambda total, d: F.transform(total, lambda n, k: n + word(d, k)))
+
+
+def fingerprints(parts: DataFrame) -> DataFrame:
+    """One fingerprint per snapshot: SHA-256 of its header facts and the summed digests of its objects and schemas.
+
+    Sums do not depend on how a snapshot is cut into parts, and they are partial aggregates: one narrow row per part
+    and schema is shuffled, no list is gathered.
     """
-    digests = parts.select("snapshot_id", F.col("part_no").alias("_no"), "digest")
-    for level in ("group", "whole"):
-        above = F.floor(F.col("_no") / fanout).cast("bigint") if level == "group" else F.lit(0).cast("bigint")
-        listed = F.transform(F.sort_array(F.collect_list(F.struct("_no", "digest"))), lambda d: d["digest"])
-        digests = (
-            digests.withColumn("_above", above)
-            .groupBy("snapshot_id", "_above")
-            .agg(listed.alias("_digests"))
-            .select(
-                "snapshot_id", F.col("_above").alias("_no"),
-                F.when(F.size("_digests") == 1, F.get("_digests", F.lit(0)))
-                .otherwise(F.sha2(F.array_join("_digests", ""), 256)).alias("digest"),
-            )
-        )
-    return digests.select("snapshot_id", F.col("digest").alias("fingerprint"))
+    zero = F.array(*[F.lit(0).cast("bigint")] * DIGEST_WORDS)
+    names = parts.select("snapshot_id", F.explode("schema_names").alias("name")).distinct()
+    named = names.select("snapshot_id", F.lit(None).cast("string").alias("head_digest"), _digest_sum(F.array(F.sha2("name", 256))).alias("schemas"), zero.alias("objects"))
+    held = parts.select("snapshot_id", "head_digest", zero.alias("schemas"), F.col("digest").alias("objects"))
+    sums = [F.sum(F.get(c, F.lit(k))).alias(f"{c}_{k}") for c in ("schemas", "objects") for k in range(DIGEST_WORDS)]
+    words = [F.format_string("%x", f"{c}_{k}") for c in ("schemas", "objects") for k in range(DIGEST_WORDS)]
+    whole = held.union(named).groupBy("snapshot_id").agg(F.max("head_digest").alias("head_digest"), *sums)
+    return whole.select("snapshot_id", F.sha2(F.concat_ws(",", "head_digest", *words), 256).alias("fingerprint"))
 
 
 def _header_rows(headers: DataFrame, large: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import broadcast_if_small
 from .flatten import OBJECT_KEY, objects, printed_key
+from .history import sequenced
 
 
 def added(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,38 +27,49 @@ def key_sets(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, member.alias("member"))
 
 
-def diff(
-    before: DataFrame,
-    after: DataFrame,
-    keys: list[str],
-    value: str = "value",
-    values: bool = True,
-) -> DataFrame:
-    """Added, removed and changed objects: keys, `change`, `before_value`, `after_value`.
+def _changes(rows: DataFrame, keys: list[str], place: Column) -> DataFrame:
+    """Rows of both sides (`side`: before or after, `value`) -> keys, `change`, `before_value`, `after_value`.
 
-    One full outer join on the object key, so every source and object is compared in one pass. Null key parts match
-    each other. With ``values=False`` only digests of the values are shuffled, which is enough for counting.
+    Both sides meet in one grouping on the key parts: null parts match each other, of repeated keys the last by
+    ``place`` counts, and a hot key is pre-aggregated before the shuffle.
     """
-    old_on, new_on = (lambda k: F.col(f"b.{k}")), (lambda k: F.col(f"a.{k}"))
-
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        held = F.col(value) if values else F.unhex(F.sha2(F.col(value), 256))
-        present = rows.select(*[F.col(k) for k in keys], held.alias("value"), F.lit(True).alias("present"))
-        return present.alias(name)
-
-    matched = reduce(Column.__and__, [old_on(k).eqNullSafe(new_on(k)) for k in keys])
-    joined = side(before, "b").join(side(after, "a"), matched, "full_outer")
-    change = (
-        F.when(F.col("b.present").isNull(), "added")
-        .when(F.col("a.present").isNull(), "removed")
-        .when(~F.col("b.value").eqNullSafe(F.col("a.value")), "changed")
+    on = lambda side, value: F.when(F.col("side") == side, value)
+    met = rows.groupBy(*keys).agg(
+        F.count(on("before", F.lit(1))).alias("_before"), F.count(on("after", F.lit(1))).alias("_after"),
+        F.max_by("value", on("before", place)).alias("before_value"), F.max_by("value", on("after", place)).alias("after_value"),
     )
-    kept = joined.withColumn("change", change).where(F.col("change").isNotNull())
-    return kept.select(
-        *[F.when(F.col("a.present").isNull(), old_on(k)).otherwise(new_on(k)).alias(k) for k in keys],
-        "change",
-        *([F.col("b.value").alias("before_value"), F.col("a.value").alias("after_value")] if values else []),
+    change = (
+        F.when(F.col("_before") == 0, "added")
+        .when(F.col("_after") == 0, "removed")
+        .when(~F.col("before_value").eqNullSafe(F.col("after_value")), "changed")
     )
+    kept = met.withColumn("change", change).where(F.col("change").isNotNull())
+    return kept.select(*keys, "change", "before_value", "after_value")
+
+
+def diff(before: DataFrame, after: DataFrame, keys: list[str], value: str = "value", values: bool = True, place: str | None = None) -> DataFrame:
+    """Added, removed and changed objects of flat relations: keys, `change`, `before_value`, `after_value`.
+
+    Of repeated keys the last by the column ``place`` counts, else the largest value. With ``values=False`` only
+    digests of the values are shuffled, which is enough for counting, and no values are returned.
+    """
+    held = F.col(value) if values else F.unhex(F.sha2(F.col(value), 256))
+    side = lambda rows, name: rows.select(*keys, held.alias("value"), (F.col(place) if place else held).alias("_place"), F.lit(name).alias("side"))
+    found = _changes(side(before, "before").unionAll(side(after, "after")), keys, F.col("_place"))
+    return found if values else found.drop("before_value", "after_value")
+
+
+def neighbours(rows: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of flat relations as (before, after) of every two neighbouring snapshots of every source.
+
+    Both get `data_source_id`, `from_snapshot_id` and `to_snapshot_id`; ``rows`` carry `snapshot_id`.
+    """
+    heads = sequenced(headers.select("snapshot_id", "data_source_id", "captured_at")).select("snapshot_id", "data_source_id", "seq")
+    older = heads.select("data_source_id", (F.col("seq") + 1).alias("seq"), F.col("snapshot_id").alias("from_snapshot_id"))
+    pairs = heads.withColumnRenamed("snapshot_id", "to_snapshot_id").join(older, ["data_source_id", "seq"]).drop("seq", "data_source_id")
+    before = rows.join(pairs.withColumn("snapshot_id", F.col("from_snapshot_id")), "snapshot_id")
+    after = rows.join(pairs.withColumn("snapshot_id", F.col("to_snapshot_id")), "snapshot_id")
+    return before, after
 
 
 def snapshot_diff(parts: DataFrame, pairs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
@@ -76,20 +86,9 @@ def snapshot_diff(parts: DataFrame, pairs: DataFrame, without: tuple[str, ...] =
     )
     wanted = pairs.select(*pair, F.inline(sides))
     rows = objects(parts.join(broadcast_if_small(wanted), "snapshot_id"), without, (*pair, "side"))
-    place = F.struct("part_no", "position")
-    on = lambda side, value: F.when(F.col("side") == side, value)
     keys = [*pair, *OBJECT_KEY]
-    met = rows.groupBy(*keys).agg(
-        F.count(on("before", F.lit(1))).alias("_before"), F.count(on("after", F.lit(1))).alias("_after"),
-        F.max_by("value", on("before", place)).alias("before_value"), F.max_by("value", on("after", place)).alias("after_value"),
-    )
-    change = (
-        F.when(F.col("_before") == 0, "added")
-        .when(F.col("_after") == 0, "removed")
-        .when(~F.col("before_value").eqNullSafe(F.col("after_value")), "changed")
-    )
-    kept = met.withColumn("change", change).where(F.col("change").isNotNull())
-    return kept.select(*keys, printed_key().alias("key"), "change", "before_value", "after_value")
+    found = _changes(rows, keys, F.struct("part_no", "position"))
+    return found.select(*keys, printed_key().alias("key"), "change", "before_value", "after_value")
 
 
 def checked_pairs(pairs: DataFrame, headers: DataFrame) -> DataFrame:

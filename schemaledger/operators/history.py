@@ -38,24 +38,21 @@ def of_snapshots(parts: DataFrame, chosen: DataFrame) -> DataFrame:
     return parts.join(broadcast_if_small(ids), ["data_source_id", "snapshot_id"], "left_semi")
 
 
-def newest(headers: DataFrame, limit: int = model.HISTORY_LIMIT) -> DataFrame:
+def newest(headers: DataFrame, limit: int) -> DataFrame:
     """The N newest snapshots of every source, ties by id.
 
     Spark cuts each task's rows to the limit before the shuffle (window group limit), so at most N rows per task and
     source reach the final sort.
     """
-    if not 1 <= limit <= model.HISTORY_MAX:
-        raise ValueError(f"limit must be between 1 and {model.HISTORY_MAX}")
     order = W.partitionBy("data_source_id").orderBy(F.col("captured_at").desc(), F.col("snapshot_id").desc())
     return headers.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank")
 
 
-def newest_of_source(headers: DataFrame, source_id: int, limit: int = model.HISTORY_LIMIT) -> DataFrame:
-    """The N newest snapshots of one source: a filter that reaches the scan, then a top-N."""
-    if not 1 <= limit <= model.HISTORY_MAX:
-        raise ValueError(f"limit must be between 1 and {model.HISTORY_MAX}")
+def newest_of_source(headers: DataFrame, source_id: int, limit: int | None = None) -> DataFrame:
+    """Snapshots of one source, newest first: a filter that reaches the scan; a top-N if a limit is given."""
     rows = headers.where(F.col("data_source_id") == source_id)
-    return rows.orderBy(F.col("captured_at").desc(), F.col("snapshot_id").desc()).limit(limit)
+    ordered = rows.orderBy(F.col("captured_at").desc(), F.col("snapshot_id").desc())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 # --- growth ------------------------------------------------------------------------------------------------------

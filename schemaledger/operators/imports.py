@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import model
+from ..functions.text import truncated
 from ..session import written
 from .ordering import number_block, numbered, running_total
 
@@ -47,10 +48,10 @@ def with_job_errors(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(known, "data_source_id", "left").withColumn("errors", errors).drop("_known")
 
 
-def split_valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted rows, and rejected rows with their row number and a cut error text."""
+def split_valid(rows: DataFrame, error_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Accepted rows, and rejected rows with their row number and the error text, cut only if a length is given."""
     bad = F.size("errors") > 0
-    rejected = rows.where(bad).withColumn("error", F.substring(F.array_join("errors", "; "), 1, model.IMPORT_ERROR_CHARS))
+    rejected = rows.where(bad).withColumn("error", truncated(F.array_join("errors", "; "), error_chars))
     return rows.where(~bad).drop("errors"), rejected
 
 
@@ -84,20 +85,21 @@ def has_service_account(document: Column) -> Column:
 
 
 def is_bigquery_target(project: Column, region: Column) -> Column:
-    return project.rlike(model.BIGQUERY_PROJECT) & F.lower(F.coalesce(region, F.lit("US"))).rlike(model.BIGQUERY_REGION)
+    whole = lambda pattern: rf"\A(?:{pattern})\z"
+    return project.rlike(whole(model.BIGQUERY_PROJECT)) & F.lower(F.coalesce(region, F.lit("US"))).rlike(whole(model.BIGQUERY_REGION))
 
 
 # --- references --------------------------------------------------------------------------------------------------
 def with_source_names(jobs: DataFrame, sources: DataFrame) -> DataFrame:
     """Add `source_name`; '#id' when the source is not known."""
-    names = sources.select(F.col("id").alias("data_source_id"), F.col("name").alias("_source"))
+    names = sources.groupBy(F.col("id").alias("data_source_id")).agg(F.min("name").alias("_source"))
     fallback = F.concat(F.lit("#"), F.col("data_source_id").cast("string"))
     return jobs.join(names, "data_source_id", "left").withColumn("source_name", F.coalesce("_source", fallback)).drop("_source")
 
 
 def with_job_names(runs: DataFrame, jobs: DataFrame) -> DataFrame:
     """Add `job_name`, with the id as fallback."""
-    names = jobs.select(F.col("id").alias("job_id"), F.col("name").alias("_job"))
+    names = jobs.groupBy(F.col("id").alias("job_id")).agg(F.min("name").alias("_job"))
     fallback = F.concat(F.lit(model.LABEL_JOB), F.col("job_id").cast("string"))
     return runs.join(names, "job_id", "left").withColumn("job_name", F.coalesce("_job", fallback)).drop("_job")
 
@@ -107,7 +109,7 @@ def resolved_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
     An id of zero counts as not given.
     """
-    ids = sources.select(F.col("name").alias("data_source"), F.col("id").alias("_found"))
+    ids = sources.groupBy(F.col("name").alias("data_source")).agg(F.min("id").alias("_found"))
     given = F.nullif(F.col("data_source_id"), F.lit(0))
     unknown = F.col("data_source").isNotNull() & given.isNull() & F.col("_found").isNull()
     error = F.when(unknown, F.concat(F.lit("unknown data source: "), F.col("data_source")))

@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import model
+from ..functions.text import truncated
 from ..functions.values import same_items
 from .collect import is_supported
 from .ordering import numbered, time_block
 
 
 # --- runs and logs -----------------------------------------------------------------------------------------------
-def run_ledger(attempts: DataFrame) -> DataFrame:
+def run_ledger(attempts: DataFrame, error_chars: int | None = None) -> DataFrame:
     """Attempts -> finished runs.
 
     ``attempts``: run_id, job_id, started_at, finished_at, object_count, error, step (the step reached). A run with an
@@ -24,7 +25,7 @@ def run_ledger(attempts: DataFrame) -> DataFrame:
         F.col("run_id").alias("id"), "job_id", F.when(failed, "failed").otherwise("success").alias("status"),
         "started_at", F.coalesce("finished_at", F.current_timestamp().cast("timestamp_ntz")).alias("finished_at"),
         F.when(failed, F.lit(0)).otherwise(F.col("object_count")).cast("bigint").alias("object_count"),
-        F.substring("error", 1, model.LOG_DETAIL_CHARS).alias("error_message"),
+        truncated(F.col("error"), error_chars).alias("error_message"),
         F.when(failed, F.col("step")).alias("failed_step"),
     )
 
@@ -32,7 +33,7 @@ def run_ledger(attempts: DataFrame) -> DataFrame:
 RUN_STEPS = ("connect", "collect_schema", "storage_growth", "save_snapshot", "complete")
 
 
-def run_steps(attempts: DataFrame) -> DataFrame:
+def run_steps(attempts: DataFrame, error_chars: int | None = None) -> DataFrame:
     """One log line per step a run went through, numbered from 1; a failed run ends with an error line."""
     steps = F.array(*[F.lit(s) for s in RUN_STEPS])
     failed = F.col("error").isNotNull()
@@ -44,7 +45,7 @@ def run_steps(attempts: DataFrame) -> DataFrame:
         F.when(
             failed,
             F.array(F.struct(F.lit("error").alias("level"), F.col("step").alias("step"),
-                             F.substring("error", 1, model.LOG_DETAIL_CHARS).alias("details"))),
+                             truncated(F.col("error"), error_chars).alias("details"))),
         ).otherwise(F.array().cast("array<struct<level:string,step:string,details:string>>")),
     )
     return attempts.select("run_id", F.posexplode(lines).alias("_pos", "_line")).select(
@@ -57,20 +58,14 @@ def numbered_logs(logs: DataFrame) -> DataFrame:
     return numbered(logs, ["run_id"], [F.col("created_at"), F.col("id")], time_block("created_at", "minute"), "sequence")
 
 
-def cut_logs(logs: DataFrame) -> DataFrame:
-    changes = {"message": F.substring("message", 1, model.LOG_MESSAGE_CHARS)}
-    if "details" in logs.columns:
-        changes["details"] = F.substring("details", 1, model.LOG_DETAIL_CHARS)
-    return logs.withColumns(changes)
-
-
 def logs_of_run(logs: DataFrame, run_id: int) -> DataFrame:
     return logs.where(F.col("run_id") == run_id).orderBy("sequence", "created_at", "id")
 
 
-def newest_runs(runs: DataFrame, limit: int = model.RUN_LIST_LIMIT) -> DataFrame:
-    """Newest runs first, ties by id: one top-N pass."""
-    return runs.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(limit)
+def newest_runs(runs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest runs first, ties by id: one top-N pass if a limit is given, else all."""
+    ordered = runs.orderBy(F.col("started_at").desc(), F.col("id").desc())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def listed(rows: DataFrame, order: str, descending: bool = False, key: str = "id") -> DataFrame:

@@ -179,14 +179,14 @@ def grant_rows(names: DataFrame, users: DataFrame | None = None, default: str =
 
 
 def grants_postgresql(role_table_grants: DataFrame) -> DataFrame:
-    """``current_user``: the reading user, landed with every row."""
-    kept = role_table_grants.where((F.col("privilege_type") == "SELECT") & (F.col("grantee") == F.col("current_user")))
+    """``reading_user``: the reading user, landed with every row."""
+    kept = role_table_grants.where((F.col("privilege_type") == "SELECT") & (F.col("grantee") == F.col("reading_user")))
     return kept.select("snapshot_id", F.col("table_schema").alias("schema_name"), F.col("table_name").alias("name"))
 
 
 def grants_mysql(table_privileges: DataFrame) -> DataFrame:
     """MySQL and MariaDB quote the grantee."""
-    own = F.concat(F.lit("'"), F.col("current_user"), F.lit("'"))
+    own = F.concat(F.lit("'"), F.col("reading_user"), F.lit("'"))
     kept = table_privileges.where((F.col("privilege_type") == "SELECT") & (F.col("grantee") == own))
     return kept.select("snapshot_id", F.col("table_schema").alias("schema_name"), F.col("table_name").alias("name"))
 
@@ -200,7 +200,7 @@ def grants_mssql(objects: DataFrame, schemas: DataFrame) -> DataFrame:
 
 def grants_oracle(all_tab_privs: DataFrame, all_tables: DataFrame, all_views: DataFrame) -> DataFrame:
     """Direct and PUBLIC grants, own tables and own views, each name once."""
-    own = F.col("current_user")
+    own = F.col("reading_user")
     direct = all_tab_privs.where((F.col("privilege") == "SELECT") & ((F.col("grantee") == own) | (F.col("grantee") == "PUBLIC")))
     pick = lambda rows, name: rows.select("snapshot_id", F.col("owner").alias("schema_name"), F.col(name).alias("name"))
     return (
@@ -212,7 +212,7 @@ def grants_oracle(all_tab_privs: DataFrame, all_tables: DataFrame, all_views: Da
 
 
 def grants_db2(tabauth: DataFrame) -> DataFrame:
-    own_or_public = (F.col("grantee") == F.col("current_user")) | (F.col("granteetype") == "P")
+    own_or_public = (F.col("grantee") == F.col("reading_user")) | (F.col("granteetype") == "P")
     kept = tabauth.where(F.col("selectauth").isin("Y", "G", "A") & own_or_public)
     return kept.select("snapshot_id", F.col("tabschema").alias("schema_name"), F.col("tabname").alias("name"))
 

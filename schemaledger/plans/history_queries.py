@@ -20,93 +20,96 @@ def _heads(spark, sf) -> DataFrame:
     )
 
 
-def _column_objects(spark, sf, *years: int) -> DataFrame:
-    rows = p1.columns(spark, sf).where(F.col("yr").isin(list(years)))
+def _column_objects(spark, sf) -> DataFrame:
+    rows = p1.columns(spark, sf)
     value = F.to_json(
         F.struct(F.lit(None).cast("string").alias("comment"), F.lit(None).cast("string").alias("default"),
                  F.col("column_name").alias("name"), "nullable", F.col("data_type").alias("type")),
         {"ignoreNullFields": "false"},
     )
     return rows.select(
-        "data_source_id", "yr", "schema_name", "table_name", F.col("column_name").alias("name"),
-        F.concat(F.lit("column:"), F.concat_ws(".", "schema_name", "table_name", "column_name")).alias("key"), value.alias("value"),
+        "data_source_id", "snapshot_id", "schema_name", "table_name", F.col("column_name").alias("name"), value.alias("value"),
     )
 
 
-_DIFF_KEYS = ["data_source_id", "schema_name", "table_name", "name", "key"]
-_OLD, _NEW = 1996, 1997
+_PARTS = ["schema_name", "table_name", "name"]
+_PAIR = ["data_source_id", "from_snapshot_id", "to_snapshot_id"]
 
 
-def _two_years(spark, sf) -> tuple[DataFrame, DataFrame]:
-    rows = _column_objects(spark, sf, _OLD, _NEW)
-    return rows.where(F.col("yr") == _OLD), rows.where(F.col("yr") == _NEW)
+def _neighbours(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return diff.neighbours(_column_objects(spark, sf), _heads(spark, sf))
 
 
-_SIDES = f"""
-    , b AS (SELECT * FROM p1_objects WHERE yr = {_OLD}), a AS (SELECT * FROM p1_objects WHERE yr = {_NEW})"""
-_CHANGES = _SIDES + """
-    , changes AS (SELECT coalesce(a.data_source_id, b.data_source_id) AS data_source_id, coalesce(a.schema_name, b.schema_name) AS schema_name,
+def _printed(rows: DataFrame) -> DataFrame:
+    key = F.concat(F.lit("column:"), F.concat_ws(".", *_PARTS))
+    return rows.withColumn("key", key)
+
+
+_SIDES = """
+    , pairs AS (SELECT s.data_source_id, p.previous_id AS from_snapshot_id, s.id AS to_snapshot_id
+                FROM p1_previous p JOIN p1_snapshots s ON s.id = p.snapshot_id WHERE p.previous_id IS NOT NULL),
+    b AS (SELECT p.from_snapshot_id, p.to_snapshot_id, o.* FROM p1_objects o JOIN pairs p ON p.from_snapshot_id = o.snapshot_id),
+    a AS (SELECT p.from_snapshot_id, p.to_snapshot_id, o.* FROM p1_objects o JOIN pairs p ON p.to_snapshot_id = o.snapshot_id)"""
+_SAME = "a.to_snapshot_id = b.to_snapshot_id AND a.schema_name = b.schema_name AND a.table_name = b.table_name AND a.name = b.name"
+_CHANGES = _SIDES + f"""
+    , changes AS (SELECT coalesce(a.data_source_id, b.data_source_id) AS data_source_id, coalesce(a.from_snapshot_id, b.from_snapshot_id) AS from_snapshot_id,
+        coalesce(a.to_snapshot_id, b.to_snapshot_id) AS to_snapshot_id, coalesce(a.schema_name, b.schema_name) AS schema_name,
         coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.name, b.name) AS name, coalesce(a."key", b."key") AS "key",
         CASE WHEN b.name IS NULL THEN 'added' WHEN a.name IS NULL THEN 'removed' WHEN a.value <> b.value THEN 'changed' END AS change,
         b.value AS before_value, a.value AS after_value
-      FROM b FULL JOIN a ON a.data_source_id = b.data_source_id AND a.schema_name = b.schema_name AND a.table_name = b.table_name
-        AND a.name = b.name)"""
+      FROM b FULL JOIN a ON {_SAME})"""
+_NEEDS = ("p1_snapshots", "p1_previous", "p1_objects")
 
 
 # --- differences -------------------------------------------------------------------------------------------------
-@query("c6_snapshot_diff", "p1_objects", sql=_CHANGES + " SELECT * FROM changes WHERE change IS NOT NULL")
+@query("c6_snapshot_diff", *_NEEDS, sql=_CHANGES + " SELECT * FROM changes WHERE change IS NOT NULL")
 def snapshot_diff(spark, sf):
-    """Column changes of every source between two yearly snapshots."""
-    before, after = _two_years(spark, sf)
-    return diff.diff(before, after, _DIFF_KEYS)
+    """Column changes between every two neighbouring snapshots of every source, from flat relations."""
+    before, after = _neighbours(spark, sf)
+    return _printed(diff.diff(before, after, [*_PAIR, *_PARTS]))
 
 
-@query("c6_payload_diff", "p1_objects", sql=_CHANGES + """
-    SELECT data_source_id, change, "key", before_value, after_value FROM changes WHERE change IS NOT NULL""")
+@query("c6_payload_diff", *_NEEDS, sql=_CHANGES + """
+    SELECT from_snapshot_id, to_snapshot_id, change, "key", before_value, after_value FROM changes WHERE change IS NOT NULL""")
 def payload_diff(spark, sf):
     """The same changes taken from stored payloads of all object kinds, then cut to columns."""
     parts = stored(spark, sf)
-    heads = parts.where("part_no = 0").select(*model.HEADER_COLUMNS)
-    of_year = lambda year: F.max(F.when(F.year("captured_at") == year, F.col("snapshot_id")))
-    pairs = heads.groupBy("data_source_id").agg(of_year(_OLD).alias("from_snapshot_id"), of_year(_NEW).alias("to_snapshot_id"))
-    changes = diff.snapshot_diff(parts, pairs.select("from_snapshot_id", "to_snapshot_id"))
-    source = F.floor(F.coalesce("to_snapshot_id", "from_snapshot_id") / 10000)
-    return changes.where("kind = 'column'").select(
-        source.alias("data_source_id"), "change", "key", "before_value", "after_value"
-    )
+    heads = history.sequenced(parts.where("part_no = 0").select(*model.HEADER_COLUMNS))
+    older = heads.select("data_source_id", (F.col("seq") + 1).alias("seq"), F.col("snapshot_id").alias("from_snapshot_id"))
+    pairs = heads.join(older, ["data_source_id", "seq"]).select("from_snapshot_id", F.col("snapshot_id").alias("to_snapshot_id"))
+    changes = diff.snapshot_diff(parts, pairs)
+    return changes.where("kind = 'column'").select("from_snapshot_id", "to_snapshot_id", "change", "key", "before_value", "after_value")
 
 
-@query("c4_added_objects", "p1_objects", sql=_SIDES + """
-    SELECT data_source_id, "key" FROM a WHERE NOT EXISTS
-      (SELECT 1 FROM b WHERE b.data_source_id = a.data_source_id AND b."key" = a."key")""")
+@query("c4_added_objects", *_NEEDS, sql=_SIDES + f"""
+    SELECT data_source_id, to_snapshot_id, "key" FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {_SAME})""")
 def added_objects(spark, sf):
-    before, after = _two_years(spark, sf)
-    return diff.added(after, before, ["data_source_id", "key"]).select("data_source_id", "key")
+    before, after = _neighbours(spark, sf)
+    return _printed(diff.added(after, before, [*_PAIR, *_PARTS])).select("data_source_id", "to_snapshot_id", "key")
 
 
-@query("c5_removed_objects", "p1_objects", sql=_SIDES + """
-    SELECT data_source_id, "key" FROM b WHERE NOT EXISTS
-      (SELECT 1 FROM a WHERE a.data_source_id = b.data_source_id AND a."key" = b."key")""")
+@query("c5_removed_objects", *_NEEDS, sql=_SIDES + f"""
+    SELECT data_source_id, to_snapshot_id, "key" FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE {_SAME})""")
 def removed_objects(spark, sf):
-    before, after = _two_years(spark, sf)
-    return diff.removed(after, before, ["data_source_id", "key"]).select("data_source_id", "key")
+    before, after = _neighbours(spark, sf)
+    return _printed(diff.removed(after, before, [*_PAIR, *_PARTS])).select("data_source_id", "to_snapshot_id", "key")
 
 
-@query("g5_key_sets", "p1_objects", sql=_CHANGES + """
-    SELECT data_source_id, CASE WHEN change IN ('added', 'removed') THEN change ELSE 'common' END AS member, count(*) AS object_count
+@query("g5_key_sets", *_NEEDS, sql=_CHANGES + """
+    SELECT data_source_id, to_snapshot_id, CASE WHEN change IN ('added', 'removed') THEN change ELSE 'common' END AS member, count(*) AS object_count
     FROM changes GROUP BY ALL""")
 def key_sets(spark, sf):
-    before, after = _two_years(spark, sf)
-    sets = diff.key_sets(after, before, ["data_source_id", "key"])
-    return sets.groupBy("data_source_id", "member").agg(F.count("*").alias("object_count"))
+    before, after = _neighbours(spark, sf)
+    sets = diff.key_sets(after, before, [*_PAIR, *_PARTS])
+    return sets.groupBy("data_source_id", "to_snapshot_id", "member").agg(F.count("*").alias("object_count"))
 
 
-@query("d10_diff_counts", "p1_objects", sql=_CHANGES + """
-    SELECT data_source_id, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed,
-           count(*) FILTER (change = 'changed') AS changed FROM changes WHERE change IS NOT NULL GROUP BY data_source_id""")
+@query("d10_diff_counts", *_NEEDS, sql=_CHANGES + """
+    SELECT data_source_id, to_snapshot_id, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed,
+           count(*) FILTER (change = 'changed') AS changed FROM changes WHERE change IS NOT NULL GROUP BY data_source_id, to_snapshot_id""")
 def diff_counts(spark, sf):
-    before, after = _two_years(spark, sf)
-    return diff.diff_counts(diff.diff(before, after, _DIFF_KEYS, values=False), ["data_source_id"])
+    before, after = _neighbours(spark, sf)
+    return diff.diff_counts(diff.diff(before, after, [*_PAIR, *_PARTS], values=False), ["data_source_id", "to_snapshot_id"])
 
 
 @query("b8_same_source_guard", "p1_snapshots", sql="""

@@ -102,7 +102,7 @@ def _attempts(spark, sf):
 @query("k5_run_ledger", sql="""
     SELECT event_id AS id, user_id AS job_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
            CASE WHEN event_type = 'error' THEN 0 ELSE CAST(floor(value) AS BIGINT) END AS object_count,
-           CASE WHEN event_type = 'error' THEN substr(repeat(props, 500), 1, 4000) END AS error_message,
+           CASE WHEN event_type = 'error' THEN repeat(props, 500) END AS error_message,
            CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 'connect' WHEN 1 THEN 'collect_schema' ELSE 'save_snapshot' END END AS failed_step,
            true AS finished FROM events""")
 def run_ledger(spark, sf):

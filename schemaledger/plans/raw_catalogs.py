@@ -209,7 +209,7 @@ def role_table_grants(spark: SparkSession, sf: str, quoted: bool = False) -> Dat
     own = "'reader'" if quoted else "reader"
     return _granted(spark, sf).select(
         "snapshot_id", F.col("schema_name").alias("table_schema"), "table_name", _cycle((own, "PUBLIC", "other")).alias("grantee"),
-        _cycle(("INSERT", "SELECT", "SELECT", "SELECT")).alias("privilege_type"), F.lit("reader").alias("current_user"),
+        _cycle(("INSERT", "SELECT", "SELECT", "SELECT")).alias("privilege_type"), F.lit("reader").alias("reading_user"),
     )
 
 
@@ -227,19 +227,19 @@ def permission_schemas(spark: SparkSession, sf: str) -> DataFrame:
 def all_tab_privs(spark: SparkSession, sf: str) -> DataFrame:
     return _granted(spark, sf).select(
         "snapshot_id", F.col("schema_name").alias("owner"), "table_name", _cycle(("BUILDING", "PUBLIC", "other")).alias("grantee"),
-        _cycle(("INSERT", "SELECT", "SELECT", "SELECT")).alias("privilege"), F.lit("BUILDING").alias("current_user"),
+        _cycle(("INSERT", "SELECT", "SELECT", "SELECT")).alias("privilege"), F.lit("BUILDING").alias("reading_user"),
     )
 
 
 def owned_tables(spark: SparkSession, sf: str) -> DataFrame:
     return _granted(spark, sf).where("_key % 2 = 0").select(
-        "snapshot_id", F.col("schema_name").alias("owner"), "table_name", F.lit("BUILDING").alias("current_user")
+        "snapshot_id", F.col("schema_name").alias("owner"), "table_name", F.lit("BUILDING").alias("reading_user")
     )
 
 
 def owned_views(spark: SparkSession, sf: str) -> DataFrame:
     return _granted(spark, sf).where("_key % 3 = 0").select(
-        "snapshot_id", F.col("schema_name").alias("owner"), F.col("table_name").alias("view_name"), F.lit("BUILDING").alias("current_user")
+        "snapshot_id", F.col("schema_name").alias("owner"), F.col("table_name").alias("view_name"), F.lit("BUILDING").alias("reading_user")
     )
 
 
@@ -247,5 +247,5 @@ def tabauth(spark: SparkSession, sf: str) -> DataFrame:
     return _granted(spark, sf).select(
         "snapshot_id", F.col("schema_name").alias("tabschema"), F.col("table_name").alias("tabname"),
         _cycle(("reader", "other", "third")).alias("grantee"), F.when(F.col("_key") % 5 == 0, "P").otherwise("U").alias("granteetype"),
-        _cycle(("Y", "G", "A", "N")).alias("selectauth"), F.lit("reader").alias("current_user"),
+        _cycle(("Y", "G", "A", "N")).alias("selectauth"), F.lit("reader").alias("reading_user"),
     )

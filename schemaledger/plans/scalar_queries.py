@@ -122,9 +122,9 @@ def file_stem(spark, sf):
     return p1.table(spark, sf, "events").select(F.col("event_id").alias("id"), text.file_stem(source, F.col("ts")).alias("stem"))
 
 
-@query("h12_truncated", sql="SELECT doc_id AS id, substr(text, 1, 300) AS shown FROM documents")
+@query("h12_truncated", sql="SELECT doc_id AS id, substr(text, 1, 300) AS shown, sha256(text) AS whole FROM documents")
 def truncated(spark, sf):
-    return p1.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.truncated(F.col("text"), model.LIST_ERROR_CHARS).alias("shown"))
+    return p1.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.truncated(F.col("text"), model.LIST_ERROR_CHARS).alias("shown"), F.sha2(text.truncated(F.col("text")), 256).alias("whole"))
 
 
 _LOOKUP = {"HOST": "db ${USER}", "USER": "reader", "QUOTED": 'a"b'}
@@ -150,10 +150,10 @@ def template_values(spark, sf):
 
 
 @query("h13_nested_templates", sql="""
-    SELECT c_custkey AS id, concat('{"list":["reader",', CAST(c_custkey AS VARCHAR), '],"q":"a\\"b"}') AS resolved FROM customer""")
+    SELECT c_custkey AS id, concat('{"${USER}":"reader","list":["reader",', CAST(c_custkey AS VARCHAR), '],"q":"a\\"b"}') AS resolved FROM customer""")
 def nested_templates(spark, sf):
     key = F.col("c_custkey")
-    document = F.concat(F.lit('{"q":"${QUOTED}","list":["${USER}",'), key.cast("string"), F.lit("]}"))
+    document = F.concat(F.lit('{"${USER}" : "${USER}", "q":"${QUOTED}","list":["${USER}",'), key.cast("string"), F.lit("]}"))
     resolved = templates.resolved_json(document, _lookup())
     return _customers(spark, sf).select(key.alias("id"), values.canonical_json(resolved).alias("resolved"))
 

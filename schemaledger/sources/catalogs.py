@@ -37,7 +37,7 @@ _MYSQL_FAMILY = {
         "FROM information_schema.routines"
     ),
     "grants": (
-        "SELECT table_schema, table_name, privilege_type, grantee, CURRENT_USER() AS current_user "
+        "SELECT table_schema, table_name, privilege_type, grantee, CURRENT_USER() AS reading_user "
         "FROM information_schema.table_privileges"
     ),
 }
@@ -58,7 +58,7 @@ CATALOG_QUERIES: dict[str, dict[str, str]] = {
             "CASE WHEN prokind IN ('f', 'p') THEN pg_get_functiondef(oid) END AS definition FROM pg_proc"
         ),
         "grants": (
-            "SELECT table_schema, table_name, privilege_type, grantee, CURRENT_USER AS current_user "
+            "SELECT table_schema, table_name, privilege_type, grantee, CURRENT_USER AS reading_user "
             "FROM information_schema.role_table_grants"
         ),
     },
@@ -94,7 +94,7 @@ CATALOG_QUERIES: dict[str, dict[str, str]] = {
         "all_indexes": "SELECT owner, index_name, table_owner, table_name, uniqueness FROM all_indexes",
         "all_procedures": "SELECT owner, object_name, object_type FROM all_procedures",
         "all_source": "SELECT owner, name, type, line, text FROM all_source",
-        "all_tab_privs": "SELECT table_schema AS owner, table_name, privilege, grantee, USER AS current_user FROM all_tab_privs",
+        "all_tab_privs": "SELECT table_schema AS owner, table_name, privilege, grantee, USER AS reading_user FROM all_tab_privs",
     },
     "db2": {
         "tables": "SELECT tabschema, tabname, type, tbspace, npages, fpages, card FROM syscat.tables",
@@ -105,7 +105,7 @@ CATALOG_QUERIES: dict[str, dict[str, str]] = {
         ),
         "views": "SELECT viewschema AS schema_name, viewname AS name, text AS definition FROM syscat.views",
         "routines": "SELECT routineschema, routinename, routinetype, text FROM syscat.routines",
-        "tabauth": "SELECT tabschema, tabname, grantee, granteetype, selectauth, CURRENT USER AS current_user FROM syscat.tabauth",
+        "tabauth": "SELECT tabschema, tabname, grantee, granteetype, selectauth, CURRENT USER AS reading_user FROM syscat.tabauth",
     },
     "sqlite": {
         "sqlite_master": "SELECT 'main' AS schema_name, type, name, tbl_name, sql FROM sqlite_master",

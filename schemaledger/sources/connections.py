@@ -42,7 +42,7 @@ def _bigquery(source: Mapping[str, Any]) -> dict[str, str]:
     if not account:
         raise ValueError("a BigQuery source needs a service account")
     location = str(options.get("location", "US"))
-    if not re.match(model.BIGQUERY_PROJECT, source["database"]) or not re.match(model.BIGQUERY_REGION, location.lower()):
+    if not re.fullmatch(model.BIGQUERY_PROJECT, source["database"]) or not re.fullmatch(model.BIGQUERY_REGION, location.lower()):
         raise ValueError("malformed BigQuery project or region")
     read = {
         "parentProject": source["database"],

@@ -35,14 +35,14 @@ def _listed(document: Column, key: str) -> Column:
     return F.coalesce(F.try_variant_get(document, "$", items), F.try_variant_get(document, f"$.{key}", items))
 
 
-def read_import_files(spark: SparkSession, path: str, key: str) -> tuple[DataFrame, DataFrame]:
+def read_import_files(spark: SparkSession, path: str, key: str, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (file, row_no, item MAP<STRING,VARIANT>) and errors (file, error) of the files below ``path``.
 
-    The size limit is a filter on file metadata, so the content of larger files is not read.
+    A size limit, if given, is a filter on file metadata, so the content of larger files is not read.
     """
     files = spark.read.format("binaryFile").load(path)
-    fits = F.col("length") <= model.IMPORT_MAX_BYTES
-    large = files.where(~fits).select(F.col("path").alias("file"), F.lit("larger than 2 MiB").alias("error"))
+    fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    large = files.where(~fits).select(F.col("path").alias("file"), F.lit(f"larger than {max_bytes} bytes").alias("error"))
 
     text = F.try_validate_utf8(F.col("content").cast("string"))
     clean = F.when(F.startswith(text, F.lit(_BOM)), F.substring(text, F.lit(2), F.length(text))).otherwise(text)

@@ -10,7 +10,7 @@ AT = dt.datetime(2024, 5, 1, 12, 0, 0)
 
 def part(snapshot_id, payload, source_id=1, at=AT, part_no=0, part_count=1):
     text = payload if isinstance(payload, str) else json.dumps(payload)
-    return (snapshot_id, source_id, snapshot_id + 10, at, part_no, part_count, text, "")
+    return (snapshot_id, source_id, snapshot_id + 10, at, part_no, part_count, text, "", [], [0] * 8)
 
 
 def parts(spark, *rows):

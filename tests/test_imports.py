@@ -69,12 +69,12 @@ def test_import_files(spark, tmp_path):
     (tmp_path / "e.json").write_bytes(b"\xff\xfe[]")
     (tmp_path / "f.yml").write_text("#" + "x" * (2 * 1024 * 1024))
     (tmp_path / "g.json").write_text('{"jobs": [{"name": "other"}]}')
-    items, errors = files.read_import_files(spark, str(tmp_path), "connections")
+    items, errors = files.read_import_files(spark, str(tmp_path), "connections", max_bytes=2 << 20)
     rows = files.fields(items, {"name": "string", "port": "int"}).orderBy("name").collect()
     assert [(r["name"], r["row_no"], r["port"]) for r in rows] == [("one", 1, None), ("three", 1, 5), ("two", 2, None)]
     got = {r["file"].rsplit("/", 1)[-1]: r["error"] for r in errors.collect()}
     assert sorted(got) == ["c.json", "d.yaml", "e.json", "f.yml", "g.json"]
-    assert got["f.yml"] == "larger than 2 MiB"
+    assert got["f.yml"] == "larger than 2097152 bytes"
     flat = items.select(templates.flattened_ssh(F.col("item")).alias("item"))
     read = flat.select(F.variant_get(F.col("item")["ssh_host"], "$", "string").alias("h"), F.variant_get(F.col("item")["ssh_enabled"], "$", "boolean").alias("e"))
     assert {(r["h"], r["e"]) for r in read.collect()} == {("h", True), (None, None)}
