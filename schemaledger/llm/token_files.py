@@ -11,8 +11,10 @@ block is filled up with its minimum. All numbers are little-endian.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,15 @@ from ..session import shared_folder, written
 MAGIC = b"TOKPFOR1"
 BLOCK, PERCENTILE = 512, 90
 FILE_IDS = 4_000_000
-WORDS_KEPT, WORD_CHARS = 400_000, 48
+WORDS_KEPT, WORD_CHARS = 150_000, 32
 _HEAD = 7
 _BREAKS = str.maketrans("\t\r\n", "   ")
+# Letters that have one form in NFC and one lower case, and ASCII punctuation.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+# Byte-level vocabularies write a byte that is no visible Latin-1 character as the next free character from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_BYTE_LETTERS = {b: chr(256 + n) for n, b in enumerate(_HIDDEN)}
 
 
 def packed(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -120,26 +128,51 @@ def read_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 
 
 class WordCoder:
-    """Whole texts to ids. The tokenizer drops white space and merges within words only, so words are encoded once each."""
+    """Whole texts to ids. The tokenizer drops white space and merges within words only, so words are encoded once each.
+
+    It also lower-cases and cuts punctuation from letters, so a word of plain letters with ASCII punctuation behind it
+    is taken as two pieces; the letters, whose normal form is known, go straight to the library's merge model. Words and
+    pieces are remembered in two generations of ``WORDS_KEPT``.
+    """
 
     def __init__(self, file: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_buffer(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {"": b""}
+        self.words, self.pieces = ({"": b""}, {}), ({"": b""}, {})
+
+    @staticmethod
+    def _aged(memo: tuple[dict, dict]) -> tuple[dict, dict]:
+        return memo if len(memo[0]) < WORDS_KEPT else ({"": b""}, memo[0])
+
+    def _encode(self, pieces: set[str]) -> dict[str, bytes]:
+        self.pieces = young, old = self._aged(self.pieces)
+        found = {p: old[p] for p in pieces & old.keys()}
+        new = pieces - young.keys() - found.keys()
+        letters = {p for p in new if _LETTERS.fullmatch(p)}
+        other, merged = list(new - letters), self.tokenizer.model.tokenize
+        found.update(zip(other, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(other, add_special_tokens=False))))
+        found.update((p, array("I", [t.id for t in merged(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()) for p in letters)
+        young.update((p, i) for p, i in found.items() if len(p) <= WORD_CHARS)
+        found.update((p, young[p]) for p in pieces & young.keys())
+        return found
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > WORDS_KEPT:
-            self.known = {"": b""}
         words = [(t or "").translate(_BREAKS).split(" ") for t in texts]
-        new = list(set().union(*words) - self.known.keys())
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False))}
-        of = self.known | fresh if len(fresh) > len(self.known) else self.known
-        if of is self.known:
-            of.update(fresh)
-        out = [np.frombuffer(b"".join(map(of.__getitem__, w)), "<u4") for w in words]
-        if of is not self.known:
-            self.known.update((w, i) for w, i in fresh.items() if len(w) <= WORD_CHARS)
+        self.words = young, old = self._aged(self.words)
+        asked = set().union(*words) - young.keys()
+        fresh = {w: old[w] for w in asked & old.keys()}
+        cut = {}
+        for w in asked - fresh.keys():
+            plain = _PLAIN.fullmatch(w)
+            cut[w] = (plain[1].lower(), plain[2]) if plain else (w, "")
+        of = self._encode({p for pair in cut.values() for p in pair})
+        fresh.update((w, of[a] + of[b]) for w, (a, b) in cut.items())
+        young.update(fresh)
+        out = [np.frombuffer(b"".join(map(young.__getitem__, w)), "<u4") for w in words]
+        for w in fresh:
+            if len(w) > WORD_CHARS:
+                del young[w]
         return out
 
 
