@@ -1,9 +1,10 @@
 """Benchmark decontamination: every passage of every document is a BM25 query against an inverted index of test items.
 
 An impact is a term's BM25 weight in an item, divided by the item's weight of all its terms, so a score is the covered
-share of the item (at most 1) and one threshold serves short and long items. Postings lie in item order in blocks that
-know their largest impact; retrieval is WAND with these block maxima and returns every item at or above the threshold.
-Passages whose upper bounds cannot reach the threshold, WAND's first test, are found for whole blocks of texts at once.
+share of the item (at most 1) and one threshold serves short and long items. Items are ordered by length and lie in
+blocks; a term knows its largest impact in each block. The sums of these block maxima are taken for all passages of many
+texts at once; a passage without a block that can reach the threshold is done. The others run block-max WAND, which
+returns every item at or above the threshold.
 Hits are verified by the word runs of question and answer, which must both be there.
 
 Words are runs without white space and ASCII punctuation, A-Z lower-cased. Test items are a stated query set: they go to
@@ -16,7 +17,7 @@ import math
 import string
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import words as W
 
 ITEMS_PER_BLOCK = 20_000
-POSTINGS_PER_BLOCK = 32
+BLOCK_ITEMS = 8          # items that share a block maximum
+CHUNK = 1 << 16          # (passage, term) pairs whose bounds are summed at a time
 K1, B = 1.2, 0.75
 _LEAK = ("item_id", "first_word", "score", "question_overlap", "answer_overlap")
 _WORD_BYTES = bytes.maketrans((string.punctuation + string.ascii_uppercase).encode(), (" " * len(string.punctuation) + string.ascii_lowercase).encode())
@@ -44,6 +46,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[object, str]], df: dict[int, int], n_items: int, mean_words: float, theta: float):
         self.theta = theta
+        items = sorted(items, key=lambda item: plain_words(item[1]).count(b" "))
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(text) for _, text in items]
         self.longest = 1
@@ -62,49 +65,68 @@ class ItemIndex:
         lists = [postings[t] for t in self.terms.tolist()]
         self.items = [[i for i, _ in p] for p in lists]
         self.impacts = [[w for _, w in p] for p in lists]
-        self.block_max = [[max(w[k: k + POSTINGS_PER_BLOCK]) for k in range(0, len(w), POSTINGS_PER_BLOCK)] for w in self.impacts]
-        self.upper = np.array([max(w) for w in self.impacts])
-
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """Every item with a score of at least theta for a passage of these (distinct) terms: block-max WAND."""
-        found, eps = [], self.theta - 1e-9
-        lists = [[self.items[t][0], 0, t] for t in terms]  # current item, place in the postings, term
+        maxima: list[dict[int, float]] = [{} for _ in lists]
+        for held, postings_of in zip(maxima, lists):
+            for item, impact in postings_of:
+                held[item // BLOCK_ITEMS] = max(impact, held.get(item // BLOCK_ITEMS, 0.0))
+        self.block_max = maxima
+        self.blocks = -(-len(items) // BLOCK_ITEMS)
+        self.first_block = np.concatenate(([0], np.cumsum([len(m) for m in maxima]))).astype(np.int64)
+        self.block = np.array([b for m in maxima for b in m], np.int64)
+        self.block_impact = np.array([w for m in maxima for w in m.values()])
+
+    def hopeful(self, passage: np.ndarray, term: np.ndarray, passages: int) -> Iterator[tuple[int, list[int]]]:
+        """Passages with the blocks whose maxima, summed over the distinct terms, reach theta; pairs are in passage order."""
+        size = max(1, (1 << 22) // max(self.blocks, 1))
+        cuts = np.union1d(np.arange(0, passages, size), passage[CHUNK - 1:: CHUNK])
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), passages]):
+            a, b = np.searchsorted(passage, (lo, hi))
+            t = term[a:b]
+            begin, n = self.first_block[t], self.first_block[t + 1] - self.first_block[t]
+            at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            key = np.repeat(passage[a:b] - lo, n) * self.blocks + self.block[at]
+            sums = np.bincount(key, weights=self.block_impact[at], minlength=(hi - lo) * self.blocks)
+            of, block = np.divmod(np.flatnonzero(sums >= self.theta - 1e-9), self.blocks)
+            for k in np.unique(of).tolist():
+                yield lo + k, block[slice(*np.searchsorted(of, (k, k + 1)))].tolist()
+
+    def search(self, terms: list[int], blocks: Iterable[int] | None = None) -> list[tuple[int, float]]:
+        """Every item of ``blocks`` (all by default) with a score of at least theta for these distinct terms."""
+        return [hit for block in (range(self.blocks) if blocks is None else blocks) for hit in self._search_block(terms, block)]
+
+    def _search_block(self, terms: list[int], block: int) -> list[tuple[int, float]]:
+        """WAND inside a block of items; the block maxima are the terms' upper bounds."""
+        found, least, end = [], self.theta - 1e-9, (block + 1) * BLOCK_ITEMS
+        lists = []  # current item, its place in the postings, the term's bound, the term
+        for t in terms:
+            most = self.block_max[t].get(block)
+            if most is not None:
+                at = bisect_left(self.items[t], block * BLOCK_ITEMS)
+                lists.append((self.items[t][at], at, most, t))
         while lists:
             lists.sort()
-            bound, pivot = 0.0, -1
-            for k, (_, _, t) in enumerate(lists):
-                bound += self.upper[t]
-                if bound >= eps:
-                    pivot = k
+            bound = 0.0
+            for pivot, _, most, _ in lists:  # no item before the pivot can reach theta
+                bound += most
+                if bound >= least:
                     break
-            if pivot < 0:
-                break
-            item = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
-                pivot += 1
-            held = 0.0
-            for _, at, t in lists[: pivot + 1]:  # block maxima of the blocks that may hold the item
-                at = bisect_left(self.items[t], item, at)
-                held += self.block_max[t][at // POSTINGS_PER_BLOCK] if at < len(self.items[t]) else 0.0
-            if held < eps:
-                target = item + 1
-            elif lists[0][0] == item:
-                score = sum(self.impacts[t][at] for at_item, at, t in lists if at_item == item)
-                if score >= eps:
-                    found.append((item, score))
-                target = item + 1
             else:
-                target = item
-            kept = []
-            for entry in lists:
-                current, at, t = entry
-                if current < target:
-                    at = bisect_left(self.items[t], target, at)
-                    if at == len(self.items[t]):
+                return found
+            if lists[0][0] == pivot:
+                score = sum(self.impacts[t][at] for item, at, _, t in lists if item == pivot)
+                if score >= least:
+                    found.append((pivot, score))
+                pivot += 1
+            moved = []
+            for item, at, most, t in lists:
+                if item < pivot:
+                    own = self.items[t]
+                    at = bisect_left(own, pivot, at)
+                    if at == len(own) or own[at] >= end:
                         continue
-                    entry = [self.items[t][at], at, t]
-                kept.append(entry)
-            lists = kept
+                    item = own[at]
+                moved.append((item, at, most, t))
+            lists = moved
         return found
 
 
@@ -135,21 +157,25 @@ def leaks_in(texts: list[str | None], index: ItemIndex, least: float, run_words:
     hashes = hashes.view(np.int64)
     term = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
     known = index.terms[term] == hashes
-    bound = np.concatenate(([0.0], np.cumsum(np.where(known, index.upper[term], 0.0))))
     step, begin = index.longest, np.cumsum(n) - n
     passages = np.maximum(-(-n // step) - 1, (n > 0).astype(np.int64))  # passages of two steps, one step apart
     text = np.repeat(np.arange(len(texts)), passages)
     first = begin[text] + step * (np.arange(len(text)) - np.repeat(np.cumsum(passages) - passages, passages))
-    last = np.minimum(first + 2 * step, (begin + n)[text])
-    for k in np.flatnonzero(bound[last] - bound[first] >= index.theta - 1e-9).tolist():
-        lo, hi, at = int(first[k]), int(last[k]), int(text[k])
-        hits = index.search(np.unique(term[lo:hi][known[lo:hi]]).tolist())
+    size = np.minimum(first + 2 * step, (begin + n)[text]) - first
+    place = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    passage = np.repeat(np.arange(len(text)), size)[known[place]]
+    pair = np.sort(passage * len(index.terms) + term[place[known[place]]])
+    pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
+    passage, of_passage = np.divmod(pair, len(index.terms))
+    for k, blocks in index.hopeful(passage, of_passage, len(text)):
+        lo, hi, at = int(first[k]), int(first[k] + size[k]), int(text[k])
+        hits = index.search(of_passage[slice(*np.searchsorted(passage, (k, k + 1)))].tolist(), blocks)
         if not hits:
             continue
         own = words[at].split(b" ")
-        passage = b" ".join(own[lo - int(begin[at]): hi - int(begin[at])])
+        held = b" ".join(own[lo - int(begin[at]): hi - int(begin[at])])
         for item, score in hits:
-            question, answer = (overlap(part, passage, run_words) for part in index.parts[item])
+            question, answer = (overlap(part, held, run_words) for part in index.parts[item])
             if question >= least and answer >= least and score > out[at].get(item, (0, 0, -1.0))[2]:
                 out[at][item] = (index.ids[item], lo - int(begin[at]), float(score), question, answer)
     return [sorted(found.values(), key=lambda x: (x[1], str(x[0]))) for found in out]
