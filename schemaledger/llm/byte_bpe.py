@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -19,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-PAIRS_KEPT, CHUNKS_KEPT, CHUNK_CHARS = 400_000, 400_000, 48
+PAIRS_KEPT, CHUNKS_KEPT, PIECES_KEPT, KEY_CHARS = 100_000, 150_000, 100_000, 32
 # White space as the split pattern's \s has it (the Unicode property White_Space).
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _CHUNKS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -35,14 +36,15 @@ class ByteBpe:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.length = {rank: len(token) for token, rank in ranks.items()}
-        self.shorter: dict[int, int] = {}
+        places = max(ranks.values()) + 1
+        self.bytes_of: list[bytes] = [b""] * places
+        self.length, self.shorter = array("l", [0]) * places, array("l", [-1]) * places
         self.halves: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
+            self.bytes_of[rank], self.length[rank] = token, len(token)
             self.shorter[rank] = next((ranks[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in ranks), -1)
         self.automaton.make_automaton()
 
@@ -60,14 +62,11 @@ class ByteBpe:
         return found
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether the bytes of the two tokens, merged by rank, give just the two tokens.
+        """Whether the bytes of the two tokens, merged by rank, give just the two tokens; remembered in ``pairs``.
 
         Goes down from the last merge to the bytes at the border. A merge across the border comes first if its rank is
         lower than that of the merge it competes with; of equal ranks the one further left comes first.
         """
-        known = self.pairs.get((left, right))
-        if known is not None:
-            return known
         a, b, bound, fits = left, right, 1 << 62, True
         while True:
             if self.ranks.get(self.bytes_of[a] + self.bytes_of[b], bound) < bound:
@@ -91,14 +90,14 @@ class ByteBpe:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, length, shorter, fits = len(piece), self.length, self.shorter, self.compatible
+        n, length, shorter, fits, pairs = len(piece), self.length, self.shorter, self.compatible, self.pairs
         longest = [0] * n
         for end, token in self.automaton.iter(piece.decode("latin-1")):
             longest[end + 1 - length[token]] = token  # of one start, longer tokens end later
         dead, out, at, token = bytearray(n + 1), [], 0, longest[0]
         while at < n:
             end = at + length[token]
-            if not dead[end] and (not out or fits(out[-1], token)):
+            if not dead[end] and (not out or (fits(out[-1], token) if (known := pairs.get((out[-1], token))) is None else known)):
                 out.append(token)
                 at = end
                 if at < n:
@@ -115,29 +114,40 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-class TextCoder(dict):
-    """Whole texts to little-endian 32-bit ids; holds the ids of short chunks.
+class Memo(dict):
+    """Values of ``make`` for short keys. Holds at most two generations of ``kept`` keys; the older one goes as a whole."""
+
+    def __init__(self, make, kept: int):
+        super().__init__()
+        self.make, self.kept, self.older = make, kept, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= KEY_CHARS:
+            if len(self) >= self.kept:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class TextCoder:
+    """Whole texts to little-endian 32-bit ids; remembers the ids of short chunks and pieces.
 
     ``chunked`` says that the pattern never matches across white space, but for one space before a word: then texts are
     cut at white space first, and the pattern is applied to new chunks only.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, chunked: bool):
-        super().__init__()
-        self.bpe, self.split, self.chunked = ByteBpe(ranks), regex.compile(pattern), chunked
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = b"".join(
-            b"".join(i.to_bytes(4, "little") for i in self.bpe.encode(piece.encode("utf-8"))) for piece in self.split.findall(chunk)
-        )
-        if len(chunk) <= CHUNK_CHARS:
-            if len(self) >= CHUNKS_KEPT:
-                self.clear()
-            self[chunk] = ids
-        return ids
+        self.bpe, self.chunked = ByteBpe(ranks), chunked
+        split = regex.compile(pattern).findall
+        pieces = Memo(lambda piece: array("I", self.bpe.encode(piece.encode("utf-8"))).tobytes(), PIECES_KEPT)
+        self.chunks = Memo(lambda chunk: b"".join(map(pieces.__getitem__, split(chunk))), CHUNKS_KEPT)
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, _CHUNKS.findall(text) if self.chunked else [text])) if text else b""
+        return b"".join(map(self.chunks.__getitem__, _CHUNKS.findall(text) if self.chunked else [text])) if text else b""
 
     def decoded(self, ids: bytes) -> bytes:
         return self.bpe.decode(memoryview(ids).cast("I").tolist())
