@@ -6,7 +6,9 @@ the runs, two linked sets share a run within their prefixes of ``n - ceil(percen
 1. order 1 puts rare runs first: a fixed-size count sketch over all texts gives each run a frequency level. Its prefixes
    make the candidate groups: all texts that hold a shared prefix run meet under the smallest of them (their hub), so a
    group of near copies meets once and not once for every run they share;
-2. groups are cut by set size and into blocks of bounded rows and bytes; every two blocks of a group meet in one task;
+2. groups are cut by set size and into blocks of bounded rows and bytes. First each block meets by itself, with a few
+   anchors of its group, and links are joined to components; then every two blocks meet, and only pairs of different
+   components are looked at, so a group of near copies is linked through its anchors and its blocks need not meet again;
 3. texts meet first as counts: runs per cell of a small hash table, whose cell-wise minima bound the intersection from
    above. Only texts with a partner that this bound allows are fetched;
 4. inside a task, candidates must also share prefix runs under two more orders and fit in size; the filters are
@@ -35,6 +37,7 @@ from .components import connected_components
 CELL_BITS = 18          # cells of the count sketch: 2**18, whatever the input
 BLOCK_ROWS = 128        # texts of one block of a group
 BLOCK_RUNS = 1 << 18    # runs of one block of a group
+ANCHORS = 4             # texts of a group that meet all its blocks
 BOUND_CELLS = 256       # cells of the counts that bound an intersection
 SEEN = 200_000          # set digests that a task remembers to sign a set once
 _ORDER_1, _ORDER_2, _ORDER_3, _DIGEST = 7, 8, 9, 5
@@ -114,9 +117,11 @@ def signed(rows: DataFrame, level: np.ndarray, size: int, percent: int) -> DataF
 
 
 def wanted_pairs(n: np.ndarray, sides: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs that a task looks at: each once, of different sides where ``sides`` are not -1, and of fitting sizes."""
+    """Pairs that a task looks at: each once, of fitting sizes and of different ``sides``, which is one row or several."""
     m = len(n)
-    wanted = np.triu(np.ones((m, m), bool), 1) & ((sides[:, None] != sides[None, :]) | (sides[:, None] < 0))
+    wanted = np.triu(np.ones((m, m), bool), 1)
+    for side in np.atleast_2d(sides):
+        wanted &= side[:, None] != side[None, :]
     return wanted & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
 
 
@@ -156,7 +161,7 @@ def _shared(tokens: np.ndarray, owner: np.ndarray, m: int, columns: int = 4096)
 def forest_of_links(nodes: np.ndarray, sides: np.ndarray, texts: list[str | None], size: int, percent: int) -> list[tuple[int, int]]:
     """Links between the texts of one task as pairs (node, smaller node), a forest with the same components.
 
-    ``sides``: -1 for all pairs; else only pairs of different sides are wanted, the others meet elsewhere.
+    ``sides``: only pairs that differ in each of its rows are wanted, the others meet elsewhere.
     """
     m = len(nodes)
     hashes, n = W.shingle_sets([W.canonical(t) for t in texts], size)
@@ -223,42 +228,50 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         .withColumn("band", band)
         .select("hub", "rep", "n", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("upper"), (F.col("band") == F.col("upper")).alias("own"))
     )
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("runs") / BLOCK_RUNS)).cast("int")
     groups = (
-        members.groupBy("hub", "upper").agg(F.count("*").alias("m"), F.sum(F.col("own").cast("int")).alias("owns"), F.sum("n").alias("runs"))
+        members.groupBy("hub", "upper").agg(
+            F.count("*").alias("m"), F.sum(F.col("own").cast("int")).alias("owns"), F.sum("n").alias("runs"),
+            *[F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"anchor{k}") for k in range(ANCHORS)])
         .where("m > 1 and owns > 0")
-        .select("hub", "upper", F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("runs") / BLOCK_RUNS)).cast("int").alias("blocks"))
+        .select("hub", "upper", blocks.alias("blocks"), F.array(*[f"anchor{k}" for k in range(ANCHORS)]).alias("anchors"))
     )
-    block, with_block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = (
-        members.join(groups, ["hub", "upper"]).withColumn("block", block).withColumn("with_block", with_block)
-        .select("hub", "upper", F.least("block", "with_block").alias("lo"), F.greatest("block", "with_block").alias("hi"), "block", "rep")
+    placed = members.join(groups, ["hub", "upper"]).withColumn("block", block)
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    alone = placed.withColumn("lo", F.explode(F.when(F.array_contains("anchors", F.col("rep")), every).otherwise(F.array("block")))).withColumn("hi", F.col("lo"))
+    across = (
+        placed.where("blocks > 1").withColumn("other", F.explode(every)).where("block <> other")
+        .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     )
+    cell_key = ["hub", "upper", "lo", "hi"]
 
     def sides_of(table: pa.Table) -> np.ndarray:
-        return table.column("block").to_numpy() if table.column("lo")[0] != table.column("hi")[0] else np.full(table.num_rows, -1)
+        label = table.column("label").to_numpy()
+        return label if table.column("lo")[0] == table.column("hi")[0] else np.stack((label, table.column("block").to_numpy()))
 
     def bounded(table: pa.Table) -> pa.Table:
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").reshape(-1, BOUND_CELLS).astype(np.int64)
         held = with_partner(table.column("n").to_numpy(), sides_of(table), counts, percent)
-        return table.select(["hub", "upper", "lo", "hi", "block", "rep", "key"]).filter(pa.array(held))
-
-    cell_key = ["hub", "upper", "lo", "hi"]
-    near = written(
-        cells.join(classes.select("rep", "n", "key", "counts"), "rep").groupBy(*cell_key)
-        .applyInArrow(bounded, "hub long, upper int, lo int, hi int, block int, rep long, key long")
-    )
+        return table.select([*cell_key, "block", "rep", "label", "key"]).filter(pa.array(held))
 
     def verify(table: pa.Table) -> pa.Table:
         first = dict(zip(table.column("rep").to_pylist(), range(table.num_rows)))  # repeated rows have one key and one text
-        at = list(first.values())
-        nodes, sides = table.column("rep").to_numpy()[at], sides_of(table)[at]
-        links = forest_of_links(nodes, sides, table.column("text").take(at).to_pylist(), size, percent)
+        table = table.take(pa.array(list(first.values())))
+        links = forest_of_links(table.column("rep").to_numpy(), sides_of(table), table.column("text").to_pylist(), size, percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
-    links = (
-        near.join(given.select("key", "text"), "key")
-        .groupBy(*cell_key).applyInArrow(verify, "a long, b long").distinct()
-    )
+    def links_within(cells: DataFrame, signed_reps: DataFrame) -> DataFrame:
+        shape = "hub long, upper int, lo int, hi int, block int, rep long, label long, key long"
+        near = written(cells.select(*cell_key, "block", "rep").join(signed_reps, "rep").groupBy(*cell_key).applyInArrow(bounded, shape))
+        fetched = near.join(given.select("key", "text"), "key")
+        return written(fetched.groupBy(*cell_key).applyInArrow(verify, "a long, b long").distinct())
+
+    signs = classes.select("rep", "n", "key", "counts")
+    links = links_within(alone, signs.withColumn("label", F.col("rep")))
+    if not across.isEmpty():
+        so_far = connected_components(links).withColumnRenamed("node", "rep")
+        links = links.union(links_within(across, signs.join(so_far, "rep", "left").withColumn("label", F.coalesce("label", "rep"))))
     labels = connected_components(links)
     labelled = classes.drop("counts", "key").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", "n", "least_id", F.coalesce("label", "rep").alias("label")
