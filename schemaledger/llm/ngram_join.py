@@ -5,16 +5,18 @@ the runs, two linked sets share a run within their prefixes of ``n - ceil(percen
 
 1. order 1 puts rare runs first: a fixed-size count sketch over all texts gives each run a frequency level. Its prefixes
    make the candidate groups: all texts that hold a shared prefix run meet under the smallest of them (their hub), so a
-   group of near copies meets once and not once for every run they share;
-2. groups are cut by set size and into blocks of bounded rows and bytes. First each block meets by itself, with a few
-   anchors of its group, and links are joined to components; then every two blocks meet, and only pairs of different
-   components are looked at, so a group of near copies is linked through its anchors and its blocks need not meet again;
-3. texts meet first as counts: runs per cell of a small hash table, whose cell-wise minima bound the intersection from
+   group of near copies meets once and not once for every run they share; groups are cut by set size;
+2. first each text goes only to the group with whose hub it shares most of its prefix. Such a group is cut into blocks of
+   bounded rows and bytes, each of which meets by itself with the hub and a few anchors of the group. Links are joined to
+   components, which unites most near copies at the price of one visit for each text;
+3. then all groups meet, but only pairs of different components are looked at: a group of one component is done. In a
+   group of several, the texts outside its largest component meet each other and that component, in pairs of blocks;
+   the texts of the largest component need not meet each other;
+4. texts meet first as counts: runs per cell of a small hash table, whose cell-wise minima bound the intersection from
    above. Only texts with a partner that this bound allows are fetched;
-4. inside a task, candidates must also share prefix runs under two more orders and fit in size; the filters are
+5. inside a task, candidates must also share prefix runs under two more orders and fit in size; the filters are
    intersected, and what is left is verified on the whole sets. A task gives back a spanning forest of its links, never
-   its pairs;
-5. links are joined to components.
+   its pairs; links are joined to components.
 
 Equal sets are one class from the start: a task signs each set once, and classes are merged before groups are built.
 Run hashes and set digests have 64 bits.
@@ -30,14 +32,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import written
+from ..session import broadcast_if_small, written
 from . import words as W
 from .components import connected_components
 
 CELL_BITS = 18          # cells of the count sketch: 2**18, whatever the input
 BLOCK_ROWS = 128        # texts of one block of a group
 BLOCK_RUNS = 1 << 18    # runs of one block of a group
-ANCHORS = 4             # texts of a group that meet all its blocks
+ANCHORS = 4             # texts of a group, besides its hub, that meet all its blocks
+BOUND_ROWS = 2048       # texts that meet as counts in one task
 BOUND_CELLS = 256       # cells of the counts that bound an intersection
 SEEN = 200_000          # set digests that a task remembers to sign a set once
 _ORDER_1, _ORDER_2, _ORDER_3, _DIGEST = 7, 8, 9, 5
@@ -125,18 +128,36 @@ def wanted_pairs(n: np.ndarray, sides: np.ndarray, percent: int) -> np.ndarray:
     return wanted & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
 
 
-def with_partner(n: np.ndarray, sides: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets may link with another one, by the upper bound of the intersections."""
+def possible_pairs(n: np.ndarray, sides: np.ndarray, counts: np.ndarray, percent: int, own: np.ndarray | None = None) -> np.ndarray:
+    """Which of the wanted pairs may link, by the upper bound of the intersections; one of the two must be ``own``."""
     wanted = wanted_pairs(n, sides, percent)
+    if own is not None:
+        wanted &= own[:, None] | own[None, :]
     counts = np.where(counts == _FULL, np.int64(1) << 40, counts)
-    held = np.zeros(len(n), bool)
     for i in np.flatnonzero(wanted.any(1)).tolist():
         others = np.flatnonzero(wanted[i])
         most = np.minimum(counts[i], counts[others]).sum(1)
-        others = others[(100 + percent) * most >= percent * (n[i] + n[others])]
-        held[others] = True
-        held[i] |= len(others) > 0
-    return held
+        wanted[i, others] = (100 + percent) * most >= percent * (n[i] + n[others])
+    return wanted
+
+
+def with_partner(n: np.ndarray, sides: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets may link with another one."""
+    pairs = possible_pairs(n, sides, counts, percent)
+    return pairs.any(0) | pairs.any(1)
+
+
+def cells_of_pairs(pairs: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Pairs of blocks of bounded rows and runs that hold a pair, and the rows in them that have a partner there."""
+    _, part = np.unique(np.stack((np.arange(len(n)) // BLOCK_ROWS, (np.cumsum(n) - n) // BLOCK_RUNS)), axis=1, return_inverse=True)
+    edges = np.searchsorted(part.ravel(), np.arange(part.max() + 2))
+    for i in range(len(edges) - 1):
+        for j in range(i, len(edges) - 1):
+            a, b = slice(edges[i], edges[i + 1]), slice(edges[j], edges[j + 1])
+            cell = pairs[a, b]
+            if cell.any():
+                rows = np.concatenate((edges[i] + np.flatnonzero(cell.any(1)), edges[j] + np.flatnonzero(cell.any(0))))
+                yield i, j, np.unique(rows)
 
 
 def _shared(tokens: np.ndarray, owner: np.ndarray, m: int, columns: int = 4096) -> np.ndarray:
@@ -220,58 +241,89 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     )
     postings = rows.where("node is not null").select("node", F.explode("prefix").alias("token"))
     hubs = postings.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("held")).where("held > 1").select("token", "hub")
-    met = postings.join(hubs, "token").select("node", "hub").distinct()
+    met = postings.join(hubs, "token").groupBy("node", "hub").agg(F.count("*").alias("shared"))
     reps = rows.where("node is not null").select("node", "digest", "n").join(classes.select("digest", "n", "rep"), ["digest", "n"])
     band = F.floor(F.log("n") / math.log(1.01 * 100 / percent)).cast("int")
     members = written(
-        met.join(reps.select("node", "rep", "n"), "node").select("hub", "rep", "n").distinct()
+        met.join(reps.select("node", "rep", "n"), "node").groupBy("hub", "rep", "n").agg(F.max("shared").alias("shared"))
         .withColumn("band", band)
-        .select("hub", "rep", "n", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("upper"), (F.col("band") == F.col("upper")).alias("own"))
-    )
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("runs") / BLOCK_RUNS)).cast("int")
-    groups = (
-        members.groupBy("hub", "upper").agg(
-            F.count("*").alias("m"), F.sum(F.col("own").cast("int")).alias("owns"), F.sum("n").alias("runs"),
-            *[F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"anchor{k}") for k in range(ANCHORS)])
-        .where("m > 1 and owns > 0")
-        .select("hub", "upper", blocks.alias("blocks"), F.array(*[f"anchor{k}" for k in range(ANCHORS)]).alias("anchors"))
-    )
-    placed = members.join(groups, ["hub", "upper"]).withColumn("block", block)
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    alone = placed.withColumn("lo", F.explode(F.when(F.array_contains("anchors", F.col("rep")), every).otherwise(F.array("block")))).withColumn("hi", F.col("lo"))
-    across = (
-        placed.where("blocks > 1").withColumn("other", F.explode(every)).where("block <> other")
-        .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+        .select("hub", "rep", "n", "shared", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("upper"), (F.col("band") == F.col("upper")).alias("own"))
     )
-    cell_key = ["hub", "upper", "lo", "hi"]
-
-    def sides_of(table: pa.Table) -> np.ndarray:
-        label = table.column("label").to_numpy()
-        return label if table.column("lo")[0] == table.column("hi")[0] else np.stack((label, table.column("block").to_numpy()))
+    group = ["hub", "upper"]
+    sizes = members.groupBy(*group).agg(F.count("*").alias("m"), F.sum(F.col("own").cast("int")).alias("owns")).where("m > 1 and owns > 0")
+    placed = written(members.join(sizes.select(*group, "m"), group))
+    cell_key = [*group, "lo", "hi"]
+    task_key = [*cell_key, "part_lo", "part_hi"]
 
     def bounded(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("label", "ascending"), ("n", "ascending"), ("rep", "ascending")])
+        n, label, block = (table.column(c).to_numpy() for c in ("n", "label", "block"))
+        sides = label if table.column("lo")[0] == table.column("hi")[0] else np.stack((label, block))
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").reshape(-1, BOUND_CELLS).astype(np.int64)
-        held = with_partner(table.column("n").to_numpy(), sides_of(table), counts, percent)
-        return table.select([*cell_key, "block", "rep", "label", "key"]).filter(pa.array(held))
+        pairs = possible_pairs(n, sides, counts, percent, table.column("own").to_numpy())
+        table = table.select([*cell_key, "rep", "label", "key"])
+        out = [table.slice(0, 0).append_column("part_lo", pa.array([], pa.int32())).append_column("part_hi", pa.array([], pa.int32()))]
+        for i, j, of in cells_of_pairs(pairs, n):
+            at = [pa.array(np.full(len(of), x, np.int32)) for x in (i, j)]
+            out.append(table.take(pa.array(of)).append_column("part_lo", at[0]).append_column("part_hi", at[1]))
+        return pa.concat_tables(out)
 
     def verify(table: pa.Table) -> pa.Table:
         first = dict(zip(table.column("rep").to_pylist(), range(table.num_rows)))  # repeated rows have one key and one text
         table = table.take(pa.array(list(first.values())))
-        links = forest_of_links(table.column("rep").to_numpy(), sides_of(table), table.column("text").to_pylist(), size, percent)
+        links = forest_of_links(table.column("rep").to_numpy(), table.column("label").to_numpy(), table.column("text").to_pylist(), size, percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
-    def links_within(cells: DataFrame, signed_reps: DataFrame) -> DataFrame:
-        shape = "hub long, upper int, lo int, hi int, block int, rep long, label long, key long"
-        near = written(cells.select(*cell_key, "block", "rep").join(signed_reps, "rep").groupBy(*cell_key).applyInArrow(bounded, shape))
-        fetched = near.join(given.select("key", "text"), "key")
-        return written(fetched.groupBy(*cell_key).applyInArrow(verify, "a long, b long").distinct())
-
-    signs = classes.select("rep", "n", "key", "counts")
-    links = links_within(alone, signs.withColumn("label", F.col("rep")))
-    if not across.isEmpty():
-        so_far = connected_components(links).withColumnRenamed("node", "rep")
-        links = links.union(links_within(across, signs.join(so_far, "rep", "left").withColumn("label", F.coalesce("label", "rep"))))
+    signs = classes.select("rep", "key", "counts")
+
+    def links_within(cells: DataFrame) -> DataFrame:
+        shape = "hub long, upper int, lo int, hi int, rep long, label long, key long, part_lo int, part_hi int"
+        met_there = cells.select(*cell_key, "block", "rep", "n", "own", "label").join(signs, "rep")
+        near = written(met_there.groupBy(*cell_key).applyInArrow(bounded, shape))
+        asked = broadcast_if_small(written(near.select("key").distinct()))  # beyond the limit, texts are shuffled once more
+        texts = given.select("key", "text").join(asked, "key", "left_semi")
+        return written(near.join(texts, "key").groupBy(*task_key).applyInArrow(verify, "a long, b long").distinct())
+
+    # Each text with the group whose hub shares most of its prefix; hubs stay in their own groups.
+    best = placed.groupBy("rep").agg(F.max(F.struct("shared", "m", (-F.col("hub")).alias("minus_hub"), "upper")).alias("best"))
+    chosen = written(
+        placed.join(best, "rep").where("rep = hub or (hub = -best.minus_hub and upper = best.upper)").select(*group, "rep", "n", "own")
+    )
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_RUNS)).cast("int")
+    groups = chosen.groupBy(*group).agg(
+        F.count("*").alias("m"), blocks.alias("blocks"), F.array(*[F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(ANCHORS)]).alias("anchors")
+    ).where("m > 1")
+    anchor = (F.col("rep") == F.col("hub")) | F.array_contains("anchors", F.col("rep"))
+    alone = (
+        chosen.join(groups, group).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("lo", F.explode(F.when(anchor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+        .withColumns({"hi": F.col("lo"), "label": F.col("rep"), "own": F.lit(True)})  # it is the only group of its texts
+    )
+    links = links_within(alone)
+
+    # All groups, by components: what is outside a group's largest component (strays) meets it and each other.
+    so_far = connected_components(links).withColumnRenamed("node", "rep")
+    labelled = written(placed.drop("shared", "m").join(so_far, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+    several = (
+        labelled.groupBy(*group, "label").agg(F.count("*").alias("k")).groupBy(*group)
+        .agg(F.sum("k").alias("m"), F.max(F.struct("k", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+        .select(*group, (F.col("m") <= BOUND_ROWS).alias("one"), F.col("main.label").alias("main"),
+                F.ceil((F.col("m") - F.col("main.k")) * 2 / BOUND_ROWS).cast("int").alias("stray_blocks"),
+                F.ceil(F.col("main.k") * 2 / BOUND_ROWS).cast("int").alias("main_blocks"))
+    )
+    spread = F.xxhash64("rep")
+    block = (
+        F.when(F.col("one"), 0)
+        .when(F.col("label") == F.col("main"), F.col("stray_blocks") + F.pmod(spread, F.col("main_blocks")))
+        .otherwise(F.pmod(spread, F.col("stray_blocks"))).cast("int")
+    )
+    last = F.when(F.col("one"), 0).when(F.col("block") < F.col("stray_blocks"), F.col("stray_blocks") + F.col("main_blocks") - 1).otherwise(F.col("stray_blocks") - 1)
+    across = (
+        labelled.join(several, group).withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    )
+    links = links.union(links_within(across))
     labels = connected_components(links)
     labelled = classes.drop("counts", "key").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", "n", "least_id", F.coalesce("label", "rep").alias("label")

@@ -184,3 +184,14 @@ def test_repeated_tokens_equal_brute_force():
         tokens = np.array([t for own in pages for t in own], np.uint64)
         page = np.repeat(np.arange(4), [len(own) for own in pages])
         assert page_text.repeated_tokens(tokens, page).tolist() == wanted
+
+
+def test_cells_of_pairs_hold_every_pair():
+    rng = np.random.default_rng(4)
+    n = rng.integers(1, 6_000, 400)
+    pairs = np.triu(rng.random((400, 400)) < 0.001, 1)
+    met = np.zeros_like(pairs)
+    for _, _, rows in ngram_join.cells_of_pairs(pairs, n):
+        assert len(rows) <= 2 * ngram_join.BLOCK_ROWS
+        met[np.ix_(rows, rows)] = True
+    assert not (pairs & ~met).any()

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import tiktoken
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -58,7 +59,9 @@ def test_ngram_components(spark, edge_rows, no_rows):
     assert ngram_join.ngram_jaccard_components(no_rows).count() == 0
 
 
-def test_ngram_components_of_a_large_group(spark):
+@pytest.mark.parametrize("bound_rows", [ngram_join.BOUND_ROWS, 40])  # the second one spreads groups over many pairs of blocks
+def test_ngram_components_of_a_large_group(spark, monkeypatch, bound_rows):
+    monkeypatch.setattr(ngram_join, "BOUND_ROWS", bound_rows)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     texts = []
