@@ -13,7 +13,8 @@ the runs, two linked sets share a run within their prefixes of ``n - ceil(percen
    group of several, the texts outside its largest component meet each other and that component, in pairs of blocks;
    the texts of the largest component need not meet each other;
 4. texts meet first as counts: runs per cell of a small hash table, whose cell-wise minima bound the intersection from
-   above. Only texts with a partner that this bound allows are fetched;
+   above. What it lets pass meets as counts once more, in a table that grows with the texts of the group, since a small
+   one bounds nothing for long texts. Only texts with a partner that both bounds allow are fetched;
 5. inside a task, candidates must also share prefix runs under two more orders and fit in size; the filters are
    intersected, and what is left is verified on the whole sets. A task gives back a spanning forest of its links, never
    its pairs; links are joined to components.
@@ -44,7 +45,7 @@ BOUND_ROWS = 2048       # texts that meet as counts in one task
 BOUND_CELLS = 256       # cells of the counts that bound an intersection
 SEEN = 200_000          # set digests that a task remembers to sign a set once
 _ORDER_1, _ORDER_2, _ORDER_3, _DIGEST = 7, 8, 9, 5
-_FULL = (1 << 16) - 1   # a count that bounds nothing
+_FULL, _FINE_FULL = (1 << 16) - 1, 255  # counts that bound nothing
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -141,6 +142,27 @@ def possible_pairs(n: np.ndarray, sides: np.ndarray, counts: np.ndarray, percent
     return wanted
 
 
+def fine_cells(upper: int, percent: int) -> int:
+    """Cells of the finer counts in the groups of size band ``upper``: about a quarter of the largest set."""
+    return max(BOUND_CELLS, 1 << max(0, int((1.01 * 100 / percent) ** (upper + 1) / 4).bit_length() - 1))
+
+
+def fine_counts(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows with ``upper`` and ``text``: the text is replaced by ``counts``, the runs of its set per cell."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 64):
+            part = batch.slice(begin, 64)
+            texts = part.column("text").to_pylist()
+            made = []
+            for text, upper in zip(texts, part.column("upper").to_pylist()):
+                hashes, _ = W.shingle_sets([W.canonical(text)], size)
+                cells = fine_cells(upper, percent)
+                counts = np.bincount((hashes % np.uint64(cells)).astype(np.int64), minlength=cells)
+                made.append(np.minimum(counts, _FINE_FULL).astype(np.uint8).tobytes())
+            names = [c for c in part.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(made, pa.binary())], [*names, "counts"])
+
+
 def with_partner(n: np.ndarray, sides: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     """Which sets may link with another one."""
     pairs = possible_pairs(n, sides, counts, percent)
@@ -254,6 +276,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     placed = written(members.join(sizes.select(*group, "m"), group))
     cell_key = [*group, "lo", "hi"]
     task_key = [*cell_key, "part_lo", "part_hi"]
+    carried = ["rep", "label", "key", "n", "own"]
 
     def bounded(table: pa.Table) -> pa.Table:
         table = table.sort_by([("label", "ascending"), ("n", "ascending"), ("rep", "ascending")])
@@ -261,7 +284,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         sides = label if table.column("lo")[0] == table.column("hi")[0] else np.stack((label, block))
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").reshape(-1, BOUND_CELLS).astype(np.int64)
         pairs = possible_pairs(n, sides, counts, percent, table.column("own").to_numpy())
-        table = table.select([*cell_key, "rep", "label", "key"])
+        table = table.select([*cell_key, *carried])
         out = [table.slice(0, 0).append_column("part_lo", pa.array([], pa.int32())).append_column("part_hi", pa.array([], pa.int32()))]
         for i, j, of in cells_of_pairs(pairs, n):
             at = [pa.array(np.full(len(of), x, np.int32)) for x in (i, j)]
@@ -274,15 +297,29 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         links = forest_of_links(table.column("rep").to_numpy(), table.column("label").to_numpy(), table.column("text").to_pylist(), size, percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
+    def bounded_again(table: pa.Table) -> pa.Table:
+        first = dict(zip(table.column("rep").to_pylist(), range(table.num_rows)))  # repeated rows have one key and one text
+        table = table.take(pa.array(list(first.values())))
+        n, label, own = (table.column(c).to_numpy() for c in ("n", "label", "own"))
+        counts = np.stack([np.frombuffer(c, np.uint8) for c in table.column("counts").to_pylist()]).astype(np.int64)
+        pairs = possible_pairs(n, label, np.where(counts == _FINE_FULL, _FULL, counts), percent, own)
+        return table.select([*task_key, *carried]).filter(pa.array(pairs.any(0) | pairs.any(1)))
+
     signs = classes.select("rep", "key", "counts")
 
     def links_within(cells: DataFrame) -> DataFrame:
-        shape = "hub long, upper int, lo int, hi int, rep long, label long, key long, part_lo int, part_hi int"
+        shape = "hub long, upper int, lo int, hi int, rep long, label long, key long, n long, own boolean, part_lo int, part_hi int"
         met_there = cells.select(*cell_key, "block", "rep", "n", "own", "label").join(signs, "rep")
-        near = written(met_there.groupBy(*cell_key).applyInArrow(bounded, shape))
+        near = written(met_there.groupBy(*cell_key).applyInArrow(bounded, shape)).select(*task_key, *carried)
+        shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in near.schema)
+        fine = with_texts(near).mapInArrow(lambda batches: fine_counts(batches, size, percent), f"{shape}, counts binary")
+        nearer = written(fine.groupBy(*task_key).applyInArrow(bounded_again, shape))
+        return written(with_texts(nearer).groupBy(*task_key).applyInArrow(verify, "a long, b long").distinct())
+
+    def with_texts(near: DataFrame) -> DataFrame:
         asked = broadcast_if_small(written(near.select("key").distinct()))  # beyond the limit, texts are shuffled once more
         texts = given.select("key", "text").join(asked, "key", "left_semi")
-        return written(near.join(texts, "key").groupBy(*task_key).applyInArrow(verify, "a long, b long").distinct())
+        return near.join(texts, "key").select(*near.columns, "text")
 
     # Each text with the group whose hub shares most of its prefix; hubs stay in their own groups.
     best = placed.groupBy("rep").agg(F.max(F.struct("shared", "m", (-F.col("hub")).alias("minus_hub"), "upper")).alias("best"))

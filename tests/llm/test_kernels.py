@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -195,3 +196,15 @@ def test_cells_of_pairs_hold_every_pair():
         assert len(rows) <= 2 * ngram_join.BLOCK_ROWS
         met[np.ix_(rows, rows)] = True
     assert not (pairs & ~met).any()
+
+
+def test_finer_counts_tell_long_texts_apart():
+    rng = random.Random(8)
+    long = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(8_000)) for _ in range(2)]
+    texts = [*long, long[0] + " and a tail"]
+    n = words.shingle_sets([words.canonical(t) for t in texts], 5)[1]
+    upper = int(np.log(n.max()) / np.log(1.01 * 100 / 80))
+    batch = pa.RecordBatch.from_arrays([pa.array([upper] * 3, pa.int32()), pa.array(texts)], ["upper", "text"])
+    (made,) = ngram_join.fine_counts(iter([batch]), 5, 80)
+    counts = np.stack([np.frombuffer(c, np.uint8) for c in made.column("counts").to_pylist()]).astype(np.int64)
+    assert np.argwhere(ngram_join.possible_pairs(n, np.arange(3), counts, 80)).tolist() == [[0, 2]]
