@@ -38,13 +38,7 @@ ADMIN_CODE = "admin:*"
 NAVIGATION = ("dashboard", "sources", "metadata", "jobs", "users", "roles")
 SYSTEM_ROLE = "시스템 관리자"
 
-IMPORT_MAX_BYTES = 2 * 1024 * 1024
-IMPORT_ERROR_CHARS = 500
 LIST_ERROR_CHARS = 300
-LOG_MESSAGE_CHARS = 1000
-LOG_DETAIL_CHARS = 4000
-HISTORY_LIMIT = 100
-HISTORY_MAX = 500
 RUN_LIST_LIMIT = 100
 RUN_DASHBOARD_LIMIT = 8
 

@@ -44,6 +44,8 @@ def newest(headers: DataFrame, limit: int) -> DataFrame:
     Spark cuts each task's rows to the limit before the shuffle (window group limit), so at most N rows per task and
     source reach the final sort.
     """
+    if limit < 1:
+        raise ValueError("at least one snapshot of each source has to be asked for")
     order = W.partitionBy("data_source_id").orderBy(F.col("captured_at").desc(), F.col("snapshot_id").desc())
     return headers.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank")
 

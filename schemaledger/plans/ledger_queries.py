@@ -30,7 +30,7 @@ def dashboard_runs(spark, sf):
 
 @query("f2_newest_runs", "p1_runs", sql="SELECT id, job_id, status, object_count FROM p1_runs ORDER BY started_at DESC, id DESC LIMIT 100")
 def newest_runs(spark, sf):
-    return ledger.newest_runs(p1.runs(spark, sf)).select("id", "job_id", "status", "object_count")
+    return ledger.newest_runs(p1.runs(spark, sf), model.RUN_LIST_LIMIT).select("id", "job_id", "status", "object_count")
 
 
 @query("f4_listing_order", "p1_connections", sql="SELECT id, name FROM p1_connections")

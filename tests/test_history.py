@@ -56,9 +56,9 @@ def test_latest_takes_the_higher_id_on_equal_times(spark):
     assert sorted(r["snapshot_id"] for r in history.latest(heads).collect()) == [3, 4]
     assert [r["snapshot_id"] for r in history.newest_of_source(heads, 5, 2).collect()] == [3, 2]
     assert sorted(r["snapshot_id"] for r in history.newest(heads, 1).collect()) == [3, 4]
-    for limit in (0, 501):
-        with pytest.raises(ValueError):
-            history.newest(heads, limit)
+    assert history.newest(heads, 501).count() == 4
+    with pytest.raises(ValueError):
+        history.newest(heads, 0)
 
 
 def test_numbers_in_blocks_equal_plain_numbers(spark):
