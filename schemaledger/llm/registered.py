@@ -12,10 +12,13 @@ from ..session import shared_folder, written
 from .byte_bpe import byte_bpe
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
+from .importance import importance_resample
 from .language_id import identify, learned
+from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard_components
 from .page_text import extract_main_text
+from .source_audit import audit_sources
 from .token_counts import TokenRollup, counted
 from .token_files import token_files
 from .url_rules import judge_urls, mined_rules
@@ -139,3 +142,109 @@ FROM o GROUP BY doc_id""")
 def op10_line_dedup(spark, sf):
     found = dedup_lines(_table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@_query("op11_importance_resampling", rf"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+t AS (SELECT true AS corpus, row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents UNION ALL SELECT false, row_number() OVER (), item_id, {_WORDS} FROM benchmark),
+g AS (SELECT corpus, r, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS gram FROM t),
+b AS (SELECT gram, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(gram)) + 1), lambda i: CAST('0x' || substr(hex(encode(gram)), 2 * i - 1, 2) AS BIGINT))),
+    lambda a, x: xor(a >> 8, crc[CAST((xor(a, x) & 255) + 1 AS BIGINT)]))) % 10000 AS bucket FROM (SELECT DISTINCT gram FROM g) CROSS JOIN tab),
+f AS (SELECT corpus, r, bucket FROM g JOIN b USING (gram)),
+c AS (SELECT bucket, count(*) FILTER (corpus) AS s, count(*) FILTER (NOT corpus) AS t FROM f GROUP BY bucket),
+w AS (SELECT bucket, floor(1000 * ln(CAST((t + 1) * ((SELECT sum(s) FROM c) + 10000) AS DOUBLE) / CAST((s + 1) * ((SELECT sum(t) FROM c) + 10000) AS DOUBLE))) AS gain FROM c),
+d AS (SELECT r, CAST(floor(sum(CAST(gain AS HUGEINT)) / count(*)) AS BIGINT) AS weight, count(*) AS n FROM f JOIN w USING (bucket) WHERE corpus GROUP BY r),
+x AS (SELECT doc_id, len(words) >= 20 AS eligible, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM t LEFT JOIN d USING (r) WHERE corpus),
+o AS (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) AS place FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= (SELECT count(*) FROM x WHERE eligible) * 25 // 100 THEN place END AS rank FROM o""")
+def op11_importance_resampling(spark, sf):
+    found = importance_resample(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# The names of licences that every scan looks for.
+LICENSE_NAMES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
+# Further names, and notices of public licences as their publishers word them.
+LICENSE_PHRASES = (
+    ("cc by 4 0", "cc-by"), ("cc by sa 4 0", "cc-by-sa"), ("cc by nc 4 0", "cc-by-nc"), ("cc by nd 4 0", "cc-by-nd"), ("cc0 1 0", "cc0"),
+    ("gnu lesser general public license", "lgpl"), ("gnu affero general public license", "agpl"), ("gnu free documentation license", "gfdl"),
+    ("mozilla public license", "mpl"), ("eclipse public license", "epl"), ("bsd 2 clause", "bsd"), ("bsd 3 clause", "bsd"), ("isc license", "isc"),
+)
+LICENSE_NOTICES = (
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
+    ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "mit"),
+    ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "apache"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License", "mpl"),
+    ("This is free and unencumbered software released into the public domain", "unlicense"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "creative-commons"),
+)
+LICENSE_SHARE = 0.8
+
+
+def _license_sql() -> str:
+    base = [t.split() for t, _ in LICENSE_NAMES]
+    rows = [(label, "true", text) for text, label in (*LICENSE_NAMES, *LICENSE_PHRASES)] + [(label, "false", text) for text, label in LICENSE_NOTICES]
+    values = ", ".join(f"({i}, {i < len(base)}, '{label}', {exact}, '{text}')" for i, (label, exact, text) in enumerate(rows))
+    return rf"""
+WITH p AS (SELECT id, base, label, exact, {_WORDS} AS seq FROM (VALUES {values}) AS v(id, base, label, exact, text)),
+q AS (SELECT *, len(seq) AS size, len(list_distinct(seq)) AS own, CASE WHEN exact THEN len(list_distinct(seq)) ELSE ceil({LICENSE_SHARE} * len(list_distinct(seq)) - 1e-9) END AS needed FROM p),
+d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS words FROM documents),
+v AS (SELECT DISTINCT id, unnest(seq) AS word FROM p),
+w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM d),
+h AS (SELECT r, id, pos, lag(pos) OVER (PARTITION BY r, id, word ORDER BY pos) AS before FROM w JOIN v USING (word)),
+e AS (SELECT r, id, greatest(pos - size + 1, coalesce(before + 1, 0), 0) AS lo, least(pos, greatest(0, len(words) - size)) + 1 AS hi FROM h JOIN q USING (id) JOIN d USING (r)),
+k AS (SELECT r, id, place, sum(sum(step)) OVER (PARTITION BY r, id ORDER BY place) AS held FROM (
+    SELECT r, id, lo AS place, 1 AS step FROM e WHERE lo < hi UNION ALL SELECT r, id, hi, -1 FROM e WHERE lo < hi) GROUP BY r, id, place),
+m AS (SELECT r, id, place, held, needed, own, exact, base, label FROM k JOIN q USING (id) WHERE held >= needed AND NOT exact),
+x AS (SELECT DISTINCT r, id, s AS place FROM (SELECT r, pos AS s, word FROM w) JOIN (SELECT id, seq, size FROM q WHERE exact) z ON word = seq[1] JOIN d USING (r) WHERE words[s + 1 : s + size] = seq),
+f AS (SELECT r, place, base, label, 1.0::DOUBLE AS share FROM x JOIN q USING (id) UNION ALL SELECT r, place, false, label, held / own::DOUBLE FROM m)
+SELECT doc_id, CAST(len(any_value(words)) AS BIGINT) AS n_words, CAST(count(*) FILTER (base) AS BIGINT) AS n_base, CAST(min(place) FILTER (base) AS BIGINT) AS first_word,
+  CAST(max(place) FILTER (base) AS BIGINT) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0)::DOUBLE AS score
+FROM d LEFT JOIN f USING (r) GROUP BY r, doc_id"""
+
+
+@_query("op12_license_scan", _license_sql())
+def op12_license_scan(spark, sf):
+    """Score: the best containment among the matches of a document, 0 without one."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    found = scan_licenses(docs, (*LICENSE_NAMES, *LICENSE_PHRASES), LICENSE_NOTICES, LICENSE_SHARE)
+    names = F.array(*[F.lit(label) for _, label in LICENSE_NAMES])
+    base = F.filter("matches", lambda m: m["exact"] & F.array_contains(names, m["label"]))
+    labels = lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda m: m["label"]))), ",")
+    starts = F.transform("base", lambda m: m["start"])
+    return found.withColumn("base", base).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(F.col("base")).alias("base_labels"), labels(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("score"),
+    )
+
+
+@_query("op13_source_audit", r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+w AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1)) // (coalesce(s.n, 0) + l.v) AS p,
+    1 + (CAST(1000000000 AS HUGEINT) * (k.total + 1)) // (l.n + l.v) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+y AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+z AS (SELECT lang, source, 'pair' AS part, item, value FROM y UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM z)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= 200""")
+def op13_source_audit(spark, sf):
+    return audit_sources(_table(spark, sf, "documents"))
