@@ -29,36 +29,45 @@ from ..session import broadcast_if_small, written
 from .byte_words import LETTERS, word_blocks
 
 UNIT = 1_000_000_000  # shares are whole numbers of this part
-_HELD = 1 << 18  # terms in a Counter before they are handed on
+_HELD = 1 << 20  # counted terms that a task holds before it hands them on
+_WORDS_HELD = 1 << 32  # words, likewise
+_ONE_DOCUMENT = 1 << 36  # a document and its occurrences in one number: documents above, occurrences below
 _BLOCK_PAIRS = 1 << 21  # entries of one block's product before equal ones are added up
 _SUM = "decimal(38,0)"
+_IN_LONG = 9_000_000_000  # below this count, UNIT * (count + 1) is a long
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """``lang, term, source, n, docs`` of the columns ``lang, source, text``: counted in parts, so keys repeat."""
 
-    def reduced(counts: Counter, docs_with: Counter) -> pa.RecordBatch:
-        keys = list(counts)
-        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.string())]
-        numbers = [pa.array([c[k] for k in keys], pa.int64()) for c in (counts, docs_with)]
-        return pa.RecordBatch.from_arrays([*columns, *numbers], ["lang", "term", "source", "n", "docs"])
+    def reduced(held: dict[tuple, dict[bytes, int]]) -> pa.RecordBatch:
+        sizes = [len(counts) for counts in held.values()]
+        both = np.concatenate([np.fromiter(counts.values(), np.int64, len(counts)) for counts in held.values()])
+        terms = pa.concat_arrays([pa.array(list(counts), pa.binary()) for counts in held.values()])
+        group = pa.array(np.repeat(np.arange(len(held)), sizes))
+        lang, source = (pa.array([key[k] for key in held], pa.string()).take(group) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([lang, terms, source, pa.array(both % _ONE_DOCUMENT), pa.array(both // _ONE_DOCUMENT)], ["lang", "term", "source", "n", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs_with = Counter(), Counter()
+        held: dict[tuple, dict[bytes, int]] = {}
+        terms = words = 0
         for batch in batches:
             for lang, source, text in zip(*(column.to_pylist() for column in batch.columns)):
                 own: Counter = Counter()
-                for words in word_blocks(text, LETTERS):
-                    own.update(words)
+                for block in word_blocks(text, LETTERS):
+                    own.update(block)
+                    words += len(block)
+                counts = held.setdefault((lang, source), {})
+                terms -= len(counts)
+                known = counts.get
                 for term, n in own.items():
-                    key = (lang, source, term)
-                    counts[key] += n
-                    docs_with[key] += 1
-                if len(counts) > _HELD:
-                    yield reduced(counts, docs_with)
-                    counts, docs_with = Counter(), Counter()
-        if counts:
-            yield reduced(counts, docs_with)
+                    counts[term] = known(term, 0) + n + _ONE_DOCUMENT
+                terms += len(counts)
+                if terms > _HELD or words > _WORDS_HELD:
+                    yield reduced(held)
+                    held, terms, words = {}, 0, 0
+        if held:
+            yield reduced(held)
 
     rows = docs.select("lang", "source", F.col("text").cast("binary"))
     return rows.mapInArrow(run, "lang string, term binary, source string, n long, docs long").withColumn("term", F.col("term").cast("string"))
@@ -132,8 +141,10 @@ def _parts(lang: str, names: list[str], left: np.ndarray, right: np.ndarray, cel
 
 def share(count: Column, total: Column, kept: Column) -> Column:
     """Smoothed share in units, above 0: 1 + floor(UNIT * (count + 1) / (total + kept)), exact for any count."""
-    over = F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * (count + 1).cast("decimal(19,0)"), F.greatest(total + kept, F.lit(1)).cast("decimal(19,0)"))
-    return over + 1
+    over = F.greatest(total + kept, F.lit(1))
+    exact = F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * (count + 1).cast("decimal(19,0)"), over.cast("decimal(19,0)"))
+    in_long = F.call_function("div", F.lit(UNIT).cast("long") * (count + 1), over)
+    return F.when(count < _IN_LONG, in_long).otherwise(exact) + 1
 
 
 def penalty(p: Column, q: Column) -> Column:
@@ -166,13 +177,14 @@ def audit_sources(
 
 
 def _groups(rows: DataFrame, terms: DataFrame, levels: DataFrame) -> DataFrame:
-    """Every group of the documents: ``lang, source, size`` (occurrences of kept terms), ``lang_size, kept`` of the language."""
+    """Every group of the documents: ``lang, source, size`` (occurrences of kept terms), ``lang_size, kept`` of the language, ``absent``: share of count 0."""
     sizes = levels.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("terms")).alias("size"))
     langs = terms.groupBy("lang").agg(F.sum("total").alias("lang_size"), F.count("*").alias("kept"))
     zero = F.lit(0).cast("long")
     return written(
         rows.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
         .select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("size", "lang_size", "kept")])
+        .withColumn("absent", share(zero, F.col("size"), F.col("kept")))
     )
 
 
@@ -182,12 +194,11 @@ def _pairs(terms: DataFrame, levels: DataFrame, groups: DataFrame) -> DataFrame:
     sum f(a, b) = sum over cells n * (f(a, b) - f(a, 0) - f(0, b) + f(0, 0))
                 + sum over levels of source (f(a, 0) - f(0, 0)) + sum over levels of item (f(0, b) - f(0, 0)) + kept * f(0, 0).
     """
-    side = lambda prefix: broadcast_if_small(groups.select("lang", F.col("source").alias(prefix), F.col("size").alias(f"{prefix}_size"), "kept"))
-    a, b = side("source"), side("item").drop("kept")
-    p = lambda count, of: share(count, F.col(f"{of}_size"), F.col("kept"))
-    none = F.lit(0).cast("long")
-    p0, q0 = p(none, "source"), p(none, "item")
-    both = groups.select("lang", "source", F.col("size").alias("source_size"), "kept").join(b, "lang").where(F.col("source") != F.col("item"))
+    side = lambda of: groups.select("lang", F.col("source").alias(of), F.col("size").alias(f"{of}_size"), F.col("absent").alias(f"{of}_absent"), "kept")
+    a, b = broadcast_if_small(side("source")), broadcast_if_small(side("item").drop("kept"))
+    p = lambda count, of: share(F.col(count), F.col(f"{of}_size"), F.col("kept"))
+    p0, q0 = F.col("source_absent"), F.col("item_absent")
+    both = side("source").join(b, "lang").where(F.col("source") != F.col("item"))
     f00 = penalty(p0, q0)
 
     cells = joint_tables(terms).select("lang", "a", "b", F.inline("cells").alias("in_a", "in_b", "n"))
@@ -195,7 +206,7 @@ def _pairs(terms: DataFrame, levels: DataFrame, groups: DataFrame) -> DataFrame:
         F.struct(F.col("a").alias("source"), F.col("b").alias("item"), F.col("in_a").alias("x"), F.col("in_b").alias("y"), "n"),
         F.struct(F.col("b").alias("source"), F.col("a").alias("item"), F.col("in_b").alias("x"), F.col("in_a").alias("y"), "n"),
     )).alias("cell")).select("lang", "cell.*")
-    priced = turned.join(a, ["lang", "source"]).join(b, ["lang", "item"]).select("lang", "source", "item", "n", p(F.col("x"), "source").alias("p"), p(F.col("y"), "item").alias("q"), p0.alias("p0"), q0.alias("q0"))
+    priced = turned.join(a, ["lang", "source"]).join(b, ["lang", "item"]).select("lang", "source", "item", "n", p("x", "source").alias("p"), p("y", "item").alias("q"), p0.alias("p0"), q0.alias("q0"))
     f = lambda x, y: penalty(F.col(x), F.col(y))
     inner = priced.select("lang", "source", "item", (F.col("n").cast(_SUM) * (f("p", "q") - f("p", "q0") - f("p0", "q") + f("p0", "q0")).cast("decimal(19,0)")).cast(_SUM).alias("value"))
 
@@ -203,7 +214,7 @@ def _pairs(terms: DataFrame, levels: DataFrame, groups: DataFrame) -> DataFrame:
         both.join(levels.withColumnsRenamed({"source": of, "n": "x"}), ["lang", of])
         .select("lang", "source", "item", (F.col("terms").cast("decimal(18,0)") * (price - f00).cast("decimal(19,0)")).cast(_SUM).alias("value"))
     )
-    outer = margin(levels, "source", penalty(p(F.col("x"), "source"), q0)).unionByName(margin(levels, "item", penalty(p0, p(F.col("x"), "item"))))
+    outer = margin(levels, "source", penalty(p("x", "source"), q0)).unionByName(margin(levels, "item", penalty(p0, p("x", "item"))))
     base = both.select("lang", "source", "item", (F.col("kept").cast("decimal(18,0)") * f00.cast("decimal(19,0)")).cast(_SUM).alias("value"))
     value = inner.unionByName(outer).unionByName(base).groupBy("lang", "source", "item").agg(F.sum("value").cast("long").alias("value"))
     order = W.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")

@@ -180,3 +180,12 @@ def test_source_audit(spark, edge_rows, no_rows):
     edge = [(r["text"], r["lang"], r["source"]) for r in edge_rows.collect()]
     assert sorted(tuple(r[c] for c in shown) for r in source_audit.audit_sources(edge_rows, 1).collect()) == audited(edge, 1, 200)
     assert source_audit.audit_sources(no_rows).count() == 0
+
+
+def test_shares_and_penalties_are_exact_for_any_count(spark):
+    rows = [(0, 0, 0), (0, 10**9, 5), (10**13, 3 * 10**13, 10**8), (8_999_999_999, 10**10, 1), (9_000_000_000, 10**10, 1), (2**62, 2**62, 7)]
+    got = spark.createDataFrame(rows, "n long, size long, kept long").select("*", source_audit.share(F.col("n"), F.col("size"), F.col("kept")).alias("p")).collect()
+    assert [r["p"] for r in got] == [1 + 10**9 * (n + 1) // max(1, size + kept) for n, size, kept in rows]
+    pairs = [(10**9 + 1, 1), (1, 10**9 + 1), (5, 5), (123456789, 987654)]
+    got = spark.createDataFrame(pairs, "p long, q long").select(source_audit.penalty(F.col("p"), F.col("q")).alias("f")).collect()
+    assert [r["f"] for r in got] == [(p - q) ** 2 // q for p, q in pairs]
