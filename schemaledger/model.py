@@ -74,8 +74,44 @@ STORAGE_SUMMARY = (
 HEADER_COLUMNS = ("snapshot_id", "data_source_id", "run_id", "captured_at")
 TABLE_KEY = ("snapshot_id", "schema_name", "table_name")
 
-# One stored part of a snapshot. A snapshot of ordinary size has one part.
-PARTS = (
-    "snapshot_id BIGINT, data_source_id BIGINT, run_id BIGINT, captured_at TIMESTAMP_NTZ, "
-    "part_no BIGINT, part_count BIGINT, payload STRING, head_digest STRING, schema_names ARRAY<STRING>, digest ARRAY<BIGINT>"
+# The snapshot store: one row per snapshot (its facts) and one per schema, table, view and routine, told apart by `kind`.
+# Lists inside a table are typed, so a reader names the leaves it wants and the scan reads no others.
+SNAPSHOT, SCHEMA, TABLE_KIND, VIEW_KIND, ROUTINE_KIND = "snapshot", "schema", "table", "view", "procedure"
+LISTS = {
+    "columns": "name STRING, type STRING, nullable BOOLEAN, default STRING, comment STRING",
+    "foreign_keys": (
+        "name STRING, constrained_columns ARRAY<STRING>, referred_schema STRING, referred_table STRING, "
+        "referred_columns ARRAY<STRING>"
+    ),
+    "indexes": "name STRING, column_names ARRAY<STRING>, unique BOOLEAN",
+    "unique_constraints": "name STRING, column_names ARRAY<STRING>",
+}
+PRIMARY_KEY = "STRUCT<constrained_columns: ARRAY<STRING>, name: STRING>"
+STORAGE = (
+    "STRUCT<data_bytes: BIGINT, index_bytes: BIGINT, total_bytes: BIGINT, row_estimate: BIGINT, "
+    "previous_total_bytes: BIGINT, growth_bytes: BIGINT, growth_percent: DOUBLE>"
 )
+SKIPPED = "ARRAY<STRUCT<name: STRING, reason: STRING>>"
+
+
+def _list_type(name: str) -> str:
+    return f"ARRAY<STRUCT<{', '.join(f.strip().replace(' ', ': ', 1) for f in LISTS[name].split(','))}>>"
+
+
+STORED = ", ".join([
+    "kind STRING, snapshot_id BIGINT, data_source_id BIGINT, run_id BIGINT, captured_at TIMESTAMP_NTZ",
+    # of a snapshot
+    f"source STRING, db_type STRING, database STRING, items ARRAY<STRING>, storage_growth BOOLEAN, skipped_schemas {SKIPPED}",
+    f"storage_summary {STORAGE_SUMMARY}",
+    # of an object; `position` is its place in a document it came from
+    "schema_name STRING, name STRING, position BIGINT, comment STRING",
+    *[f"{n} {_list_type(n)}" for n in LISTS],
+    f"primary_key {PRIMARY_KEY}, permissions {PERMISSIONS}, storage {STORAGE}",
+    "definition STRING, routine_type STRING, return_type STRING, arguments STRING",
+    # `raw`: the object as it was, where the fields above do not say all of it; `digest`: SHA-256 of the object
+    "raw STRING, digest STRING",
+    "month INT, source_bucket INT",
+])
+# Folders of the store; a source keeps its bucket.
+PARTITIONS = ("kind", "month", "source_bucket")
+SOURCE_BUCKETS = 4

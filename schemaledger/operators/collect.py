@@ -1,7 +1,7 @@
 """What to collect, attaching facets to objects, and snapshot assembly.
 
-A snapshot is stored as parts: each part holds the payload tree of a bounded share of its objects, so no task ever
-has to hold a whole large snapshot. A snapshot of ordinary size is one part, and its payload is the whole tree.
+A snapshot is stored as rows, one for its facts and one for each schema, table, view and routine (`model.STORED`). No
+row and no group is ever larger than one object, however large the snapshot.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import model
 from ..functions.values import canonical_json, no_grant
+from ..session import broadcast_if_small
 
-PART_OBJECTS = 1000
 DIGEST_WORDS = 8
 
 
@@ -127,20 +127,17 @@ def primary_key_flags(columns: DataFrame, primary_keys: DataFrame) -> DataFrame:
 
 
 # --- assembly ----------------------------------------------------------------------------------------------------
-_GROWTH = ("previous_total_bytes", "growth_bytes", "growth_percent")
+GROWTH = ("previous_total_bytes", "growth_bytes", "growth_percent")
+_KEEP_NULLS = {"ignoreNullFields": "false"}
 
 # Per facet: the column that names the owning object, and the fields of one item.
 _FACETS = {
     "tables": ("table_name", "comment STRING"),
-    "columns": ("table_name", "name STRING, type STRING, nullable BOOLEAN, default STRING, comment STRING"),
+    "columns": ("table_name", model.LISTS["columns"]),
     "primary_keys": ("table_name", "constrained_columns ARRAY<STRING>, name STRING"),
-    "foreign_keys": (
-        "table_name",
-        "name STRING, constrained_columns ARRAY<STRING>, referred_schema STRING, referred_table STRING, "
-        "referred_columns ARRAY<STRING>",
-    ),
-    "indexes": ("table_name", "name STRING, column_names ARRAY<STRING>, unique BOOLEAN"),
-    "unique_constraints": ("table_name", "name STRING, column_names ARRAY<STRING>"),
+    "foreign_keys": ("table_name", model.LISTS["foreign_keys"]),
+    "indexes": ("table_name", model.LISTS["indexes"]),
+    "unique_constraints": ("table_name", model.LISTS["unique_constraints"]),
     "storage": (
         "table_name",
         "data_bytes BIGINT, index_bytes BIGINT, total_bytes BIGINT, row_estimate BIGINT, "
@@ -165,193 +162,179 @@ def _facet_rows(name: str, rows: DataFrame) -> DataFrame:
     return rows.select("snapshot_id", "schema_name", F.col(_FACETS[name][0]).alias("object"), F.struct(*fields).alias(name))
 
 
-def object_counts(relations: dict[str, DataFrame]) -> DataFrame:
-    """Objects per snapshot (tables, views, routines); reads one column of each relation."""
-    rows = [relations[r].select("snapshot_id") for r in ("tables", "views", "routines") if r in relations]
-    return reduce(DataFrame.unionAll, rows).groupBy("snapshot_id").agg(F.count("*").alias("objects"))
+def stored_rows(rows: DataFrame) -> DataFrame:
+    """Rows with all columns of `model.STORED`: absent ones are null, `month` and `source_bucket` follow the header."""
+    placed = rows.withColumns({
+        "month": F.date_format("captured_at", "yyyyMM").cast("int"),
+        "source_bucket": F.pmod("data_source_id", F.lit(model.SOURCE_BUCKETS)).cast("int"),
+    })
+    return placed.select(*[
+        (F.col(f.name) if f.name in placed.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in T.StructType.fromDDL(model.STORED).fields
+    ])
 
 
-def assemble(headers: DataFrame, relations: dict[str, DataFrame], part_objects: int = PART_OBJECTS) -> DataFrame:
-    """Flat catalogue rows -> stored snapshot parts.
+def assemble(headers: DataFrame, relations: dict[str, DataFrame]) -> DataFrame:
+    """Flat catalogue rows -> the rows of the snapshot store.
 
     ``headers``: snapshot_id, data_source_id, run_id, captured_at, source, db_type, database, items, storage_growth
     and optionally skipped_schemas, storage_summary. ``relations``: flat rows keyed by (snapshot_id, schema_name,
     table_name | name); `schemas` lists the schemas, so that empty ones are kept.
 
-    All facets go through one shuffle on (snapshot_id, part_no); the three grouping levels below reuse it. Only
-    snapshots with more than ``part_objects`` objects are cut, by the hash of (schema, object).
+    All facets of all objects go through one shuffle on (snapshot_id, schema_name, object) and one grouping. What holds
+    for a whole snapshot or schema (header, '*' grants) is one narrow relation with a row for each snapshot, joined after it.
     """
-    large = (
-        object_counts(relations)
-        .where(F.col("objects") > part_objects)
-        .select("snapshot_id", F.ceil(F.col("objects") / part_objects).cast("bigint").alias("_parts"))
-    )
-
     facets = [_facet_rows(name, rows) for name, rows in relations.items() if name in _FACETS]
-    facets.append(
-        relations["schemas"].select("snapshot_id", "schema_name", F.lit(None).cast("string").alias("object"))
-    )
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), facets)
     absent = {n: F.lit(None).cast(_facet_type(n)) for n in _FACETS if n not in rows.columns}
     rows = rows.withColumns(absent) if absent else rows
-
-    parts = F.coalesce("_parts", F.lit(1)).cast("bigint")
-    bucket = F.pmod(F.xxhash64("schema_name", F.coalesce("object", F.lit(""))), parts)
-    # A '*' grant holds for a whole schema, so it goes to every part; everything else goes to one.
-    homes = F.when(F.col("object") == "*", F.sequence(F.lit(0).cast("bigint"), parts - 1)).otherwise(F.array(bucket))
-    placed = rows.join(large, "snapshot_id", "left").withColumn("part_no", F.explode(homes)).drop("_parts")
-    placed = placed.unionByName(_header_rows(headers, large), allowMissingColumns=True)
-    placed = placed.repartition("snapshot_id", "part_no")
-
     lists = ("columns", "foreign_keys", "indexes", "unique_constraints", "routines")
-    singles = ("header", "tables", "primary_keys", "storage", "views", "grants")
-    objects = placed.groupBy("snapshot_id", "part_no", "schema_name", "object").agg(
+    singles = ("tables", "primary_keys", "storage", "views", "grants")
+    objects = rows.where("object <> '*'").groupBy("snapshot_id", "schema_name", "object").agg(
         *[F.sort_array(F.collect_list(n)).alias(n) for n in lists],
         *[F.first(n, ignorenulls=True).alias(n) for n in singles],
     )
-    schemas = objects.groupBy("snapshot_id", "part_no", "schema_name").agg(
-        F.first("header", ignorenulls=True).alias("header"),
-        F.first(F.when(F.col("object") == "*", F.col("grants.permissions")), ignorenulls=True).alias("star"),
-        F.sort_array(F.collect_list(F.when(F.col("tables").isNotNull(), _table_struct()))).alias("tables"),
-        F.sort_array(F.collect_list(F.when(F.col("views").isNotNull(), _view_struct()))).alias("views"),
-        F.sort_array(F.flatten(F.collect_list("routines"))).alias("procedures"),
-        F.bool_or(F.col("object").isNull()).alias("listed"),
-    )
-    # A grant or a size of a schema that holds nothing and is not listed does not make the schema appear.
-    known = F.col("listed") | (F.size("tables") > 0) | (F.size("views") > 0) | (F.size("procedures") > 0)
-    granted = lambda o: o.withField("permissions", F.coalesce(o["permissions"], F.col("star"), no_grant()))
-    schema = F.struct(
-        F.col("schema_name").alias("name"),
-        F.transform("tables", granted).alias("tables"),
-        F.transform("views", granted).alias("views"),
-        F.transform("procedures", lambda r: r.dropFields("ordinal")).alias("procedures"),
+    context = broadcast_if_small(_context(headers, relations.get("grants")))
+    star = F.try_element_at("stars", F.coalesce("schema_name", F.lit("")))
+    granted = F.coalesce("grants.permissions", star, no_grant())
+    kinds = F.array(_table(granted), _view(granted))
+    found = (
+        objects.join(context, "snapshot_id")
+        .select("snapshot_id", "schema_name", *_HEADER, F.explode(F.concat(kinds, F.transform("routines", _routine))).alias("o"))
+        .where("o IS NOT NULL").select("snapshot_id", "schema_name", *_HEADER, "o.*")
     )
-    whole = schemas.groupBy("snapshot_id", "part_no").agg(
-        F.first("header", ignorenulls=True).alias("header"),
-        F.sort_array(F.collect_list(F.when(F.col("schema_name").isNotNull() & known, schema))).alias("schemas"),
+    value = F.when(F.col("kind") == model.TABLE_KIND, table_json(growth=False)).when(F.col("kind") == model.VIEW_KIND, view_json()).otherwise(routine_json())
+    found = stored_rows(found)
+    return (
+        found.withColumn("digest", object_digest(F.col("kind"), F.col("schema_name"), value))
+        .unionByName(_schema_rows(headers, relations)).unionByName(_snapshot_rows(headers))
     )
-    return _stored_parts(whole)
 
 
-def _inner(items: Column) -> Column:
-    return F.transform(items, lambda i: i.dropFields("ordinal"))
+_HEADER = ("data_source_id", "run_id", "captured_at")
 
 
-def _no_key() -> Column:
-    return F.struct(F.array().cast("array<string>").alias("constrained_columns"), F.lit(None).cast("string").alias("name"))
+def _context(headers: DataFrame, grants: DataFrame | None) -> DataFrame:
+    """Per snapshot: header ids, whether storage was asked for, and the '*' grant of each schema as a map."""
+    heads = headers.select("snapshot_id", *_HEADER, F.coalesce("storage_growth", F.lit(False)).alias("storage_growth"))
+    empty = F.lit(None).cast(f"MAP<STRING, {model.PERMISSIONS}>")
+    if grants is None:
+        return heads.withColumn("stars", empty)
+    one = grants.where("name = '*'").groupBy("snapshot_id", F.coalesce("schema_name", F.lit("")).alias("schema_name")).agg(
+        F.min_by("permissions", F.to_json("permissions")).alias("permissions"))
+    stars = one.groupBy("snapshot_id").agg(F.map_from_entries(F.collect_list(F.struct("schema_name", "permissions"))).alias("stars"))
+    return heads.join(stars, "snapshot_id", "left")
 
 
-def _table_struct() -> Column:
-    return F.struct(
-        F.col("object").alias("name"),
-        F.col("tables.comment").alias("comment"),
-        _inner(F.col("columns")).alias("columns"),
-        F.coalesce(F.col("primary_keys").dropFields("ordinal"), _no_key()).alias("primary_key"),
-        _inner(F.col("foreign_keys")).alias("foreign_keys"),
-        _inner(F.col("indexes")).alias("indexes"),
-        _inner(F.col("unique_constraints")).alias("unique_constraints"),
-        F.col("grants.permissions").alias("permissions"),
-        F.col("storage").dropFields("ordinal").alias("storage"),
-    )
+def _inner(name: str) -> Column:
+    return F.transform(name, lambda i: i.dropFields("ordinal"))
 
 
-def _view_struct() -> Column:
-    return F.struct(
-        F.col("object").alias("name"),
-        F.col("views.definition").alias("definition"),
-        F.col("grants.permissions").alias("permissions"),
-    )
+# Columns of an object row as the kinds fill them; `F.struct`s of different kinds have to be of one type.
+_OBJECT = ("kind", "name", "comment", *model.LISTS, "primary_key", "permissions", "storage", "definition", "routine_type", "return_type", "arguments")
 
 
-def _stored_parts(whole: DataFrame) -> DataFrame:
-    zero = F.lit(0).cast("bigint")
+def _object(**given: Column) -> Column:
+    types = {f.name: f.dataType for f in T.StructType.fromDDL(model.STORED).fields}
+    return F.struct(*[given.get(c, F.lit(None)).cast(types[c]).alias(c) for c in _OBJECT])
+
+
+def _table(granted: Column) -> Column:
     none = F.lit(None)
+    zero = F.lit(0).cast("bigint")
+    no_key = F.struct(F.array().cast("array<string>").alias("constrained_columns"), none.cast("string").alias("name"))
     no_storage = F.struct(
         *[zero.alias(c) for c in STORAGE_FIELDS[:3]], none.cast("bigint").alias("row_estimate"),
         none.cast("bigint").alias("previous_total_bytes"), none.cast("bigint").alias("growth_bytes"),
         none.cast("double").alias("growth_percent"),
     )
-    with_storage = F.col("header.storage_growth")
-    tables = lambda s, change: s.withField("tables", F.transform(s["tables"], change))
-    settled = F.transform(
-        "schemas",
-        lambda s: tables(s, lambda t: t.withField("storage", F.when(with_storage, F.coalesce(t["storage"], no_storage)))),
-    )
-    bare = F.transform(
-        "schemas", lambda s: tables(s, lambda t: t.dropFields(*[f"storage.{g}" for g in _GROWTH]))
-    )
-    keep_nulls = {"ignoreNullFields": "false"}
-
-    def tree(schemas: Column, *extra: Column) -> Column:
-        return F.struct(
-            F.col("header.source").alias("source"),
-            F.col("header.db_type").alias("db_type"),
-            F.col("header.database").alias("database"),
-            F.struct(F.col("header.items").alias("items"), with_storage.alias("storage_growth")).alias("collection_options"),
-            schemas.alias("schemas"),
-            F.col("header.skipped_schemas").alias("skipped_schemas"),
-            *extra,
-        )
-
-    placed = whole.withColumn("schemas", settled)
-    return placed.select(
-        "snapshot_id", "header.data_source_id", "header.run_id", "header.captured_at", "part_no", "header.part_count",
-        F.to_json(tree(F.col("schemas"), F.col("header.storage_summary").alias("storage_summary")), keep_nulls).alias("payload"),
-        F.when(F.col("part_no") == 0, F.sha2(canonical_json(F.to_json(tree(F.lit(None)), keep_nulls)), 256)).alias("head_digest"),
-        F.transform("schemas", lambda s: s["name"]).alias("schema_names"), _digest_sum(_object_digests(bare)).alias("digest"),
-    )
+    return F.when(F.col("tables").isNotNull(), _object(
+        kind=F.lit(model.TABLE_KIND), name=F.col("object"), comment=F.col("tables.comment"), **{n: _inner(n) for n in model.LISTS},
+        primary_key=F.coalesce(F.col("primary_keys").dropFields("ordinal"), no_key), permissions=granted,
+        storage=F.when(F.col("storage_growth"), F.coalesce(F.col("storage").dropFields("ordinal"), no_storage)),
+    ))
+
 
+def _view(granted: Column) -> Column:
+    return F.when(F.col("views").isNotNull(), _object(
+        kind=F.lit(model.VIEW_KIND), name=F.col("object"), definition=F.col("views.definition"), permissions=granted,
+    ))
 
-def _object_digests(schemas: Column) -> Column:
-    """SHA-256 of the canonical value of each object, with the kind and the schema it belongs to."""
 
-    def one(kind: str, schema: Column, item: Column) -> Column:
-        value = F.struct(F.lit(kind).alias("kind"), schema["name"].alias("schema"), item.alias("value"))
-        return F.sha2(canonical_json(F.to_json(value, {"ignoreNullFields": "false"})), 256)
+def _routine(r: Column) -> Column:
+    return _object(kind=F.lit(model.ROUTINE_KIND), **{f: r[f] for f in ("name", "routine_type", "return_type", "arguments", "definition")})
 
-    return F.flatten(F.transform(schemas, lambda s: F.concat(
-        *[F.transform(s[items], lambda o, kind=kind: one(kind, s, o))
-          for kind, items in (("table", "tables"), ("view", "views"), ("procedure", "procedures"))])))
 
+def _schema_rows(headers: DataFrame, relations: dict[str, DataFrame]) -> DataFrame:
+    """Listed schemas and those of tables, views and routines. A grant or a size alone does not make a schema appear."""
+    named = [relations[r].select("snapshot_id", "schema_name") for r in ("schemas", "tables", "views", "routines") if r in relations]
+    names = reduce(DataFrame.unionAll, named).where("schema_name IS NOT NULL").distinct()
+    heads = broadcast_if_small(headers.select("snapshot_id", *_HEADER))
+    rows = names.join(heads, "snapshot_id").withColumns({"kind": F.lit(model.SCHEMA), "name": F.col("schema_name")})
+    return stored_rows(rows).withColumn("digest", F.sha2("schema_name", 256))
 
-def _digest_sum(digests: Column) -> Column:
-    """Sum of SHA-256 hex texts by their eight 32-bit words: free of order, and sums of parts add up."""
-    none = F.array(*[F.lit(0).cast("bigint")] * DIGEST_WORDS)
-    word = lambda d, k: F.conv(F.substring(d, k * 8 + 1, F.lit(8)), 16, 10).cast("bigint")
-    return F.aggregate(digests, none, lambda total, d: F.transform(total, lambda n, k: n + word(d, k)))
 
+def _snapshot_rows(headers: DataFrame) -> DataFrame:
+    empty = F.array().cast(model.SKIPPED)
+    skipped = F.coalesce(F.col("skipped_schemas"), empty) if "skipped_schemas" in headers.columns else empty
+    rows = stored_rows(headers.withColumn("kind", F.lit(model.SNAPSHOT)).withColumn("skipped_schemas", skipped))
+    return rows.withColumn("digest", snapshot_digest())
 
-def fingerprints(parts: DataFrame) -> DataFrame:
-    """One fingerprint per snapshot: SHA-256 of its header facts and the summed digests of its objects and schemas.
 
-    Sums do not depend on how a snapshot is cut into parts, and they are partial aggregates: one narrow row per part
-    and schema is shuffled, no list is gathered.
+# --- canonical values and digests ----------------------------------------------------------------------------------
+def _json(*fields: str | Column) -> Column:
+    return F.to_json(F.struct(*fields), _KEEP_NULLS)
+
+
+def table_json(growth: bool = True, without: tuple[str, ...] = ()) -> Column:
+    """Canonical JSON of a typed table; growth follows from other snapshots and can be left out."""
+    fields = [f for f in ("name", "comment", *model.LISTS, "primary_key", "permissions", "storage") if f not in without]
+    bare = F.col("storage").dropFields(*GROWTH).alias("storage")
+    return canonical_json(_json(*[bare if f == "storage" and not growth else f for f in fields]))
+
+
+def view_json() -> Column:
+    return canonical_json(_json("definition", "name", "permissions"))
+
+
+def routine_json() -> Column:
+    return _json("arguments", "definition", "name", "return_type", "routine_type")
+
+
+def column_json(item: Column) -> Column:
+    return _json(*[item[f].alias(f) for f in ("comment", "default", "name", "nullable", "type")])
+
+
+def index_json(item: Column) -> Column:
+    return _json(*[item[f].alias(f) for f in ("column_names", "name", "unique")])
+
+
+def object_digest(kind: Column, schema: Column, value: Column) -> Column:
+    return F.sha2(F.to_json(F.array(kind, schema, value)), 256)
+
+
+def snapshot_digest() -> Column:
+    options = F.struct("items", "storage_growth").alias("collection_options")
+    return F.sha2(_json("source", "db_type", "database", options, "skipped_schemas"), 256)
+
+
+def digest_tree(stored: DataFrame, *level: str) -> DataFrame:
+    """Digest sums of ``level`` (columns that begin with snapshot_id): `w0` … `w7` and the number of `objects`.
+
+    A digest counts as eight 32-bit numbers. Sums do not depend on any order, sums of a schema's objects add up to those
+    of its snapshot, and they are partial aggregates: nothing is gathered. Only ids and digests are read.
     """
-    zero = F.array(*[F.lit(0).cast("bigint")] * DIGEST_WORDS)
-    names = parts.select("snapshot_id", F.explode("schema_names").alias("name")).distinct()
-    named = names.select("snapshot_id", F.lit(None).cast("string").alias("head_digest"), _digest_sum(F.array(F.sha2("name", 256))).alias("schemas"), zero.alias("objects"))
-    held = parts.select("snapshot_id", "head_digest", zero.alias("schemas"), F.col("digest").alias("objects"))
-    sums = [F.sum(F.get(c, F.lit(k))).alias(f"{c}_{k}") for c in ("schemas", "objects") for k in range(DIGEST_WORDS)]
-    words = [F.format_string("%x", f"{c}_{k}") for c in ("schemas", "objects") for k in range(DIGEST_WORDS)]
-    whole = held.union(named).groupBy("snapshot_id").agg(F.max("head_digest").alias("head_digest"), *sums)
-    return whole.select("snapshot_id", F.sha2(F.concat_ws(",", "head_digest", *words), 256).alias("fingerprint"))
-
-
-def _header_rows(headers: DataFrame, large: DataFrame) -> DataFrame:
-    skipped = "skipped_schemas" if "skipped_schemas" in headers.columns else None
-    summary = "storage_summary" if "storage_summary" in headers.columns else None
-    cut = headers.join(large, "snapshot_id", "left").withColumn("part_count", F.coalesce("_parts", F.lit(1)).cast("bigint"))
-    cut = cut.withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("part_count") - 1)))
-    first_part = F.col("part_no") == 0
-    empty_skipped = F.array().cast("array<struct<name:string,reason:string>>")
-    return cut.select(
-        "snapshot_id", "part_no",
-        F.struct(
-            "data_source_id", "run_id", "captured_at", "part_count", "source", "db_type", "database", "items",
-            "storage_growth",
-            F.when(first_part, F.col(skipped)).otherwise(empty_skipped).alias("skipped_schemas") if skipped
-            else empty_skipped.alias("skipped_schemas"),
-            F.when(first_part, F.col(summary)).alias("storage_summary") if summary
-            else F.lit(None).cast(model.STORAGE_SUMMARY).alias("storage_summary"),
-        ).alias("header"),
-    )
+    word = lambda k: F.conv(F.substring("digest", k * 8 + 1, 8), 16, 10).cast("bigint")
+    objects = stored.where(F.col("kind").isin(model.TABLE_KIND, model.VIEW_KIND, model.ROUTINE_KIND))
+    return objects.groupBy("snapshot_id", *level).agg(*[F.sum(word(k)).alias(f"w{k}") for k in range(DIGEST_WORDS)], F.count("*").alias("objects"))
+
+
+def fingerprints(stored: DataFrame) -> DataFrame:
+    """One fingerprint per snapshot: SHA-256 of its header facts and the summed digests of its objects and schemas."""
+    word = lambda k: F.conv(F.substring("digest", k * 8 + 1, 8), 16, 10).cast("bigint")
+    of = lambda kinds, k: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), word(k))), F.lit(0))
+    groups = ((model.SCHEMA,), (model.TABLE_KIND, model.VIEW_KIND, model.ROUTINE_KIND))
+    words = [of(kinds, k).alias(f"{kinds[0]}_{k}") for kinds in groups for k in range(DIGEST_WORDS)]
+    whole = stored.groupBy("snapshot_id").agg(F.max(F.when(F.col("kind") == model.SNAPSHOT, F.col("digest"))).alias("_head"), *words)
+    printed = [F.format_string("%x", f"{kinds[0]}_{k}") for kinds in groups for k in range(DIGEST_WORDS)]
+    return whole.where("_head IS NOT NULL").select("snapshot_id", F.sha2(F.concat_ws(",", "_head", *printed), 256).alias("fingerprint"))

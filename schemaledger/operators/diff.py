@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .. import model
 from ..session import broadcast_if_small
-from .flatten import OBJECT_KEY, objects, printed_key
+from .collect import GROWTH
+from .flatten import LEAF_KINDS, OBJECT_KEY, PLACE, objects, of_kind, printed_key
 from .history import sequenced
 
 
@@ -59,35 +61,112 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str], value: str = "val
     return found if values else found.drop("before_value", "after_value")
 
 
-def neighbours(rows: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of flat relations as (before, after) of every two neighbouring snapshots of every source.
-
-    Both get `data_source_id`, `from_snapshot_id` and `to_snapshot_id`; ``rows`` carry `snapshot_id`.
-    """
+def neighbour_pairs(headers: DataFrame) -> DataFrame:
+    """data_source_id, from_snapshot_id, to_snapshot_id of every two neighbouring snapshots of every source."""
     heads = sequenced(headers.select("snapshot_id", "data_source_id", "captured_at")).select("snapshot_id", "data_source_id", "seq")
     older = heads.select("data_source_id", (F.col("seq") + 1).alias("seq"), F.col("snapshot_id").alias("from_snapshot_id"))
-    pairs = heads.withColumnRenamed("snapshot_id", "to_snapshot_id").join(older, ["data_source_id", "seq"]).drop("seq", "data_source_id")
-    before = rows.join(pairs.withColumn("snapshot_id", F.col("from_snapshot_id")), "snapshot_id")
-    after = rows.join(pairs.withColumn("snapshot_id", F.col("to_snapshot_id")), "snapshot_id")
-    return before, after
+    return heads.withColumnRenamed("snapshot_id", "to_snapshot_id").join(older, ["data_source_id", "seq"]).select("data_source_id", "from_snapshot_id", "to_snapshot_id")
+
+
+def _placed(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """Rows with the number `seq` of their snapshot in its source, and the ids of the snapshots before and after it."""
+    heads = sequenced(headers.select("snapshot_id", "data_source_id", "captured_at"))
+    none, own = F.lit(None).cast("bigint"), F.col("snapshot_id")
+    slot = lambda seq, *ids: F.struct(seq.alias("seq"), *[i.alias(n) for i, n in zip(ids, ("_own", "_before", "_after"))])
+    slots = F.array(slot(F.col("seq"), own, none, none), slot(F.col("seq") + 1, none, own, none), slot(F.col("seq") - 1, none, none, own))
+    line = heads.select("data_source_id", F.inline(slots)).groupBy("data_source_id", "seq").agg(*[F.max(c).alias(c) for c in ("_own", "_before", "_after")])
+    line = line.where("_own IS NOT NULL").withColumnRenamed("_own", "snapshot_id")
+    return rows.drop("data_source_id", "captured_at", "run_id").join(broadcast_if_small(line), "snapshot_id")
+
+
+def neighbour_changes(rows: DataFrame, headers: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """What happened to every object between every two neighbouring snapshots of every source.
+
+    ``rows``: snapshot_id, ``keys`` (one row of a key in a snapshot) and ``value``. Gives data_source_id,
+    from_snapshot_id, to_snapshot_id, keys, `change` (added, removed, changed or same), before_value and after_value.
+    One scan and one shuffle: the rows of an object are put in line, and each looks at the one before and after it.
+    """
+    line = W.partitionBy("data_source_id", *keys).orderBy("seq")
+    was, after = F.lag("seq").over(line), F.lead("seq").over(line)
+    met = _placed(rows.select("snapshot_id", *keys, F.col(value).alias("_value")), headers).select(
+        "*", was.alias("_was"), F.lag("_value").over(line).alias("_old"), after.alias("_next"))
+    none = F.lit(None).cast(met.schema["_value"].dataType)
+    here = F.col("_was").eqNullSafe(F.col("seq") - 1)
+
+    def event(start: Column, end: Column, change: Column, before: Column, now: Column) -> Column:
+        return F.struct(start.alias("from_snapshot_id"), end.alias("to_snapshot_id"), change.alias("change"), before.alias("before_value"), now.alias("after_value"))
+
+    change = F.when(~here, "added").when(F.col("_old").eqNullSafe(F.col("_value")), "same").otherwise("changed")
+    arrived = F.when(F.col("_before").isNotNull(), event(F.col("_before"), F.col("snapshot_id"), change, F.when(here, F.col("_old")), F.col("_value")))
+    gone = F.col("_after").isNotNull() & ~F.col("_next").eqNullSafe(F.col("seq") + 1)
+    left = F.when(gone, event(F.col("snapshot_id"), F.col("_after"), F.lit("removed"), F.col("_value"), none))
+    return met.select("data_source_id", *keys, F.explode(F.array_compact(F.array(arrived, left))).alias("e")).select("data_source_id", "e.from_snapshot_id", "e.to_snapshot_id", *keys, "e.change", "e.before_value", "e.after_value")
+
 
+def object_versions(rows: DataFrame, headers: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Every object once for each run of neighbouring snapshots with an unchanged value.
 
-def snapshot_diff(parts: DataFrame, pairs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
-    """Differences of many snapshot pairs at once, from stored parts.
+    data_source_id, keys, `first_seq`, `last_seq` (numbers of the snapshots in their source) and ``value``. An object is
+    in snapshot n if one of its runs covers n; two snapshots differ where the covering runs do. Gaps and islands: a run
+    starts where the row before is missing or different, and the number of starts so far is the number of the run.
+    """
+    line = W.partitionBy("data_source_id", *keys).orderBy("seq")
+    placed = _placed(rows.select("snapshot_id", *keys, F.col(value)), headers)
+    same = F.lag("seq").over(line).eqNullSafe(F.col("seq") - 1) & F.lag(value).over(line).eqNullSafe(F.col(value))
+    runs = placed.withColumn("_start", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_start").over(line))
+    return runs.groupBy("data_source_id", *keys, "_run").agg(
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.first(value).alias(value)).drop("_run")
+
+
+def version_diff(versions: DataFrame, pairs: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Differences of any two snapshots of a source from `object_versions`: intervals are filtered, no snapshot is read.
 
-    ``pairs``: from_snapshot_id, to_snapshot_id (see `checked_pairs`). Only the parts of these snapshots are taken apart,
-    once; a checked number of pairs is broadcast, so payloads are not shuffled. Both sides meet in one grouping on the object key, which also keeps the last of repeated names,
-    so the objects are shuffled once and no join of objects is needed.
+    ``pairs``: data_source_id, from_seq, to_seq. Gives the pair, keys, `change`, before_value and after_value.
+    """
+    pair = ["data_source_id", "from_seq", "to_seq"]
+    covers = lambda n: (F.col("first_seq") <= F.col(n)) & (F.col(n) <= F.col("last_seq"))
+    met = versions.join(broadcast_if_small(pairs.select(*pair)), "data_source_id").where(covers("from_seq") != covers("to_seq"))
+    found = met.groupBy(*pair, *keys).agg(
+        F.count_if(covers("from_seq")).alias("_before"), F.count_if(covers("to_seq")).alias("_after"),
+        F.max(F.when(covers("from_seq"), F.col(value))).alias("before_value"), F.max(F.when(covers("to_seq"), F.col(value))).alias("after_value"))
+    change = (
+        F.when(F.col("_before") == 0, "added").when(F.col("_after") == 0, "removed")
+        .when(~F.col("before_value").eqNullSafe(F.col("after_value")), "changed"))
+    return found.withColumn("change", change).where("change IS NOT NULL").drop("_before", "_after")
+
+
+def changed_objects(stored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Objects whose digests differ between the snapshots of a pair: snapshot_id, kind, schema_name, name, the pair, `side`.
+
+    Reads ids, names and digests only. Equal objects meet here and go no further, with all that is below them.
     """
     pair = ["from_snapshot_id", "to_snapshot_id"]
-    sides = F.array(
-        F.struct(F.col("from_snapshot_id").alias("snapshot_id"), F.lit("before").alias("side")),
-        F.struct(F.col("to_snapshot_id").alias("snapshot_id"), F.lit("after").alias("side")),
-    )
-    wanted = pairs.select(*pair, F.inline(sides))
-    rows = objects(parts.join(broadcast_if_small(wanted), "snapshot_id"), without, (*pair, "side"))
+    side = lambda end, name: F.struct(F.col(end).alias("snapshot_id"), F.lit(name).alias("side"))
+    wanted = pairs.select(*pair, F.inline(F.array(side(pair[0], "before"), side(pair[1], "after"))))
+    # The digest leaves growth out, but a difference in it is one: it follows the digest as text.
+    grown = F.concat_ws(":", "digest", *[F.coalesce(F.col(f"storage.{g}").cast("string"), F.lit("")) for g in GROWTH])
+    rows = of_kind(stored, model.SCHEMA, model.TABLE_KIND, model.VIEW_KIND, model.ROUTINE_KIND).select("snapshot_id", "kind", "schema_name", "name", grown.alias("digest"))
+    met = rows.join(broadcast_if_small(wanted), "snapshot_id").groupBy(*pair, "kind", "schema_name", "name").agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("digest")))).alias(s) for s in ("before", "after")])
+    differ = met.where(F.col("before") != F.col("after"))
+    sides = F.array(*[F.when(F.size(s) > 0, side(end, s)) for end, s in zip(pair, ("before", "after"))])
+    return differ.select(*pair, "kind", "schema_name", "name", F.inline(F.array_compact(sides)))
+
+
+def snapshot_diff(stored: DataFrame, pairs: DataFrame, without: tuple[str, ...] = (), kinds: tuple[str, ...] = LEAF_KINDS) -> DataFrame:
+    """Differences of many snapshot pairs at once, from the store.
+
+    ``pairs``: from_snapshot_id, to_snapshot_id (see `checked_pairs`). Digests decide which objects differ; only these
+    are read whole and taken apart, and only the asked ``kinds`` are printed. Both sides meet in one grouping on the
+    object key, which also keeps the last of repeated names.
+    """
+    pair = ["from_snapshot_id", "to_snapshot_id"]
+    differ = changed_objects(stored, pairs)
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("kind", "schema_name", "name")]
+    fetched = stored.alias("s").join(differ.alias("d"), [F.col("s.snapshot_id") == F.col("d.snapshot_id"), *same]).select("s.*", *[f"d.{c}" for c in (*pair, "side")])
+    rows = objects(fetched, without, (*pair, "side"), kinds)
     keys = [*pair, *OBJECT_KEY]
-    found = _changes(rows, keys, F.struct("part_no", "position"))
+    found = _changes(rows, keys, F.struct(*PLACE))
     return found.select(*keys, printed_key().alias("key"), "change", "before_value", "after_value")
 
 

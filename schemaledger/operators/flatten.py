@@ -1,229 +1,186 @@
-"""Stored snapshot parts -> flat relations.
+"""Rows of the snapshot store -> flat relations.
 
-Every function parses only the fields it returns: the schema given to `from_json` is the projection.
+Every function reads one kind of rows (a folder of the store) and names the leaves it returns, so the scan reads no
+other columns. Lists are zipped from their leaves before they are exploded: a struct exploded whole would be read whole.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import model
 from ..functions import text
 from ..functions.values import canonical_map
+from . import collect
 
 _HEADER = list(model.HEADER_COLUMNS)
-_VARIANTS = "ARRAY<MAP<STRING,VARIANT>>"
+_OBJECT_KINDS = (model.TABLE_KIND, model.VIEW_KIND, model.ROUTINE_KIND)
+
+
+def of_kind(stored: DataFrame, *kinds: str) -> DataFrame:
+    return stored.where(F.col("kind").isin(*kinds) if len(kinds) > 1 else F.col("kind") == kinds[0])
+
 
+def _zipped(item: str, *fields: str) -> Column:
+    return F.arrays_zip(*[F.col(f"{item}.{f}").alias(f) for f in fields])
 
-def _schemas(parts: DataFrame, fields: str, *keep: str) -> DataFrame:
-    """One row per (part, schema): header columns and the struct `s`."""
-    tree = F.from_json("payload", f"schemas ARRAY<STRUCT<name: STRING, {fields}>>")
-    return parts.select(*_HEADER, *keep, F.explode(tree["schemas"]).alias("s"))
 
+def _length(item: str) -> Column:
+    """Length of a list of structs, from its names alone."""
+    return F.coalesce(F.size(f"{item}.name"), F.lit(0)).cast("bigint")
 
-def snapshot_history(parts: DataFrame) -> DataFrame:
+
+def snapshot_history(stored: DataFrame) -> DataFrame:
     """Header facts and schema count of every snapshot."""
-    tree = F.from_json("payload", "source STRING, db_type STRING, schemas ARRAY<STRUCT<name: STRING>>")
-    read = parts.select(*_HEADER, "part_no", tree.alias("p"))
-    names = read.select(*_HEADER, F.col("p.source").alias("source_name"), F.col("p.db_type").alias("db_type"),
-                        F.explode_outer("p.schemas.name").alias("_schema"))
-    per_schema = names.groupBy(*_HEADER, "source_name", "db_type", "_schema").agg(F.lit(1).alias("_one"))
-    return per_schema.groupBy(*_HEADER, "source_name", "db_type").agg(F.count("_schema").alias("schema_count"))
-
-
-def schema_history(parts: DataFrame) -> DataFrame:
-    """Counts of tables, views and procedures per schema; missing lists count zero."""
-    fields = "tables: ARRAY<STRUCT<name: STRING>>, views: ARRAY<STRUCT<name: STRING>>, procedures: ARRAY<STRUCT<name: STRING>>"
-    size = lambda c: F.coalesce(F.size(f"s.{c}"), F.lit(0)).cast("bigint")
-    rows = _schemas(parts, fields).select(
-        *_HEADER, F.col("s.name").alias("schema_name"), size("tables").alias("table_count"),
-        size("views").alias("view_count"), size("procedures").alias("procedure_count"),
-    )
-    return rows.groupBy(*_HEADER, "schema_name").agg(
-        *[F.sum(c).alias(c) for c in ("table_count", "view_count", "procedure_count")]
-    )
+    rows = of_kind(stored, model.SNAPSHOT, model.SCHEMA)
+    fact = lambda c, name: F.max(c).alias(name)
+    return rows.groupBy(*_HEADER).agg(
+        fact("source", "source_name"), fact("db_type", "db_type"), F.count_if(F.col("kind") == model.SCHEMA).alias("schema_count"))
 
 
-def _tables(parts: DataFrame, fields: str) -> DataFrame:
-    """One row per table: header columns, schema_name and the struct `t`. Empty lists give no row."""
-    schemas = _schemas(parts, f"tables: ARRAY<STRUCT<name: STRING, {fields}>>")
-    return schemas.select(*_HEADER, F.col("s.name").alias("schema_name"), F.explode("s.tables").alias("t"))
+def schema_history(stored: DataFrame) -> DataFrame:
+    """Counts of tables, views and procedures per schema; schemas without objects count zero."""
+    rows = of_kind(stored, model.SCHEMA, *_OBJECT_KINDS)
+    return rows.groupBy(*_HEADER, "schema_name").agg(
+        *[F.count_if(F.col("kind") == kind).alias(f"{kind}_count") for kind in _OBJECT_KINDS])
 
 
-def table_history(parts: DataFrame) -> DataFrame:
-    return _tables(parts, "comment: STRING").select(
-        *_HEADER, "schema_name", F.col("t.name").alias("table_name"), F.col("t.comment").alias("comment")
-    )
+def table_history(stored: DataFrame) -> DataFrame:
+    return of_kind(stored, model.TABLE_KIND).select(*_HEADER, "schema_name", F.col("name").alias("table_name"), "comment")
 
 
-def _under_tables(parts: DataFrame, fields: str, item: str, table_fields: str = "") -> DataFrame:
-    tables = _tables(parts, f"{table_fields}{item}: ARRAY<STRUCT<{fields}>>")
-    extra = ["t"] if table_fields else []
-    return tables.select(
-        *_HEADER, "schema_name", F.col("t.name").alias("table_name"), *extra,
-        F.posexplode(f"t.{item}").alias("_pos", "c"),
-    ).withColumn("ordinal", (F.col("_pos") + 1).cast("int")).drop("_pos")
+def _under_tables(stored: DataFrame, item: str, fields: tuple[str, ...], *extra: Column) -> DataFrame:
+    rows = of_kind(stored, model.TABLE_KIND).select(
+        *_HEADER, "schema_name", F.col("name").alias("table_name"), *extra, F.posexplode(_zipped(item, *fields)).alias("_pos", "c"))
+    return rows.withColumn("ordinal", (F.col("_pos") + 1).cast("int"))
 
 
-def column_history(parts: DataFrame) -> DataFrame:
-    """Columns of every snapshot; `nullable` is read as a boolean whatever its JSON form is."""
-    rows = _under_tables(parts, "name: STRING, type: STRING, nullable: STRING", "columns")
-    return rows.select(
+def column_history(stored: DataFrame) -> DataFrame:
+    """Columns of every snapshot."""
+    return _under_tables(stored, "columns", ("name", "type", "nullable")).select(
         *_HEADER, "schema_name", "table_name", F.col("c.name").alias("column_name"),
-        F.col("c.type").alias("data_type"), F.col("c.nullable").try_cast("boolean").alias("nullable"),
+        F.col("c.type").alias("data_type"), F.col("c.nullable").alias("nullable"),
     )
 
 
-def column_details(parts: DataFrame) -> DataFrame:
+def column_details(stored: DataFrame) -> DataFrame:
     """Columns with ordinal, default, comment and primary-key membership."""
-    rows = _under_tables(
-        parts, "name: STRING, type: STRING, nullable: STRING, default: STRING, comment: STRING", "columns",
-        "primary_key: STRUCT<constrained_columns: ARRAY<STRING>>, ",
-    )
-    keys = F.coalesce("t.primary_key.constrained_columns", F.array().cast("array<string>"))
+    keys = F.coalesce("primary_key.constrained_columns", F.array().cast("array<string>")).alias("_keys")
+    rows = _under_tables(stored, "columns", ("name", "type", "nullable", "default", "comment"), keys)
     return rows.select(
         *_HEADER, "schema_name", "table_name", "ordinal", F.col("c.name").alias("column_name"),
-        F.col("c.type").alias("data_type"), F.col("c.nullable").try_cast("boolean").alias("nullable"),
+        F.col("c.type").alias("data_type"), F.col("c.nullable").alias("nullable"),
         F.col("c.default").alias("default_value"), F.col("c.comment").alias("comment"),
-        F.coalesce(F.array_contains(keys, F.col("c.name")), F.lit(False)).alias("is_primary_key"),
+        F.coalesce(F.array_contains("_keys", F.col("c.name")), F.lit(False)).alias("is_primary_key"),
     )
 
 
-def index_details(parts: DataFrame) -> DataFrame:
-    rows = _under_tables(parts, "name: STRING, column_names: ARRAY<STRING>, unique: STRING", "indexes")
-    return rows.select(
+def index_details(stored: DataFrame) -> DataFrame:
+    return _under_tables(stored, "indexes", ("name", "column_names", "unique")).select(
         *_HEADER, "schema_name", "table_name", "ordinal", F.col("c.name").alias("index_name"),
-        F.col("c.column_names").alias("column_names"), F.col("c.unique").try_cast("boolean").alias("is_unique"),
+        F.col("c.column_names").alias("column_names"), F.col("c.unique").alias("is_unique"),
     )
 
 
-def foreign_key_details(parts: DataFrame) -> DataFrame:
-    rows = _under_tables(
-        parts,
-        "name: STRING, constrained_columns: ARRAY<STRING>, referred_schema: STRING, referred_table: STRING, "
-        "referred_columns: ARRAY<STRING>",
-        "foreign_keys",
-    )
+def foreign_key_details(stored: DataFrame) -> DataFrame:
+    fields = ("name", "constrained_columns", "referred_schema", "referred_table", "referred_columns")
+    rows = _under_tables(stored, "foreign_keys", fields)
     return rows.select(*_HEADER, "schema_name", "table_name", "ordinal", "c.*").withColumnRenamed("name", "key_name")
 
 
-def table_details(parts: DataFrame) -> DataFrame:
+def table_details(stored: DataFrame) -> DataFrame:
     """Per table: counts, primary key, permissions and storage."""
-    names = "ARRAY<STRUCT<name: STRING>>"
-    rows = _tables(
-        parts,
-        f"comment: STRING, columns: {names}, foreign_keys: {names}, indexes: {names}, "
-        f"primary_key: STRUCT<constrained_columns: ARRAY<STRING>>, permissions: {model.PERMISSIONS}, "
-        "storage: STRUCT<data_bytes: BIGINT, index_bytes: BIGINT, total_bytes: BIGINT, row_estimate: BIGINT, "
-        "previous_total_bytes: BIGINT, growth_bytes: BIGINT, growth_percent: DOUBLE>",
-    )
-    size = lambda c: F.coalesce(F.size(f"t.{c}"), F.lit(0)).cast("bigint")
-    return rows.select(
-        *_HEADER, "schema_name", F.col("t.name").alias("table_name"), F.col("t.comment").alias("comment"),
-        size("columns").alias("column_count"), size("foreign_keys").alias("foreign_key_count"),
-        size("indexes").alias("index_count"), F.col("t.primary_key.constrained_columns").alias("primary_key"),
-        F.col("t.permissions").alias("permissions"), "t.storage.*",
+    return of_kind(stored, model.TABLE_KIND).select(
+        *_HEADER, "schema_name", F.col("name").alias("table_name"), "comment", _length("columns").alias("column_count"),
+        _length("foreign_keys").alias("foreign_key_count"), _length("indexes").alias("index_count"),
+        F.col("primary_key.constrained_columns").alias("primary_key"), "permissions", "storage.*",
     )
 
 
-def views(parts: DataFrame) -> DataFrame:
-    rows = _schemas(parts, f"views: ARRAY<STRUCT<name: STRING, definition: STRING, permissions: {model.PERMISSIONS}>>")
-    return rows.select(*_HEADER, F.col("s.name").alias("schema_name"), F.explode("s.views").alias("v")).select(
-        *_HEADER, "schema_name", F.col("v.name").alias("view_name"), "v.definition", "v.permissions"
-    )
+def views(stored: DataFrame) -> DataFrame:
+    return of_kind(stored, model.VIEW_KIND).select(*_HEADER, "schema_name", F.col("name").alias("view_name"), "definition", "permissions")
 
 
-def procedures(parts: DataFrame) -> DataFrame:
-    """Routines; older payloads name the type `type` and the text `body`."""
-    rows = _schemas(
-        parts,
-        "procedures: ARRAY<STRUCT<name: STRING, routine_type: STRING, type: STRING, return_type: STRING, "
-        "arguments: STRING, definition: STRING, body: STRING>>",
-    )
-    exploded = rows.select(*_HEADER, F.col("s.name").alias("schema_name"), F.explode("s.procedures").alias("r"))
-    return exploded.select(
-        *_HEADER, "schema_name", F.col("r.name").alias("procedure_name"),
-        text.first_text(F.col("r.routine_type"), F.col("r.type")).alias("routine_type"),
-        F.col("r.return_type").alias("return_type"), F.col("r.arguments").alias("arguments"),
-        text.first_text(F.col("r.definition"), F.col("r.body")).alias("definition"),
-    )
+def procedures(stored: DataFrame) -> DataFrame:
+    return of_kind(stored, model.ROUTINE_KIND).select(
+        *_HEADER, "schema_name", F.col("name").alias("procedure_name"), "routine_type", "return_type", "arguments", "definition")
 
 
-def skipped_schemas(parts: DataFrame) -> DataFrame:
-    tree = F.from_json("payload", "skipped_schemas ARRAY<STRUCT<name: STRING, reason: STRING>>")
-    return parts.select(*_HEADER, F.explode(tree["skipped_schemas"]).alias("k")).select(
-        *_HEADER, F.col("k.name").alias("schema_name"), F.col("k.reason").alias("reason")
-    )
+def skipped_schemas(stored: DataFrame) -> DataFrame:
+    rows = of_kind(stored, model.SNAPSHOT).select(*_HEADER, F.explode("skipped_schemas").alias("k"))
+    return rows.select(*_HEADER, F.col("k.name").alias("schema_name"), F.col("k.reason").alias("reason"))
 
 
-def privileges(parts: DataFrame) -> DataFrame:
+def privileges(stored: DataFrame) -> DataFrame:
     """SELECT privilege of every table and view; repeats are kept."""
-    kinds = []
-    for label, item in ((model.LABEL_TABLE, "tables"), (model.LABEL_VIEW, "views")):
-        rows = _schemas(parts, f"{item}: ARRAY<STRUCT<name: STRING, permissions: {model.PERMISSIONS}>>")
-        kinds.append(
-            rows.select(*_HEADER, F.col("s.name").alias("schema_name"), F.explode(f"s.{item}").alias("o")).select(
-                *_HEADER, "schema_name", F.lit(label).alias("object_type"), F.col("o.name").alias("object_name"),
-                F.col("o.permissions.select").alias("can_select"), F.col("o.permissions.checked_as").alias("checked_as"),
-                F.col("o.permissions.privileges").alias("privileges"),
-            )
-        )
-    return reduce(DataFrame.unionByName, kinds)
+    label = F.when(F.col("kind") == model.TABLE_KIND, model.LABEL_TABLE).otherwise(model.LABEL_VIEW)
+    return of_kind(stored, model.TABLE_KIND, model.VIEW_KIND).select(
+        *_HEADER, "schema_name", label.alias("object_type"), F.col("name").alias("object_name"),
+        F.col("permissions.select").alias("can_select"), F.col("permissions.checked_as").alias("checked_as"),
+        F.col("permissions.privileges").alias("privileges"),
+    )
 
 
 # --- objects with lossless values --------------------------------------------------------------------------------
+LEAF_KINDS = (model.SCHEMA, model.TABLE_KIND, "column", "index", model.VIEW_KIND, model.ROUTINE_KIND)
+_VARIANTS = "array<map<string,variant>>"
+# Keys of an object, and how its own rows are laid out: `position` is its document's order, then the place in a list.
+OBJECT_KEY = ("kind", "schema_name", "table_name", "name")
+PLACE = ("position", "item")
+
+
 def _name(value: Column) -> Column:
     return F.coalesce(F.try_variant_get(value["name"], "$", "string"), F.lit(""))
 
 
-def objects(parts: DataFrame, without: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
-    """All objects of six kinds with their canonical JSON value.
+def objects(stored: DataFrame, without: tuple[str, ...] = (), keep: tuple[str, ...] = (), kinds: tuple[str, ...] = LEAF_KINDS) -> DataFrame:
+    """Objects of the asked ``kinds`` with their canonical JSON value.
 
-    Columns: header, kind, schema_name, table_name (columns and indexes only), name, position, value. Unknown keys
-    stay in the value. A table's value leaves out its columns and indexes, and the keys named in ``without``. Columns
-    named in ``keep`` are carried along.
-    One pass over the payload: the kinds are one array per schema, exploded once.
+    Columns: header, kind, schema_name, table_name (columns and indexes only), name, position, item, value. A table's
+    value leaves out its columns and indexes, and the keys named in ``without``. Columns named in ``keep`` are carried
+    along. Typed objects are printed from their fields; only those with a `raw` text are parsed, and keep unknown keys.
     """
-    schemas = _schemas(
-        parts, f"tables: {_VARIANTS}, views: {_VARIANTS}, procedures: {_VARIANTS}", "part_no", *keep
-    ).withColumn("schema_name", F.coalesce("s.name", F.lit("")))
-
-    def row(kind: str, value: Column | None, name: Column, table: Column | None = None, drop: tuple[str, ...] = ()):
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            (table if table is not None else F.lit(None).cast("string")).alias("table_name"),
-            name.alias("name"),
-            (canonical_map(value, drop) if value is not None else F.lit(None).cast("string")).alias("value"),
-        )
-
-    def inner(table: Column, item: str) -> Column:
-        listed = F.try_variant_get(F.try_element_at(table, F.lit(item)), "$", "array<map<string,variant>>")
-        return F.coalesce(listed, F.array().cast("array<map<string,variant>>"))
-
-    def under(table: Column, item: str, kind: str) -> Column:
-        return F.transform(inner(table, item), lambda i: row(kind, i, _name(i), _name(table)))
-
-    def table_rows(table: Column) -> Column:
-        own = F.array(row("table", table, _name(table), None, ("columns", "indexes", *without)))
-        return F.concat(own, under(table, "columns", "column"), under(table, "indexes", "index"))
-
-    def listed(item: str) -> Column:
-        return F.coalesce(F.col(f"s.{item}"), F.array().cast("array<map<string,variant>>"))
-
-    rows = F.concat(
-        F.array(row("schema", None, F.col("schema_name"))),
-        F.flatten(F.transform(listed("tables"), table_rows)),
-        F.transform(listed("views"), lambda v: row("view", v, _name(v))),
-        F.transform(listed("procedures"), lambda r: row("procedure", r, _name(r))),
-    )
-    return schemas.select(*_HEADER, *keep, "part_no", "schema_name", F.posexplode(rows).alias("position", "o")).select(
-        *_HEADER, *keep, "schema_name", "part_no", "position", "o.*"
-    )
-
-
-OBJECT_KEY = ("kind", "schema_name", "table_name", "name")
+    from_tables = tuple(k for k in kinds if k in (model.TABLE_KIND, "column", "index"))
+    read = tuple(k for k in (model.SCHEMA, model.VIEW_KIND, model.ROUTINE_KIND) if k in kinds) + ((model.TABLE_KIND,) if from_tables else ())
+    no_value, no_table = F.lit(None).cast("string"), F.lit(None).cast("string")
+    own = F.coalesce("name", F.lit(""))
+    raw = F.try_variant_get(F.try_parse_json("raw"), "$", "map<string,variant>")
+
+    def row(kind: str, name: Column, value: Column, table: Column = no_table, item: Column | None = None) -> Column:
+        place = F.lit(0) if item is None else item
+        return F.struct(F.lit(kind).alias("kind"), table.alias("table_name"), name.alias("name"), place.cast("bigint").alias("item"), value.alias("value"))
+
+    def typed_items(kind: str, listed: str, print_item) -> Column:
+        items = F.transform(listed, lambda i, at: row(kind, F.coalesce(i["name"], F.lit("")), print_item(i), own, at))
+        return F.coalesce(items, F.array().cast("array<struct<kind:string,table_name:string,name:string,item:bigint,value:string>>"))
+
+    def raw_items(kind: str, listed: str) -> Column:
+        items = F.coalesce(F.try_variant_get(F.try_element_at("_raw", F.lit(listed)), "$", _VARIANTS), F.array().cast(_VARIANTS))
+        return F.transform(items, lambda i, at: row(kind, _name(i), canonical_map(i), own, at))
+
+    def table_rows(own_value: Column, columns: Column, indexes: Column) -> Column:
+        chosen = {model.TABLE_KIND: F.array(row(model.TABLE_KIND, own, own_value)), "column": columns, "index": indexes}
+        lists = [chosen[k] for k in from_tables]
+        return F.concat(*lists) if len(lists) > 1 else lists[0]
+
+    lists = {}
+    if model.SCHEMA in kinds:
+        lists[model.SCHEMA] = F.array(row(model.SCHEMA, F.coalesce("schema_name", F.lit("")), no_value))
+    for kind, value in ((model.VIEW_KIND, collect.view_json()), (model.ROUTINE_KIND, collect.routine_json())):
+        if kind in kinds:
+            lists[kind] = F.array(row(kind, own, F.coalesce("raw", value)))
+    if from_tables:
+        hidden = ("columns", "indexes", *without)
+        lists[model.TABLE_KIND] = F.when(F.col("_raw").isNull(), table_rows(
+            collect.table_json(without=hidden), typed_items("column", "columns", collect.column_json), typed_items("index", "indexes", collect.index_json),
+        )).otherwise(table_rows(canonical_map(F.col("_raw"), hidden), raw_items("column", "columns"), raw_items("index", "indexes")))
+    rows = None
+    for kind, value in lists.items():
+        rows = F.when(F.col("kind") == kind, value) if rows is None else rows.when(F.col("kind") == kind, value)
+    found = of_kind(stored, *read).withColumn("_raw", raw)
+    return found.select(
+        *_HEADER, *keep, F.coalesce("schema_name", F.lit("")).alias("schema_name"), F.coalesce("position", F.lit(0)).cast("bigint").alias("position"), F.explode(rows).alias("o"),
+    ).select(*_HEADER, *keep, "schema_name", "position", "o.*")
 
 
 def printed_key() -> Column:
@@ -237,6 +194,6 @@ def printed_key() -> Column:
 
 
 def keyed_objects(rows: DataFrame) -> DataFrame:
-    """One row per key and snapshot, the last one in payload order, with the printed `key`."""
-    last = F.max_by("value", F.struct("part_no", "position")).alias("value")
+    """One row per key and snapshot, the last one in document order, with the printed `key`."""
+    last = F.max_by("value", F.struct(*PLACE)).alias("value")
     return rows.groupBy(*_HEADER, *OBJECT_KEY).agg(last).withColumn("key", printed_key())

@@ -20,22 +20,24 @@ def latest(headers: DataFrame, source: str = "data_source_id", at: str = "captur
     return newest.select("_row.*")
 
 
-def latest_with_payload(parts: DataFrame) -> DataFrame:
-    """All parts of the newest snapshot per source.
+def headers(stored: DataFrame) -> DataFrame:
+    """Header columns and folder of every snapshot; objects are not read."""
+    return flatten.of_kind(stored, model.SNAPSHOT).select(*_HEADER, "month", "source_bucket")
 
-    The choice reads the header columns only; payloads are read for the chosen snapshots and never grouped.
-    """
-    chosen = latest(parts.where("part_no = 0").select(*_HEADER)).select("data_source_id", "snapshot_id")
-    return of_snapshots(parts, chosen)
+
+def latest_with_payload(stored: DataFrame) -> DataFrame:
+    """All rows of the newest snapshot per source. The choice reads headers only; its folders are the only ones read."""
+    return of_snapshots(stored, latest(headers(stored)))
 
 
-def of_snapshots(parts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Parts of the chosen snapshots (data_source_id, snapshot_id).
+def of_snapshots(stored: DataFrame, chosen: DataFrame) -> DataFrame:
+    """All rows of the chosen snapshots (rows of `headers`).
 
-    A checked number of ids is broadcast, so payloads are not shuffled and the folders of other sources are skipped.
+    A checked number of ids is broadcast, so objects are not shuffled, and Spark prunes the folders of other months and
+    buckets before it reads them.
     """
-    ids = chosen.select("data_source_id", "snapshot_id")
-    return parts.join(broadcast_if_small(ids), ["data_source_id", "snapshot_id"], "left_semi")
+    keys = ["month", "source_bucket", "data_source_id", "snapshot_id"]
+    return stored.join(broadcast_if_small(chosen.select(*keys)), keys, "left_semi")
 
 
 def newest(headers: DataFrame, limit: int) -> DataFrame:
@@ -105,63 +107,38 @@ def storage_summary(grown: DataFrame, keys: list[str] | None = None) -> DataFram
 
 
 # --- summaries ---------------------------------------------------------------------------------------------------
-def snapshot_summary(parts: DataFrame) -> DataFrame:
-    """Header, schema / table / view / procedure counts and skipped schemas per snapshot.
+_COUNTED = (model.SCHEMA, model.TABLE_KIND, model.VIEW_KIND, model.ROUTINE_KIND)
 
-    Counts are taken inside each part and summed, so a snapshot of many parts is never brought together.
-    """
-    per_schema = flatten.schema_history(parts)
-    counts = per_schema.groupBy("snapshot_id").agg(
-        F.count("*").alias("schema_count"),
-        *[F.sum(c).alias(c) for c in ("table_count", "view_count", "procedure_count")],
-    )
-    tree = F.from_json(
-        "payload",
-        "source STRING, db_type STRING, database STRING, skipped_schemas ARRAY<STRUCT<name: STRING, reason: STRING>>",
-    )
-    heads = parts.where("part_no = 0").select(*_HEADER, tree.alias("p")).select(*_HEADER, "p.*")
-    zero = F.lit(0).cast("bigint")
-    return heads.join(counts, "snapshot_id", "left").withColumns(
-        {c: F.coalesce(c, zero) for c in ("schema_count", "table_count", "view_count", "procedure_count")}
-    )
 
+def snapshot_summary(stored: DataFrame) -> DataFrame:
+    """Header, schema / table / view / procedure counts and skipped schemas per snapshot: one scan, one grouping."""
+    facts = ("source", "db_type", "database", "skipped_schemas")
+    counts = [F.count_if(F.col("kind") == kind).alias(f"{kind}_count") for kind in _COUNTED]
+    return stored.groupBy(*_HEADER).agg(*[F.first(c, ignorenulls=True).alias(c) for c in facts], *counts)
 
-def collected_objects(parts: DataFrame) -> DataFrame:
+
+def collected_objects(stored: DataFrame) -> DataFrame:
     """Tables, views and procedures per snapshot; columns and indexes do not count."""
-    rows = flatten.schema_history(parts)
-    total = F.sum(F.col("table_count") + F.col("view_count") + F.col("procedure_count"))
-    return rows.groupBy("snapshot_id").agg(total.alias("object_count"))
+    rows = flatten.of_kind(stored, *_COUNTED)
+    return rows.groupBy("snapshot_id").agg(F.count_if(F.col("kind") != model.SCHEMA).alias("object_count"))
 
 
-def schema_totals(parts: DataFrame) -> DataFrame:
+def schema_totals(stored: DataFrame) -> DataFrame:
     """Tables, views and procedures of every schema, added up."""
     total = F.col("table_count") + F.col("view_count") + F.col("procedure_count")
-    return flatten.schema_history(parts).withColumn("object_count", total)
-
+    return flatten.schema_history(stored).withColumn("object_count", total)
 
-def export_totals(parts: DataFrame) -> DataFrame:
-    """Schemas, tables, views, columns, indexes and foreign keys per snapshot, from list sizes alone."""
-    names = "ARRAY<STRUCT<name: STRING>>"
-    tree = F.from_json(
-        "payload",
-        f"schemas ARRAY<STRUCT<name: STRING, views: {names}, tables: ARRAY<STRUCT<columns: {names}, indexes: {names}, "
-        f"foreign_keys: {names}>>>>",
-    )
-    rows = parts.select("snapshot_id", F.explode_outer(tree["schemas"]).alias("s"))
 
-    def listed(item: str) -> Column:
-        return F.coalesce(F.size(f"s.{item}"), F.lit(0)).cast("bigint")
+def total_counts() -> list[Column]:
+    """Schemas, tables, views, columns, indexes and foreign keys of a group of stored rows, from list lengths alone."""
+    count = lambda kind, name: F.count_if(F.col("kind") == kind).alias(name)
+    under = lambda item: F.coalesce(F.sum(F.size(f"{item}.name")), F.lit(0)).cast("bigint").alias(item)
+    return [
+        count(model.SCHEMA, "schemas"), count(model.TABLE_KIND, "tables"), count(model.VIEW_KIND, "views"),
+        under("columns"), under("indexes"), under("foreign_keys"),
+    ]
 
-    def under(item: str) -> Column:
-        sizes = F.transform("s.tables", lambda t: F.coalesce(F.size(t[item]), F.lit(0)).cast("bigint"))
-        return F.coalesce(F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, b: a + b), F.lit(0).cast("bigint"))
 
-    per_schema = rows.groupBy("snapshot_id", F.col("s.name").alias("_schema")).agg(
-        F.sum(listed("tables")).alias("tables"), F.sum(listed("views")).alias("views"),
-        F.sum(under("columns")).alias("columns"), F.sum(under("indexes")).alias("indexes"),
-        F.sum(under("foreign_keys")).alias("foreign_keys"),
-    )
-    return per_schema.groupBy("snapshot_id").agg(
-        F.count("_schema").alias("schemas"),
-        *[F.sum(c).alias(c) for c in ("tables", "views", "columns", "indexes", "foreign_keys")],
-    )
+def export_totals(stored: DataFrame) -> DataFrame:
+    """`total_counts` of every snapshot."""
+    return stored.groupBy("snapshot_id").agg(*total_counts())

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from .. import model
@@ -16,7 +14,8 @@ _HEADER = list(model.HEADER_COLUMNS)
 def snapshot_objects(objects: DataFrame, schema_name: str | None = None, kind: str | None = None) -> DataFrame:
     """Tables, columns, indexes, views and procedures; the kind `schema` is accepted and gives no rows.
 
-    ``objects`` comes from `flatten.objects`; repeats are kept and `position` gives the payload order.
+    ``objects`` comes from `flatten.objects`; repeats are kept and (`position`, `item`) gives the document order. Name the
+    kind there as well, and nothing else is read or printed.
     """
     if kind is not None and kind not in model.OBJECT_KINDS:
         raise ValueError(f"kind must be one of {', '.join(sorted(model.OBJECT_KINDS))}")
@@ -30,14 +29,10 @@ def search_sources(sources: DataFrame, query: str) -> DataFrame:
     return sources.where(text.contains_text(query, F.col("name"), F.col("host"), F.col("database")))
 
 
-def named_objects(parts: DataFrame) -> DataFrame:
-    """Tables, views and procedures as (header, kind, schema_name, name)."""
-    kinds = (
-        ("table", flatten.table_history(parts), "table_name"), ("view", flatten.views(parts), "view_name"),
-        ("procedure", flatten.procedures(parts), "procedure_name"),
-    )
-    picked = [r.select(*_HEADER, F.lit(k).alias("kind"), "schema_name", F.col(n).alias("name")) for k, r, n in kinds]
-    return reduce(DataFrame.unionByName, picked)
+def named_objects(stored: DataFrame) -> DataFrame:
+    """Tables, views and procedures as (header, kind, schema_name, name): one scan of five columns."""
+    rows = flatten.of_kind(stored, model.TABLE_KIND, model.VIEW_KIND, model.ROUTINE_KIND)
+    return rows.select(*_HEADER, "kind", "schema_name", "name")
 
 
 def search_objects(rows: DataFrame, query: str = "", schema_name: str | None = None) -> DataFrame:

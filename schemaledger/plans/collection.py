@@ -1,4 +1,4 @@
-"""From flat catalogue relations to stored snapshot parts, growth included."""
+"""From flat catalogue relations to rows of the snapshot store, growth included."""
 
 from __future__ import annotations
 
@@ -16,9 +16,8 @@ def collected(
     relations: dict[str, DataFrame],
     before_headers: DataFrame | None = None,
     before_totals: DataFrame | None = None,
-    part_objects: int = collect.PART_OBJECTS,
 ) -> DataFrame:
-    """Stored parts of the given snapshots.
+    """Store rows of the given snapshots.
 
     ``before_headers`` / ``before_totals``: the newest stored snapshot of each source and its table totals, so growth
     carries on from the store. Growth is added to the storage relation; the digest leaves it out.
@@ -35,6 +34,4 @@ def collected(
         grown = grown.join(wanted, "snapshot_id", "left_semi")
     fields = ["data_bytes", "index_bytes", "total_bytes", "growth_bytes", "observed_tables", "comparable_tables"]
     summary = history.storage_summary(grown).select("snapshot_id", F.struct(*fields).alias("storage_summary"))
-    return collect.assemble(
-        headers.join(summary, "snapshot_id", "left"), {**relations, "storage": grown}, part_objects
-    )
+    return collect.assemble(headers.join(summary, "snapshot_id", "left"), {**relations, "storage": grown})

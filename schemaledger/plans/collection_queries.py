@@ -40,11 +40,9 @@ def snapshot_append(spark, sf):
     SELECT snapshot_id, any_value(name) AS source, count(*) AS column_count
     FROM p1_columns JOIN p1_sources ON id = data_source_id WHERE data_source_id = 7 GROUP BY snapshot_id""")
 def snapshot_scan(spark, sf):
-    """All snapshots of one source, payload included: only its folder is read."""
-    parts = store.snapshots_of_source(stored(spark, sf), 7)
-    source = parts.select("snapshot_id", F.get_json_object("payload", "$.source").alias("source")).distinct()
-    counts = flatten.column_history(parts).groupBy("snapshot_id").agg(F.count("*").alias("column_count"))
-    return source.join(counts, "snapshot_id")
+    """All snapshots of one source, objects included: only the folders of its bucket are read, once."""
+    rows = store.snapshots_of_source(stored(spark, sf), 7)
+    return rows.groupBy("snapshot_id").agg(F.max("source").alias("source"), F.sum(F.size("columns.name")).alias("column_count"))
 
 
 @query("a6_import_files", "p1_incoming", sql="SELECT name, val FROM p1_incoming")
@@ -90,10 +88,9 @@ def published_relations(spark, sf):
 @query("a9_snapshot_assembly", "p1_columns", sql="""
     SELECT snapshot_id, data_source_id, captured_on, schema_name, table_name, column_name, data_type, nullable FROM p1_columns""")
 def snapshot_assembly(spark, sf):
-    """Flat rows assembled into payloads and flattened again: the same rows."""
+    """Flat rows assembled into objects and flattened again: the same rows."""
     relations = landed_extracts(spark, sf)
-    parts = collect.assemble(relations.pop("headers"), relations, part_objects=200)
-    return flatten.column_history(parts).select(
+    return flatten.column_history(collect.assemble(relations.pop("headers"), relations)).select(
         "snapshot_id", "data_source_id", captured_on(), "schema_name", "table_name", "column_name", "data_type", "nullable"
     )
 

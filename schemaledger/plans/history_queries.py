@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import model
 from ..functions.text import join_values
 from ..operators import collect, diff, flatten, history, search
+from ..sources import store
 from . import driver_tables as p1
 from .registry import captured_on, query, stored
 
@@ -36,8 +37,12 @@ _PARTS = ["schema_name", "table_name", "name"]
 _PAIR = ["data_source_id", "from_snapshot_id", "to_snapshot_id"]
 
 
-def _neighbours(spark, sf) -> tuple[DataFrame, DataFrame]:
-    return diff.neighbours(_column_objects(spark, sf), _heads(spark, sf))
+def _changes(spark, sf, digests: bool = False) -> DataFrame:
+    """All changes between neighbouring snapshots; with ``digests`` values shrink to theirs before they are shuffled."""
+    rows = _column_objects(spark, sf)
+    if digests:
+        rows = rows.withColumn("value", F.unhex(F.sha2("value", 256)))
+    return diff.neighbour_changes(rows, _heads(spark, sf), _PARTS)
 
 
 def _printed(rows: DataFrame) -> DataFrame:
@@ -65,42 +70,73 @@ _NEEDS = ("p1_snapshots", "p1_previous", "p1_objects")
 @query("c6_snapshot_diff", *_NEEDS, sql=_CHANGES + " SELECT * FROM changes WHERE change IS NOT NULL")
 def snapshot_diff(spark, sf):
     """Column changes between every two neighbouring snapshots of every source, from flat relations."""
-    before, after = _neighbours(spark, sf)
-    return _printed(diff.diff(before, after, [*_PAIR, *_PARTS]))
+    return _printed(_changes(spark, sf)).where("change <> 'same'")
 
 
 @query("c6_payload_diff", *_NEEDS, sql=_CHANGES + """
     SELECT from_snapshot_id, to_snapshot_id, change, "key", before_value, after_value FROM changes WHERE change IS NOT NULL""")
 def payload_diff(spark, sf):
-    """The same changes taken from stored payloads of all object kinds, then cut to columns."""
-    parts = stored(spark, sf)
-    heads = history.sequenced(parts.where("part_no = 0").select(*model.HEADER_COLUMNS))
-    older = heads.select("data_source_id", (F.col("seq") + 1).alias("seq"), F.col("snapshot_id").alias("from_snapshot_id"))
-    pairs = heads.join(older, ["data_source_id", "seq"]).select("from_snapshot_id", F.col("snapshot_id").alias("to_snapshot_id"))
-    changes = diff.snapshot_diff(parts, pairs)
-    return changes.where("kind = 'column'").select("from_snapshot_id", "to_snapshot_id", "change", "key", "before_value", "after_value")
+    """The same changes taken from the store: digests choose the tables, whose columns alone are printed."""
+    rows = stored(spark, sf)
+    changes = diff.snapshot_diff(rows, diff.neighbour_pairs(history.headers(rows)), kinds=("column",))
+    return changes.select("from_snapshot_id", "to_snapshot_id", "change", "key", "before_value", "after_value")
+
+
+_LINE = _SIDES.replace(", pairs AS", """, line AS (SELECT id AS snapshot_id, row_number() OVER (PARTITION BY data_source_id ORDER BY captured_on, id) AS seq FROM p1_snapshots),
+    pairs AS""", 1)
+
+
+@query("c6_object_versions", *_NEEDS, sql=_LINE + """
+    , o AS (SELECT o.*, l.seq FROM p1_objects o JOIN line l USING (snapshot_id)),
+    s AS (SELECT *, CASE WHEN lag(seq) OVER w = seq - 1 AND lag(value) OVER w = value THEN 0 ELSE 1 END AS start FROM o
+      WINDOW w AS (PARTITION BY data_source_id, "key" ORDER BY seq)),
+    r AS (SELECT *, sum(start) OVER (PARTITION BY data_source_id, "key" ORDER BY seq) AS run FROM s)
+    SELECT data_source_id, "key", CAST(min(seq) AS BIGINT) AS first_seq, CAST(max(seq) AS BIGINT) AS last_seq, any_value(value) AS value FROM r GROUP BY data_source_id, "key", run""")
+def object_versions(spark, sf):
+    """Columns of the store, once for each run of neighbouring snapshots in which they did not change."""
+    rows = stored(spark, sf)
+    columns = flatten.objects(rows, kinds=("column",))
+    found = diff.object_versions(columns, history.headers(rows), list(flatten.OBJECT_KEY))
+    return found.select("data_source_id", flatten.printed_key().alias("key"), "first_seq", "last_seq", "value")
+
+
+@query("c6_version_diff", *_NEEDS, sql=_LINE + """
+    , ends AS (SELECT data_source_id, max(seq) AS to_seq FROM line JOIN p1_snapshots ON id = snapshot_id GROUP BY data_source_id HAVING max(seq) > 1),
+    o AS (SELECT o.*, l.seq FROM p1_objects o JOIN line l USING (snapshot_id)),
+    x AS (SELECT * FROM o WHERE seq = 1 AND data_source_id IN (SELECT data_source_id FROM ends)), y AS (SELECT o.* FROM o JOIN ends e ON e.data_source_id = o.data_source_id AND e.to_seq = o.seq),
+    c AS (SELECT coalesce(x.data_source_id, y.data_source_id) AS data_source_id, coalesce(x."key", y."key") AS "key", x.value AS before_value, y.value AS after_value,
+        CASE WHEN x.value IS NULL THEN 'added' WHEN y.value IS NULL THEN 'removed' WHEN x.value <> y.value THEN 'changed' END AS change
+      FROM x FULL JOIN y ON x.data_source_id = y.data_source_id AND x."key" = y."key")
+    SELECT data_source_id, "key", change, before_value, after_value FROM c WHERE change IS NOT NULL""")
+def version_diff(spark, sf):
+    """First against last snapshot of every source, from the versions alone."""
+    rows = stored(spark, sf)
+    heads = history.headers(rows)
+    keys = list(flatten.OBJECT_KEY)
+    versions = diff.object_versions(flatten.objects(rows, kinds=("column",)), heads, keys)
+    ends = heads.groupBy("data_source_id").agg(F.lit(1).cast("bigint").alias("from_seq"), F.count("*").alias("to_seq")).where("to_seq > 1")
+    found = diff.version_diff(versions, ends, keys)
+    return found.select("data_source_id", flatten.printed_key().alias("key"), "change", "before_value", "after_value")
 
 
 @query("c4_added_objects", *_NEEDS, sql=_SIDES + f"""
     SELECT data_source_id, to_snapshot_id, "key" FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {_SAME})""")
 def added_objects(spark, sf):
-    before, after = _neighbours(spark, sf)
-    return _printed(diff.added(after, before, [*_PAIR, *_PARTS])).select("data_source_id", "to_snapshot_id", "key")
+    return _printed(_changes(spark, sf, digests=True)).where("change = 'added'").select("data_source_id", "to_snapshot_id", "key")
 
 
 @query("c5_removed_objects", *_NEEDS, sql=_SIDES + f"""
     SELECT data_source_id, to_snapshot_id, "key" FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE {_SAME})""")
 def removed_objects(spark, sf):
-    before, after = _neighbours(spark, sf)
-    return _printed(diff.removed(after, before, [*_PAIR, *_PARTS])).select("data_source_id", "to_snapshot_id", "key")
+    return _printed(_changes(spark, sf, digests=True)).where("change = 'removed'").select("data_source_id", "to_snapshot_id", "key")
 
 
 @query("g5_key_sets", *_NEEDS, sql=_CHANGES + """
     SELECT data_source_id, to_snapshot_id, CASE WHEN change IN ('added', 'removed') THEN change ELSE 'common' END AS member, count(*) AS object_count
     FROM changes GROUP BY ALL""")
 def key_sets(spark, sf):
-    before, after = _neighbours(spark, sf)
-    sets = diff.key_sets(after, before, [*_PAIR, *_PARTS])
+    member = F.when(F.col("change").isin("added", "removed"), F.col("change")).otherwise("common")
+    sets = _changes(spark, sf, digests=True).withColumn("member", member)
     return sets.groupBy("data_source_id", "to_snapshot_id", "member").agg(F.count("*").alias("object_count"))
 
 
@@ -108,8 +144,7 @@ def key_sets(spark, sf):
     SELECT data_source_id, to_snapshot_id, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed,
            count(*) FILTER (change = 'changed') AS changed FROM changes WHERE change IS NOT NULL GROUP BY data_source_id, to_snapshot_id""")
 def diff_counts(spark, sf):
-    before, after = _neighbours(spark, sf)
-    return diff.diff_counts(diff.diff(before, after, [*_PAIR, *_PARTS], values=False), ["data_source_id", "to_snapshot_id"])
+    return diff.diff_counts(_changes(spark, sf, digests=True).where("change <> 'same'"), ["data_source_id", "to_snapshot_id"])
 
 
 @query("b8_same_source_guard", "p1_snapshots", sql="""
@@ -143,8 +178,7 @@ def latest_snapshots(spark, sf):
     FROM latest l JOIN p1_columns c ON c.snapshot_id = l.id WHERE l.rn = 1 GROUP BY ALL""")
 def latest_metadata(spark, sf):
     """Newest snapshot per source with its payload, newest first."""
-    parts = history.latest_with_payload(stored(spark, sf))
-    columns = flatten.column_history(parts)
+    columns = flatten.column_history(history.latest_with_payload(stored(spark, sf)))
     counts = columns.groupBy("snapshot_id", "data_source_id", captured_on()).agg(F.count("*").alias("column_count"))
     return counts.orderBy(F.col("captured_on").desc(), F.col("snapshot_id").desc())
 
@@ -198,17 +232,15 @@ def snapshot_summary(spark, sf):
     JOIN p1_tables t ON t.snapshot_id = l.id WHERE rn <= 3 GROUP BY ALL""")
 def newest_snapshots(spark, sf):
     """Summaries of the three newest snapshots of every source."""
-    parts = stored(spark, sf)
-    chosen = history.newest(parts.where("part_no = 0").select(*model.HEADER_COLUMNS), 3)
-    kept = history.of_snapshots(parts, chosen)
+    rows = stored(spark, sf)
+    kept = history.of_snapshots(rows, history.newest(history.headers(rows), 3))
     return history.snapshot_summary(kept).select("data_source_id", "snapshot_id", "table_count")
 
 
 @query("f3_newest_of_source", "p1_snapshots", sql=_LATEST + """
     SELECT id AS snapshot_id, captured_on FROM latest WHERE data_source_id = 3 AND rn <= 5""")
 def newest_of_source(spark, sf):
-    parts = stored(spark, sf).where("part_no = 0").select(*model.HEADER_COLUMNS)
-    return history.newest_of_source(parts, 3, 5).select("snapshot_id", captured_on())
+    return history.newest_of_source(history.headers(store.snapshots_of_source(stored(spark, sf), 3)), 3, 5).select("snapshot_id", captured_on())
 
 
 @query("d2_collected_objects", "p1_tables", "p1_views", sql=_COUNTS + """
@@ -317,8 +349,8 @@ def column_ordinal(spark, sf):
     FROM p1_columns GROUP BY data_source_id""")
 def fingerprints(spark, sf):
     """Every snapshot has its own content here, so fingerprints are as many as snapshots."""
-    parts = stored(spark, sf)
-    marks = collect.fingerprints(parts).join(parts.where("part_no = 0").select("snapshot_id", "data_source_id"), "snapshot_id")
+    rows = stored(spark, sf)
+    marks = collect.fingerprints(rows).join(history.headers(rows).select("snapshot_id", "data_source_id"), "snapshot_id")
     return marks.groupBy("data_source_id").agg(
         F.count("*").alias("snapshots"), F.countDistinct("fingerprint").alias("fingerprints"),
         F.max(F.length("fingerprint")).alias("digits"),
@@ -330,7 +362,7 @@ def fingerprints(spark, sf):
     SELECT snapshot_id, kind, schema_name, table_name, name FROM (
       SELECT snapshot_id, 'column' AS kind, schema_name, table_name, column_name AS name FROM p1_columns) WHERE schema_name = 'BUILDING'""")
 def snapshot_objects(spark, sf):
-    rows = search.snapshot_objects(flatten.objects(stored(spark, sf)), "BUILDING", "column")
+    rows = search.snapshot_objects(flatten.objects(stored(spark, sf), kinds=("column",)), "BUILDING", "column")
     return rows.select("snapshot_id", "kind", "schema_name", "table_name", "name")
 
 

@@ -8,42 +8,45 @@ from .. import model
 from ..operators import flatten, history
 
 
-def append_snapshots(parts: DataFrame, path: str) -> None:
-    """Append stored parts, one folder per source.
+def append_snapshots(rows: DataFrame, path: str) -> None:
+    """Append rows of the store: a folder for each kind, month and bucket of sources.
 
-    Rows are rebalanced on the folder key: a large source is split over many files, small ones are not scattered.
+    Rows are rebalanced on the folder key, so a large folder is split over many files and small ones are not scattered;
+    inside a file they are ordered by source and snapshot, so that footers prune further.
     """
-    parts.hint("rebalance", "data_source_id").write.mode("append").partitionBy("data_source_id").parquet(path)
+    placed = rows.hint("rebalance", *model.PARTITIONS).sortWithinPartitions(*model.PARTITIONS, "data_source_id", "snapshot_id", "schema_name", "name")
+    placed.write.mode("append").partitionBy(*model.PARTITIONS).parquet(path)
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(model.PARTS).parquet(path)
+    return spark.read.schema(model.STORED).parquet(path)
 
 
-def snapshot_by_id(parts: DataFrame, snapshot_id: int, data_source_id: int | None = None) -> DataFrame:
-    """All parts of one snapshot, payload included. With the source given, other folders are not listed."""
-    rows = parts.where(F.col("snapshot_id") == snapshot_id)
-    return rows.where(F.col("data_source_id") == data_source_id) if data_source_id is not None else rows
+def snapshots_of_source(stored: DataFrame, data_source_id: int) -> DataFrame:
+    """All rows of one source: only the folders of its bucket are listed."""
+    return stored.where((F.col("source_bucket") == data_source_id % model.SOURCE_BUCKETS) & (F.col("data_source_id") == data_source_id))
 
 
-def snapshots_of_source(parts: DataFrame, data_source_id: int) -> DataFrame:
-    return parts.where(F.col("data_source_id") == data_source_id)
+def snapshot_by_id(stored: DataFrame, snapshot_id: int, data_source_id: int | None = None) -> DataFrame:
+    """All rows of one snapshot. With the source given, folders of other buckets are not listed."""
+    rows = stored if data_source_id is None else snapshots_of_source(stored, data_source_id)
+    return rows.where(F.col("snapshot_id") == snapshot_id)
 
 
-def headers(parts: DataFrame) -> DataFrame:
-    """One row per snapshot without its payload."""
-    return parts.where("part_no = 0").select(*model.HEADER_COLUMNS)
+def headers(stored: DataFrame) -> DataFrame:
+    """One row per snapshot, from the folders that hold no objects."""
+    return flatten.of_kind(stored, model.SNAPSHOT).select(*model.HEADER_COLUMNS)
 
 
-def publish(parts: DataFrame, fingerprints: DataFrame, prefix: str = "integration_") -> list[str]:
+def publish(stored: DataFrame, fingerprints: DataFrame, prefix: str = "integration_") -> list[str]:
     """Register the read-only history relations as views for SQL users."""
-    history_rows = flatten.snapshot_history(parts).join(fingerprints, "snapshot_id")
+    history_rows = flatten.snapshot_history(stored).join(fingerprints, "snapshot_id")
     relations = {
         "snapshot_history": history_rows,
         "latest_snapshots": history.latest(history_rows),
-        "schema_history": flatten.schema_history(parts),
-        "table_history": flatten.table_history(parts),
-        "column_history": flatten.column_history(parts),
+        "schema_history": flatten.schema_history(stored),
+        "table_history": flatten.table_history(stored),
+        "column_history": flatten.column_history(stored),
     }
     for name, rows in relations.items():
         rows.createOrReplaceTempView(prefix + name)

@@ -17,7 +17,7 @@ from ..sources.catalogs import landed
 RELATIONS = (
     "schemas", "tables", "columns", "primary_keys", "foreign_keys", "indexes", "storage", "views", "routines", "grants",
 )
-STORED = model.PARTS + ", batch_id BIGINT"
+STORED = model.STORED + ", batch_id BIGINT"
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -25,7 +25,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _stored_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Stored parts of earlier batches; None before the first one."""
+    """Rows of earlier batches; None before the first one."""
     try:
         return read_store(spark, path).where(F.col("batch_id") < batch_id)
     except AnalysisException as missing:
@@ -35,7 +35,7 @@ def _stored_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame |
 
 
 def batch_writer(landing: str, store: str) -> Callable[[DataFrame, int], None]:
-    """The `foreachBatch` function: headers of one batch -> stored parts in the folder of that batch.
+    """The `foreachBatch` function: headers of one batch -> rows of the store in the folder of that batch.
 
     Snapshots already stored by an earlier batch for the same source and run are left out. A repeated batch
     overwrites its own folder, so replay after a lost driver or executor neither loses nor doubles a snapshot.
@@ -43,23 +43,24 @@ def batch_writer(landing: str, store: str) -> Callable[[DataFrame, int], None]:
 
     def write(headers: DataFrame, batch_id: int) -> None:
         session = headers.sparkSession
+        headers = headers.dropDuplicates(["data_source_id", "run_id"])
         before_headers = before_totals = None
         stored = _stored_before(session, store, batch_id)
         if stored is not None:
-            known = stored.where("part_no = 0").select("data_source_id", "run_id")
+            known = flatten.of_kind(stored, model.SNAPSHOT).select("data_source_id", "run_id")
             headers = headers.join(known, ["data_source_id", "run_id"], "left_anti")
             sources = broadcast_if_small(headers.select("data_source_id").distinct())
-            newest = history.latest_with_payload(stored.join(sources, "data_source_id", "left_semi"))
-            before_headers = newest.where("part_no = 0")
+            before_headers = history.latest(history.headers(stored).join(sources, "data_source_id", "left_semi"))
+            newest = history.of_snapshots(flatten.of_kind(stored, model.TABLE_KIND), before_headers)
             before_totals = flatten.table_details(newest).where("total_bytes IS NOT NULL")
         asked = broadcast_if_small(headers.select("snapshot_id"))
         relations = {n: landed(session, landing, n).join(asked, "snapshot_id", "left_semi") for n in RELATIONS}
-        parts = collected(headers, relations, before_headers, before_totals).withColumn("batch_id", F.lit(batch_id))
+        rows = collected(headers, relations, before_headers, before_totals).withColumn("batch_id", F.lit(batch_id))
         (
-            parts.sortWithinPartitions("data_source_id", "captured_at")
+            rows.hint("rebalance", *model.PARTITIONS).sortWithinPartitions(*model.PARTITIONS, "data_source_id", "snapshot_id")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
+            .partitionBy("batch_id", *model.PARTITIONS)
             .parquet(store)
         )
 

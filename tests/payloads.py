@@ -3,18 +3,20 @@
 import datetime as dt
 import json
 
-from schemaledger import model
+from schemaledger.sources import documents
 
 AT = dt.datetime(2024, 5, 1, 12, 0, 0)
 
 
-def part(snapshot_id, payload, source_id=1, at=AT, part_no=0, part_count=1):
+def part(snapshot_id, payload, source_id=1, at=AT):
     text = payload if isinstance(payload, str) else json.dumps(payload)
-    return (snapshot_id, source_id, snapshot_id + 10, at, part_no, part_count, text, "", [], [0] * 8)
+    return (snapshot_id, source_id, snapshot_id + 10, at, text)
 
 
 def parts(spark, *rows):
-    return spark.createDataFrame(list(rows), model.PARTS)
+    """Rows of the store, read from documents."""
+    shape = "snapshot_id BIGINT, data_source_id BIGINT, run_id BIGINT, captured_at TIMESTAMP_NTZ, payload STRING"
+    return documents.from_documents(spark.createDataFrame(list(rows), shape))
 
 
 def column(name, type_="integer", **more):
