@@ -307,15 +307,16 @@ def column_history(spark, sf):
     )
 
 
-@query("g4_objects", "p1_columns", "p1_tables", "p1_views", "p1_routines", "p1_indexes", sql="""
-    SELECT snapshot_id, 'column' AS kind, concat('column:', schema_name, '.', table_name, '.', column_name) AS "key" FROM p1_columns
-    UNION ALL SELECT snapshot_id, 'table', concat('table:', schema_name, '.', table_name) FROM p1_tables
-    UNION ALL SELECT snapshot_id, 'index', concat('index:', schema_name, '.', table_name, '.', index_name) FROM p1_indexes
-    UNION ALL SELECT snapshot_id, 'view', concat('view:', schema_name, '.', name) FROM p1_views
-    UNION ALL SELECT snapshot_id, 'procedure', concat('procedure:', schema_name, '.', name) FROM p1_routines
-    UNION ALL SELECT DISTINCT snapshot_id, 'schema', concat('schema:', schema_name) FROM p1_tables""")
+@query("g4_objects", "p1_objects", "p1_values", "p1_indexes", sql="""
+    SELECT snapshot_id, kind, "key", value FROM p1_objects
+    UNION ALL SELECT snapshot_id, kind, concat(kind, ':', schema_name, '.', name), own_value FROM p1_values
+    UNION ALL SELECT snapshot_id, 'index', concat('index:', schema_name, '.', table_name, '.', index_name),
+      concat('{"column_names":["', first_column, CASE WHEN column_count > 1 THEN '","…"' ELSE '",null' END, '],"name":"', index_name, '","unique":', is_unique, '}') FROM p1_indexes
+    UNION ALL SELECT DISTINCT snapshot_id, 'schema', concat('schema:', schema_name), NULL FROM p1_values WHERE kind = 'table'""")
 def objects(spark, sf):
-    return flatten.keyed_objects(flatten.objects(stored(spark, sf))).select("snapshot_id", "kind", "key")
+    """Objects of all kinds with their values; storage, which follows the data, is left out of them."""
+    rows = flatten.objects(stored(spark, sf), without=("storage",))
+    return flatten.keyed_objects(rows).select("snapshot_id", "kind", "key", "value")
 
 
 @query("g6_privileges", "p1_permissions", "p1_views", sql=f"""
@@ -344,17 +345,19 @@ def column_ordinal(spark, sf):
     return flatten.column_details(stored(spark, sf)).select(*_TABLE, "column_name", "ordinal")
 
 
-@query("h2_fingerprint", "p1_columns", sql="""
-    SELECT data_source_id, count(DISTINCT snapshot_id) AS snapshots, count(DISTINCT snapshot_id) AS fingerprints, 64 AS digits
-    FROM p1_columns GROUP BY data_source_id""")
+@query("h2_fingerprint", "p1_fingerprints", sql="SELECT snapshot_id, fingerprint FROM p1_fingerprints")
 def fingerprints(spark, sf):
-    """Every snapshot has its own content here, so fingerprints are as many as snapshots."""
-    rows = stored(spark, sf)
-    marks = collect.fingerprints(rows).join(history.headers(rows).select("snapshot_id", "data_source_id"), "snapshot_id")
-    return marks.groupBy("data_source_id").agg(
-        F.count("*").alias("snapshots"), F.countDistinct("fingerprint").alias("fingerprints"),
-        F.max(F.length("fingerprint")).alias("digits"),
-    )
+    """Fingerprint of every snapshot, from the stored digests of its objects."""
+    return collect.fingerprints(stored(spark, sf))
+
+
+@query("h2_schema_digests", "p1_values", sql="""
+    SELECT snapshot_id, schema_name, count(*) AS objects, """ + ", ".join(
+    f"CAST(sum(CAST('0x' || substr(sha256(CAST(to_json([kind, schema_name, value]) AS VARCHAR)), {k * 8 + 1}, 8) AS BIGINT)) AS BIGINT) AS w{k}" for k in range(8)) + """
+    FROM p1_values GROUP BY snapshot_id, schema_name""")
+def schema_digests(spark, sf):
+    """Digest sums of every schema: those of its objects, and parts of those of its snapshot."""
+    return collect.digest_tree(stored(spark, sf), "schema_name")
 
 
 # --- searches ----------------------------------------------------------------------------------------------------

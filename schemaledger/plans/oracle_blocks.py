@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .. import model
 
 
 def rounded(value: str) -> str:
@@ -12,6 +13,11 @@ def rounded(value: str) -> str:
     return f"(sign({value}) * (CAST(CAST(floor(abs({value})) AS BIGINT) * 100 + {fraction} // {unit} + {up} AS DOUBLE) / 100))"
 
 
+def _words(digest: str) -> str:
+    """Sums of the eight 32-bit words of hex digests, as hex numbers with commas."""
+    return "concat_ws(',', " + ", ".join(f"format('{{:x}}', CAST(sum(CAST('0x' || substr({digest}, {k * 8 + 1}, 8) AS BIGINT)) AS BIGINT))" for k in range(8)) + ")"
+
+
 _TABLE = "data_source_id, yr, snapshot_id, captured_on, schema_name, table_name"
 
 BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -127,6 +133,36 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
     "p1_foreign_keys": (("p1_columns",), """
         SELECT snapshot_id, schema_name, table_name, concat('fk_', substr(column_name, 1, 1)) AS key_name, column_name
         FROM p1_columns WHERE data_bytes % 3 = 0"""),
+    # canonical value of every table, view and routine, growth left out; tables also in parts
+    "p1_values": (("p1_columns", "p1_tables", "p1_indexes", "p1_foreign_keys", "p1_permissions", "p1_views", "p1_routines"), """
+        SELECT snapshot_id, 'table' AS kind, schema_name, table_name AS name,
+               concat('{"columns":[', columns, '],', own, ',"indexes":[', coalesce(indexes, ''), ']', tail, ',"storage":{"data_bytes":', data_bytes, ',"index_bytes":', index_bytes,
+                      ',"row_estimate":', coalesce(CAST(row_estimate AS VARCHAR), 'null'), ',"total_bytes":', total_bytes, '},"unique_constraints":[]}') AS value,
+               concat('{', own, tail, ',"unique_constraints":[]}') AS own_value
+        FROM (SELECT t.*, c.columns, i.indexes, concat('"comment":"about ', table_name, '","foreign_keys":[', coalesce(f.keys, ''), ']') AS own,
+                     concat(',"name":"', table_name, '","permissions":{"checked_as":"', checked_as, '","privileges":[', CASE WHEN granted THEN '"SELECT"' ELSE '' END, '],"select":',
+                            CASE WHEN granted THEN 'true' ELSE 'null' END, '},"primary_key":{"constrained_columns":[', c.pk, '],"name":null}') AS tail
+              FROM p1_tables t JOIN p1_permissions USING (snapshot_id, schema_name, table_name)
+              JOIN (SELECT snapshot_id, schema_name, table_name, CASE WHEN count(*) > 1 THEN concat('"', min(column_name), '"') ELSE '' END AS pk,
+                      string_agg(concat('{"comment":null,"default":null,"name":"', column_name, '","nullable":', nullable, ',"type":"', data_type, '"}'), ',' ORDER BY column_name) AS columns
+                    FROM p1_columns GROUP BY ALL) c USING (snapshot_id, schema_name, table_name)
+              LEFT JOIN (SELECT snapshot_id, schema_name, table_name, string_agg(concat('{"column_names":["', first_column, CASE WHEN column_count > 1 THEN '","…"' ELSE '",null' END,
+                      '],"name":"', index_name, '","unique":', is_unique, '}'), ',' ORDER BY index_name) AS indexes FROM p1_indexes GROUP BY ALL) i USING (snapshot_id, schema_name, table_name)
+              LEFT JOIN (SELECT snapshot_id, schema_name, table_name, string_agg(concat('{"constrained_columns":["', column_name, '"],"name":"', key_name, '","referred_columns":["', column_name,
+                      '",null],"referred_schema":"', schema_name, '","referred_table":"ref_', substr(column_name, 1, 1), '"}'), ',' ORDER BY key_name) AS keys FROM p1_foreign_keys GROUP BY ALL) f
+                USING (snapshot_id, schema_name, table_name))
+        UNION ALL SELECT snapshot_id, 'view', schema_name, name, value, value FROM (SELECT *, concat('{"definition":"', definition, '","name":"', name, '","permissions":', CASE WHEN schema_name = 'MACHINERY'
+               THEN '{"checked_as":"current_user","privileges":["SELECT"],"select":true}' ELSE '{"checked_as":"not_collected","privileges":[],"select":null}' END, '}') AS value FROM p1_views)
+        UNION ALL SELECT snapshot_id, 'procedure', schema_name, name, value, value FROM (SELECT *,
+               concat('{"arguments":null,"definition":"', definition, '","name":"', name, '","return_type":null,"routine_type":"PROCEDURE"}') AS value FROM p1_routines)"""),
+    # digests of snapshots from those of their facts, schemas and objects
+    "p1_fingerprints": (("p1_values", "p1_snapshots", "p1_sources", "p1_tables"), """
+        SELECT s.id AS snapshot_id, s.data_source_id, sha256(concat_ws(',', sha256(concat('{"source":"', d.name, '","db_type":"', d.db_type, '","database":"', d.database_name,
+               '","collection_options":{"items":[', """ + "'" + ",".join(f'"{i}"' for i in sorted(model.DEFAULT_ITEMS)) + "'" + """, '],"storage_growth":true},"skipped_schemas":[]}')), n.words, o.words)) AS fingerprint
+        FROM p1_snapshots s JOIN p1_sources d ON d.id = s.data_source_id
+        JOIN (SELECT snapshot_id, """ + _words("digest") + """ AS words FROM (SELECT DISTINCT snapshot_id, sha256(schema_name) AS digest FROM p1_tables) GROUP BY snapshot_id) n ON n.snapshot_id = s.id
+        JOIN (SELECT snapshot_id, """ + _words("digest") + """ AS words FROM (SELECT snapshot_id, sha256(CAST(to_json([kind, schema_name, value]) AS VARCHAR)) AS digest FROM p1_values)
+              GROUP BY snapshot_id) o ON o.snapshot_id = s.id"""),
     # objects with the value text that the diff compares
     "p1_objects": (("p1_columns",), """
         SELECT data_source_id, yr, snapshot_id, 'column' AS kind, schema_name, table_name, column_name AS name,

@@ -20,8 +20,8 @@ def _line(section: int, label: int, value: str) -> str:
     return f"SELECT snapshot_id, '{name}' AS section, '{_LABELS[name][label]}' AS label, CAST({value} AS VARCHAR) AS value FROM facts"
 
 
-@query("x1_summary_sheet", "p1_growth", "p1_sources", "p1_views", "p1_indexes", "p1_foreign_keys", sql="""
-    , facts AS (SELECT t.snapshot_id, any_value(s.name) AS source, any_value(s.db_type) AS kind, any_value(s.database_name) AS db,
+@query("x1_summary_sheet", "p1_growth", "p1_sources", "p1_views", "p1_indexes", "p1_foreign_keys", "p1_fingerprints", sql="""
+    , facts AS (SELECT t.snapshot_id, (SELECT fingerprint FROM p1_fingerprints p WHERE p.snapshot_id = t.snapshot_id) AS mark, any_value(s.name) AS source, any_value(s.db_type) AS kind, any_value(s.database_name) AS db,
         any_value(t.captured_on) AS captured_on, count(DISTINCT t.schema_name) AS schemas, count(*) AS tables,
         (SELECT count(*) FROM p1_views v WHERE v.snapshot_id = t.snapshot_id) AS views, sum(t.column_count) AS columns,
         (SELECT count(*) FROM p1_indexes i WHERE i.snapshot_id = t.snapshot_id) AS indexes,
@@ -30,15 +30,13 @@ def _line(section: int, label: int, value: str) -> str:
         count(*) AS o, count(t.previous_total_bytes) AS c
       FROM p1_growth t JOIN p1_sources s ON s.id = t.data_source_id GROUP BY t.snapshot_id) """ + " UNION ALL ".join([
     _line(0, 0, "source"), _line(0, 1, "kind"), _line(0, 2, "db"), _line(0, 3, "concat(CAST(captured_on AS VARCHAR), ' 00:00:00')"),
-    _line(0, 5, f"'{model.LABEL_OPTION['storage']}'"),
+    _line(0, 4, "mark"), _line(0, 5, f"'{model.LABEL_OPTION['storage']}'"),
     *[_line(1, i, c) for i, c in enumerate(("schemas", "tables", "views", "columns", "indexes", "keys"))],
     *[_line(2, i, c) for i, c in enumerate(("d", "i", "t", "g", "o", "c"))],
 ]))
 def summary_sheet(spark, sf):
-    """All summary lines but the fingerprint, which `h2_fingerprint` covers."""
-    parts = stored(spark, sf)
-    rows = sheets.summary(parts, collect.fingerprints(parts))
-    return rows.where(F.col("label") != "Fingerprint").drop("line_no")
+    rows = stored(spark, sf)
+    return sheets.summary(rows, collect.fingerprints(rows)).drop("line_no")
 
 
 @query("x2_table_sheet", "p1_growth", "p1_columns", "p1_indexes", "p1_foreign_keys", sql=f"""
