@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import model
 from ..functions.values import canonical_json, no_grant
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, written
 
 DIGEST_WORDS = 8
 
@@ -194,7 +194,7 @@ def assemble(headers: DataFrame, relations: dict[str, DataFrame]) -> DataFrame:
         *[F.sort_array(F.collect_list(n)).alias(n) for n in lists],
         *[F.first(n, ignorenulls=True).alias(n) for n in singles],
     )
-    context = broadcast_if_small(_context(headers, relations.get("grants")))
+    context = broadcast_if_small(written(_context(headers, relations.get("grants"))))
     star = F.try_element_at("stars", F.coalesce("schema_name", F.lit("")))
     granted = F.coalesce("grants.permissions", star, no_grant())
     kinds = F.array(_table(granted), _view(granted))

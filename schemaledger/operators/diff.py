@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import model
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, written
 from .collect import GROWTH
 from .flatten import LEAF_KINDS, OBJECT_KEY, PLACE, objects, of_kind, printed_key
 from .history import sequenced
@@ -76,7 +76,7 @@ def _placed(rows: DataFrame, headers: DataFrame) -> DataFrame:
     slots = F.array(slot(F.col("seq"), own, none, none), slot(F.col("seq") + 1, none, own, none), slot(F.col("seq") - 1, none, none, own))
     line = heads.select("data_source_id", F.inline(slots)).groupBy("data_source_id", "seq").agg(*[F.max(c).alias(c) for c in ("_own", "_before", "_after")])
     line = line.where("_own IS NOT NULL").withColumnRenamed("_own", "snapshot_id")
-    return rows.drop("data_source_id", "captured_at", "run_id").join(broadcast_if_small(line), "snapshot_id")
+    return rows.drop("data_source_id", "captured_at", "run_id").join(broadcast_if_small(written(line)), "snapshot_id")
 
 
 def neighbour_changes(rows: DataFrame, headers: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
