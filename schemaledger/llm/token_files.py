@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -29,12 +30,11 @@ from ..session import shared_folder, written
 MAGIC = b"TOKPFOR1"
 BLOCK, PERCENTILE = 512, 90
 FILE_IDS = 4_000_000
-WORDS_KEPT, WORD_CHARS = 150_000, 32
+WORDS_KEPT, WORD_CHARS = 400_000, 32
+_BATCH = 1024
 _HEAD = 7
-_BREAKS = str.maketrans("\t\r\n", "   ")
 # Letters that have one form in NFC and one lower case, and ASCII punctuation.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 # Byte-level vocabularies write a byte that is no visible Latin-1 character as the next free character from 256 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 _BYTE_LETTERS = {b: chr(256 + n) for n, b in enumerate(_HIDDEN)}
@@ -130,50 +130,82 @@ def read_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 class WordCoder:
     """Whole texts to ids. The tokenizer drops white space and merges within words only, so words are encoded once each.
 
-    It also lower-cases and cuts punctuation from letters, so a word of plain letters with ASCII punctuation behind it
-    is taken as two pieces; the letters, whose normal form is known, go straight to the library's merge model. Words and
-    pieces are remembered in two generations of ``WORDS_KEPT``.
+    A batch is split and its distinct words are found in Arrow; Python sees distinct words only. The ids of known words lie
+    one after another in one array, from which the ids of a batch are gathered by position. The tokenizer also lower-cases
+    and cuts punctuation from letters, so a word of plain letters with ASCII punctuation behind it is taken as two pieces;
+    the letters, whose normal form is known, go straight to the library's merge model. Beyond ``WORDS_KEPT`` words the
+    memory starts anew.
     """
 
     def __init__(self, file: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_buffer(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words, self.pieces = ({"": b""}, {}), ({"": b""}, {})
-
-    @staticmethod
-    def _aged(memo: tuple[dict, dict]) -> tuple[dict, dict]:
-        return memo if len(memo[0]) < WORDS_KEPT else ({"": b""}, memo[0])
-
-    def _encode(self, pieces: set[str]) -> dict[str, bytes]:
-        self.pieces = young, old = self._aged(self.pieces)
-        found = {p: old[p] for p in pieces & old.keys()}
-        new = pieces - young.keys() - found.keys()
-        letters = {p for p in new if _LETTERS.fullmatch(p)}
-        other, merged = list(new - letters), self.tokenizer.model.tokenize
-        found.update(zip(other, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(other, add_special_tokens=False))))
-        found.update((p, array("I", [t.id for t in merged(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()) for p in letters)
-        young.update((p, i) for p, i in found.items() if len(p) <= WORD_CHARS)
-        found.update((p, young[p]) for p in pieces & young.keys())
-        return found
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [(t or "").translate(_BREAKS).split(" ") for t in texts]
-        self.words = young, old = self._aged(self.words)
-        asked = set().union(*words) - young.keys()
-        fresh = {w: old[w] for w in asked & old.keys()}
-        cut = {}
-        for w in asked - fresh.keys():
-            plain = _PLAIN.fullmatch(w)
-            cut[w] = (plain[1].lower(), plain[2]) if plain else (w, "")
-        of = self._encode({p for pair in cut.values() for p in pair})
-        fresh.update((w, of[a] + of[b]) for w, (a, b) in cut.items())
-        young.update(fresh)
-        out = [np.frombuffer(b"".join(map(young.__getitem__, w)), "<u4") for w in words]
+        self.pieces: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = {"": 0}
+        self.held, self.begin, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _remember(self, fresh: list[str]) -> None:
+        """Ids of new words behind those of the known ones."""
+        if len(self.pieces) > WORDS_KEPT:
+            self.pieces = {"": b""}
+        pieces, plain = self.pieces, _PLAIN.fullmatch
+        cut, letters, other = [], set(), set()
         for w in fresh:
-            if len(w) > WORD_CHARS:
-                del young[w]
-        return out
+            found = plain(w)
+            if found:
+                a, b = found.groups()
+                a = a.lower()
+                if a not in pieces:
+                    letters.add(a)
+            else:
+                a, b = w, ""
+                if a not in pieces:
+                    other.add(a)
+            if b and b not in pieces:
+                other.add(b)
+            cut.append((a, b))
+        merged = self.tokenizer.model.tokenize
+        for p in letters:
+            pieces[p] = array("I", [t.id for t in merged(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+        asked = list(other)
+        pieces.update(zip(asked, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(asked, add_special_tokens=False))))
+        coded = [pieces[a] + pieces[b] for a, b in cut]
+        for p in asked:
+            if len(p) > WORD_CHARS:
+                del pieces[p]
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        end = int(self.begin[-1] + self.size[-1])
+        if end + len(ids) > len(self.held):
+            self.held = np.concatenate((self.held, np.zeros(max(len(self.held), len(ids)), np.uint32)))
+        self.held[end: end + len(ids)] = ids
+        self.begin = np.concatenate((self.begin, end + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh))))
+
+    def ids(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; null texts have none."""
+        if not len(texts):
+            return []
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if len(self.words) > WORDS_KEPT:
+            self._forget()
+        for mark in "\t\r\n":
+            texts = pc.replace_substring(texts, mark, " ")
+        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        coded = split.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        self._remember([w for w in known if w not in self.words])
+        word = np.fromiter(map(self.words.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy(zero_copy_only=False)]
+        size = self.size[word]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        at = np.arange(ends[-1]) + np.repeat(self.begin[word] - ends[:-1], size)
+        edges = split.offsets.to_numpy()
+        return np.split(self.held[at], ends[edges - edges[0]][1:-1])
 
 
 _coders: dict[tuple[int, int], WordCoder] = {}
@@ -201,7 +233,7 @@ def write_token_files(docs: DataFrame, folder: str, file: bytes, end_id: int, id
     ordered = given.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
         store.create_dir(base, recursive=True)
         part, seq = TaskContext.get().partitionId(), 0
         held_docs: list[int | None] = []
@@ -219,9 +251,9 @@ def write_token_files(docs: DataFrame, folder: str, file: bytes, end_id: int, id
                 held_docs, held, total, seq = [], [], 0, seq + 1
 
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                rows = batch.slice(begin, 256)
-                for doc, ids in zip(rows.column(0).to_pylist(), word_coder(file).ids(rows.column(1).to_pylist())):
+            for begin in range(0, batch.num_rows, _BATCH):
+                rows = batch.slice(begin, _BATCH)
+                for doc, ids in zip(rows.column(0).to_pylist(), word_coder(file).ids(rows.column(1))):
                     held_docs.append(doc)
                     held.append(np.append(ids, np.uint32(end_id)))
                     total += len(ids) + 1
