@@ -20,7 +20,7 @@ the runs, two linked sets share a run within their prefixes of ``n - ceil(percen
    its pairs; links are joined to components.
 
 Equal sets are one class from the start: a task signs each set once, and classes are merged before groups are built.
-Run hashes and set digests have 64 bits.
+Run hashes have 64 bits, set digests 128.
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ ANCHORS = 4             # texts of a group, besides its hub, that meet all its b
 BOUND_ROWS = 2048       # texts that meet as counts in one task
 BOUND_CELLS = 256       # cells of the counts that bound an intersection
 SEEN = 200_000          # set digests that a task remembers to sign a set once
-_ORDER_1, _ORDER_2, _ORDER_3, _DIGEST = 7, 8, 9, 5
-_FULL, _FINE_FULL = (1 << 16) - 1, 255  # counts that bound nothing
+_ORDER_1, _ORDER_2, _ORDER_3, _DIGESTS = 7, 8, 9, (5, 6)
+_FULL = 255  # a count that bounds nothing
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -75,7 +75,7 @@ def signed(rows: DataFrame, level: np.ndarray, size: int, percent: int) -> DataF
 
     ``node``, ``prefix`` (the first runs under order 1) and ``counts`` are null where the same task has signed the set before.
     """
-    fields = [f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", "key long", "digest long", "n long", "node long", "prefix array<long>", "counts binary"]
+    fields = [f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", "key long", "digest binary", "n long", "node long", "prefix array<long>", "counts binary"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, seen = TaskContext.get().partitionId() << 33, set()
@@ -84,12 +84,14 @@ def signed(rows: DataFrame, level: np.ndarray, size: int, percent: int) -> DataF
             for block in W.in_blocks(batch.column("text").to_pylist()):
                 hashes, n = W.shingle_sets(block, size)
                 text = np.repeat(np.arange(len(block)), n)
-                sums = np.zeros(len(hashes) + 1, np.uint64)
-                np.cumsum(W.mixed(hashes, _DIGEST), out=sums[1:])
                 ends = np.cumsum(n)
-                digest = W.mixed(sums[ends] - sums[ends - n], _DIGEST).view(np.int64)
+                halves = np.empty((len(block), 2), np.uint64)
+                for k, seed in enumerate(_DIGESTS):
+                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mixed(hashes, seed))))
+                    halves[:, k] = W.mixed(sums[ends] - sums[ends - n], seed)
+                digest = [h.tobytes() for h in halves]
                 fresh = np.zeros(len(block), bool)
-                for i, (d, k) in enumerate(zip(digest.tolist(), n.tolist())):
+                for i, (d, k) in enumerate(zip(digest, n.tolist())):
                     if k and d not in seen:
                         fresh[i] = True
                         seen.add(d)
@@ -98,7 +100,7 @@ def signed(rows: DataFrame, level: np.ndarray, size: int, percent: int) -> DataF
                 of = fresh[text]
                 hashes, text = hashes[of], text[of]
                 counts = np.bincount(text * BOUND_CELLS + (hashes % np.uint64(BOUND_CELLS)).astype(np.int64), minlength=len(block) * BOUND_CELLS)
-                counts = np.minimum(counts, _FULL).astype("<u2").reshape(len(block), BOUND_CELLS)
+                counts = np.minimum(counts, _FULL).astype(np.uint8).reshape(len(block), BOUND_CELLS)
                 cell = level[(hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                 order = np.lexsort((W.mixed(hashes, _ORDER_1), cell, text))
                 own = np.where(fresh, n, 0)
@@ -109,7 +111,7 @@ def signed(rows: DataFrame, level: np.ndarray, size: int, percent: int) -> DataF
                 node += int(fresh.sum())
                 offsets = pa.array(np.concatenate(([0], np.cumsum(wanted))).astype(np.int32), mask=np.append(~fresh, False))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(block)), batch.column("key").slice(at, len(block)), pa.array(digest),
+                    [batch.column("doc_id").slice(at, len(block)), batch.column("key").slice(at, len(block)), pa.array(digest, pa.binary()),
                      pa.array(n.astype(np.int64)), pa.array(nodes, mask=~fresh),
                      pa.ListArray.from_arrays(offsets, pa.array(prefix)),
                      pa.array([c.tobytes() if new else None for c, new in zip(counts, fresh.tolist())], pa.binary())],
@@ -158,7 +160,7 @@ def fine_counts(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> I
                 hashes, _ = W.shingle_sets([W.canonical(text)], size)
                 cells = fine_cells(upper, percent)
                 counts = np.bincount((hashes % np.uint64(cells)).astype(np.int64), minlength=cells)
-                made.append(np.minimum(counts, _FINE_FULL).astype(np.uint8).tobytes())
+                made.append(np.minimum(counts, _FULL).astype(np.uint8).tobytes())
             names = [c for c in part.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(made, pa.binary())], [*names, "counts"])
 
@@ -256,11 +258,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     level = frequency_levels(given.select("text"), size)
     rows = written(signed(given, level, size, percent))
 
-    classes = written(
-        rows.where("n > 0").groupBy("digest", "n").agg(
-            F.min(F.when(F.col("node").isNotNull(), F.struct("node", "key", "counts"))).alias("first"), F.min("doc_id").alias("least_id")
-        ).select("digest", "n", F.col("first.node").alias("rep"), F.col("first.key").alias("key"), F.col("first.counts").alias("counts"), "least_id")
-    )
+    classes = written(rows.where("n > 0").groupBy("digest", "n").agg(F.min("node").alias("rep"), F.min("doc_id").alias("least_id")))
     postings = rows.where("node is not null").select("node", F.explode("prefix").alias("token"))
     hubs = postings.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("held")).where("held > 1").select("token", "hub")
     met = postings.join(hubs, "token").groupBy("node", "hub").agg(F.count("*").alias("shared"))
@@ -282,7 +280,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         table = table.sort_by([("label", "ascending"), ("n", "ascending"), ("rep", "ascending")])
         n, label, block = (table.column(c).to_numpy() for c in ("n", "label", "block"))
         sides = label if table.column("lo")[0] == table.column("hi")[0] else np.stack((label, block))
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").reshape(-1, BOUND_CELLS).astype(np.int64)
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, BOUND_CELLS).astype(np.int64)
         pairs = possible_pairs(n, sides, counts, percent, table.column("own").to_numpy())
         table = table.select([*cell_key, *carried])
         out = [table.slice(0, 0).append_column("part_lo", pa.array([], pa.int32())).append_column("part_hi", pa.array([], pa.int32()))]
@@ -302,10 +300,10 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         table = table.take(pa.array(list(first.values())))
         n, label, own = (table.column(c).to_numpy() for c in ("n", "label", "own"))
         counts = np.stack([np.frombuffer(c, np.uint8) for c in table.column("counts").to_pylist()]).astype(np.int64)
-        pairs = possible_pairs(n, label, np.where(counts == _FINE_FULL, _FULL, counts), percent, own)
+        pairs = possible_pairs(n, label, counts, percent, own)
         return table.select([*task_key, *carried]).filter(pa.array(pairs.any(0) | pairs.any(1)))
 
-    signs = classes.select("rep", "key", "counts")
+    signs = rows.where("node is not null").select(F.col("node").alias("rep"), "key", "counts")  # a class is signed by one of its nodes
 
     def links_within(cells: DataFrame) -> DataFrame:
         shape = "hub long, upper int, lo int, hi int, rep long, label long, key long, n long, own boolean, part_lo int, part_hi int"
@@ -362,7 +360,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     )
     links = links.union(links_within(across))
     labels = connected_components(links)
-    labelled = classes.drop("counts", "key").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
+    labelled = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", "n", "least_id", F.coalesce("label", "rep").alias("label")
     )
     least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))

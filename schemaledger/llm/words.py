@@ -1,32 +1,22 @@
 """Words and word runs of whole texts as 64-bit hashes, in numpy, many texts at once.
 
-A hash is the polynomial of the bytes of a run in arithmetic modulo 2**64, mixed once more. The polynomials of all runs
-come from one running sum, so a run costs a few array operations, whatever its length.
+Each byte of a word is mixed with its place in the word; a word's hash is the mixed sum of its bytes, a run's the mixed
+sum of its words, each mixed with its place in the run. All sums come from running totals, so words of any length cost
+one pass. Mixing a byte with its place is not linear, so no family of texts collides by construction, as with
+polynomials modulo 2**64.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-# An odd multiplier, and the constants of a public 64-bit mixer (splitmix64).
-_BASE = 0x9E3779B97F4A7C15
+# The constants of a public 64-bit mixer (splitmix64).
 _MIX_1, _MIX_2, _MIX_3 = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BLOCK_BYTES = 1 << 19
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    def row(base: int) -> np.ndarray:
-        out = np.full(1 << bits, base, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    return row(_BASE), row(pow(_BASE, -1, 1 << 64))
-
-
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hashes from hashes: another order of the same values for each ``seed``."""
     x = x + np.uint64(_MIX_1 * (seed + 1) & (1 << 64) - 1)
@@ -51,21 +41,25 @@ def hashed_runs(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), counts
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     edges = np.concatenate(([0], np.cumsum(lengths + 1)))
-    power, inverse = _powers(max(20, int(len(data)).bit_length()))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
     gaps = np.flatnonzero(data == 32)
     starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
+    place = np.arange(len(data)) - np.repeat(starts, ends - starts + 1)[: len(data)]
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(mixed((place.astype(np.uint64) << np.uint64(8)) | data), out=total[1:])
     filled = ends > starts  # texts without words leave an empty word between two separators
     starts, ends = starts[filled], ends[filled]
-    place = np.searchsorted(starts, edges)
-    n_words = np.diff(place)
+    word = total[ends] - total[starts] + (ends - starts).astype(np.uint64)
+    first_word = np.searchsorted(starts, edges)
+    n_words = np.diff(first_word)
     counts = np.where(n_words > 0, np.maximum(n_words - size + 1, 1), 0)
     text = np.repeat(np.arange(len(words)), counts)
-    first = place[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-    last = np.minimum(first + size, place[1:][text]) - 1
-    begin = starts[first]
-    return mixed((total[ends[last]] - total[begin]) * inverse[begin]), counts
+    first = first_word[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    held = np.minimum(n_words[text], size)
+    run = held.astype(np.uint64)
+    for k in range(size):
+        at_place = mixed(word, k + 1)
+        run = run + np.where(k < held, at_place[np.minimum(first + k, len(word) - 1)], np.uint64(0))
+    return mixed(run), counts
 
 
 def in_blocks(texts: Iterable[str | None]) -> Iterator[list[bytes]]:

@@ -208,3 +208,20 @@ def test_finer_counts_tell_long_texts_apart():
     (made,) = ngram_join.fine_counts(iter([batch]), 5, 80)
     counts = np.stack([np.frombuffer(c, np.uint8) for c in made.column("counts").to_pylist()]).astype(np.int64)
     assert np.argwhere(ngram_join.possible_pairs(n, np.arange(3), counts, 80)).tolist() == [[0, 2]]
+
+
+def test_words_that_collide_as_polynomials_are_two():
+    """A Thue-Morse word and its complement are equal under every polynomial modulo a power of two."""
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [one, other, f"x {one} y z", f"x {other} y z", "a b", "ab", "b a", "a  b", "", "aa", "aaa"]
+    for size in (1, 5):
+        sets = {}
+        hashes, n = words.shingle_sets([words.canonical(t) for t in texts], size)
+        for t, part in zip(texts, np.split(hashes, np.cumsum(n)[:-1])):
+            sets[t] = frozenset(part.tolist())
+        assert sets["a b"] == sets["a  b"] and sets[""] == frozenset()
+        distinct = [sets[t] for t in texts if t != "a  b" and (t != "b a" or size > 1)]
+        assert len(set(distinct)) == len(distinct)

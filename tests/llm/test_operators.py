@@ -245,3 +245,23 @@ def test_pipeline_stages_on_edge_rows(spark, edge_rows):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert all(r["n_tokens"] * 4 == len(r["ids"]) for r in rows) and {2, 5, 13}.isdisjoint(r["doc_id"] for r in rows)
     assert all(hashlib.sha256(r["ids"]).hexdigest() == r["ids_sha256"] for r in rows)
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    near = " ".join(f"near{i}" for i in range(60))
+    rows = [(7, near + " tail", "en", "a"), (7, near + " tail", "fr", "a"), (None, near, "en", "a"), (9, near, "en", "a"), (7, "another text of its own id", "en", "a"),
+            (None, "alone without id", "en", "a"), (None, "alone without id", "en", "b"), (None, "second text without id here", "en", "a"), (3, "", "en", "a"), (3, "", "en", "a"), (4, None, "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+    assert kept == sorted([(7, near + " tail"), (7, "another text of its own id"), (None, "alone without id"), (None, "second text without id here"), (3, ""), (3, ""), (4, None)], key=repr)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_components_of_words_that_collide_as_polynomials(spark):
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, one)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.ngram_jaccard_components(docs).collect()) == [(1, 1), (2, 2), (3, 1)]
