@@ -30,11 +30,12 @@ from ..session import shared_folder, written
 MAGIC = b"TOKPFOR1"
 BLOCK, PERCENTILE = 512, 90
 FILE_IDS = 4_000_000
-WORDS_KEPT, WORD_CHARS = 400_000, 32
-_BATCH = 1024
+PIECES_KEPT, CHARS_KEPT = 500_000, 1 << 26
+_BATCH, _WORDS = 1024, 1 << 20
 _HEAD = 7
 # Letters that have one form in NFC and one lower case, and ASCII punctuation.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 # Byte-level vocabularies write a byte that is no visible Latin-1 character as the next free character from 256 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 _BYTE_LETTERS = {b: chr(256 + n) for n, b in enumerate(_HIDDEN)}
@@ -130,82 +131,70 @@ def read_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 class WordCoder:
     """Whole texts to ids. The tokenizer drops white space and merges within words only, so words are encoded once each.
 
-    A batch is split and its distinct words are found in Arrow; Python sees distinct words only. The ids of known words lie
-    one after another in one array, from which the ids of a batch are gathered by position. The tokenizer also lower-cases
-    and cuts punctuation from letters, so a word of plain letters with ASCII punctuation behind it is taken as two pieces;
-    the letters, whose normal form is known, go straight to the library's merge model. Beyond ``WORDS_KEPT`` words the
-    memory starts anew.
+    It also lower-cases and cuts punctuation from letters, so a word of plain letters with ASCII punctuation behind it is
+    taken as two pieces; the letters, whose normal form is known, go straight to the library's merge model. Splitting,
+    distinct words and pieces are found in Arrow, so Python sees distinct pieces only. The ids of known pieces lie one after
+    another in one array, from which the ids of a batch are gathered. Beyond ``PIECES_KEPT`` pieces or
+    ``CHARS_KEPT`` characters the memory starts anew.
     """
 
     def __init__(self, file: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_buffer(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pieces: dict[str, bytes] = {"": b""}
         self._forget()
 
     def _forget(self) -> None:
-        self.words = {"": 0}
+        self.pieces, self.chars = {"": 0}, 0
         self.held, self.begin, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def _remember(self, fresh: list[str]) -> None:
-        """Ids of new words behind those of the known ones."""
-        if len(self.pieces) > WORDS_KEPT:
-            self.pieces = {"": b""}
-        pieces, plain = self.pieces, _PLAIN.fullmatch
-        cut, letters, other = [], set(), set()
-        for w in fresh:
-            found = plain(w)
-            if found:
-                a, b = found.groups()
-                a = a.lower()
-                if a not in pieces:
-                    letters.add(a)
-            else:
-                a, b = w, ""
-                if a not in pieces:
-                    other.add(a)
-            if b and b not in pieces:
-                other.add(b)
-            cut.append((a, b))
-        merged = self.tokenizer.model.tokenize
-        for p in letters:
-            pieces[p] = array("I", [t.id for t in merged(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
-        asked = list(other)
-        pieces.update(zip(asked, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(asked, add_special_tokens=False))))
-        coded = [pieces[a] + pieces[b] for a, b in cut]
-        for p in asked:
-            if len(p) > WORD_CHARS:
-                del pieces[p]
+        """Ids of new pieces behind those of the known ones."""
+        merged, whole = self.tokenizer.model.tokenize, _LETTERS.fullmatch
+        letters = [p for p in fresh if whole(p)]
+        other = [p for p in fresh if not whole(p)]
+        coded = [array("I", [t.id for t in merged(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS))]) for p in letters]
+        coded += [array("I", e.ids) for e in self.tokenizer.encode_batch(other, add_special_tokens=False)]
         ids = np.frombuffer(b"".join(coded), "<u4")
-        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
         end = int(self.begin[-1] + self.size[-1])
         if end + len(ids) > len(self.held):
             self.held = np.concatenate((self.held, np.zeros(max(len(self.held), len(ids)), np.uint32)))
         self.held[end: end + len(ids)] = ids
         self.begin = np.concatenate((self.begin, end + np.cumsum(size) - size))
         self.size = np.concatenate((self.size, size))
-        self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh))))
+        self.chars += sum(map(len, fresh))
+        self.pieces.update(zip(letters + other, range(len(self.pieces), len(self.pieces) + len(fresh))))
 
     def ids(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null texts have none."""
         if not len(texts):
             return []
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
-        if len(self.words) > WORDS_KEPT:
+        if len(self.pieces) > PIECES_KEPT or self.chars > CHARS_KEPT:
             self._forget()
         for mark in "\t\r\n":
             texts = pc.replace_substring(texts, mark, " ")
         split = pc.split_pattern(pc.fill_null(texts, ""), " ")
         coded = split.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        self._remember([w for w in known if w not in self.words])
-        word = np.fromiter(map(self.words.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy(zero_copy_only=False)]
-        size = self.size[word]
-        ends = np.concatenate(([0], np.cumsum(size)))
-        at = np.arange(ends[-1]) + np.repeat(self.begin[word] - ends[:-1], size)
+        cut = pc.extract_regex(coded.dictionary, _PLAIN)
+        head = pc.if_else(cut.is_valid(), pc.utf8_lower(cut.field("letters")), coded.dictionary)
+        halves = pa.concat_arrays([head, pc.fill_null(cut.field("marks"), "")]).dictionary_encode()
+        asked = halves.dictionary.to_pylist()
+        self._remember([p for p in asked if p not in self.pieces])
+        piece = np.fromiter(map(self.pieces.__getitem__, asked), np.int64, len(asked))[halves.indices.to_numpy(zero_copy_only=False)]
+        halves_of = piece.reshape(2, -1)
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(self.size[halves_of].sum(0)[word])))
+        out = []
+        for begin in range(0, len(word), _WORDS):
+            both = halves_of[:, word[begin: begin + _WORDS]].T.ravel()
+            both = both[self.size[both] > 0]
+            size = self.size[both]
+            before = np.cumsum(size) - size
+            out.append(self.held[np.arange(int(size.sum())) + np.repeat(self.begin[both] - before, size)])
         edges = split.offsets.to_numpy()
-        return np.split(self.held[at], ends[edges - edges[0]][1:-1])
+        return np.split(np.concatenate(out), ends[edges - edges[0]][1:-1])
 
 
 _coders: dict[tuple[int, int], WordCoder] = {}
