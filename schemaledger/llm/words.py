@@ -1,20 +1,21 @@
 """Words and word runs of whole texts as 64-bit hashes, in numpy, many texts at once.
 
-Each byte of a word is mixed with its place in the word; a word's hash is the mixed sum of its bytes, a run's the mixed
-sum of its words, each mixed with its place in the run. All sums come from running totals, so words of any length cost
-one pass. Mixing a byte with its place is not linear, so no family of texts collides by construction, as with
-polynomials modulo 2**64.
+A word's hash is the sum of its bytes' random values, each times the random value of its place in the word, mixed once; a
+run's is the same sum over its words. All sums come from running totals, so words of any length cost one pass. The values
+of places are random and not powers of one base, so no family of texts collides by construction, as with polynomials
+modulo 2**64.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 # The constants of a public 64-bit mixer (splitmix64).
 _MIX_1, _MIX_2, _MIX_3 = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BLOCK_BYTES = 1 << 19
+_BLOCK_BYTES = 1 << 17
 
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -25,6 +26,12 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@functools.lru_cache(maxsize=4)
+def _values(seed: int, bits: int) -> np.ndarray:
+    """The first 2**bits odd random values of a seed."""
+    return mixed(np.arange(1 << bits, dtype=np.uint64), 100 + seed) | np.uint64(1)
+
+
 def canonical(text: str | None) -> bytes:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, joined by one space; null gives no words."""
     return b" ".join(text.encode("utf-8", "surrogatepass").lower().split()) if text else b""
@@ -44,11 +51,12 @@ def hashed_runs(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     gaps = np.flatnonzero(data == 32)
     starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
     place = np.arange(len(data)) - np.repeat(starts, ends - starts + 1)[: len(data)]
+    of_place = _values(2, max(20, int(place.max()).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mixed((place.astype(np.uint64) << np.uint64(8)) | data), out=total[1:])
+    np.cumsum(_values(1, 8)[data] * of_place[place], out=total[1:])
     filled = ends > starts  # texts without words leave an empty word between two separators
     starts, ends = starts[filled], ends[filled]
-    word = total[ends] - total[starts] + (ends - starts).astype(np.uint64)
+    word = mixed(total[ends] - total[starts] + (ends - starts).astype(np.uint64))
     first_word = np.searchsorted(starts, edges)
     n_words = np.diff(first_word)
     counts = np.where(n_words > 0, np.maximum(n_words - size + 1, 1), 0)
@@ -56,14 +64,15 @@ def hashed_runs(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     first = first_word[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
     held = np.minimum(n_words[text], size)
     run = held.astype(np.uint64)
-    for k in range(size):
-        at_place = mixed(word, k + 1)
-        run = run + np.where(k < held, at_place[np.minimum(first + k, len(word) - 1)], np.uint64(0))
+    for k, value in enumerate(of_place[:size]):
+        part = word[np.minimum(first + k, len(word) - 1)] * value
+        part[k >= held] = 0
+        run += part
     return mixed(run), counts
 
 
 def in_blocks(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
-    """Canonical texts in blocks of about half a megabyte; a longer text is a block of its own."""
+    """Canonical texts in blocks of about an eighth of a megabyte; a longer text is a block of its own."""
     block, held = [], 0
     for text in texts:
         words = canonical(text)
