@@ -31,7 +31,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import broadcast_if_small, written
 from . import words as W
@@ -52,6 +52,11 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n + (-percent * n) // 100 + 1
 
 
+def index_length(n: Column, percent: int) -> Column:
+    """Length of the prefix that is enough for the smaller set of a linked pair."""
+    return n - F.ceil(n * (2 * percent) / (100 + percent)) + 1
+
+
 def frequency_levels(texts: DataFrame, size: int) -> np.ndarray:
     """Level of every sketch cell: twice the binary logarithm of its run count, over all texts. A fixed-size array."""
 
@@ -259,8 +264,13 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     rows = written(signed(given, level, size, percent))
 
     classes = written(rows.where("n > 0").groupBy("digest", "n").agg(F.min("node").alias("rep"), F.min("doc_id").alias("least_id")))
-    postings = rows.where("node is not null").select("node", F.explode("prefix").alias("token"))
-    hubs = postings.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("held")).where("held > 1").select("token", "hub")
+    # Of a linked pair, the smaller set holds a shared run within a shorter prefix still; runs without such a holder join nothing.
+    postings = rows.where("node is not null").select("node", "n", F.posexplode("prefix").alias("place", "token"))
+    hubs = (
+        postings.withColumn("short", F.col("place") < index_length(F.col("n"), percent)).groupBy("token")
+        .agg(F.min("node").alias("hub"), F.count("*").alias("held"), F.bool_or("short").alias("short")).where("held > 1 and short").select("token", "hub")
+    )
+    postings = postings.select("node", "token")
     met = postings.join(hubs, "token").groupBy("node", "hub").agg(F.count("*").alias("shared"))
     reps = rows.where("node is not null").select("node", "digest", "n").join(classes.select("digest", "n", "rep"), ["digest", "n"])
     band = F.floor(F.log("n") / math.log(1.01 * 100 / percent)).cast("int")
