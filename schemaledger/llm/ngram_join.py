@@ -274,13 +274,12 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     met = postings.join(hubs, "token").groupBy("node", "hub").agg(F.count("*").alias("shared"))
     reps = rows.where("node is not null").select("node", "digest", "n").join(classes.select("digest", "n", "rep"), ["digest", "n"])
     band = F.floor(F.log("n") / math.log(1.01 * 100 / percent)).cast("int")
-    members = written(
-        met.join(reps.select("node", "rep", "n"), "node").groupBy("hub", "rep", "n").agg(F.max("shared").alias("shared"))
-        .withColumn("band", band)
-        .select("hub", "rep", "n", "shared", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("upper"), (F.col("band") == F.col("upper")).alias("own"))
+    members = written(met.join(reps.select("node", "rep", "n"), "node").groupBy("hub", "rep", "n").agg(F.max("shared").cast("int").alias("shared")))
+    members = members.withColumn("band", band).select(
+        "hub", "rep", "n", "shared", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("upper"), (F.col("band") == F.col("upper")).alias("own")
     )
     group = ["hub", "upper"]
-    sizes = members.groupBy(*group).agg(F.count("*").alias("m"), F.sum(F.col("own").cast("int")).alias("owns")).where("m > 1 and owns > 0")
+    sizes = members.groupBy(*group).agg(F.count("*").cast("int").alias("m"), F.sum(F.col("own").cast("int")).alias("owns")).where("m > 1 and owns > 0")
     placed = written(members.join(sizes.select(*group, "m"), group))
     cell_key = [*group, "lo", "hi"]
     task_key = [*cell_key, "part_lo", "part_hi"]
