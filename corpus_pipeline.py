@@ -32,22 +32,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays: that of the smallest doc_id (nulls last), ties to the smaller text digest.
+    """One row of each group of near copies stays: that of the smallest doc_id (nulls last), ties to the smaller row key.
 
     Rows of one doc_id and one text are copies as well, and one of them stays. Rows without words link with nothing and
     all stay. An empty table gives no rows.
     """
-    row = F.struct(
-        F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"),
-        F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")).alias("text"))
-    keyed = docs.withColumn("_row", row)
-    found = written(ngram_jaccard_components(keyed.select("_row", "text"), id_col="_row").groupBy(F.col("doc_id").alias("_row")).agg(
-        F.max("n_shingles").alias("n"), F.min("component_id").alias("first"), F.count("*").alias("held")))
-    copies = (F.col("n") > 0) & (F.col("_row") != F.col("first"))
-    repeated = found.where((F.col("n") > 0) & (F.col("held") > 1) & ~copies).select("_row")
-    kept = keyed.join(found.where(copies).select("_row"), "_row", "left_anti")
-    single = kept.join(repeated, "_row", "left_anti")
-    return single.unionByName(kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])).select(docs.columns)
+    found = written(ngram_jaccard_components(docs).where("component IS NOT NULL").groupBy("component", "doc_id", "row_key").agg(F.count("*").alias("held")))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_key")
+    first = found.groupBy("component").agg(F.min(order).alias("first")).select("component", F.col("first.row_key").alias("row_key"))
+    copies = found.join(first, ["component", "row_key"], "left_anti").select("row_key").distinct()
+    repeated = found.join(first, ["component", "row_key"], "left_semi").where("held > 1").select("row_key")
+    kept = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(copies.withColumnRenamed("row_key", "_key"), "_key", "left_anti")
+    more = repeated.withColumnRenamed("row_key", "_key")
+    return kept.join(more, "_key", "left_anti").unionByName(kept.join(more, "_key", "left_semi").dropDuplicates(["_key"])).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
