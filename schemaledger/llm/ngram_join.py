@@ -250,7 +250,10 @@ def forest_of_links(nodes: np.ndarray, sides: np.ndarray, texts: list[str | None
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs``.
+    """``doc_id, n_shingles, component_id, component, row_key`` for each row of ``docs``.
+
+    ``component`` is a number of the component's own, whatever its ids (null for rows that link with nothing); ``row_key``
+    is xxhash64 of id and text, so rows of one id or none can be told apart.
 
     ``component_id`` is the smallest id that can be reached by links, the row's own included. Null and empty texts and
     texts of white space have no runs and link with nothing; a text of fewer than ``size`` words is one run. Repeated
@@ -373,7 +376,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         "digest", "n", "least_id", F.coalesce("label", "rep").alias("label")
     )
     least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of_class = labelled.join(least, "label").select("digest", "n", "component_id")
-    return rows.select("doc_id", "digest", "n").join(of_class, ["digest", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    of_class = labelled.join(least, "label").select("digest", "n", "component_id", F.col("label").alias("component"))
+    return rows.select("doc_id", "key", "digest", "n").join(of_class, ["digest", "n"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "component", F.col("key").alias("row_key"),
     )

@@ -83,7 +83,7 @@ r AS (SELECT doc_id AS node, doc_id AS seen FROM s UNION SELECT r.node, e.b FROM
 SELECT node AS doc_id, CAST(any_value(len(grams)) AS BIGINT) AS n_shingles, min(seen) AS component_id
 FROM r JOIN s ON s.doc_id = node GROUP BY node""")
 def op4_ngram_jaccard_join(spark, sf):
-    return ngram_jaccard_components(_table(spark, sf, "documents"))
+    return ngram_jaccard_components(_table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @_query("op5_decontamination")
