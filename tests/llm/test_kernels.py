@@ -157,34 +157,51 @@ PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</s
 <section class="comments"><p>reader</p></section></article><footer>end</footer></body></html>"""
 
 
+def stated_text(page):
+    blocks = page_text.page_blocks(page)
+    settled = page_text.settled_zone(blocks)
+    return None if settled is None else "\n".join(text for zone, text in blocks if zone == settled and text)
+
+
 def test_page_blocks_and_main_text():
-    assert page_text.main_texts([page_text.page_blocks(PAGE), page_text.page_blocks(None), page_text.page_blocks("")]) == ["Head & more\nFirst line next\nSecond one", "", ""]
+    assert [stated_text(p) for p in (PAGE, None, "")] == ["Head & more\nFirst line next\nSecond one", "", ""]
+
+
+@pytest.mark.parametrize("page", [
+    '<article class="post has-comments"><p>own text</p><div class="post-comments">x</div><ul class="replies"><li>y</ul></article>',
+    '<main class="no-sidebar"><p>own text</p><div class="banner">x</div></main>',
+    '<article><div class="menu-less"><p>own text</p></div><div class="cookie-notice">x</div></article>',
+    '<article><div class="post share"><p>own text</p></div></article>',
+    '<div class="layout sidebar-right"><main><p>own text</p></main><div>z</div></div>',
+    '<html><head><meta charset="utf-8"><title>t</title><article><p>own text</p></article>',
+    '<div class="page-menu"><article class="story"><p>own text</p></article></div><div class="ad">x</div>',
+    '<article><p>own text</p><article class="comment"><p>y</p></article></article>',
+    '<article class="comment-free"><header><p>own text</p></header></article><article class="post-comment">y</article>',
+])
+def test_names_never_empty_an_article(page):
+    assert stated_text(page) == "own text"
 
 
-def test_repeated_open_text_goes_and_unique_runs_stay():
-    shared = "this site is run by people who like long notices on every page"
-    pages = [page_text.page_blocks(f"<p>{shared}</p><p>{n} has words alpha{n} beta{n} of its own</p>") for n in ("one", "two", "three")]
-    assert page_text.main_texts(pages) == [f"{n} has words alpha{n} beta{n} of its own" for n in ("one", "two", "three")]
+def test_doubtful_blocks_without_other_text():
+    none = np.zeros(0, np.uint64)
+    for page, wanted in (('<div class="page-menu"><p>own text</p></div>', "own text"), ('<div class="page-menu">x</div><p>own</p>', "own"),
+                         ('<div class="ad">x</div>', ""), ('<article></article><div class="ad-slot">x</div>', "")):
+        assert (page_text.unique_text(page_text.page_blocks(page), none) if stated_text(page) is None else stated_text(page)) == wanted
 
 
-def test_repeated_tokens_equal_brute_force():
+def test_unique_text_equals_brute_force():
     rng = random.Random(4)
     for _ in range(30):
-        pages = [[rng.randint(0, 2) for _ in range(rng.randint(0, 60))] for _ in range(4)]
-        runs: dict[tuple, set] = {}
+        pages = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 60))) for _ in range(4)]
+        runs = [[tuple(own[i: i + page_text.RUN]) for i in range(len(own) - page_text.RUN + 1)] for own in (p.split() for p in pages)]
+        keys = [page_text.page_runs([("open", p)]) for p in pages]
+        assert [len(k) for k in keys] == [len(r) for r in runs]
         for p, own in enumerate(pages):
-            for i in range(len(own) - page_text.RUN + 1):
-                runs.setdefault(tuple(own[i: i + page_text.RUN]), set()).add(p)
-        wanted = []
-        for own in pages:
-            flags = [False] * len(own)
-            for i in range(len(own) - page_text.RUN + 1):
-                if len(runs[tuple(own[i: i + page_text.RUN])]) > 1:
-                    flags[i: i + page_text.RUN] = [True] * page_text.RUN
-            wanted += flags
-        tokens = np.array([t for own in pages for t in own], np.uint64)
-        page = np.repeat(np.arange(4), [len(own) for own in pages])
-        assert page_text.repeated_tokens(tokens, page).tolist() == wanted
+            others = {run for q, more in enumerate(runs) if q != p for run in more}
+            gone = {i + k for i, run in enumerate(runs[p]) if run in others for k in range(page_text.RUN)}
+            wanted = " ".join(w for i, w in enumerate(own.split()) if i not in gone)
+            repeated = np.concatenate([k for q, k in enumerate(keys) if q != p])
+            assert page_text.unique_text([("open", own)], repeated) == wanted
 
 
 def test_cells_of_pairs_hold_every_pair():

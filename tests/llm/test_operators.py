@@ -201,6 +201,36 @@ def test_page_text(spark):
     assert page_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_page_text_over_a_whole_host(spark):
+    """Pages of one host that only their repeats can tell apart, against brute force over all pages at once."""
+    rng = random.Random(11)
+    notice = "this site is run by people who like long notices on pages"
+    bodies = [" ".join(f"w{rng.randrange(5_000)}" for _ in range(rng.randint(9, 40))) for _ in range(400)]
+    blocks = [[*([notice] if i % 50 == 0 else []), body, *([bodies[i - 1]] if i % 90 == 1 else [])] for i, body in enumerate(bodies)]
+    blocks.append(["w " * 30_000 + "end"])
+    rows = [(i, f"http://big.org/{i}", "<body>" + "".join(f"<p>{b}</p>" for b in own)) for i, own in enumerate(blocks)]
+    rows += [(1_000, "http://big.org/a", f"<article>{notice} {bodies[7]}</article>"), (1_001, "http://other.org/", f"<p>{notice}</p>")]
+    rows += [rows[5]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = sorted((r["page_id"], r["text"]) for r in page_text.extract_main_text(pages).collect())
+
+    size, streams = page_text.RUN, [" ".join(own).split() for own in blocks] + [f"{notice} {bodies[7]}".split()]
+    holders: dict[tuple, set] = {}
+    for page, stream in enumerate(streams):
+        for i in range(len(stream) - size + 1):
+            holders.setdefault(tuple(stream[i: i + size]), set()).add(page)
+    wanted = []
+    for own, stream in zip(blocks, streams):
+        gone = {i + k for i in range(len(stream) - size + 1) if len(holders[tuple(stream[i: i + size])]) > 1 for k in range(size)}
+        kept, at = [], 0
+        for words in map(str.split, own):
+            kept.append(" ".join(w for i, w in enumerate(words, at) if i not in gone))
+            at += len(words)
+        wanted.append("\n".join(filter(None, kept)))
+    assert not any(notice in text for text in wanted) and wanted[50] != "" and wanted[7] == ""
+    assert got == sorted([*enumerate(wanted), (5, wanted[5]), (1_000, f"{notice} {bodies[7]}"), (1_001, notice)])
+
+
 def test_token_rollup(spark):
     rollup = token_counts.TokenRollup(spark, shared_folder(spark))
     change = lambda *rows: spark.createDataFrame(rows, "op string, doc_id long, source string, lang string, version string, n_tokens long")
