@@ -29,10 +29,12 @@ def key_columns_to_lists(spark, sf):
 @query("a4_snapshot_append", "p1_tables", sql="""
     SELECT snapshot_id, data_source_id, captured_on, count(*) AS table_count FROM p1_tables GROUP BY ALL""")
 def snapshot_append(spark, sf):
-    """Append every snapshot of the store to a new one and read it back."""
-    path = shared_folder(spark)
-    store.append_snapshots(stored(spark, sf), path)
-    rows = flatten.table_history(store.read_snapshots(spark, path))
+    """Every snapshot of the store appended to a new one in two commits, one of them sent again, and read back."""
+    path, rows = shared_folder(spark), stored(spark, sf)
+    early = F.year("captured_at") < 1996
+    for name, part in (("early", rows.where(early)), ("late", rows.where(~early)), ("early", rows.where(early))):
+        store.append_once(part, path, name)
+    rows = flatten.table_history(store.read_committed(spark, path))
     return rows.groupBy("snapshot_id", "data_source_id", captured_on()).agg(F.count("*").alias("table_count"))
 
 
@@ -99,15 +101,15 @@ def snapshot_assembly(spark, sf):
     SELECT snapshot_id, schema_name, table_name, total_bytes, previous_total_bytes, growth_bytes, growth_percent
     FROM p1_growth""")
 def incremental_ingest(spark, sf):
-    """Extracts landed in two deliveries and ingested by two stream runs; growth carries over between them."""
+    """Extracts landed in three deliveries, the last one late and with repeated headers, and ingested by three stream runs."""
     base = shared_folder(spark)
     landing, store_folder, checkpoint = f"{base}/landing", f"{base}/store", f"{base}/checkpoint"
     relations = landed_extracts(spark, sf)
-    heads = relations.pop("headers")
+    year = F.year("captured_at")
+    heads = relations.pop("headers").withColumn("delivery", F.when(year < 1996, 1).when(year >= 1998, 2).otherwise(3))
     for name, rows in relations.items():
-        rows.write.parquet(f"{landing}/{name}")
-    early = F.year("captured_at") < 1998
-    for delivery in (heads.where(early), heads.where(~early)):
+        rows.join(heads.select("snapshot_id", "delivery"), "snapshot_id").write.partitionBy("delivery").parquet(f"{landing}/{name}")
+    for delivery in (heads.where("delivery = 1"), heads.where("delivery = 2"), heads.where("delivery <> 2")):
         delivery.write.mode("append").parquet(f"{landing}/headers")
         ingest.ingest(spark, landing, store_folder, checkpoint).awaitTermination()
     rows = flatten.table_details(ingest.read_store(spark, store_folder))

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import model
 from ..operators import flatten, history
+from ..session import broadcast_if_small
+
+COMMITS = "name STRING, at TIMESTAMP, attempt STRING, retired_attempt STRING, snapshot_id BIGINT"
+COMMITTED = f"{model.STORED}, attempt STRING"
+# What a retired snapshot is replaced in: its facts and its tables, the rows that hold growth.
+REPLACED_KINDS = (model.SNAPSHOT, model.TABLE_KIND)
 
 
 def append_snapshots(rows: DataFrame, path: str) -> None:
@@ -22,6 +31,62 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(model.STORED).parquet(path)
 
 
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the commit log below ``path``; none before the first append.
+
+    A record without `retired_attempt` names the attempt of a commit; the others the snapshots it replaces.
+    """
+    try:
+        return spark.read.schema(COMMITS).parquet(f"{path}/commits")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMITS)
+
+
+def append_once(rows: DataFrame, path: str, name: str, retired: DataFrame | None = None) -> bool:
+    """Append rows of the store as the commit ``name``; False, and nothing is written, if that commit is there already.
+
+    Every attempt has folders of its own, and readers take those of committed attempts only. The record that commits one
+    is a single file, which appears at once, so an append that failed half way is not seen and can be repeated.
+    ``retired`` (attempt, snapshot_id): snapshots whose rows of `REPLACED_KINDS` this commit replaces.
+    """
+    spark = rows.sparkSession
+    if not commits(spark, path).where(F.col("name") == name).isEmpty():
+        return False
+    attempt = uuid.uuid4().hex
+    keys = [*model.PARTITIONS, "data_source_id", "snapshot_id", "schema_name", "name"]
+    placed = rows.drop("attempt").hint("rebalance", *model.PARTITIONS).sortWithinPartitions(*keys).withColumn("attempt", F.lit(attempt))
+    placed.write.mode("append").partitionBy(*model.PARTITIONS, "attempt").parquet(f"{path}/rows")
+    facts = [F.lit(name).alias("name"), F.current_timestamp().alias("at"), F.lit(attempt).alias("attempt")]
+    record = spark.range(1).select(*facts, F.lit(None).cast("string").alias("retired_attempt"), F.lit(None).cast("bigint").alias("snapshot_id"))
+    if retired is not None:
+        record = record.unionByName(retired.select(*facts, F.col("attempt").alias("retired_attempt"), "snapshot_id"))
+    record.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return True
+
+
+def read_committed(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all commits below ``path``, less those that a later one replaced; `attempt` names the folder of a row.
+
+    If two drivers committed one name, the earlier record counts. Folders of other attempts are pruned by the join.
+    """
+    log = commits(spark, path)
+    first = log.groupBy("name").agg(F.min(F.struct("at", "attempt")).alias("_first")).select("_first.attempt")
+    retired = (
+        log.where("retired_attempt IS NOT NULL").join(first, "attempt", "left_semi")
+        .select(F.col("retired_attempt").alias("attempt"), "snapshot_id", F.explode(F.lit(list(REPLACED_KINDS))).alias("kind"))
+    )
+    try:
+        rows = spark.read.schema(COMMITTED).parquet(f"{path}/rows")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMITTED)
+    taken = rows.join(broadcast_if_small(first), "attempt", "left_semi")
+    return taken.join(broadcast_if_small(retired), ["attempt", "snapshot_id", "kind"], "left_anti").select(*rows.columns)
+
+
 def snapshots_of_source(stored: DataFrame, data_source_id: int) -> DataFrame:
     """All rows of one source: only the folders of its bucket are listed."""
     return stored.where((F.col("source_bucket") == data_source_id % model.SOURCE_BUCKETS) & (F.col("data_source_id") == data_source_id))

@@ -10,59 +10,99 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import model
 from ..operators import flatten, history
-from ..plans.collection import collected
-from ..session import broadcast_if_small
+from ..plans.collection import collected, summaries, with_growth
+from ..session import broadcast_if_small, written
+from ..sources import store as stores
 from ..sources.catalogs import landed
 
 RELATIONS = (
-    "schemas", "tables", "columns", "primary_keys", "foreign_keys", "indexes", "storage", "views", "routines", "grants",
+    "schemas", "tables", "columns", "primary_keys", "foreign_keys", "indexes", "unique_constraints", "storage", "views", "routines", "grants",
 )
-STORED = model.STORED + ", batch_id BIGINT"
+_NEEDED = ("tables", "storage")
+_GROWN = ("previous_total_bytes", "growth_bytes", "growth_percent")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORED).parquet(path)
+    return stores.read_committed(spark, path)
 
 
-def _stored_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Rows of earlier batches; None before the first one."""
+def _delivered(session: SparkSession, landing: str, relation: str, asked: DataFrame) -> DataFrame | None:
+    """Rows of the asked snapshots; None if the relation has no folder or no file, as one without rows may.
+
+    Folders of other deliveries are pruned, where a producer lands by delivery.
+    """
     try:
-        return read_store(spark, path).where(F.col("batch_id") < batch_id)
+        rows = landed(session, landing, relation)
     except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
+        if relation in _NEEDED or missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
+    keys = [c for c in ("snapshot_id", "delivery") if c in asked.columns and c in rows.columns]
+    return rows.join(asked.select(*keys), keys, "left_semi").drop("delivery")
+
+
+def stored_around(fresh: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows of ``heads`` just before or just after a fresh header of their source, with `follows`: it comes just after one.
+
+    Order is that of growth: (captured_at, snapshot_id). Only headers are numbered.
+    """
+    both = heads.withColumn("_fresh", F.lit(False)).unionByName(fresh.select("snapshot_id", "data_source_id", "captured_at", F.lit(True).alias("_fresh")), allowMissingColumns=True)
+    numbers = history.sequenced(both)
+    beside = F.inline(F.array(*[F.struct((F.col("seq") + step).alias("seq"), F.lit(step == 1).alias("follows")) for step in (-1, 1)]))
+    near = numbers.where("_fresh").select("data_source_id", beside).groupBy("data_source_id", "seq").agg(F.bool_or("follows").alias("follows"))
+    return numbers.where("NOT _fresh").join(near, ["data_source_id", "seq"]).select(*heads.columns, "follows")
+
+
+def corrected(successors: DataFrame, grown: DataFrame) -> DataFrame:
+    """Facts and tables of stored snapshots with the growth that ``grown`` gives them now; their digests leave growth out."""
+    sizes = grown.select("snapshot_id", "schema_name", F.col("table_name").alias("name"), *[F.col(c).alias(f"_{c}") for c in _GROWN], F.lit(True).alias("_known"))
+    new = F.col("storage")
+    for c in _GROWN:
+        new = new.withField(c, F.col(f"_{c}"))
+    tables = flatten.of_kind(successors, model.TABLE_KIND).join(sizes, ["snapshot_id", "schema_name", "name"], "left")
+    tables = tables.withColumn("storage", F.when(F.col("_known"), new).otherwise(F.col("storage"))).select(*successors.columns)
+    totals = summaries(grown).withColumnRenamed("storage_summary", "_summary")
+    facts = flatten.of_kind(successors, model.SNAPSHOT).join(totals, "snapshot_id", "left")
+    facts = facts.withColumn("storage_summary", F.coalesce("_summary", "storage_summary")).select(*successors.columns)
+    return facts.unionByName(tables)
 
 
 def batch_writer(landing: str, store: str) -> Callable[[DataFrame, int], None]:
-    """The `foreachBatch` function: headers of one batch -> rows of the store in the folder of that batch.
+    """The `foreachBatch` function: headers of one batch -> one commit of the store, named after the batch.
 
-    Snapshots already stored by an earlier batch for the same source and run are left out. A repeated batch
-    overwrites its own folder, so replay after a lost driver or executor neither loses nor doubles a snapshot.
+    Snapshots already stored by an earlier batch for the same source and run are left out; of equal sources and runs in
+    one batch the smallest snapshot id counts. Growth is taken against the snapshot just before, wherever the new one
+    falls in the history; a stored snapshot that comes just after a late one is corrected in the same commit. Of the store,
+    a batch reads the headers of its sources and the tables of the snapshots beside its own. A repeated batch is a commit
+    that is there already, so replay after a lost driver or executor neither loses nor doubles a snapshot.
     """
 
     def write(headers: DataFrame, batch_id: int) -> None:
         session = headers.sparkSession
-        headers = headers.dropDuplicates(["data_source_id", "run_id"])
-        before_headers = before_totals = None
-        stored = _stored_before(session, store, batch_id)
-        if stored is not None:
-            known = flatten.of_kind(stored, model.SNAPSHOT).select("data_source_id", "run_id")
-            headers = headers.join(known, ["data_source_id", "run_id"], "left_anti")
-            sources = broadcast_if_small(headers.select("data_source_id").distinct())
-            before_headers = history.latest(history.headers(stored).join(sources, "data_source_id", "left_semi"))
-            newest = history.of_snapshots(flatten.of_kind(stored, model.TABLE_KIND), before_headers)
-            before_totals = flatten.table_details(newest).where("total_bytes IS NOT NULL")
-        asked = broadcast_if_small(headers.select("snapshot_id"))
-        relations = {n: landed(session, landing, n).join(asked, "snapshot_id", "left_semi") for n in RELATIONS}
-        rows = collected(headers, relations, before_headers, before_totals).withColumn("batch_id", F.lit(batch_id))
-        (
-            rows.hint("rebalance", *model.PARTITIONS).sortWithinPartitions(*model.PARTITIONS, "data_source_id", "snapshot_id")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id", *model.PARTITIONS)
-            .parquet(store)
+        name = f"batch {batch_id}"
+        if not stores.commits(session, store).where(F.col("name") == name).isEmpty():
+            return
+        stored = read_store(session, store)
+        one = headers.groupBy("data_source_id", "run_id").agg(F.min_by(F.struct("*"), "snapshot_id").alias("_row")).select("_row.*")
+        sources = one.select("data_source_id", F.pmod("data_source_id", F.lit(model.SOURCE_BUCKETS)).cast("int").alias("source_bucket")).distinct()
+        heads = written(
+            flatten.of_kind(stored, model.SNAPSHOT).select(*model.HEADER_COLUMNS, "month", "source_bucket", "attempt")
+            .join(broadcast_if_small(sources), ["data_source_id", "source_bucket"], "left_semi")
         )
+        fresh = written(one.join(heads.select("data_source_id", "run_id"), ["data_source_id", "run_id"], "left_anti"))
+        around = written(stored_around(fresh, heads))
+        totals = flatten.table_details(history.of_snapshots(flatten.of_kind(stored, model.TABLE_KIND), around)).where("total_bytes IS NOT NULL")
+        asked = broadcast_if_small(fresh.select(*[c for c in ("snapshot_id", "delivery") if c in fresh.columns]))
+        relations = {n: rows for n in RELATIONS if (rows := _delivered(session, landing, n, asked)) is not None}
+        fresh = fresh.drop("delivery")
+        rows, retired = collected(fresh, relations, around, totals), None
+        late = around.where("follows")
+        if not late.isEmpty():
+            retired = late.select("attempt", "snapshot_id")
+            grown = with_growth(fresh, relations, around, totals).join(late.select("snapshot_id"), "snapshot_id", "left_semi")
+            after = history.of_snapshots(flatten.of_kind(stored, *stores.REPLACED_KINDS), late).drop("attempt")
+            rows = rows.unionByName(corrected(after, grown))
+        stores.append_once(rows, store, name, retired)
 
     return write
 
@@ -71,7 +111,8 @@ def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str) -> St
     """Append every snapshot whose header has landed since the last call, then stop.
 
     A producer writes the relations of a snapshot below ``landing/<relation>`` first and its header row below
-    ``landing/headers`` last, so a header announces complete relations.
+    ``landing/headers`` last, so a header announces complete relations. Relations may lie in folders by `delivery`, a
+    number that headers then have as a column; a batch reads the folders of its own deliveries only.
     """
     schema = spark.read.parquet(f"{landing}/headers").schema
     return (
