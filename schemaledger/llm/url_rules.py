@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import written
 
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.9
+MIN_ROWS = 5  # labelled URLs behind a rule, however few there are in all
 _BAD = "label:bad"
 
 
@@ -66,19 +67,23 @@ def url_tokens(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(tokens)
 
 
-def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mined_rules(
+    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS
+) -> DataFrame:
     """``antecedent, posted, confidence, support`` of the rules for bad URLs from all rows of ``url, bad``.
 
-    ``posted`` is the rarest token of the antecedent (ties: the smallest). Rows without tokens or label are left out; no
-    rows or no bad one give no rules.
+    A rule rests on at least ``min_support`` of the rows and on ``min_rows`` of them, so a few labels do not make rules of
+    single URLs. ``posted`` is the rarest token of the antecedent (ties: the smallest). Rows without tokens or label are left out; no
+    rows, fewer than ``min_rows`` or no bad one give no rules.
     """
     items = written(
         labelled.select(url_tokens(F.col("url")).alias("tokens"), "bad").where(F.col("bad").isNotNull() & (F.size("tokens") > 0))
         .select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(_BAD)))).otherwise(F.col("tokens")).alias("items"))
     )
-    if items.isEmpty():
+    n = items.count()
+    if n < max(min_rows, 1):
         return labelled.sparkSession.createDataFrame([], "antecedent array<string>, posted string, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, (min_rows - 0.5) / n), minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BAD))).select(
         F.sort_array("antecedent").alias("antecedent"), "confidence", "support"
     )

@@ -171,6 +171,9 @@ def test_url_rules(spark):
     assert got[2] == ("a.net", "/es/1", "net/es/", "block") and got[3][2:] == ("net/fr/", "block") and got[4][2:] == (None, "allow")
     assert got[5] == got[6] == got[7] == ("", "", None, "allow") and got[8][:2] == ("a.org:80", "")
     assert got[9][2:] == (None, "block") and got[10][2:] == (None, "allow")
+    one = spark.createDataFrame([(bad[0], True)] * 4 + [(u, False) for u in good], "url string, bad boolean")
+    assert url_rules.mined_rules(one).count() == 0 and url_rules.mined_rules(one.union(one.limit(1))).count() > 0
+    assert url_rules.mined_rules(one.limit(4)).count() == 0
     none = url_rules.mined_rules(labelled.limit(0))
     assert none.count() == 0 and url_rules.judge_urls(pages.limit(0), none, (), ()).count() == 0
 
