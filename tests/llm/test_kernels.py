@@ -189,6 +189,13 @@ def test_doubtful_blocks_without_other_text():
         assert (page_text.unique_text(page_text.page_blocks(page), none) if stated_text(page) is None else stated_text(page)) == wanted
 
 
+def test_repeated_open_text_goes_and_unique_runs_stay():
+    shared = "this site is run by people who like long notices on every page"
+    pages = [page_text.page_blocks(f"<p>{shared}</p><p>{n} has words alpha{n} beta{n} of its own</p>") for n in ("one", "two", "three")]
+    repeated = np.intersect1d(*map(page_text.page_runs, pages[:2]))
+    assert [page_text.unique_text(p, repeated) for p in pages] == [f"{n} has words alpha{n} beta{n} of its own" for n in ("one", "two", "three")]
+
+
 def test_unique_text_equals_brute_force():
     rng = random.Random(4)
     for _ in range(30):
