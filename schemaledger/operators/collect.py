@@ -153,6 +153,12 @@ def _facet_type(name: str) -> T.StructType:
     return T.StructType.fromDDL("ordinal BIGINT, " + _FACETS[name][1])
 
 
+def facet_ddl(name: str) -> str:
+    """Columns of the flat relation of a facet."""
+    key = "snapshot_id BIGINT, schema_name STRING"
+    return f"{key}, {_FACETS[name][0]} STRING, {_FACETS[name][1]}" if name in _FACETS else key
+
+
 def _facet_rows(name: str, rows: DataFrame) -> DataFrame:
     """One facet as (snapshot_id, schema_name, object, <facet> STRUCT<ordinal, …>); missing fields are null."""
     fields = [

@@ -185,9 +185,10 @@ def grants_postgresql(role_table_grants: DataFrame) -> DataFrame:
 
 
 def grants_mysql(table_privileges: DataFrame) -> DataFrame:
-    """MySQL and MariaDB quote the grantee."""
+    """MySQL and MariaDB quote the grantee, user and host apart: the user reader@% is granted as 'reader'@'%'."""
     own = F.concat(F.lit("'"), F.col("reading_user"), F.lit("'"))
-    kept = table_privileges.where((F.col("privilege_type") == "SELECT") & (F.col("grantee") == own))
+    apart = F.regexp_replace(own, "@([^@]*)$", "'@'$1")
+    kept = table_privileges.where((F.col("privilege_type") == "SELECT") & F.col("grantee").isin(own, apart))
     return kept.select("snapshot_id", F.col("table_schema").alias("schema_name"), F.col("table_name").alias("name"))
 
 

@@ -74,3 +74,4 @@ def load_all() -> None:
         access_queries, collection_queries, dialect_queries, history_queries, import_queries, ledger_queries,
         scalar_queries, sheet_queries,
     )
+    from . import catalog_queries  # noqa: F401  (its statements hold those of the dialects)
