@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import shared_folder, written
 from ..sources import catalogs
 from . import driver_tables as p1, raw_catalogs as raw
 
@@ -138,3 +139,12 @@ def extracts(spark: SparkSession, sf: str, kinds: tuple[str, ...], base: DataFra
             r: catalogs.conformed(given[r].join(ours, "snapshot_id", "left_semi"), kind, r) for r in catalogs.CATALOG_QUERIES[kind]
         }
     return found
+
+
+def landed(spark: SparkSession, sf: str, kinds: tuple[str, ...]) -> dict[str, dict[str, DataFrame]]:
+    """The extracts of these kinds, written as a producer lands them and read back."""
+    path = shared_folder(spark)
+    for kind, relations in extracts(spark, sf, kinds, written(p1.columns(spark, sf))).items():
+        for relation, rows in relations.items():
+            rows.write.parquet(f"{path}/{kind}/{relation}")
+    return {kind: catalogs.landed(spark, path, kind) for kind in kinds}

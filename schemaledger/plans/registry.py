@@ -71,7 +71,6 @@ def captured_on() -> Column:
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
-        access_queries, collection_queries, dialect_queries, history_queries, import_queries, ledger_queries,
+        access_queries, catalog_queries, collection_queries, dialect_queries, history_queries, import_queries, ledger_queries,
         scalar_queries, sheet_queries,
     )
-    from . import catalog_queries  # noqa: F401  (its statements hold those of the dialects)

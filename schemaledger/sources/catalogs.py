@@ -377,7 +377,7 @@ def landed(spark: SparkSession, folder: str, kind: str) -> dict[str, DataFrame]:
     for relation, stated in CATALOG_QUERIES[kind].items():
         ddl = ", ".join(f"{c} {t}" for c, t in stated.types().items())
         try:
-            found[relation] = spark.read.schema(ddl).parquet(f"{folder.rstrip('/')}/{kind}/{relation}")
+            found[relation] = spark.read.schema(ddl).parquet(f"{folder.rstrip('/')}/{kind}/{relation}").select(*stated.types())
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
