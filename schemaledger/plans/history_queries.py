@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import model
 from ..functions.text import join_values
-from ..operators import collect, diff, flatten, history, search
+from ..operators import collect, diff, flatten, history, names, search
+from ..session import shared_folder
 from ..sources import store
 from . import driver_tables as p1
 from .registry import captured_on, query, stored
@@ -382,6 +385,23 @@ def search_objects(spark, sf):
     return rows.select("snapshot_id", "kind", "schema_name", "name")
 
 
+_SEARCHES = ("  Y. ", "ILDING.customer#0", "e.v_", "mer#000", "nothing of the kind", "")
+
+
+@query("b12_indexed_search", "p1_tables", "p1_views", "p1_routines", sql=f"""
+    , named AS (SELECT snapshot_id, 'table' AS kind, schema_name, table_name AS name FROM p1_tables
+                UNION ALL SELECT snapshot_id, 'view', schema_name, name FROM p1_views
+                UNION ALL SELECT snapshot_id, 'procedure', schema_name, name FROM p1_routines)
+    SELECT query, snapshot_id, kind, schema_name, name
+    FROM named, (SELECT unnest({list(_SEARCHES)!r}) AS query) WHERE contains(lower(concat(schema_name, '.', name)), lower(trim(query)))""")
+def indexed_search(spark, sf):
+    """Long, short, empty and vain queries over an index of all object names."""
+    path = shared_folder(spark)
+    names.write_name_index(search.named_objects(stored(spark, sf)), path)
+    found = [names.search_index(spark, path, q).withColumn("query", F.lit(q)) for q in _SEARCHES]
+    return reduce(DataFrame.unionByName, found).select("query", "snapshot_id", "kind", "schema_name", "name")
+
+
 @query("d14_visible_counts", "p1_tables", "p1_views", "p1_routines", sql=_FOUND + """
     SELECT snapshot_id, count(*) FILTER (kind = 'table') AS table_count, count(*) FILTER (kind = 'view') AS view_count,
            count(*) FILTER (kind = 'procedure') AS procedure_count FROM found GROUP BY snapshot_id""")
