@@ -10,7 +10,7 @@ from .. import model
 from ..functions.text import truncated
 from ..functions.values import same_items
 from .collect import is_supported
-from .ordering import numbered, time_block
+from .ordering import numbered, numbered_by_range, time_block
 
 
 # --- runs and logs -----------------------------------------------------------------------------------------------
@@ -74,6 +74,12 @@ def listed(rows: DataFrame, order: str, descending: bool = False, key: str = "id
     return rows.orderBy(first, F.col(key))
 
 
+def positions(rows: DataFrame, order: str, descending: bool = False, key: str = "id") -> DataFrame:
+    """Add `position`: the place of a row in its `listed` order, from 1. No task sees the whole listing."""
+    first = F.col(order).desc() if descending else F.col(order).asc()
+    return numbered_by_range(rows, [], [first, F.col(key)], "position")
+
+
 def first_active(users: DataFrame) -> DataFrame:
     """The active user with the lowest id."""
     return users.where("is_active").orderBy("id").limit(1)

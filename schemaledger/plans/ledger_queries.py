@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from .. import model
 from ..operators import ledger
@@ -38,6 +40,37 @@ def listing_order(spark, sf):
     return ledger.listed(p1.connections(spark, sf).select("id", "name"), "name")
 
 
+_PLACE = "CAST(row_number() OVER (ORDER BY {}, id) AS BIGINT) AS position"
+
+
+@query("f4_listing_positions", "p1_connections", "p1_role_permissions", "p1_role_menus", sql=f"""
+    , jobs AS (SELECT user_id AS id, min(ts) AS created_at FROM events GROUP BY user_id),
+    users AS (SELECT c_custkey AS id, concat(c_mktsegment, '@', lower(c_name)) AS email FROM customer),
+    codes AS (SELECT DISTINCT code AS id FROM p1_role_permissions),
+    menus AS (SELECT DISTINCT menu_code AS id, (CAST(right(menu_code, 1) AS INT) * 7) % 10 AS place FROM p1_role_menus)
+    SELECT 'source' AS listing, CAST(id AS VARCHAR) AS id, {_PLACE.format("name")} FROM p1_connections
+    UNION ALL SELECT 'job', CAST(id AS VARCHAR), {_PLACE.format("created_at DESC")} FROM jobs
+    UNION ALL SELECT 'user', CAST(id AS VARCHAR), {_PLACE.format("email")} FROM users
+    UNION ALL SELECT 'permission', id, {_PLACE.format("id")} FROM codes
+    UNION ALL SELECT 'menu', id, {_PLACE.format("place")} FROM menus""")
+def listing_positions(spark, sf):
+    """The five listings with the place of each row: sources, jobs (newest first), users, permissions, menus."""
+    place = F.substring("menu_code", -1, 1).cast("int") * 7 % 10
+    listings = {
+        "source": (p1.connections(spark, sf).select("id", "name"), "name", False),
+        "job": (p1.logs(spark, sf).groupBy(F.col("run_id").alias("id")).agg(F.min("created_at").alias("created_at")), "created_at", True),
+        "user": (p1.table(spark, sf, "customer").select(
+            F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.lit("@"), F.lower("c_name")).alias("email")), "email", False),
+        "permission": (p1.role_permissions(spark, sf).select(F.col("code").alias("id")).distinct(), "id", False),
+        "menu": (p1.role_menus(spark, sf).select(F.col("menu_code").alias("id"), place.alias("place")).distinct(), "place", False),
+    }
+    found = [
+        ledger.positions(rows, order, descending).select(F.lit(name).alias("listing"), F.col("id").cast("string").alias("id"), F.col("position").cast("bigint").alias("position"))
+        for name, (rows, order, descending) in listings.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 _LOGS = """
     , logs AS (SELECT event_id AS id, user_id AS run_id, ts, event_type AS step, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level,
                       row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events)"""
