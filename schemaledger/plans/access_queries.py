@@ -32,6 +32,19 @@ def effective_access(spark, sf):
     )
 
 
+@query("d8_effective_menus", "p1_user_roles", sql="""
+    , menus AS (SELECT DISTINCT concat('role_', o_orderstatus) AS role_name, concat('menu_', CAST(year(o_orderdate) AS VARCHAR), '_',
+                       substr(o_orderpriority, 1, 1)) AS menu_code FROM orders)
+    SELECT user_id, string_agg(menu_code, ',' ORDER BY role_name, menu_code) AS menus
+    FROM p1_user_roles JOIN menus USING (role_name) GROUP BY user_id""")
+def effective_menus(spark, sf):
+    """The menus of every user in their order, repeats of several roles kept; menus come from all orders."""
+    menu = F.concat(F.lit("menu_"), F.year("o_orderdate").cast("string"), F.lit("_"), F.substring("o_orderpriority", 1, 1))
+    menus = p1.table(spark, sf, "orders").select(F.concat(F.lit("role_"), "o_orderstatus").alias("role_name"), menu.alias("menu_code")).distinct()
+    rows = access.effective_access(p1.user_roles(spark, sf), p1.role_permissions(spark, sf), menus)
+    return rows.select("user_id", F.array_join("menus", ",").alias("menus"))
+
+
 @query("d9_permission_check", "p1_user_roles", "p1_role_permissions", sql="""
     SELECT user_id, bool_or(coalesce(code IN ('admin:*', 'perm:2'), false)) AS allowed
     FROM p1_user_roles LEFT JOIN p1_role_permissions USING (role_name) GROUP BY user_id""")

@@ -156,6 +156,20 @@ def run_steps(spark, sf):
     return lines.groupBy("run_id").agg(F.max("sequence").alias("line_count"), F.max_by("level", "sequence").alias("last_level"))
 
 
+@query("k5_run_step_lines", sql="""
+    WITH steps AS (SELECT event_id AS run_id, event_type = 'error' AS failed, md5(repeat(props, 500)) AS error,
+        CASE WHEN event_id % 2 = 0 THEN ['connect', 'collect_schema', 'storage_growth', 'save_snapshot', 'complete']
+             ELSE ['connect', 'collect_schema', 'save_snapshot', 'complete'] END AS wanted,
+        CASE event_id % 3 WHEN 0 THEN 'connect' WHEN 1 THEN 'collect_schema' ELSE 'save_snapshot' END AS stopped FROM events),
+    numbered AS (SELECT *, unnest(range(1, CASE WHEN failed THEN list_position(wanted, stopped) ELSE len(wanted) END + 1)) AS i FROM steps)
+    SELECT run_id, CAST(i AS BIGINT) AS sequence, 'info' AS level, wanted[i] AS step, NULL AS details FROM numbered
+    UNION ALL SELECT run_id, CAST(list_position(wanted, stopped) + 1 AS BIGINT), 'error', stopped, error FROM steps WHERE failed""")
+def run_step_lines(spark, sf):
+    """Every log line of every run: its place, level, step, and the digest of its details."""
+    lines = ledger.run_steps(_attempts(spark, sf))
+    return lines.select("run_id", "sequence", "level", "step", F.md5(F.col("details").cast("binary")).alias("details"))
+
+
 @query("k4_schema_evolution", sql="""
     SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'TABLE,INDEX,PROCEDURE,VIEW,SELECT PRIVILEGE' WHEN 1 THEN 'TABLE' ELSE NULL END AS collection_items,
            false AS collect_storage FROM customer""")
