@@ -147,4 +147,4 @@ def landed(spark: SparkSession, sf: str, kinds: tuple[str, ...]) -> dict[str, di
     for kind, relations in extracts(spark, sf, kinds, written(p1.columns(spark, sf))).items():
         for relation, rows in relations.items():
             rows.write.parquet(f"{path}/{kind}/{relation}")
-    return {kind: catalogs.landed(spark, path, kind) for kind in kinds}
+    return {kind: catalogs.landed_relations(spark, path, kind) for kind in kinds}

@@ -371,7 +371,12 @@ def land(
     return spark.createDataFrame(failed, "snapshot_id BIGINT, db_type STRING, relation STRING, error STRING")
 
 
-def landed(spark: SparkSession, folder: str, kind: str) -> dict[str, DataFrame]:
+def landed(spark: SparkSession, folder: str, relation: str) -> DataFrame:
+    """One flat relation landed as Parquet."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{relation}")
+
+
+def landed_relations(spark: SparkSession, folder: str, kind: str) -> dict[str, DataFrame]:
     """The landed relations of one kind, all snapshots; relations that never landed are absent."""
     found = {}
     for relation, stated in CATALOG_QUERIES[kind].items():

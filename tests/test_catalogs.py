@@ -82,8 +82,8 @@ def test_a_relation_that_fails_does_not_stop_the_others(spark, tmp_path, monkeyp
     monkeypatch.undo()
     failures = catalogs.land(spark, {**SOURCE, "db_type": "mariadb"}, 1, str(tmp_path))  # no driver here
     assert {r["relation"] for r in failures.collect()} == set(catalogs.CATALOG_QUERIES["mariadb"])
-    assert catalogs.landed(spark, str(tmp_path), "mariadb") == {}
-    back = catalogs.landed(spark, str(tmp_path), "postgresql")
+    assert catalogs.landed_relations(spark, str(tmp_path), "mariadb") == {}
+    back = catalogs.landed_relations(spark, str(tmp_path), "postgresql")
     assert "index_columns" not in back or back["index_columns"].count() == 0
     assert back["columns"].schema == readable["columns"].schema and back["columns"].count() == 2
 
