@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .. import model
@@ -17,19 +19,27 @@ def missing_names(text: Column, lookup: Column) -> Column:
     return F.array_distinct(F.filter(template_names(text), lambda n: F.try_element_at(lookup, n).isNull()))
 
 
+def _sewn(pieces: Column, values: Column) -> Column:
+    """Pieces with the values that stood between them; null when a value is null.
+
+    The lambda of a one-element array names the values, so that each is worked out once, not once for every piece.
+    """
+    joined = lambda found: F.concat_ws("", F.zip_with(pieces, found, lambda piece, v: F.concat(piece, F.coalesce(v, F.lit("")))))
+    sewn = lambda found: F.when(F.exists(found, lambda v: v.isNull()), None).otherwise(joined(found))
+    return F.get(F.transform(F.array(values), sewn), F.lit(0))
+
+
+def _resolved(text: Column, lookup: Column, printed: Callable[[Column], Column]) -> Column:
+    values = F.transform(template_names(text), lambda n: printed(F.try_element_at(lookup, n)))
+    return _sewn(F.split(text, model.TEMPLATE_NAME, -1), values)
+
+
 def resolved_text(text: Column, lookup: Column) -> Column:
     """The text with every `${NAME}` replaced once; null when a name is missing.
 
     The text is cut at the templates and sewn together again, so a replaced value is never scanned.
     """
-    literals = F.split(text, model.TEMPLATE_NAME, -1)
-    values = F.transform(template_names(text), lambda n: F.try_element_at(lookup, n))
-    sewn = F.transform(
-        literals,
-        lambda piece, i: F.concat(piece, F.when(i < F.size(values), F.get(values, i)).otherwise("")),
-    )
-    whole = F.concat_ws("", sewn)
-    return F.when(F.exists(values, lambda v: v.isNull()), None).otherwise(whole)
+    return _resolved(text, lookup, lambda v: v)
 
 
 _LITERAL = r'"(?:[^"\\]|\\.)*"(?:\s*:)?'
@@ -42,12 +52,10 @@ def resolved_json(document: Column, lookup: Column) -> Column:
     breaks stay inside their strings.
     """
     inside = lambda v: F.regexp_extract(F.to_json(F.struct(v.alias("v"))), r'(?s)^\{"v":"(.*)"\}$', 1)
-    escaped = F.transform_values(lookup, lambda _k, v: F.when(v.isNotNull(), inside(v)))
+    escaped = lambda v: F.when(v.isNotNull(), inside(v))
     literals = F.regexp_extract_all(document, F.lit(_LITERAL), F.lit(0))
-    settled = F.transform(literals, lambda s: F.when(s.endswith(":"), s).otherwise(resolved_text(s, escaped)))
-    between = F.split(document, _LITERAL, -1)
-    sewn = F.transform(between, lambda piece, i: F.concat(piece, F.when(i < F.size(settled), F.get(settled, i)).otherwise("")))
-    return F.when(F.exists(settled, lambda s: s.isNull()), None).otherwise(F.concat_ws("", sewn))
+    settled = F.transform(literals, lambda s: F.when(s.endswith(":"), s).otherwise(_resolved(s, lookup, escaped)))
+    return _sewn(F.split(document, _LITERAL, -1), settled)
 
 
 def flattened_ssh(item: Column) -> Column:
