@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import model
-from ..functions.values import canonical_json, no_grant
+from ..functions.values import no_grant
 from ..session import broadcast_if_small, written
 
 DIGEST_WORDS = 8
@@ -292,15 +292,44 @@ def _json(*fields: str | Column) -> Column:
     return F.to_json(F.struct(*fields), _KEEP_NULLS)
 
 
+def _sorted_struct(value: Column, kind: T.StructType, without: tuple[str, ...] = ()) -> Column:
+    """``value`` with its fields in the order of their names: printed so, JSON is canonical and needs no parsing."""
+    fields = F.struct(*[value[n].alias(n) for n in sorted(kind.fieldNames()) if n not in without])
+    return F.when(value.isNotNull(), fields)
+
+
+def _sorted_items(listed: str) -> Column:
+    kind = _typed(listed).elementType
+    return F.transform(listed, lambda i: _sorted_struct(i, kind))
+
+
+def _canonical_number(value: Column) -> Column:
+    """A number as canonical JSON prints it: 100.0 is 100."""
+    listed = F.to_json(F.array(value))
+    return F.try_parse_json(F.substring(listed, F.lit(2), F.length(listed) - F.lit(2)))
+
+
+def _typed(name: str) -> T.DataType:
+    return T.StructType.fromDDL(model.STORED)[name].dataType
+
+
 def table_json(growth: bool = True, without: tuple[str, ...] = ()) -> Column:
     """Canonical JSON of a typed table; growth follows from other snapshots and can be left out."""
-    fields = [f for f in ("name", "comment", *model.LISTS, "primary_key", "permissions", "storage") if f not in without]
-    bare = F.col("storage").dropFields(*GROWTH).alias("storage")
-    return canonical_json(_json(*[bare if f == "storage" and not growth else f for f in fields]))
+    storage = F.col("storage")
+    if growth:
+        storage = storage.withField("growth_percent", _canonical_number(F.col("storage.growth_percent")))
+    fields = {
+        "name": F.col("name"), "comment": F.col("comment"),
+        **{n: _sorted_items(n) for n in model.LISTS},
+        "primary_key": _sorted_struct(F.col("primary_key"), _typed("primary_key")),
+        "permissions": _sorted_struct(F.col("permissions"), _typed("permissions")),
+        "storage": _sorted_struct(storage, _typed("storage"), () if growth else GROWTH),
+    }
+    return _json(*[fields[f].alias(f) for f in sorted(fields) if f not in without])
 
 
 def view_json() -> Column:
-    return canonical_json(_json("definition", "name", "permissions"))
+    return _json("definition", "name", _sorted_struct(F.col("permissions"), _typed("permissions")).alias("permissions"))
 
 
 def routine_json() -> Column:
