@@ -135,7 +135,7 @@ def collected_catalogs(
     whose tables, views, routines, grants or sizes were asked for and could not be read, is noted as skipped; keys,
     indexes and comments that could not be read are left out.
     """
-    headers = headers.withColumn("items", collect.chosen_items(F.col("items")))
+    headers = written(headers.withColumn("items", collect.chosen_items(F.col("items"))))
     users = headers.select("snapshot_id", "username")
     of_facet: dict[str, list[DataFrame]] = {}
     for kind, relations in extracts.items():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import model
+from ..session import written
 from . import dialect_queries, landed_catalogs  # noqa: F401  (the dialects' statements are parts of these)
 from .catalog_plan import collected_catalogs
 from .registry import ORACLES, query
@@ -85,8 +86,8 @@ _BLOCKS = ("p1_columns", "p1_tables", "p1_snapshots", "p1_sources", "p1_indexes"
 
 
 def _snapshots(spark, sf, *kinds: str) -> DataFrame:
-    heads = landed_catalogs.headers(spark, sf).where(F.col("db_type").isin(list(kinds)))
-    return _printed(collected_catalogs(heads, landed_catalogs.landed(spark, sf, kinds)))
+    heads = written(landed_catalogs.headers(spark, sf).where(F.col("db_type").isin(list(kinds))))
+    return _printed(collected_catalogs(heads, landed_catalogs.landed(spark, sf, kinds, heads)))
 
 
 @query("a3_postgresql_snapshots", *_BLOCKS, sql=_sql(("postgresql",), "n1_storage_postgresql", "n8_routines_postgresql"))

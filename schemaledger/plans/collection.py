@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import model
 from ..operators import collect, history
+from ..session import written
 
 _TOTALS = [*model.TABLE_KEY, "data_bytes", "index_bytes", "total_bytes"]
 _HEAD = ["snapshot_id", "data_source_id", "captured_at"]
@@ -40,13 +41,15 @@ def collected(
     relations: dict[str, DataFrame],
     before_headers: DataFrame | None = None,
     before_totals: DataFrame | None = None,
+    grown: DataFrame | None = None,
 ) -> DataFrame:
     """Store rows of the given snapshots.
 
     With stored snapshots around them (as in `with_growth`) growth carries on from the store. Growth is added to the
-    storage relation; the digest leaves it out.
+    storage relation; the digest leaves it out. ``grown``: what `with_growth` gives for these arguments, if it is at hand already.
     """
-    grown = with_growth(headers, relations, before_headers, before_totals)
+    # Summaries and assembly both read it.
+    grown = written(with_growth(headers, relations, before_headers, before_totals)) if grown is None else grown
     if before_headers is not None:
         grown = grown.join(headers.where("storage_growth").select("snapshot_id"), "snapshot_id", "left_semi")
     return collect.assemble(headers.join(summaries(grown), "snapshot_id", "left"), {**relations, "storage": grown})

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from .. import model
 from ..functions.values import grant_value
+from ..session import written
 
 TABLE = ["data_source_id", "yr", "snapshot_id", "captured_on", "schema_name", "table_name"]
 
@@ -96,9 +97,9 @@ def tables(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataF
     )
 
 
-def snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per source and year. Reads the two order columns it needs, not the column relation."""
-    rows = _ordered(spark, sf).select("snapshot_id", "data_source_id", "yr").distinct()
+def snapshots(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
+    """One row per source and year. Without ``base`` it reads the two order columns it needs, not the column relation."""
+    rows = (_ordered(spark, sf) if base is None else base).select("snapshot_id", "data_source_id", "yr").distinct()
     return rows.select(
         F.col("snapshot_id").alias("id"), "data_source_id", (F.col("snapshot_id") + 10).alias("run_id"),
         F.make_date("yr", F.lit(12), F.lit(31)).alias("captured_on"), "yr",
@@ -134,10 +135,10 @@ def views(spark: SparkSession, sf: str, prefix: str = "v_", base: DataFrame | No
     )
 
 
-def routine_lines(spark: SparkSession, sf: str) -> DataFrame:
+def routine_lines(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     first = F.substring("column_name", 1, 1)
     line = F.row_number().over(W.partitionBy("snapshot_id", "schema_name", first).orderBy("table_name"))
-    return columns(spark, sf).select(
+    return _columns(spark, sf, base).select(
         "snapshot_id", "schema_name", F.concat(F.lit("p_"), first).alias("routine_name"),
         line.cast("bigint").alias("line"), F.concat(F.lit("line "), "table_name").alias("text"),
     )
@@ -173,21 +174,24 @@ def foreign_keys(spark: SparkSession, sf: str, base: DataFrame | None = None) ->
     )
 
 
-def grants(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
-    """Grants as (snapshot_id, schema_name, name, permissions): tables by name, one schema by wildcard."""
-    exact = tables(spark, sf, base).join(granted_tables(spark, sf), ["data_source_id", "schema_name", "table_name"], "left_semi")
+def grants(spark: SparkSession, sf: str, base: DataFrame | None = None, listed: DataFrame | None = None) -> DataFrame:
+    """Grants as (snapshot_id, schema_name, name, permissions): tables by name, one schema by wildcard.
+
+    ``listed``: the table relation, if it is at hand already.
+    """
+    exact = (tables(spark, sf, base) if listed is None else listed).join(granted_tables(spark, sf), ["data_source_id", "schema_name", "table_name"], "left_semi")
     named = exact.select("snapshot_id", "schema_name", F.col("table_name").alias("name"),
                          grant_value(F.lit("reader")).alias("permissions"))
-    star = snapshots(spark, sf).select(F.col("id").alias("snapshot_id"), F.lit("MACHINERY").alias("schema_name"),
+    star = snapshots(spark, sf, base).select(F.col("id").alias("snapshot_id"), F.lit("MACHINERY").alias("schema_name"),
                                        F.lit("*").alias("name"), grant_value(F.lit("")).alias("permissions"))
     return named.unionByName(star)
 
 
-def headers(spark: SparkSession, sf: str) -> DataFrame:
+def headers(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     s = sources(spark, sf).select(F.col("id").alias("data_source_id"), F.col("name").alias("source"), "db_type",
                                   F.col("database_name").alias("database"))
     items = F.array_sort(F.array(*[F.lit(i) for i in model.DEFAULT_ITEMS]))
-    return snapshots(spark, sf).join(s, "data_source_id").select(
+    return snapshots(spark, sf, base).join(s, "data_source_id").select(
         F.col("id").alias("snapshot_id"), "data_source_id", "run_id",
         F.col("captured_on").cast("timestamp_ntz").alias("captured_at"), "source", "db_type", "database",
         items.alias("items"), F.lit(True).alias("storage_growth"),
@@ -195,8 +199,8 @@ def headers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def relations(spark: SparkSession, sf: str, base: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All flat relations of all snapshots, as `assemble` takes them."""
-    t = tables(spark, sf, base)
+    """All flat relations of all snapshots, as `assemble` takes them. With ``base`` the table relation is written once."""
+    t = tables(spark, sf) if base is None else written(tables(spark, sf, base))
     return {
         "schemas": t.select("snapshot_id", "schema_name").distinct(),
         "tables": t.select("snapshot_id", "schema_name", "table_name",
@@ -215,7 +219,7 @@ def relations(spark: SparkSession, sf: str, base: DataFrame | None = None) -> di
         "storage": t.drop("data_source_id", "yr", "captured_on", "column_count"),
         "views": views(spark, sf, base=base),
         "routines": views(spark, sf, "p_", base).withColumn("routine_type", F.lit("PROCEDURE")),
-        "grants": grants(spark, sf, base),
+        "grants": grants(spark, sf, base, t),
     }
 
 

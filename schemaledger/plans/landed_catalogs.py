@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import shared_folder, written
+from ..session import broadcast_if_small, shared_folder, written
 from ..sources import catalogs
 from . import driver_tables as p1, raw_catalogs as raw
 
@@ -36,7 +36,7 @@ def _null() -> Column:
     return F.lit(None).cast("string")
 
 
-def _structure(spark: SparkSession, sf: str, base: DataFrame) -> dict[str, DataFrame]:
+def _structure(spark: SparkSession, sf: str, base: DataFrame, indexes: DataFrame) -> dict[str, DataFrame]:
     tables = p1.tables(spark, sf, base).select(*_TABLE, F.concat(F.lit("about "), "table_name").alias("comment_text"))
     of_system = F.explode(F.array(*[F.lit(s) for s in SYSTEM_SCHEMAS])).alias("schema_name")
     schemata = tables.select("snapshot_id", "schema_name").unionAll(tables.select("snapshot_id").distinct().select("snapshot_id", of_system))
@@ -56,13 +56,13 @@ def _structure(spark: SparkSession, sf: str, base: DataFrame) -> dict[str, DataF
         "referred_schema", "referred_table", F.col("referred_columns")[0].alias("referred_column"),
     )
     second = F.when(F.col("column_count") > 1, F.array(F.col("first_column"), F.lit("more"))).otherwise(F.array("first_column"))
-    indexes = p1.indexes(spark, sf).select(
+    index_columns = indexes.select(
         *_TABLE, F.col("index_name").alias("name"), F.col("is_unique").cast("bigint").alias("is_unique"),
         F.posexplode(second).alias("ordinal", "column_name"),
     )
     return {
         "schemata": schemata.distinct(), "tables": tables, "columns": columns, "key_columns": keys, "reference_columns": references,
-        "index_columns": indexes, "views": p1.views(spark, sf, base=base),
+        "index_columns": index_columns, "views": p1.views(spark, sf, base=base),
     }
 
 
@@ -78,38 +78,40 @@ def _information_schema_grants(granted: DataFrame, grantee: str, user: str) -> D
     )
 
 
-def _native(spark: SparkSession, sf: str, kind: str, base: DataFrame, structure: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def _native(
+    spark: SparkSession, sf: str, kind: str, base: DataFrame, indexes: DataFrame, snapshots: DataFrame, structure: dict[str, DataFrame],
+) -> dict[str, DataFrame]:
     granted = _granted(spark, sf, base)
     if kind == "postgresql":
         return {
-            "pg_class": raw.pg_class(spark, sf), "pg_namespace": raw.pg_namespace(spark, sf), "pg_proc": raw.pg_proc(spark, sf),
+            "pg_class": raw.pg_class(spark, sf, base), "pg_namespace": raw.pg_namespace(spark, sf, base), "pg_proc": raw.pg_proc(spark, sf, base),
             "grants": _information_schema_grants(granted, "reader", "reader"),
         }
     if kind in ("mysql", "mariadb"):
         return {
-            "storage": raw.information_schema_tables(spark, sf), "routines": raw.mysql_routines(spark, sf),
+            "storage": raw.information_schema_tables(spark, sf, base), "routines": raw.mysql_routines(spark, sf, base),
             "grants": _information_schema_grants(granted, "'reader'@'%'", "reader@%"),
         }
     if kind == "mssql":
-        routines = raw.sys_objects(spark, sf).withColumn("can_select", F.lit(1))
+        routines = raw.sys_objects(spark, sf, base).withColumn("can_select", F.lit(1))
         tables = _renamed(
             granted, schema_id="schema_name", name="table_name", type=F.lit("U"), type_desc=F.lit("USER_TABLE"), definition=_null(),
             can_select=F.lit(1),
         )
         return {
-            "partition_stats": raw.partition_stats(spark, sf), "sys_tables": raw.sys_tables(spark, sf),
-            "sys_schemas": raw.sys_schemas(spark, sf), "sys_objects": routines.unionByName(tables),
+            "partition_stats": raw.partition_stats(spark, sf, base), "sys_tables": raw.sys_tables(spark, sf, base),
+            "sys_schemas": raw.sys_schemas(spark, sf, base), "sys_objects": routines.unionByName(tables),
         }
     if kind == "oracle":
         user = F.lit("BUILDING")
-        tables = raw.all_tables(spark, sf).withColumns({
+        tables = raw.all_tables(spark, sf, base).withColumns({
             "comment_text": F.concat(F.lit("about "), "table_name"), "reading_user": user})
         views = _renamed(structure["views"], owner="schema_name", view_name="name", definition="definition", reading_user=user)
         privileges = _renamed(
             granted, owner="schema_name", table_name="table_name", privilege=F.lit("SELECT"), grantee=F.lit("PUBLIC"), reading_user=user)
         return {
-            "all_tables": tables, "all_views": views, "all_segments": raw.all_segments(spark, sf), "all_indexes": raw.all_indexes(spark, sf),
-            "all_procedures": raw.all_procedures(spark, sf), "all_source": raw.all_source(spark, sf), "all_tab_privs": privileges,
+            "all_tables": tables, "all_views": views, "all_segments": raw.all_segments(spark, sf, base, indexes), "all_indexes": raw.all_indexes(spark, sf, indexes),
+            "all_procedures": raw.all_procedures(spark, sf, base), "all_source": raw.all_source(spark, sf, base), "all_tab_privs": privileges,
         }
     if kind == "db2":
         auth = _renamed(
@@ -117,34 +119,45 @@ def _native(spark: SparkSession, sf: str, kind: str, base: DataFrame, structure:
             reading_user=F.lit("reader"),
         )
         return {
-            "syscat_tables": raw.syscat_tables(spark, sf).withColumn("remarks", F.concat(F.lit("about "), "tabname")),
-            "tablespaces": raw.syscat_tablespaces(spark, sf), "routines": raw.db2_routines(spark, sf), "tabauth": auth,
+            "syscat_tables": raw.syscat_tables(spark, sf, base).withColumn("remarks", F.concat(F.lit("about "), "tabname")),
+            "tablespaces": raw.syscat_tablespaces(spark, sf, snapshots), "routines": raw.db2_routines(spark, sf, base), "tabauth": auth,
         }
     if kind == "sqlite":
         text = structure["views"].select("snapshot_id", "schema_name", "name", F.col("definition").alias("sql"))
-        master = raw.sqlite_master(spark, sf).join(text, ["snapshot_id", "schema_name", "name"], "left")
-        return {"sqlite_master": master, "dbstat": raw.dbstat(spark, sf)}
-    return {"table_storage": raw.table_storage(spark, sf)}
+        master = raw.sqlite_master(spark, sf, base, indexes).join(text, ["snapshot_id", "schema_name", "name"], "left")
+        return {"sqlite_master": master, "dbstat": raw.dbstat(spark, sf, base, indexes)}
+    return {"table_storage": raw.table_storage(spark, sf, base)}
 
 
-def extracts(spark: SparkSession, sf: str, kinds: tuple[str, ...], base: DataFrame) -> dict[str, dict[str, DataFrame]]:
-    """Kind -> relation -> rows, with exactly the columns of a scan. ``base``: the column relation of all snapshots."""
-    structure = _structure(spark, sf, base)
-    heads = p1.headers(spark, sf).select("snapshot_id", "db_type")
+def extracts(
+    spark: SparkSession, sf: str, kinds: tuple[str, ...], heads: DataFrame, base: DataFrame, indexes: DataFrame,
+) -> dict[str, dict[str, DataFrame]]:
+    """Kind -> relation -> rows, with exactly the columns of a scan.
+
+    ``heads``: snapshot_id and db_type of the snapshots; ``base`` / ``indexes``: the column and index relations of those of ``kinds``.
+    """
+    structure = _structure(spark, sf, base, indexes)
     found = {}
     for kind in kinds:
-        ours = heads.where(F.col("db_type") == kind).select("snapshot_id")
-        given = structure | _native(spark, sf, kind, base, structure)
+        ours = broadcast_if_small(heads.where(F.col("db_type") == kind).select("snapshot_id"))
+        given = structure | _native(spark, sf, kind, base, indexes, ours, structure)
         found[kind] = {
             r: catalogs.conformed(given[r].join(ours, "snapshot_id", "left_semi"), kind, r) for r in catalogs.CATALOG_QUERIES[kind]
         }
     return found
 
 
-def landed(spark: SparkSession, sf: str, kinds: tuple[str, ...]) -> dict[str, dict[str, DataFrame]]:
-    """The extracts of these kinds, written as a producer lands them and read back."""
+def landed(spark: SparkSession, sf: str, kinds: tuple[str, ...], heads: DataFrame | None = None) -> dict[str, dict[str, DataFrame]]:
+    """The extracts of these kinds, written as a producer lands them and read back.
+
+    ``heads``: the snapshots, if they are at hand already. Orders are joined with customers once for the columns and once for
+    the indexes, of the asked kinds only; all relations follow from these two.
+    """
     path = shared_folder(spark)
-    for kind, relations in extracts(spark, sf, kinds, written(p1.columns(spark, sf))).items():
+    heads = (p1.headers(spark, sf) if heads is None else heads).select("snapshot_id", "db_type")
+    asked = broadcast_if_small(heads.where(F.col("db_type").isin(list(kinds))).select("snapshot_id"))
+    base, indexes = (written(rows.join(asked, "snapshot_id", "left_semi")) for rows in (p1.columns(spark, sf), p1.indexes(spark, sf)))
+    for kind, relations in extracts(spark, sf, kinds, heads, base, indexes).items():
         for relation, rows in relations.items():
             rows.write.parquet(f"{path}/{kind}/{relation}")
     return {kind: catalogs.landed_relations(spark, path, kind) for kind in kinds}
