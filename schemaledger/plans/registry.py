@@ -42,7 +42,7 @@ def landed_extracts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     if key not in _EXTRACTS:
         path = shared_folder(spark)
         base = written(p1.columns(spark, sf))
-        given = {**p1.relations(spark, sf, base), "headers": p1.headers(spark, sf)}
+        given = {**p1.relations(spark, sf, base), "headers": p1.headers(spark, sf, base)}
         for name, rows in given.items():
             rows.write.parquet(f"{path}/{name}")
         _EXTRACTS[key] = {name: (f"{path}/{name}", rows.schema) for name, rows in given.items()}
