@@ -95,13 +95,14 @@ def batch_writer(landing: str, store: str) -> Callable[[DataFrame, int], None]:
         asked = broadcast_if_small(fresh.select(*[c for c in ("snapshot_id", "delivery") if c in fresh.columns]))
         relations = {n: rows for n in RELATIONS if (rows := _delivered(session, landing, n, asked)) is not None}
         fresh = fresh.drop("delivery")
-        rows, retired = collected(fresh, relations, around, totals), None
+        grown = written(with_growth(fresh, relations, around, totals))
+        rows, retired = collected(fresh, relations, around, totals, grown), None
         late = around.where("follows")
         if not late.isEmpty():
             retired = late.select("attempt", "snapshot_id")
-            grown = with_growth(fresh, relations, around, totals).join(late.select("snapshot_id"), "snapshot_id", "left_semi")
+            changed = grown.join(late.select("snapshot_id"), "snapshot_id", "left_semi")
             after = history.of_snapshots(flatten.of_kind(stored, *stores.REPLACED_KINDS), late).drop("attempt")
-            rows = rows.unionByName(corrected(after, grown))
+            rows = rows.unionByName(corrected(after, changed))
         stores.append_once(rows, store, name, retired)
 
     return write
