@@ -1,17 +1,22 @@
-"""Main text of web pages: what a page says about its parts, and a host suffix array for what it leaves open.
+"""Main text of web pages: what a page says about its parts, and a host suffix array for the rest.
 
 A page becomes blocks of text with a zone: ``article`` inside an article or main element; ``junk`` inside navigation,
 headers, footers, sidebars, forms, hidden parts and elements named as nothing else; ``doubt`` and ``doubt article`` where
 only a part of a class name or id speaks against a block (``post-comments``); ``open`` elsewhere. Names such as ``no-sidebar``
 or ``has-comments`` say nothing. Doubtful blocks go while the page has other text, so names never empty an article.
 
-Text inside an article stays whole, repeated or not. What a page without article leaves open is settled by the suffixes of
-the host's pages: every place of their whole token streams, articles included, is a suffix, keyed by the hash of its first
-``RUN`` tokens. Suffixes of one key form one stretch of the host's suffix array; a stretch with suffixes of distinct pages is a
-repeated substring, longer ones being unions of shorter. What they cover goes, and the unique runs stay.
+The suffixes of the host's pages tell the rest: every place of their whole token streams, articles included, is a suffix, keyed
+by the hash of its first ``RUN`` tokens. Suffixes of one key form one stretch of the host's suffix array; a stretch with
+suffixes of distinct pages is a repeated substring, longer ones being unions of shorter.
 
-The stretches are spread over tasks by host and key, so a host of any size is compared whole and none meets in one task.
-Hosts whose pages all settle themselves send no suffixes.
+What a page without article leaves open loses all that repeated substrings cover, and the unique runs stay. In an article
+repeats alone say little, as pages of one host may be copies of each other. There a block goes if substrings that more than half
+of the host's pages hold cover it whole: a notice of the site. An article that is mostly such blocks is a copy and stays whole.
+
+Pages of every host with ``LEAST_PAGES`` pages are searched for such substrings. A run that most pages of a host hold is held by
+most of the host's pages in at least one batch of pages, so batches name their own and only named runs are counted over the
+host. Where many pages stand alone beside those of other hosts, texts are dealt by host for the naming. The stretches are spread
+over tasks by host and key, so a host of any size is compared whole and none meets in one task.
 """
 
 from __future__ import annotations
@@ -24,11 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import broadcast_if_small, written
+from ..session import BROADCAST_ROWS, broadcast_if_small, written
 from . import words as W
 from .url_rules import host_of
 
 RUN = 8  # tokens of the shortest repeated substring
+LEAST_PAGES = 5  # pages of a host whose most common substrings are notices
+
+_MOST_ALONE = 10_000  # pages with too few others of their host beside them, from which pages are dealt by host
+_TOGETHER = 4_000  # pages of a partition and most of a host in one, where they are dealt by host
 
 _RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|select|button|canvas|audio|video"
 _MARKUP = re.compile(
@@ -164,6 +173,22 @@ def unique_text(blocks: list[tuple[str, str]], repeated: np.ndarray) -> str:
     return "\n".join(out)
 
 
+def article_text(blocks: list[tuple[str, str]], zone: str, common: np.ndarray) -> str:
+    """Text of a page's blocks in ``zone``, less blocks that ``common`` runs within them cover whole if those are under half of it."""
+    texts = [text for own, text in blocks if own == zone and text]
+    sizes = np.array([text.count(" ") + 1 for text in texts], np.int64)
+    notice = np.zeros(len(texts), bool)
+    long = np.flatnonzero(sizes >= RUN)
+    keys, counts = W.hashed_runs([texts[i].encode("utf-8", "surrogatepass") for i in long], RUN)
+    held = np.isin(keys, common)
+    for i, own in zip(long, np.split(held, np.cumsum(counts)[:-1])):
+        starts = np.flatnonzero(own)
+        notice[i] = own[0] and own[-1] and bool((np.diff(starts) <= RUN).all())
+    if 2 * sizes[notice].sum() >= sizes.sum():
+        notice[:] = False
+    return "\n".join(text for text, gone in zip(texts, notice.tolist()) if not gone)
+
+
 _BLOCKS_KIND = pa.list_(pa.struct([("zone", pa.string()), ("text", pa.string())]))
 
 
@@ -191,6 +216,54 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (0, 1, 3)), pa.array(keys)], ["row", "host", "page", "run"])
 
 
+def _runs_of(column: pa.ListArray, i: int) -> np.ndarray:
+    return column.values[column.offsets[i].as_py(): column.offsets[i + 1].as_py()].to_numpy().view(np.uint64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the pages of each host in a batch: how many rows hold them, and if these are most rows of the host there.
+
+    A third column names the runs to count.
+    """
+    for batch in batches:
+        hosts = batch.column(0).dictionary_encode()
+        codes = hosts.indices.to_numpy(zero_copy_only=False)
+        streams = batch.column(1).to_pylist()
+        long = np.array([i for i, stream in enumerate(streams) if stream.count(b" ") + 1 >= RUN], np.int64)
+        keys, of_host = [np.zeros(0, np.uint64)], [np.zeros(0, codes.dtype)]
+        for begin in range(0, len(long), 64):
+            part = long[begin: begin + 64]
+            runs, counts = W.shingle_sets([streams[i] for i in part], RUN)
+            at = np.repeat(codes[part], counts)
+            if batch.num_columns == 3:
+                pieces = zip(np.split(runs, np.cumsum(counts)[:-1]), part)
+                asked = np.concatenate([np.isin(own, _runs_of(batch.column(2), i)) for own, i in pieces])
+                runs, at = runs[asked], at[asked]
+            keys.append(runs)
+            of_host.append(at)
+        key, host = np.concatenate(keys), np.concatenate(of_host)
+        order = np.lexsort((key, host))
+        key, host = key[order], host[order]
+        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (host[1:] != host[:-1])))) if len(key) else np.zeros(0, np.int64)
+        n = np.diff(first, append=len(key))
+        often = 2 * n > np.bincount(codes)[host[first]]
+        for begin in range(0, len(first), 1 << 16):
+            cut = slice(begin, begin + (1 << 16))
+            at = first[cut]
+            yield pa.RecordBatch.from_arrays(
+                [hosts.dictionary.take(pa.array(host[at])), pa.array(key[at].view(np.int64)), pa.array(n[cut]), pa.array(often[cut])],
+                ["host", "run", "n", "often"])
+
+
+def _state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [
+            article_text(_pairs(blocks), zone, _runs_of(batch.column(4), i))
+            for i, (blocks, zone) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [
@@ -200,11 +273,33 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
+def _by_host(runs: DataFrame) -> DataFrame:
+    """``host, runs``, marked for broadcast if all hosts together have few runs."""
+    lists = runs.groupBy("host").agg(F.collect_list("run").alias("runs"))
+    return F.broadcast(lists) if runs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lists
+
+
+def common_runs(parsed: DataFrame) -> DataFrame:
+    """``host, run``: runs that more than half of the rows of a host with at least ``LEAST_PAGES`` rows hold."""
+    hosts = broadcast_if_small(parsed.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES))
+    texts = F.filter("blocks.text", lambda text: text != "")
+    streams = parsed.join(hosts, "host").select("host", "row", "pages", F.array_join(texts, " ").cast("binary").alias("stream"))
+    kind = "host string, run long, n long, often boolean"
+    beside = parsed.groupBy("host", F.spark_partition_id().alias("part")).agg(F.count("*").alias("rows")).where(F.col("rows") < LEAST_PAGES)
+    together = streams
+    if (beside.join(hosts, "host", "left_semi").agg(F.sum("rows")).first()[0] or 0) > _MOST_ALONE:
+        together = streams.repartition(parsed.count() // _TOGETHER + 1, "host", F.expr(f"pmod(row, pages div {_TOGETHER} + 1)"))
+    named = written(together.select("host", "stream").mapInArrow(_counted, kind).where("often").select("host", "run").distinct())
+    held = streams.join(_by_host(named), "host").select("host", "stream", "runs").mapInArrow(_counted, kind)
+    return written(held.groupBy("host", "run").agg(F.sum("n").alias("n")).join(hosts, "host").where("2 * n > pages").select("host", "run"))
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text`` for each row of ``pages``; an empty text if a page has none.
 
     Null and empty pages have an empty text. Pages without a host (null or scheme-less URLs) are one host. Repeated rows
-    come back as often as they came and are one page; equal pages of distinct ids or URLs cover each other's open text.
+    come back as often as they came and are one page, but count each among the rows of which most hold a notice; equal pages of
+    distinct ids or URLs cover each other's open text. Blocks of fewer than ``RUN`` tokens are never notices in an article.
     Other columns are not read. Keys of runs have 64 bits; nothing compares the tokens behind them.
     """
     given = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -227,6 +322,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         asking.join(covered, "row", "left").select("page_id", "url", "blocks", "repeated")
         .mapInArrow(_settle, f"page_id {id_type}, url string, text string")
     )
+    settled = parsed.where("settled IS NOT NULL").join(_by_host(common_runs(parsed)), "host", "left")
     own = F.filter("blocks", lambda b: (b["zone"] == F.col("settled")) & (b["text"] != ""))
-    stated = parsed.where("settled IS NOT NULL").select("page_id", "url", F.array_join(own["text"], "\n").alias("text"))
-    return stated.unionByName(told)
+    whole = settled.where("runs IS NULL OR settled = ''").select("page_id", "url", F.array_join(own["text"], "\n").alias("text"))
+    stated = (
+        settled.where("runs IS NOT NULL AND settled <> ''").select("page_id", "url", "blocks", "settled", "runs")
+        .mapInArrow(_state, f"page_id {id_type}, url string, text string")
+    )
+    return whole.unionByName(stated).unionByName(told)

@@ -211,6 +211,17 @@ def test_unique_text_equals_brute_force():
             assert page_text.unique_text([("open", own)], repeated) == wanted
 
 
+def test_article_loses_common_blocks_only():
+    notice = "sign up for the letter of this site today"
+    common = page_text.page_runs([("article", f"{notice} and read more")])
+    for texts, wanted in ((["own words " * 19, notice], 1), ([notice, "own words " * 19, notice + " and read"], 1), ([notice, "short own text"], 2),
+                          (["own words " * 19 + notice], 1), (["own words " * 19, notice + " now"], 2), (["own words " * 19, "sign up"], 2), ([notice], 1)):
+        texts = [" ".join(t.split()) for t in texts]
+        got = page_text.article_text([("article", ""), *(("article", t) for t in texts), ("junk", "x " * 20)], "article", common)
+        assert got == ("\n".join(texts) if wanted == len(texts) else max(texts, key=len))
+    assert page_text.article_text([("article", notice)], "article", np.zeros(0, np.uint64)) == notice
+
+
 def test_cells_of_pairs_hold_every_pair():
     rng = np.random.default_rng(4)
     n = rng.integers(1, 6_000, 400)

@@ -234,6 +234,38 @@ def test_page_text_over_a_whole_host(spark):
     assert got == sorted([*enumerate(wanted), (5, wanted[5]), (1_000, f"{notice} {bodies[7]}"), (1_001, notice)])
 
 
+@pytest.mark.parametrize("dealt", [False, True])
+def test_page_text_of_articles_by_their_host(spark, monkeypatch, dealt):
+    """A notice that most pages of a host hold leaves its articles; copies, shared lines and small hosts stay, against a recount."""
+    if dealt:
+        monkeypatch.setattr(page_text, "_MOST_ALONE", -1)
+        monkeypatch.setattr(page_text, "_TOGETHER", 16)
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(9_000)}" for _ in range(n))
+    notice, line, copied = "read our letter every week and never miss a story again", words(12), [words(30), words(25)]
+    rows, wanted = [], {}
+
+    def add(host, blocks, kept):
+        rows.append((len(rows), f"http://{host}/{len(rows)}", "<nav>home about</nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"))
+        wanted[len(rows) - 1] = "\n".join(kept)
+
+    for i in range(80):
+        own = [words(20), words(15)]
+        add("big.org", [own[0], *([notice] if i % 3 else []), own[1]], own)
+        add("half.org", [own[0], *([line] if i % 2 else []), own[1]], [own[0], *([line] if i % 2 else []), own[1]])
+        if i < 30:
+            add("same.org", copied, copied)
+        if i < 4:
+            add("small.org", [own[0], notice], [own[0], notice])
+        if i < 20:
+            more = words(9)
+            add("near.org", [more, *copied], [more, *copied])
+    rows.append(rows[0])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = sorted((r["page_id"], r["text"]) for r in page_text.extract_main_text(pages).collect())
+    assert got == sorted([*wanted.items(), (0, wanted[0])])
+
+
 def test_token_rollup(spark):
     rollup = token_counts.TokenRollup(spark, shared_folder(spark))
     change = lambda *rows: spark.createDataFrame(rows, "op string, doc_id long, source string, lang string, version string, n_tokens long")
