@@ -34,7 +34,7 @@ from . import words as W
 from .url_rules import host_of
 
 RUN = 8  # tokens of the shortest repeated substring
-LEAST_PAGES = 5  # pages of a host whose most common substrings are notices
+LEAST_PAGES = 10  # pages of a host whose most common substrings are notices
 
 _MOST_ALONE = 10_000  # pages with too few others of their host beside them, from which pages are dealt by host
 _TOGETHER = 4_000  # pages of a partition and most of a host in one, where they are dealt by host
@@ -173,17 +173,24 @@ def unique_text(blocks: list[tuple[str, str]], repeated: np.ndarray) -> str:
     return "\n".join(out)
 
 
-def article_text(blocks: list[tuple[str, str]], zone: str, common: np.ndarray) -> str:
-    """Text of a page's blocks in ``zone``, less blocks that ``common`` runs within them cover whole if those are under half of it."""
-    texts = [text for own, text in blocks if own == zone and text]
+def block_starts(texts: list[str]) -> tuple[list[int], list[bytes]]:
+    """Blocks of at least ``RUN`` tokens and their first ``RUN`` tokens."""
+    heads = [(i, text.split(" ", RUN)[:RUN]) for i, text in enumerate(texts)]
+    long = [(i, " ".join(head).encode("utf-8", "surrogatepass")) for i, head in heads if len(head) == RUN]
+    return [i for i, _ in long], [head for _, head in long]
+
+
+def article_text(texts: list[str], begun: list[int], common: np.ndarray) -> str:
+    """Text of an article's blocks, less those that ``common`` runs within them cover whole if these are under half of it.
+
+    ``begun`` are the blocks whose first run is common; no other can be covered.
+    """
     sizes = np.array([text.count(" ") + 1 for text in texts], np.int64)
     notice = np.zeros(len(texts), bool)
-    long = np.flatnonzero(sizes >= RUN)
-    keys, counts = W.hashed_runs([texts[i].encode("utf-8", "surrogatepass") for i in long], RUN)
+    keys, counts = W.hashed_runs([texts[i].encode("utf-8", "surrogatepass") for i in begun], RUN)
     held = np.isin(keys, common)
-    for i, own in zip(long, np.split(held, np.cumsum(counts)[:-1])):
-        starts = np.flatnonzero(own)
-        notice[i] = own[0] and own[-1] and bool((np.diff(starts) <= RUN).all())
+    for i, own in zip(begun, np.split(held, np.cumsum(counts)[:-1])):
+        notice[i] = own[0] and own[-1] and bool((np.diff(np.flatnonzero(own)) <= RUN).all())
     if 2 * sizes[notice].sum() >= sizes.sum():
         notice[:] = False
     return "\n".join(text for text, gone in zip(texts, notice.tolist()) if not gone)
@@ -257,11 +264,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [
-            article_text(_pairs(blocks), zone, _runs_of(batch.column(4), i))
-            for i, (blocks, zone) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
-        ]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+        out = []
+        for begin in range(0, batch.num_rows, 64):
+            pages = batch.column(2).slice(begin, 64).to_pylist()
+            starts = [block_starts(texts) for texts in pages]
+            keys = W.hashed_runs([head for _, heads in starts for head in heads], RUN)[0]
+            pieces = np.split(keys, np.cumsum([len(long) for long, _ in starts])[:-1])
+            for i, (texts, (long, _), own) in enumerate(zip(pages, starts, pieces), begin):
+                common = _runs_of(batch.column(3), i)
+                begun = np.array(long, np.int64)[np.isin(own, common)].tolist()
+                out.append(article_text(texts, begun, common) if begun else "\n".join(texts))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,10 +336,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         .mapInArrow(_settle, f"page_id {id_type}, url string, text string")
     )
     settled = parsed.where("settled IS NOT NULL").join(_by_host(common_runs(parsed)), "host", "left")
-    own = F.filter("blocks", lambda b: (b["zone"] == F.col("settled")) & (b["text"] != ""))
-    whole = settled.where("runs IS NULL OR settled = ''").select("page_id", "url", F.array_join(own["text"], "\n").alias("text"))
+    own = F.filter("blocks", lambda b: (b["zone"] == F.col("settled")) & (b["text"] != ""))["text"]
+    whole = settled.where("runs IS NULL OR settled = ''").select("page_id", "url", F.array_join(own, "\n").alias("text"))
     stated = (
-        settled.where("runs IS NOT NULL AND settled <> ''").select("page_id", "url", "blocks", "settled", "runs")
+        settled.where("runs IS NOT NULL AND settled <> ''").select("page_id", "url", own.alias("texts"), "runs")
         .mapInArrow(_state, f"page_id {id_type}, url string, text string")
     )
     return whole.unionByName(stated).unionByName(told)

@@ -217,9 +217,11 @@ def test_article_loses_common_blocks_only():
     for texts, wanted in ((["own words " * 19, notice], 1), ([notice, "own words " * 19, notice + " and read"], 1), ([notice, "short own text"], 2),
                           (["own words " * 19 + notice], 1), (["own words " * 19, notice + " now"], 2), (["own words " * 19, "sign up"], 2), ([notice], 1)):
         texts = [" ".join(t.split()) for t in texts]
-        got = page_text.article_text([("article", ""), *(("article", t) for t in texts), ("junk", "x " * 20)], "article", common)
+        long, heads = page_text.block_starts(texts)
+        begun = [i for i, head in zip(long, heads) if page_text.page_runs([("article", head.decode())])[0] in common]
+        got = page_text.article_text(texts, begun, common)
         assert got == ("\n".join(texts) if wanted == len(texts) else max(texts, key=len))
-    assert page_text.article_text([("article", notice)], "article", np.zeros(0, np.uint64)) == notice
+    assert page_text.article_text([], [], common) == "" and page_text.block_starts(["", "a b", notice]) == ([2], [notice.rsplit(" ", 1)[0].encode()])
 
 
 def test_cells_of_pairs_hold_every_pair():
